@@ -75,7 +75,7 @@ def tilts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         sums = moved.groupBy(F.col("h.source").alias("source")).agg(F.sum(r * x * F.col("n")).alias("got"), F.sum(r * (1 - r / CAP) * x * x * F.col("n")).alias("bend"))
         g = sums.alias("g")
         want = F.col("target") / F.col("scale")
-        over = F.col("got") > want
+        over, met = F.col("got") > want, F.abs(F.col("got") - want) <= TOLERANCE * want
         low, high = F.when(over, F.col("low")).otherwise(F.col("tilt")), F.when(over, F.col("tilt")).otherwise(F.col("high"))
         step = F.col("tilt") + (want - F.col("got")) / F.col("bend")
         inside = F.col("bend").isNotNull() & (F.col("bend") > 1e-300) & (step > low) & (step < high)
@@ -86,7 +86,7 @@ def tilts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
             "target",
             "scale",
             "full",
-            F.when(F.col("got").isNull(), F.col("tilt")).otherwise(F.when(inside, step).otherwise(F.greatest(low, F.least(high, wide)))).alias("tilt"),
+            F.when(F.col("got").isNull() | met, F.col("tilt")).otherwise(F.when(inside, step).otherwise(F.greatest(low, F.least(high, wide)))).alias("tilt"),
             F.when(F.col("got").isNull(), F.col("low")).otherwise(low).alias("low"),
             F.when(F.col("got").isNull(), F.col("high")).otherwise(high).alias("high"),
             F.coalesce(F.abs(F.col("got") - want) / want, F.lit(0.0)).alias("gap"),
@@ -94,7 +94,7 @@ def tilts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         after = materialise(after, "mix-state")
         discard(state)
         state = after.drop("gap")
-        if (after.agg(F.max("gap")).first()[0] or 0.0) < TOLERANCE:
+        if (after.agg(F.max("gap")).first()[0] or 0.0) <= TOLERANCE:
             break
     discard(hist)
     return state.select("source", "source_size", "target", "scale", "full", "tilt")
