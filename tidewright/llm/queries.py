@@ -27,6 +27,18 @@ def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_digest
+
+    return quality_digest(spark, sf_dir)
+
+
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_digest
+
+    return toxicity_digest(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
