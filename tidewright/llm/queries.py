@@ -33,6 +33,12 @@ def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(spark, sf_dir)
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leak_digest
+
+    return leak_digest(spark, sf_dir)
+
+
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_digest
 

@@ -18,6 +18,8 @@ from .linear import Sparse, fit_logistic, sigmoid
 SAMPLE_ROWS = 20_000
 VOCABULARY = 4_096
 FOLDS = 5
+#: Least distance, in standard errors, of a word's log odds ratio from 0; words below it would only add noise to long texts.
+LEAST_Z = 3.0
 #: Lower-cases A-Z and turns ASCII punctuation and control characters into blanks.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -108,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Co
         p, q = (F.col(n) + 0.5) / (pos + 1), (F.col("n") - F.col(n) + 0.5) / (count - pos + 1)
         z = F.abs(F.log(p / q)) / F.sqrt(1 / (F.col(n) + 0.5) + 1 / (F.col("n") - F.col(n) + 0.5))
         strength = F.greatest(strength, z)
-    top = per.select("word", strength.alias("z")).orderBy(F.desc("z"), "word").limit(vocabulary).collect()
+    top = per.select("word", strength.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(vocabulary).collect()
     words = {r["word"].encode("latin-1"): i for i, r in enumerate(top)}
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -141,7 +143,7 @@ def label_categories() -> list[tuple[str, Column]]:
     return [("junk", F.col("quality") == 0), ("toxic", F.col("toxic") == 1)]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound: int = SAMPLE_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, bound: int = SAMPLE_ROWS) -> DataFrame:
     """docs with p_junk, p_toxic and is_toxic (p_toxic at least threshold).
 
     Every whole text is scored in one pass without a shuffle. Repeated rows score alike; without any label every text
