@@ -170,6 +170,16 @@ def slices(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
         yield BlockMaxIndex([(r[0], r[1]) for r in part.orderBy("item_id", "text").collect()])
 
 
+def _searcher(sent):
+    @F.pandas_udf(_LEAKS)
+    def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = sent.value
+        for s in parts:
+            yield pd.Series([[dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), x, strict=True)) for x in own.leaks(t)] for t in s], dtype=object)
+
+    return search
+
+
 def with_leaks(docs: DataFrame, benchmark: DataFrame, out: str = "leaks") -> DataFrame:
     """docs with out, an array of (item_id, score, question_overlap, answer_overlap) of the items that a passage of the text holds.
 
@@ -180,14 +190,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, out: str = "leaks") -> Dat
     importable(spark)
     found = docs.withColumn(out, F.array().cast(_LEAKS))
     for index in slices(benchmark):
-        sent = spark.sparkContext.broadcast(index)
-
-        @F.pandas_udf(_LEAKS)
-        def search(parts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            own = sent.value
-            for s in parts:
-                yield pd.Series([[dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), x, strict=True)) for x in own.leaks(t)] for t in s], dtype=object)
-
+        search = _searcher(spark.sparkContext.broadcast(index))
         found = found.withColumn(out, F.concat(F.col(out), search(F.col("text").cast("string"))))
     return found
 
