@@ -39,6 +39,12 @@ def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_digest(spark, sf_dir)
 
 
+def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicate_digest
+
+    return near_duplicate_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_digest
 
