@@ -27,8 +27,8 @@ _LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), *[T.S
 
 
 def folded(text: str | None) -> list[bytes]:
-    """Words for matching: ASCII punctuation separates, A-Z is lower-cased."""
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
+    """Words for matching, in lower case; ASCII punctuation separates."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
 def question_and_answer(text: str) -> tuple[str, str]:

@@ -33,6 +33,12 @@ def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(spark, sf_dir)
 
 
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_digest
+
+    return warc_digest(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leak_digest
 

@@ -30,7 +30,7 @@ STEMS = (4, 5, 6)
 
 def word_set(text: str | None) -> set[bytes]:
     """Distinct words, and the beginnings of the longer ones marked by a star."""
-    words = set(text.encode("utf-8", "surrogatepass").translate(_FOLD).split()) if text else set()
+    words = set(text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()) if text else set()
     found = set(words)
     for n in STEMS:
         found.update(w[:n] + b"*" for w in words if len(w) > n)
