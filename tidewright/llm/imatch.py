@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.md5(F.col("edited")).alias("edited_md5"),
     )
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))
-    sided = rows.select("bucket", "rn", info.alias("info"), F.explode(sides).alias("s")).where("s.t is not null")
+    sided = rows.select("bucket", "rn", info.alias("info"), sides.alias("sides")).select("bucket", "rn", "info", F.explode("sides").alias("s")).where("s.t is not null")
     tokens = sided.select("bucket", "rn", "info", F.col("s.side").alias("side"), F.explode(F.concat(F.array(F.lit(_NO_TERM)), terms(F.col("s.t")))).alias("term"))
     marked = words.unionByName(words.sparkSession.createDataFrame([(_NO_TERM, -1)], "term string, slot int"))
     found = tokens.join(F.broadcast(marked), "term").select("bucket", "rn", "side", "slot", "term", F.when((F.col("slot") == -1) & (F.col("side") == 0), F.col("info")).alias("info"))
