@@ -33,6 +33,12 @@ def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import substring_digest
+
+    return substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_digest
 
