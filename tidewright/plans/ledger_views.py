@@ -108,8 +108,8 @@ def clock_clamp(spark, d):
     return tasks(spark, d).select("id", qu.clamp(F.col("id") * 100, F.lit(1000).cast("bigint")).alias("next_attempt"))
 
 
-@query("""WITH e AS (SELECT floor(epoch(ts))::BIGINT AS at FROM events)
-SELECT at - at % 300 AS window_start, min(at) AS fired_at, count(*) AS ticks FROM e GROUP BY 1""")
+@query("""WITH e AS (SELECT floor(epoch(ts))::BIGINT AS sec FROM events)
+SELECT sec - sec % 300 AS window_start, min(sec) AS fired_at, count(*) AS ticks FROM e GROUP BY 1""")
 def schedule_windows(spark, d):
     return qu.schedule_fires(t(spark, d, "events").select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")), 300)
 
@@ -139,10 +139,10 @@ def join_fire(spark, d):
     return qu.fire(groups, groups.where(F.col("group_id") % 7 == 0)).select("group_id")
 
 
-@query(f"WITH {BARRIER_SQL} SELECT group_id, task_id, coalesce(state, 'waiting') AS state, count(*) OVER (PARTITION BY group_id) > 4 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY task_id) AS n, count(*) OVER (PARTITION BY group_id) AS c FROM m) WHERE n <= 4".replace("count(*) OVER (PARTITION BY group_id) > 4 AS truncated", "c > 4 AS truncated"))
+@query(f"WITH {BARRIER_SQL} SELECT group_id, task_id, coalesce(state, 'waiting') AS state, count(*) OVER (PARTITION BY group_id) > 4 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY task_id, coalesce(state, 'waiting')) AS n, count(*) OVER (PARTITION BY group_id) AS c FROM m) WHERE n <= 4".replace("count(*) OVER (PARTITION BY group_id) > 4 AS truncated", "c > 4 AS truncated"))
 def join_roster(spark, d):
     by = Window.partitionBy("group_id")
-    rows = members(spark, d).withColumn("n", F.row_number().over(by.orderBy("task_id"))).withColumn("c", F.count(F.lit(1)).over(by))
+    rows = members(spark, d).withColumn("n", F.row_number().over(by.orderBy("task_id", F.coalesce("state", F.lit("waiting"))))).withColumn("c", F.count(F.lit(1)).over(by))
     return rows.where("n <= 4").select("group_id", "task_id", F.coalesce("state", F.lit("waiting")).alias("state"), (F.col("c") > 4).alias("truncated"))
 
 
