@@ -177,12 +177,25 @@ def gather(sets: DataFrame, links: _Links) -> None:
 
 
 def survivors(sets: DataFrame, links: _Links) -> DataFrame:
-    """node, n, tokens, comp of the sets that may still link to another component: one of their smallest n - needed + 1 hashes stands among those of another component."""
-    head = F.slice(F.array_sort("tokens"), F.lit(1), (F.col("n") - needed(F.col("n")) + 1).cast("int"))
-    rows = labelled(sets.select("node", head.alias("head")), links.comps, "head").select("node", "comp", F.explode("head").alias("token"))
+    """node, n, tokens, comp of the sets that may still link to another component.
+
+    First bound: of a set's smallest hashes, enough stand among those of other components (prefix filter). Second, over
+    all tokens: the set overlaps the unions of all other groups together in what it needs. A set that fails either
+    can't link outside its component, and both ends of a link that is still missing pass both.
+    """
+    size = (F.col("n") - needed(F.col("n")) + 1 + F.floor(F.col("n") / 20)).cast("int")
+    head = F.slice(F.array_sort("tokens"), F.lit(1), size)
+    left = _crossing(labelled(sets.select("node", "n", head.alias("t")), links.comps, "n", "t"), 1 + F.floor(F.floor(F.col("n") * PERCENT / 100) / 20))
+    left = materialise(sets.join(left, "node"), "first-bound")
+    final = _crossing(labelled(left.select("node", "n", F.col("tokens").alias("t")), links.comps, "n", "t"), needed(F.col("n")))
+    return labelled(left.join(final, "node"), links.comps, "n", "tokens")
+
+
+def _crossing(sets: DataFrame, least: Column) -> DataFrame:
+    """Nodes of sets (node, n, t, comp) of which at least so many tokens of t also stand in another component."""
+    rows = sets.select("node", "n", "comp", F.explode("t").alias("token"))
     cross = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    left = rows.join(cross, "token").select("node").distinct()
-    return labelled(sets.join(left, "node"), links.comps, "n", "tokens")
+    return rows.join(cross, "token").groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= least).select("node")
 
 
 def matrix_links(sets: DataFrame, links: _Links) -> None:
@@ -236,6 +249,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = shared_heads(heads_once.select("node", F.explode("head").alias("token")))
     least = 1 + F.floor(F.floor(F.col("n") * PERCENT / 100) / 20)
     wanted = materialise(nodes.join(shared, "node").where((F.col("shared") >= least) & F.col("rep").isNotNull()).select("node", "rep"), "candidates")
+    rows = materialise(parsed.select("doc_id", "node", "n"), "shingle-sets")
+    discard(parsed)
+    parsed = rows
     sets = materialise(full_sets(docs, wanted), "sets")
     links = _Links()
     gather(sets, links)
