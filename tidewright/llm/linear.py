@@ -25,7 +25,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(x: Sparse, y: np.ndarray, dense: np.ndarray, l2: float = 0.3, steps: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_logistic(x: Sparse, y: np.ndarray, dense: np.ndarray, l2: float = 0.3, steps: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of sparse features, of dense columns and the intercept: accelerated gradient steps on the regularised log loss."""
     n = max(1, len(y))
     w, d, b = np.zeros(x.width), np.zeros(dense.shape[1]), 0.0
