@@ -25,29 +25,57 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(x: Sparse, y: np.ndarray, dense: np.ndarray, l2: float = 0.3, steps: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of sparse features, of dense columns and the intercept: accelerated gradient steps on the regularised log loss."""
-    n = max(1, len(y))
-    w, d, b = np.zeros(x.width), np.zeros(dense.shape[1]), 0.0
-    vw, vd, vb = w.copy(), d.copy(), b
-    row_norm = x.counts + (dense**2).sum(axis=1) + 1.0
-    rate = 4.0 / (float(row_norm.max(initial=1.0)) * n + 4 * l2)
-    fast = rate * max(1.0, float(row_norm.max(initial=1.0)) / max(1.0, float(np.median(row_norm))) * 0.25)
-    momentum, last = 1.0, np.inf
+def fit_logistic(x: Sparse, y: np.ndarray, dense: np.ndarray, l2: float = 0.5, steps: int = 12, inner: int = 20) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of sparse features, of dense columns and the intercept: Newton steps on the regularised log loss, each solved by preconditioned conjugate gradients."""
+    m, k = x.width, dense.shape[1]
+    penalty = np.append(np.full(m + k, l2), 1e-6)
+
+    def times(t: np.ndarray) -> np.ndarray:
+        return x.dot(t[:m]) + dense @ t[m : m + k] + t[-1]
+
+    def back(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([x.transposed_dot(v), dense.T @ v, [v.sum()]])
+
+    def loss(t: np.ndarray, z: np.ndarray) -> float:
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + (penalty * t * t).sum() / 2)
+
+    theta = np.zeros(m + k + 1)
+    z = times(theta)
+    value = loss(theta, z)
     for _ in range(steps):
-        z = x.dot(vw) + dense @ vd + vb
-        g = sigmoid(z) - y
-        gw, gd, gb = x.transposed_dot(g) + l2 * vw, dense.T @ g + l2 * vd, g.sum()
-        nw, nd, nb = vw - fast * gw, vd - fast * gd, vb - fast * gb
-        nxt = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        k = (momentum - 1) / nxt
-        loss = np.logaddexp(0, z).sum() - (y * z).sum() + l2 / 2 * (vw @ vw)
-        if loss > last:  # too long a step: slow down and start the momentum anew
-            fast, k, nxt = max(rate, fast / 2), 0.0, 1.0
-        last = loss
-        vw, vd, vb = nw + k * (nw - w), nd + k * (nd - d), nb + k * (nb - b)
-        w, d, b, momentum = nw, nd, nb, nxt
-    return w, d, float(b)
+        p = sigmoid(z)
+        gradient = back(p - y) + penalty * theta
+        if np.abs(gradient).max() < 1e-3:
+            break
+        h = np.maximum(p * (1 - p), 1e-6)
+        scale = np.concatenate([x.transposed_dot(h), (dense**2).T @ h, [h.sum()]]) + penalty
+        move, rest = np.zeros_like(theta), -gradient
+        held = rest / scale
+        way, size = held.copy(), float(rest @ held)
+        first = size
+        for _ in range(inner):
+            bent = back(h * times(way)) + penalty * way
+            step = size / float(way @ bent)
+            move, rest = move + step * way, rest - step * bent
+            held = rest / scale
+            size, before = float(rest @ held), size
+            if size < 1e-4 * first:
+                break
+            way = held + size / before * way
+        length = 1.0
+        while length > 1e-4:
+            new = theta + length * move
+            nz = times(new)
+            if (found := loss(new, nz)) < value:
+                break
+            length /= 2
+        else:
+            break
+        done = value - found < 1e-6 * abs(value)
+        theta, z, value = new, nz, found
+        if done:
+            break
+    return theta[:m], theta[m : m + k], float(theta[-1])
 
 
 def fit_hinge_dual(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, c: float = 1.0, passes: int = 12, seed: int = 6) -> tuple[np.ndarray, float]:

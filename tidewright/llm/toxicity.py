@@ -16,7 +16,7 @@ from .linear import Sparse, fit_logistic, sigmoid
 
 #: Bound of the labelled sample that the models are fitted on, and of the vocabulary.
 SAMPLE_ROWS = 20_000
-VOCABULARY = 1_024
+VOCABULARY = 2_048
 FOLDS = 5
 #: Least distance, in standard errors, of a word's log odds ratio from 0; words below it would only add noise to long texts.
 LEAST_Z = 3.0
