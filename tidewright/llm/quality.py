@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, n_featur
     def numbers(s: pd.Series) -> pd.Series:
         return s.map(lambda fs: sorted(number[f] for f in fs if f in number))
 
-    got = chosen.select("doc_id", "y", numbers("f").alias("x")).orderBy("doc_id").toPandas()
+    got = chosen.select("doc_id", "y", numbers("f").alias("x")).toPandas().sort_values("doc_id")
     folds = np.arange(len(got)) % 5
     return fit([np.asarray(x, dtype=np.int64) for x in got["x"]], names, got["y"].to_numpy(), folds)
 

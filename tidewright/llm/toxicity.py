@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Co
     def features(s: pd.Series) -> pd.Series:
         return s.map(lambda ws: sorted(words[k] for k in (w.encode("latin-1") for w in ws) if k in words))
 
-    got = chosen.select("doc_id", "fold", *names, features("words").alias("x")).orderBy("doc_id").toPandas()
+    got = chosen.select("doc_id", "fold", *names, features("words").alias("x")).toPandas().sort_values("doc_id")
     rows = [np.asarray(x, dtype=np.int64) for x in got["x"]]
     return fit_chain(rows, got[names].to_numpy(), got["fold"].to_numpy(), words, names)
 
