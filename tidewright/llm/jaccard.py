@@ -17,8 +17,10 @@ from .words_np import WordHashes, grams, hashes_of, mixed, whole
 SHINGLE = 5
 #: Documents link when PERCENT percent of the union at least is common.
 PERCENT = 80
-#: Min-hash orders tried one after another to gather similar documents around one hub before the exact matrix step.
-ORDERS = 3
+#: Bits of the map of tokens that bounds overlaps before tokens are compared; a power of two.
+BITS = 2_048
+#: Min-hash orders, in the batches in which they are tried to gather similar documents around hubs before the exact matrix step.
+ORDERS = ((0,), (1, 2, 3, 4, 5))
 
 
 def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
@@ -39,6 +41,23 @@ def set_id(tokens: np.ndarray) -> int:
         return int(mixed(np.array([(tokens * (place | np.uint64(1))).sum()], dtype=np.uint64)).astype(np.int64)[0])
 
 
+def min_hashes(tokens: np.ndarray) -> list[int]:
+    """Smallest rehashed token of a set in each order."""
+    return [int(mixed(tokens ^ np.uint64(r * 0x9E3779B9)).min().view(np.int64)) for batch in ORDERS for r in batch]
+
+
+def bitmap(tokens: np.ndarray) -> list[int]:
+    """BITS bits, set where a token falls."""
+    marks = np.zeros(BITS, dtype=np.uint8)
+    marks[(tokens & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(marks).view(np.int64).tolist()
+
+
+def missing(a: Column, b: Column) -> Column:
+    """Bits of a that b lacks: so many tokens of a at least aren't in b."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda t, x: t + x)
+
+
 def needed(n: Column) -> Column:
     """Common shingles that a set of n needs at least with any partner."""
     return F.ceil(n * F.lit(PERCENT) / 100)
@@ -93,34 +112,48 @@ def shared_heads(tokens: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n, tokens (sorted) of the wanted sets, from the texts of the documents that stand for them."""
+    """node, n, tokens (in unsigned order), keys (min-hashes), bits (map of tokens) of the wanted sets, from the texts of the documents that stand for them."""
 
     def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for part in parts:
-            nodes, flat, ends = [], [], [0]
+            nodes, flat, ends, keys, bits = [], [], [0], [], []
             for node, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 s = shingle_set(t, known)
                 if set_id(s) == node:
                     nodes.append(node)
                     flat.append(s.view(np.int64))
                     ends.append(ends[-1] + len(s))
+                    keys.append(min_hashes(s))
+                    bits.append(bitmap(s))
             values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["node", "tokens"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            small = [pa.array(x, pa.list_(pa.int64())) for x in (keys, bits)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists, *small], names=["node", "tokens", "keys", "bits"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep").select("node", "text")
-    sets = texts.mapInArrow(parse, "node bigint, tokens array<bigint>")
-    return sets.groupBy("node").agg(F.first("tokens").alias("tokens")).withColumn("n", F.size("tokens").cast("bigint"))
+    sets = texts.mapInArrow(parse, "node bigint, tokens array<bigint>, keys array<bigint>, bits array<bigint>")
+    return sets.dropDuplicates(["node"]).withColumn("n", F.size("tokens").cast("bigint"))
+
+
+def alike(n: Column, m: Column) -> Column:
+    """Whether sets of these sizes can link at all."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+
+
+def _both_ends(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col(column).alias(f"{column}_{x}")), x)
+    return pairs
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link. Exact: the sets are intersected."""
-    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("ka")), "a").join(sets.select(F.col("node").alias("b"), F.col("n").alias("kb")), "b")
-    sized = sized.where(F.least("ka", "kb") * 100 >= F.greatest("ka", "kb") * PERCENT).select("a", "b")
-    both = sized.join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(common * 100 >= (F.col("na") + F.col("nb") - common) * PERCENT).select("a", "b")
+    """The pairs (a, b) whose sets link. Their maps bound what they have in common; where that suffices, the sets are intersected."""
+    na, nb = F.col("na"), F.col("nb")
+    most = F.least(na - missing(F.col("bits_a"), F.col("bits_b")), nb - missing(F.col("bits_b"), F.col("bits_a")))
+    likely = _both_ends(pairs.select("a", "b"), sets, "bits").where(most * 100 >= (na + nb - most) * PERCENT).select("a", "b")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return _both_ends(likely, sets, "tokens").where(common * 100 >= (na + nb - common) * PERCENT).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -167,71 +200,65 @@ class _Links:
 
 
 def gather(sets: DataFrame, links: _Links) -> None:
-    """Links each set to the hub of its min-hash group, order by order; sets already in the hub's component aren't compared again. One candidate a set and order."""
-    for r in range(ORDERS):
-        key = F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(r))))
-        keys = labelled(sets.select("node", key.alias("key")), links.comps, "key")
-        hubs = keys.groupBy("key").agg(F.min(F.struct("node", "comp")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        pairs = keys.join(hubs, "key").where("comp <> hub.comp").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-        links.add(verified(pairs, sets), "hub-links")
+    """Links each set to the hubs of its min-hash groups, batch by batch; sets already in the hub's component aren't compared again. One candidate a set and order."""
+    for batch in ORDERS:
+        keys = labelled(sets.select("node", "n", F.posexplode(F.slice("keys", batch[0] + 1, len(batch))).alias("r", "key")), links.comps, "n", "r", "key")
+        hubs = keys.groupBy("r", "key").agg(F.min(F.struct("node", "comp", "n")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        pairs = keys.join(hubs, ["r", "key"]).where((F.col("comp") != F.col("hub.comp")) & alike(F.col("n"), F.col("hub.n")))
+        links.add(verified(pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sets), "hub-links")
 
 
 def survivors(sets: DataFrame, links: _Links) -> DataFrame:
-    """node, n, tokens, comp of the sets that may still link to another component.
+    """node, n, tokens, bits, comp of the sets that may still link to another component.
 
-    First bound: of a set's smallest hashes, enough stand among those of other components (prefix filter). Second, over
-    all tokens: the set overlaps the unions of all other groups together in what it needs. A set that fails either
-    can't link outside its component, and both ends of a link that is still missing pass both.
+    Bound: the set overlaps the unions of all other groups together in what it needs. A set that fails can't link
+    outside its component, and both ends of a link that is still missing pass.
     """
-    size = (F.col("n") - needed(F.col("n")) + 1 + F.floor(F.col("n") / 20)).cast("int")
-    head = F.slice(F.array_sort("tokens"), F.lit(1), size)
-    left = _crossing(labelled(sets.select("node", "n", head.alias("t")), links.comps, "n", "t"), 1 + F.floor(F.floor(F.col("n") * PERCENT / 100) / 20))
-    left = materialise(sets.join(left, "node"), "first-bound")
-    final = _crossing(labelled(left.select("node", "n", F.col("tokens").alias("t")), links.comps, "n", "t"), needed(F.col("n")))
-    return labelled(left.join(final, "node"), links.comps, "n", "tokens")
+    rows = labelled(sets.select("node", "n", F.explode("tokens").alias("token")), links.comps, "n", "token")
+    cross = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+    left = rows.join(cross, "token").groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= needed(F.col("n"))).select("node")
+    return labelled(sets.select("node", "n", "tokens", "bits").join(left, "node"), links.comps, "n", "tokens", "bits")
 
 
-def _crossing(sets: DataFrame, least: Column) -> DataFrame:
-    """Nodes of sets (node, n, t, comp) of which at least so many tokens of t also stand in another component."""
-    rows = sets.select("node", "n", "comp", F.explode("t").alias("token"))
-    cross = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    return rows.join(cross, "token").groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= least).select("node")
+def union_bits(sets: DataFrame) -> DataFrame:
+    """group, union: the map of all tokens of a component."""
+    words = sets.select(F.col("comp").alias("group"), F.posexplode("bits").alias("at", "word")).groupBy("group", "at").agg(F.bit_or("word").alias("word"))
+    return words.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("union"))
 
 
 def matrix_links(sets: DataFrame, links: _Links) -> None:
     """Token-group matrix: groups are the components found so far, a group's row the union of its members' tokens.
 
-    A set's overlap with a group's union bounds its overlap with every member. A set is compared with a group only if
-    one of its rarest n - needed + 1 tokens is in the union and the whole overlap reaches what it needs. One member
-    (that with the set's rarest token) is opened first; when that finds nothing new, all members of the groups that
-    qualify are opened. Repeated until no set qualifies or nothing links, so no link between components is lost.
+    A set's overlap with a group's union bounds its overlap with every member: of any n - needed + 1 + e tokens of a
+    set of n, 1 + e at least are in the union of a group that it links to. That is asked of its rarest tokens first, and
+    where it holds, the map of the group's union must leave the whole set the overlap it needs. In the first round one member (that with the
+    set's rarest token) of each group that qualifies is opened; the groups grow by what that links. In the second
+    all members of the groups that still qualify are opened, so no link between components is lost. Of two groups,
+    the sets of the one with the smaller number are compared with the other.
     """
-    every = False
-    while True:
+    for every in (False, True):
         left = materialise(survivors(sets, links), "survivors")
         rows = materialise(left.select("node", "comp", "n", F.explode("tokens").alias("token")), "survivor-tokens")
         matrix = rows.select("token", F.col("comp").alias("group")).distinct()
-        spread = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
-        order = Window.partitionBy("node").orderBy("groups", "token")
-        rare = rows.join(spread, "token").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - needed(F.col("n")) + 1)
-        near = rare.where("groups > 1").join(matrix, "token").where("group <> comp").select("node", "group").distinct()
-        overlap = rows.join(near, "node").join(matrix, ["token", "group"]).groupBy("node", "group").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"))
-        open_ = materialise(overlap.where(F.col("common") >= needed(F.col("n"))).select("node", "group"), "open-groups")
-        if open_.limit(1).count() == 0:
-            return
+        spread = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max("comp").alias("last"))
+        order = Window.partitionBy("node").orderBy("sets", "token")
+        extra = F.floor(F.col("n") / 10)
+        rare = rows.join(spread, "token").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - needed(F.col("n")) + 1 + extra)
+        met = rare.where("comp < last").join(matrix, "token").where("comp < group")
+        near = met.groupBy("node", "group").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.min(F.struct("place", "token")).alias("m")).where(F.col("k") >= 1 + F.floor(F.col("n") / 10))
+        near = materialise(near.select("node", "group", "n", F.col("m.token").alias("token")), "near-groups")
+        own = near.join(left.select("node", "bits"), "node").join(union_bits(left), "group")
+        open_ = own.where(F.col("n") - missing(F.col("bits"), F.col("union")) >= needed(F.col("n"))).select("node", "group", "n", "token")
         if every:
-            pairs = open_.join(left.select(F.col("node").alias("b"), F.col("comp").alias("group")), "group").select(F.col("node").alias("a"), "b")
+            members = left.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("group"))
+            pairs = open_.join(members, "group").where(alike(F.col("n"), F.col("m")))
         else:
-            members = rows.select("token", F.col("comp").alias("group"), F.col("node").alias("b"))
-            first = rare.where("groups > 1").join(members.groupBy("token", "group").agg(F.min("b").alias("b")), "token").where("group <> comp")
-            first = first.groupBy("node", "group").agg(F.min(F.struct("place", "b")).alias("m")).select("node", "group", F.col("m.b").alias("b"))
-            pairs = first.join(open_, ["node", "group"]).select(F.col("node").alias("a"), "b")
-        found = links.add(verified(pairs.distinct(), left.select("node", "n", "tokens")), "matrix-links")
-        for t in (left, rows, open_):
+            members = rows.groupBy("token", F.col("comp").alias("group")).agg(F.min("node").alias("b"))
+            pairs = open_.join(members, ["token", "group"])
+        links.add(verified(pairs.select(F.col("node").alias("a"), "b"), left), "matrix-links")
+        for t in (rows, near):
             discard(t)
-        if not found and every:
-            return
-        every = not found
+        sets = left.drop("comp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
