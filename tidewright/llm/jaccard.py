@@ -200,10 +200,13 @@ class _Links:
 
 
 def gather(sets: DataFrame, links: _Links) -> None:
-    """Links each set to the hubs of its min-hash groups, batch by batch; sets already in the hub's component aren't compared again. One candidate a set and order."""
+    """Links each set to the hubs of its min-hash groups, batch by batch; sets already in the hub's component aren't compared again. One candidate a set and order.
+
+    The hub is the set of the group with the smallest share of tokens that no other set has: it lies closest to the others.
+    """
     for batch in ORDERS:
-        keys = labelled(sets.select("node", "n", F.posexplode(F.slice("keys", batch[0] + 1, len(batch))).alias("r", "key")), links.comps, "n", "r", "key")
-        hubs = keys.groupBy("r", "key").agg(F.min(F.struct("node", "comp", "n")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        keys = labelled(sets.select("node", "n", "lonely", F.posexplode(F.slice("keys", batch[0] + 1, len(batch))).alias("r", "key")), links.comps, "n", "lonely", "r", "key")
+        hubs = keys.groupBy("r", "key").agg(F.min(F.struct("lonely", "node", "comp", "n")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
         pairs = keys.join(hubs, ["r", "key"]).where((F.col("comp") != F.col("hub.comp")) & alike(F.col("n"), F.col("hub.n")))
         links.add(verified(pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sets), "hub-links")
 
@@ -217,7 +220,7 @@ def survivors(sets: DataFrame, links: _Links) -> DataFrame:
     rows = labelled(sets.select("node", "n", F.explode("tokens").alias("token")), links.comps, "n", "token")
     cross = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     left = rows.join(cross, "token").groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= needed(F.col("n"))).select("node")
-    return labelled(sets.select("node", "n", "tokens", "bits").join(left, "node"), links.comps, "n", "tokens", "bits")
+    return labelled(sets.select("node", "n", "lonely", "tokens", "bits").join(left, "node"), links.comps, "n", "lonely", "tokens", "bits")
 
 
 def union_bits(sets: DataFrame) -> DataFrame:
@@ -231,21 +234,21 @@ def matrix_links(sets: DataFrame, links: _Links) -> None:
 
     A set's overlap with a group's union bounds its overlap with every member: of any n - needed + 1 + e tokens of a
     set of n, 1 + e at least are in the union of a group that it links to. That is asked of its rarest tokens first, and
-    where it holds, the map of the group's union must leave the whole set the overlap it needs. In the first round one member (that with the
-    set's rarest token) of each group that qualifies is opened; the groups grow by what that links. In the second
+    where it holds, the map of the group's union must leave the whole set the overlap it needs. In the first round one member (of those with the
+    set's rarest token, the closest to others) of each group that qualifies is opened; the groups grow by what that links. In the second
     all members of the groups that still qualify are opened, so no link between components is lost. Of two groups,
     the sets of the one with the smaller number are compared with the other.
     """
     for every in (False, True):
         left = materialise(survivors(sets, links), "survivors")
-        rows = materialise(left.select("node", "comp", "n", F.explode("tokens").alias("token")), "survivor-tokens")
+        rows = materialise(left.select("node", "comp", "n", "lonely", F.explode("tokens").alias("token")), "survivor-tokens")
         matrix = rows.select("token", F.col("comp").alias("group")).distinct()
         spread = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max("comp").alias("last"))
         order = Window.partitionBy("node").orderBy("sets", "token")
-        extra = F.floor(F.col("n") / 10)
+        extra = F.floor(F.col("n") / 20)
         rare = rows.join(spread, "token").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - needed(F.col("n")) + 1 + extra)
         met = rare.where("comp < last").join(matrix, "token").where("comp < group")
-        near = met.groupBy("node", "group").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.min(F.struct("place", "token")).alias("m")).where(F.col("k") >= 1 + F.floor(F.col("n") / 10))
+        near = met.groupBy("node", "group").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.min(F.struct("place", "token")).alias("m")).where(F.col("k") >= 1 + F.floor(F.col("n") / 20))
         near = materialise(near.select("node", "group", "n", F.col("m.token").alias("token")), "near-groups")
         own = near.join(left.select("node", "bits"), "node").join(union_bits(left), "group")
         open_ = own.where(F.col("n") - missing(F.col("bits"), F.col("union")) >= needed(F.col("n"))).select("node", "group", "n", "token")
@@ -253,7 +256,7 @@ def matrix_links(sets: DataFrame, links: _Links) -> None:
             members = left.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("group"))
             pairs = open_.join(members, "group").where(alike(F.col("n"), F.col("m")))
         else:
-            members = rows.groupBy("token", F.col("comp").alias("group")).agg(F.min("node").alias("b"))
+            members = rows.groupBy("token", F.col("comp").alias("group")).agg(F.min(F.struct("lonely", "node"))["node"].alias("b"))
             pairs = open_.join(members, ["token", "group"])
         links.add(verified(pairs.select(F.col("node").alias("a"), "b"), left), "matrix-links")
         for t in (rows, near):
@@ -275,11 +278,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads_once = parsed.where("n > 0").groupBy("node").agg(F.first("head").alias("head"))
     shared = shared_heads(heads_once.select("node", F.explode("head").alias("token")))
     least = 1 + F.floor(F.floor(F.col("n") * PERCENT / 100) / 20)
-    wanted = materialise(nodes.join(shared, "node").where((F.col("shared") >= least) & F.col("rep").isNotNull()).select("node", "rep"), "candidates")
+    wanted = materialise(nodes.join(shared, "node").where((F.col("shared") >= least) & F.col("rep").isNotNull()).select("node", "rep", ((F.col("n") - needed(F.col("n")) + 1 + F.floor(F.col("n") / 20) - F.col("shared")) / F.col("n")).alias("lonely")), "candidates")
     rows = materialise(parsed.select("doc_id", "node", "n"), "shingle-sets")
     discard(parsed)
     parsed = rows
-    sets = materialise(full_sets(docs, wanted), "sets")
+    sets = materialise(full_sets(docs, wanted.select("node", "rep")).join(wanted.select("node", "lonely"), "node"), "sets")
     links = _Links()
     gather(sets, links)
     matrix_links(sets, links)
