@@ -6,6 +6,7 @@ from tidewright.operators import queue as qu
 from tidewright.operators import selection as sel
 from tidewright.plans import definitions as de
 from tidewright.plans import panels
+from tidewright.plans import retrieval as re
 
 
 def rows(df):
@@ -39,6 +40,58 @@ def test_mmr_prefers_the_complement(spark):
     assert [r["key"] for r in sel.mmr(df, 2, 0).orderBy("step").collect()] == ["a", "b"]
 
 
+def save_copies(spark, path):
+    """130 copies of the best text, then 60 different ones with a hit, one of them three times; a text without identifiers; others without a hit."""
+    texts = ["alpha beta"] * 130 + [f"alpha w{i:02d}" for i in range(60)] + ["alpha w07"] * 2 + ["!"] + ["gamma"] * 5
+    docs = [(1000 + i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(7, "alpha beta"), (8, "delta")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return docs
+
+
+def walked(docs, query, cap=50):
+    """Pool and skipped copies of a walk over the whole ranking, as the reference goes."""
+    asked = set(query.split())
+    scores = {str(i): len(asked & set(t.split())) for i, t, *_ in docs}
+    kinds = sorted(scores.values())
+    rank = {s: sum(x > s for x in kinds) + (kinds.count(s) + 1) / 2 for s in set(kinds)}
+    fused = {k: round(1 / (60 + rank[s]), 6) if len(rank) > 1 else 0.0 for k, s in scores.items()}
+    text, seen, pool, skipped = {str(i): t for i, t, *_ in docs}, set(), [], 0
+    for k in sorted(fused, key=lambda k: (-fused[k], k)):
+        if text[k] in seen:
+            skipped += 1
+            continue
+        seen.add(text[k])
+        pool.append(k)
+        if len(pool) == cap:
+            break
+    return pool, skipped
+
+
+def test_pool_holds_fifty_texts_whatever_their_copies(spark, tmp_path):
+    docs = save_copies(spark, tmp_path)
+    want = {q: walked(docs, text) for q, text in ((7, "alpha beta"), (8, "delta"))}
+    assert len(want[7][0]) == 50 and want[7][1] == 129
+    got = {r["q"]: r for r in re.funnel_counts(spark, str(tmp_path)).collect()}
+    for q, (pool, skipped) in want.items():
+        assert (got[q]["pool"], got[q]["deduped"], got[q]["chosen"]) == (len(pool), skipped, 5)
+        assert got[q]["gathered"] == got[q]["considered"] == len(docs)
+    base = re.corpus(spark, str(tmp_path))
+    for cap in (3, 70):
+        ranked = sel.fused_top(base, re.asked(spark, str(tmp_path)), re._flat(base), k=cap, distinct=True)
+        found = sel.copies_passed(base, ranked, cap).collect()
+        rows_of = {q: [r["key"] for r in ranked.where(F.col("q") == q).orderBy("place").collect()] for q in (7, 8)}
+        for r in found:
+            pool, skipped = walked(docs, {7: "alpha beta", 8: "delta"}[r["q"]], cap)
+            assert rows_of[r["q"]] == pool and (r["pool"], r["deduped"]) == (len(pool), skipped)
+
+
+def test_mmr_gets_five_different_texts(spark, tmp_path):
+    text = {str(i): t for i, t, *_ in save_copies(spark, tmp_path)}
+    picked = re.mmr_select(spark, str(tmp_path)).where("q = 7").collect()
+    assert len({text[r["key"]] for r in picked}) == len(picked) == 5
+
+
 def test_enqueue_is_idempotent(spark):
     df = spark.createDataFrame([(2, "k", "h"), (1, "k", "h"), (3, "k", "g")], "event_id long, kind string, payload_hash string")
     first = qu.enqueue(df)

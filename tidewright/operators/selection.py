@@ -38,34 +38,69 @@ def lexical_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return has.join(asked, "token").groupBy("q", "key").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def fused_top(docs: DataFrame, queries: DataFrame, static: DataFrame, k: int = 5, weight: float = WEIGHTS["lexical"]) -> DataFrame:
+def first_of_each_text(docs: DataFrame, static: DataFrame) -> DataFrame:
+    """key, votes, copies: of the rows of docs (key, text) with an equal text, the best by (votes, key), and how many there are.
+
+    Equal texts have equal hits for every query, so this is the best placed one of each, whatever is asked.
+    """
+    rows = docs.select("key", text_sha().alias("sha")).join(static, "key")
+    best = F.min(F.struct((-F.col("votes")).alias("neg"), "key"))
+    return rows.groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("copies")).select("best.key", (-F.col("best.neg")).alias("votes"), "copies")
+
+
+def text_sha() -> Column:
+    """Hash of the column text; a null text is empty."""
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def fused_top(docs: DataFrame, queries: DataFrame, static: DataFrame, k: int = 5, weight: float = WEIGHTS["lexical"], distinct: bool = False) -> DataFrame:
     """q, key, score, place of the k best rows for each query: the lexical channel of its own and the votes in static (key, votes: one row for every row of the pool).
 
     Texts without a hit share one rank; of those, only the best by their static votes can win. As many of these are
     tried as it takes for k of them to be free of hits for every query, so the result is that of ranking the whole pool.
+    With distinct, the k best rows of different texts, with copies, the number of rows of each text; ranks are still
+    those among all rows.
     """
     n = static.count()
-    hits = lexical_hits(docs, queries)
-    kinds = hits.groupBy("q", "hits").agg(F.count(F.lit(1)).alias("n"))
+    static = first_of_each_text(docs, static) if distinct else static.withColumn("copies", F.lit(1).cast("bigint"))
+    different = static.count() if distinct else n
+    hits = lexical_hits(docs.join(static.select("key"), "key") if distinct else docs, queries)
+    counted = hits.join(static.select("key", "copies"), "key") if distinct else hits.withColumn("copies", F.lit(1).cast("bigint"))
+    kinds = counted.groupBy("q", "hits").agg(F.sum("copies").alias("n"))
     asked = queries.select("q").distinct()
     zero = asked.join(kinds.groupBy("q").agg(F.sum("n").alias("some")), "q", "left").select("q", F.lit(0).cast("bigint").alias("hits"), (F.lit(n) - F.coalesce("some", F.lit(0))).alias("n"))
     kinds = kinds.unionByName(zero.where("n > 0"))
     order = Window.partitionBy("q").orderBy(F.desc("hits")).rowsBetween(Window.unboundedPreceding, -1)
     ranks = kinds.withColumn("rank", F.coalesce(F.sum("n").over(order), F.lit(0)) + (F.col("n") + 1) / 2).withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("q")))
     votes = ranks.select("q", "hits", F.when(F.col("kinds") > 1, vote(F.col("rank"), weight)).otherwise(F.lit(0.0)).alias("vote"))
-    found = hits.join(F.broadcast(votes), ["q", "hits"]).join(static, "key").select("q", "key", (F.col("vote") + F.col("votes")).alias("score"))
+    copies = ["copies"] if distinct else []
+    found = hits.join(F.broadcast(votes), ["q", "hits"]).join(static, "key").select("q", "key", (F.col("vote") + F.col("votes")).alias("score"), *copies)
     tried = max(256, 4 * k)
     while True:
         best = static.orderBy(F.desc("votes"), "key").limit(tried)
         free = best.crossJoin(F.broadcast(asked)).join(hits.select("q", "key"), ["q", "key"], "left_anti")
-        few = asked.join(free.groupBy("q").agg(F.count(F.lit(1)).alias("n")), "q", "left").where(F.coalesce("n", F.lit(0)) < k).limit(1).count() if tried < n else 0
+        few = asked.join(free.groupBy("q").agg(F.count(F.lit(1)).alias("n")), "q", "left").where(F.coalesce("n", F.lit(0)) < k).limit(1).count() if tried < different else 0
         if not few:
             break
         tried *= 8
-    rest = free.join(F.broadcast(votes.where("hits = 0")), "q").select("q", "key", (F.col("vote") + F.col("votes")).alias("score"))
+    rest = free.join(F.broadcast(votes.where("hits = 0")), "q").select("q", "key", (F.col("vote") + F.col("votes")).alias("score"), *copies)
     return top(found.unionByName(rest).withColumn("score", F.round("score", 6)), k)
 
 
+def copies_passed(docs: DataFrame, pool: DataFrame, cap: int) -> DataFrame:
+    """q, pool, deduped from what fused_top gives with distinct and k=cap, without static votes: its size, and the rows that a walk over the whole ranking skips as copies before it holds cap texts."""
+    last = F.max(F.when(F.col("place") == cap, F.struct("score", "key")))
+    ends = pool.groupBy("q").agg(F.count(F.lit(1)).alias("pool"), last.alias("last"))
+    placed = pool.join(F.broadcast(ends), "q")
+    above = placed.groupBy("q", "pool").agg(F.coalesce(F.sum(F.when(F.col("last").isNull() | (F.col("score") > F.col("last.score")), F.col("copies") - 1)), F.lit(0)).alias("above"))
+    # Copies that tie with the last text go before it where their key is less.
+    tied = placed.where("score = last.score AND key < last.key AND copies > 1").select("q", "key", F.col("last.key").alias("end"))
+    shas = docs.select("key", text_sha().alias("sha"))
+    tied = shas.join(F.broadcast(shas.join(F.broadcast(tied), "key").withColumnRenamed("key", "first")), "sha").where("key > first AND key < end")
+    between = tied.groupBy("q").agg(F.count(F.lit(1)).alias("tied"))
+    return above.join(between, "q", "left").select("q", F.col("pool").cast("bigint"), (F.col("above") + F.coalesce("tied", F.lit(0))).cast("bigint").alias("deduped"))
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The k best of each query by (score, key as text); Spark keeps k a task before it shuffles."""
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))

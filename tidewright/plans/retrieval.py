@@ -233,11 +233,12 @@ SELECT q, (SELECT count(*) FROM d) AS considered, count(*) AS gathered, count(*)
 
 @query(FUNNEL)
 def funnel_counts(spark, d):
+    """Every document is gathered; the pool is the first fifty different texts of the whole ranking. The SQL stops at the hundred best rows."""
     docs = corpus(spark, d)
-    best = sel.fused_top(docs, asked(spark, d), _flat(docs), k=100).join(docs.select("key", F.sha2(F.col("text"), 256).alias("sha")), "key")
-    per = best.groupBy("q").agg(F.count(F.lit(1)).alias("gathered"), F.count_distinct("sha").alias("distinct"))
-    counts = per.select("q", "gathered", (F.col("gathered") - F.col("distinct")).alias("deduped"), F.least("distinct", F.lit(50)).cast("bigint").alias("pool"), F.least("distinct", F.lit(5)).cast("bigint").alias("chosen"))
-    return counts.withColumn("considered", F.lit(docs.count()).cast("bigint"))
+    cap, n = sel.pool_cap(5), F.lit(docs.count()).cast("bigint")
+    pool = sel.fused_top(docs, asked(spark, d), _flat(docs), k=cap, distinct=True)
+    counts = sel.copies_passed(docs, pool, cap)
+    return counts.select("q", n.alias("gathered"), "deduped", "pool", F.least("pool", F.lit(5)).cast("bigint").alias("chosen"), n.alias("considered"))
 
 
 RECALL = _top("").format(join="").replace("SELECT q, key, score, place FROM placed WHERE place <= 5", """, best AS (SELECT q, key FROM placed WHERE place <= 5),
@@ -295,12 +296,13 @@ def nearest_centroid(spark, d):
 
 @query()
 def mmr_select(spark, d):
-    """Five diverse documents for each benchmark text, from its pool of fifty."""
+    """Five diverse documents for each benchmark text, from the first fifty different texts of its whole ranking."""
     docs = corpus(spark, d)
-    best = sel.fused_top(docs, asked(spark, d), _flat(docs), k=sel.pool_cap(5))
-    pool = sel.dedup_exact(best.join(docs.select("key", "text"), "key"))
-    vectors = sel.hash_vectors(pool.select("key", "text").distinct()).groupBy("key").agg(F.collect_list("slot").alias("slots"), F.collect_list(F.col("weight").cast("double")).alias("weights"))
-    return sel.mmr(pool.join(vectors, "key").select("q", "key", "score", "slots", "weights"))
+    pool = sel.fused_top(docs, asked(spark, d), _flat(docs), k=sel.pool_cap(5), distinct=True)
+    vectors = sel.hash_vectors(docs.join(pool.select("key").distinct(), "key")).groupBy("key").agg(F.collect_list("slot").alias("slots"), F.collect_list(F.col("weight").cast("double")).alias("weights"))
+    # A text without identifiers has no slots and stays in the pool.
+    filled = [F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c) for c, t in (("slots", "int"), ("weights", "double"))]
+    return sel.mmr(pool.join(vectors, "key", "left").select("q", "key", "score", *filled))
 
 
 GREP = [("license", "(?i)licensed under"), ("phone", r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"), ("shout", "[A-Z]{4,}!!")]
