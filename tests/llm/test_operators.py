@@ -182,6 +182,25 @@ def test_toxic_words_are_learnt(spark):
     assert toxicity.keep_clean(docs, labels).count() == 161
 
 
+def test_every_telling_word_is_kept(spark):
+    # 2,500 words of junk text outrank the one toxic word, which half of the toxic documents have.
+    toxic = [int(i % 4 == 1 and i < 48) for i in range(120)]
+    texts = [(" ".join(f"j{k:04d}" for k in range(2500)) if i % 2 else "plain") + (" bad" if t and i < 24 else "") for i, t in enumerate(toxic)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(table(spark, texts), labels, toxicity.label_categories())
+    assert b"bad" in chain.words and sum(w[:1] == b"j" and w[-1:] != b"*" for w in chain.words) == 2500
+
+
+def test_logistic_fit_reaches_its_optimum():
+    rng = np.random.default_rng(12)
+    rows = [np.flatnonzero(rng.random(40) < 0.2) for _ in range(300)]
+    y = np.array([float(3 in r or (7 in r and rng.random() < 0.8)) for r in rows])
+    w, _, b = linear.fit_logistic(linear.Sparse(rows, 40), y, np.zeros((300, 0)))
+    x = np.array([np.isin(range(40), r) for r in rows], dtype=float)
+    gradient = x.T @ (linear.sigmoid(x @ w + b) - y) + 0.5 * w
+    assert np.abs(gradient).max() < 1e-4
+
+
 @pytest.mark.parametrize("name", ["op4_line_runs"])
 def test_sql_is_given(name):
     from tidewright.llm import queries

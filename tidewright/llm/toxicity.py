@@ -14,9 +14,8 @@ from pyspark.sql import types as T
 from .common import importable, materialise, table
 from .linear import Sparse, fit_logistic, sigmoid
 
-#: Bound of the labelled sample that the models are fitted on, and of the vocabulary.
+#: Bound of the labelled sample that the models are fitted on.
 SAMPLE_ROWS = 20_000
-VOCABULARY = 2_048
 FOLDS = 5
 #: Least distance, in standard errors, of a word's log odds ratio from 0; words below it would only add noise to long texts.
 LEAST_Z = 3.0
@@ -85,10 +84,10 @@ def labelled_sample(labels: DataFrame, categories: Sequence[tuple[str, Column]],
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], bound: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Chain:
-    """Fits the chain on a bounded sample: the vocabulary (words of 5 documents at least whose rates differ most between
-    the labels of some category) and the words' counts come from a distributed aggregate; the driver sees that
-    vocabulary and one short array of feature numbers for each sampled document."""
+def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], bound: int = SAMPLE_ROWS) -> Chain:
+    """Fits the chain on a bounded sample: the vocabulary (all words of 5 documents at least whose rates differ by
+    LEAST_Z between the labels of some category) and the words' counts come from a distributed aggregate; the driver
+    sees that vocabulary and one short array of feature numbers for each sampled document."""
     importable(docs.sparkSession)
     names = [n for n, _ in categories]
     sample = labelled_sample(labels, categories, bound)
@@ -110,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Co
         p, q = (F.col(n) + 0.5) / (pos + 1), (F.col("n") - F.col(n) + 0.5) / (count - pos + 1)
         z = F.abs(F.log(p / q)) / F.sqrt(1 / (F.col(n) + 0.5) + 1 / (F.col("n") - F.col(n) + 0.5))
         strength = F.greatest(strength, z)
-    top = per.select("word", strength.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(vocabulary).collect()
+    top = per.select("word", strength.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").collect()
     words = {r["word"].encode("latin-1"): i for i, r in enumerate(top)}
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
