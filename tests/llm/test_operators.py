@@ -148,6 +148,34 @@ def test_leaks_are_found_whatever_their_case(spark):
     assert decontaminate.keep_uncontaminated(docs, bench).columns == docs.columns
 
 
+@pytest.mark.parametrize("answer", ["Ñ.", "Blue whale."])
+def test_short_answers_count(answer):
+    rng = random.Random(13)
+    question = [f"q{i}" for i in range(28)]
+    edited = list(question)
+    for i in (4, 13, 22):
+        edited[i] = "zz"
+    index = decontaminate.BlockMaxIndex([(3, " ".join(question) + "? " + answer), (4, sentence(rng, 30))])
+    found = index.leaks(sentence(rng, 90) + " " + " ".join(edited) + "? " + answer + " " + sentence(rng, 90))
+    assert [(x[0], x[3]) for x in found] == [(3, 1.0)]
+    assert index.leaks(sentence(rng, 90) + " " + " ".join(edited) + "? Other thing. " + sentence(rng, 90)) == []
+
+
+def test_items_of_one_or_two_words_are_found_anywhere():
+    items = [(1, "Zanzibar"), (2, "Blue whale."), (3, "very very tall")]
+    index = decontaminate.BlockMaxIndex(items)
+    size = index.window
+    filler = [f"f{i}" for i in range(3 * size)]
+    assert index.leaks(" ".join(filler)) == [] and [x[0] for x in index.leaks("ZANZIBAR")] == [1]
+    assert index.leaks("very tall whale blue") == []
+    for at in (0, 1, size // 2 - 1, size // 2, size - 1, size, len(filler)):
+        for n in (size - 1, size, len(filler)):
+            for i, words in ((1, "Zanzibar"), (2, "blue whale")):
+                text = filler[:n]
+                text[min(at, n) : min(at, n)] = words.split()
+                assert [x[0] for x in index.leaks(" ".join(text))] == [i]
+
+
 def test_components_match_brute_force(spark):
     rng = random.Random(10)
     texts = [None, "", "one two", "One  TWO"]

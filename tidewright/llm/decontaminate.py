@@ -18,6 +18,8 @@ from .common import importable, table
 
 K1, B = 1.2, 0.75
 BLOCK = 64
+#: A pair's number is BASE times its first word's plus its second word's; BASE - 1 stands for no second word.
+BASE = 1 << 31
 #: Share of an item's score against itself that a passage must reach, and shares of 3-word runs that must be found.
 THETA, QUESTION, ANSWER, OVERALL = 0.35, 0.5, 0.5, 0.7
 #: Bytes of test items in one index; more items are searched in slices, one pass each.
@@ -41,8 +43,23 @@ def runs_of(words: list[bytes], n: int = 3) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+class Passage:
+    """The runs of a passage, of each length once asked for."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        self.runs: dict[int, set[tuple[bytes, ...]]] = {}
+
+    def holds(self, runs: set[tuple[bytes, ...]]) -> int:
+        """How many of the runs of a text stand here; those of a text of one or two words are as long as it."""
+        n = len(next(iter(runs), ()))
+        if n and n not in self.runs:
+            self.runs[n] = runs_of(self.words, n)
+        return len(runs & self.runs[n]) if n else 0
+
+
 class BlockMaxIndex:
-    """Postings of word pairs (a lone word pairs with itself) with each posting's BM25 impact as a share of its item's own score, in blocks with their largest impact."""
+    """Postings of word pairs (an item of one word has that word as its pair) with each posting's BM25 impact as a share of its item's own score, in blocks with their largest impact."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, folded(t), t) for i, t in items]
@@ -57,6 +74,7 @@ class BlockMaxIndex:
         n, mean = max(1, len(pairs)), lengths.mean()
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
         self.keys = np.array(sorted(df), dtype=np.int64)
+        self.lone = self.keys[self.keys % BASE == BASE - 1] // BASE
         self.postings: list[list[int]] = [[] for _ in self.keys]
         self.impacts: list[list[float]] = [[] for _ in self.keys]
         for d, p in enumerate(pairs):
@@ -76,8 +94,7 @@ class BlockMaxIndex:
             self.checks.append((runs_of(folded(q)), runs_of(folded(a)), runs_of(words)))
 
     def pairs(self, ids: np.ndarray) -> list[int]:
-        base = 1 << 31
-        return (ids[:-1] * base + ids[1:]).tolist() if len(ids) > 1 else (ids * base + ids).tolist()
+        return (ids[:-1] * BASE + ids[1:]).tolist() if len(ids) > 1 else (ids * BASE + BASE - 1).tolist()
 
     def search(self, terms: list[int], theta: float) -> list[tuple[int, float]]:
         """All items whose impacts over the terms (postings' numbers, each once) sum to theta at least, by block-max WAND."""
@@ -129,15 +146,18 @@ class BlockMaxIndex:
             return []
         get = self.word_ids.get
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-        if len(ids) == 1:
-            a = b = ids
-        else:
-            a, b = ids[:-1], ids[1:]
-        keys = np.where((a >= 0) & (b >= 0), a * (1 << 31) + b, -1)
-        at = np.flatnonzero(keys >= 0)
-        k = np.searchsorted(self.keys, keys[at])
+        a, b = ids[:-1], ids[1:]
+        at = np.flatnonzero((a >= 0) & (b >= 0))
+        keys = a[at] * BASE + b[at]
+        if len(self.lone):
+            # A word alone is placed as the pair that it ends, so that a passage has it where it has that pair.
+            single = np.flatnonzero(np.isin(ids, self.lone))
+            at, keys = np.concatenate([at, np.maximum(single - 1, 0)]), np.concatenate([keys, ids[single] * BASE + BASE - 1])
+            order = np.argsort(at, kind="stable")
+            at, keys = at[order], keys[order]
+        k = np.searchsorted(self.keys, keys)
         k[k == len(self.keys)] = 0
-        hit = self.keys[k] == keys[at]
+        hit = self.keys[k] == keys
         at, k = at[hit], k[hit]
         if not len(at) or self.upper[k].sum() < THETA:
             return []
@@ -149,11 +169,11 @@ class BlockMaxIndex:
             if run[j] - run[i] >= THETA:
                 terms = np.unique(k[i:j])
                 if self.upper[terms].sum() >= THETA:
+                    passage = Passage(words[start : start + self.window])
                     for d, s in self.search(terms.tolist(), THETA):
-                        seen = runs_of(words[start : start + self.window])
                         q, a_, whole = self.checks[d]
-                        qs, as_ = len(q & seen) / max(1, len(q)), len(a_ & seen) / len(a_) if a_ else 1.0
-                        if (qs >= QUESTION and as_ >= ANSWER) or len(whole & seen) >= OVERALL * len(whole):
+                        qs, as_ = passage.holds(q) / max(1, len(q)), passage.holds(a_) / len(a_) if a_ else 1.0
+                        if (qs >= QUESTION and as_ >= ANSWER) or passage.holds(whole) >= OVERALL * len(whole):
                             best[d] = max(best.get(d, (0.0, 0.0, 0.0)), (s, qs, as_))
             if start + self.window >= len(words):
                 break
