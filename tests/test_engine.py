@@ -86,6 +86,24 @@ def test_pool_holds_fifty_texts_whatever_their_copies(spark, tmp_path):
             assert rows_of[r["q"]] == pool and (r["pool"], r["deduped"]) == (len(pool), skipped)
 
 
+def test_knn_asks_every_fiftieth_row(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    ids = [*range(0, 8000, 10), 1, 2]
+    vectors = np.round(rng.normal(size=(len(ids), 4)), 3).astype(np.float32).astype(float)
+    rows_ = [(i, v.tolist(), 0) for i, v in zip(ids, vectors, strict=True)]
+    spark.createDataFrame(rows_, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    want = set()
+    for q in range(0, 8000, 50):
+        scores = np.round(unit @ unit[ids.index(q)], 6)
+        best = sorted((x for x in zip(-scores, ids, strict=True) if x[1] != q))[:5]
+        want |= {(q, key, place) for place, (_, key) in enumerate(best, 1)}
+    got = re.knn_top5(spark, str(tmp_path)).collect()
+    assert {(r["q"], r["key"], r["place"]) for r in got} == want and len(got) == 5 * 160
+
+
 def test_mmr_gets_five_different_texts(spark, tmp_path):
     text = {str(i): t for i, t, *_ in save_copies(spark, tmp_path)}
     picked = re.mmr_select(spark, str(tmp_path)).where("q = 7").collect()
