@@ -5,6 +5,7 @@ from tidewright.functions import text as tx
 from tidewright.operators import queue as qu
 from tidewright.operators import selection as sel
 from tidewright.plans import definitions as de
+from tidewright.plans import ledger_views as lv
 from tidewright.plans import panels
 from tidewright.plans import retrieval as re
 
@@ -130,6 +131,13 @@ def test_barriers_fire_once(spark):
     assert qu.fire(groups, groups).count() == 0
 
 
+def test_rosters_are_whole(spark, tmp_path):
+    lines = [(1, n, "O" if n == 205 else "F", "R" if n % 2 else "A") for n in range(1, 206)] + [(2, 1, "F", "N")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_linestatus string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = [(1, n, "waiting" if n == 205 else "failed" if n % 2 else "done", False) for n in range(1, 206)] + [(2, 1, "deferred", False)]
+    assert rows(lv.join_roster(spark, str(tmp_path))) == want
+
+
 def test_schedule_fires_once_a_window(spark):
     ticks = spark.createDataFrame([(t,) for t in (1000, 1001, 1199, 1200)], "at long")
     assert rows(qu.schedule_fires(ticks, 300)) == [(900, 1000, 3), (1200, 1200, 1)]
