@@ -7,8 +7,11 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +47,41 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidewright/{label}-{uuid.uuid4().hex}"
 
 
+#: Settings of the jobs that write intermediate tables: shuffle files go once their job has ended, and what goes to a Python worker at once is bounded in bytes.
+_JOB_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+@contextmanager
+def _job_conf(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _JOB_CONF}
+    for k, v in _JOB_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df into the shared folder and reads it back: lineage ends here, and a lost executor costs nothing."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with _job_conf(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(part: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """part in pieces whose values of a string or binary column take so many bytes at most, or a single row."""
+    size = part.column(column).nbytes
+    rows = max(1, min(part.num_rows, int(part.num_rows * most / size) if size > most else part.num_rows))
+    for at in range(0, part.num_rows, rows):
+        yield part.slice(at, rows)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that materialise() wrote and that nothing will read again."""
     spark = df.sparkSession

@@ -3,33 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, importable, materialise, partitions
+from .common import discard, importable, materialise, partitions, slices
+from .set_links import SetIndex, Stars
 from .words_np import WordHashes, grams, hashes_of, mixed, whole
 
 SHINGLE = 5
 #: Documents link when PERCENT percent of the union at least is common.
 PERCENT = 80
-#: Bits of the map of tokens that bounds overlaps before tokens are compared; a power of two.
-BITS = 2_048
-#: Min-hash orders, in the batches in which they are tried to gather similar documents around hubs before the exact matrix step.
-ORDERS = ((0,), (1, 2, 3, 4, 5))
+#: A group holds about so many sets and tokens at most; larger ones are split, by a second min-hash and then by set.
+GROUP_SETS, GROUP_TOKENS = 2_000, 1_000_000
+#: Prefixes are longer than they need be by n / EXTRA tokens, and ask for as many more in common.
+EXTRA = 20
+#: Counts of groups by token are told apart up to here; they only order a set's tokens.
+MANY = 4_096
 
 
 def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
     """Sorted distinct shingle hashes: of 5 words each, or of all words where there are fewer; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.int64)
     h = hashes_of(words, known)
-    return np.unique(grams(h, SHINGLE)) if len(h) >= SHINGLE else np.array([whole(h)], dtype=np.uint64)
+    return np.unique(grams(h, SHINGLE).view(np.int64)) if len(h) >= SHINGLE else np.array([whole(h)], dtype=np.uint64).view(np.int64)
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -38,33 +39,30 @@ def set_id(tokens: np.ndarray) -> int:
         return 0
     with np.errstate(over="ignore"):
         place = mixed(np.arange(1, len(tokens) + 1, dtype=np.uint64))
-        return int(mixed(np.array([(tokens * (place | np.uint64(1))).sum()], dtype=np.uint64)).astype(np.int64)[0])
+        return int(mixed(np.array([(tokens.view(np.uint64) * (place | np.uint64(1))).sum()], dtype=np.uint64)).view(np.int64)[0])
 
 
-def min_hashes(tokens: np.ndarray) -> list[int]:
-    """Smallest rehashed token of a set in each order."""
-    return [int(mixed(tokens ^ np.uint64(r * 0x9E3779B9)).min().view(np.int64)) for batch in ORDERS for r in batch]
+def needed(n: int) -> int:
+    """Common shingles that a set of n needs at least with any partner."""
+    return -(-n * PERCENT // 100)
 
 
-def bitmap(tokens: np.ndarray) -> list[int]:
-    """BITS bits, set where a token falls."""
-    marks = np.zeros(BITS, dtype=np.uint8)
-    marks[(tokens & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(marks).view(np.int64).tolist()
+def prefix(n: int) -> int:
+    """Any so many tokens of a set of n have 1 + n // EXTRA at least in common with each of its partners."""
+    return min(n, n - needed(n) + 1 + n // EXTRA)
 
 
-def missing(a: Column, b: Column) -> Column:
-    """Bits of a that b lacks: so many tokens of a at least aren't in b."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda t, x: t + x)
+def _least_common(n: Column) -> Column:
+    """What a set of n has in common at least between its own prefix and that of a partner, in one order of all tokens."""
+    return 1 + F.floor(F.floor(n * PERCENT / 100) / EXTRA)
 
 
-def needed(n: Column) -> Column:
-    """Common shingles that a set of n needs at least with any partner."""
-    return F.ceil(n * F.lit(PERCENT) / 100)
+def _tokens(values: bytes) -> np.ndarray:
+    return np.frombuffer(values, dtype=np.int64)
 
 
 def heads(docs: DataFrame) -> DataFrame:
-    """doc_id, node (id of the shingle set), n, head: the smallest hashes of the set, n - needed + 1 and a twentieth of n more.
+    """doc_id, node (id of the shingle set), n, head: the smallest hashes of the set, prefix(n) of them, 8 bytes each.
 
     Two sets that link share as many of their heads as the smaller one's twentieth, plus 1 (prefix filter).
     """
@@ -73,87 +71,281 @@ def heads(docs: DataFrame) -> DataFrame:
     def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for part in parts:
-            ids, nodes, sizes, flat, ends = part.column(0), [], [], [], [0]
-            for t in part.column(1).to_pylist():
-                s = shingle_set(t, known)
-                n = len(s)
-                head = s[: n - -(-n * PERCENT // 100) + 1 + n // 20] if n else s
-                nodes.append(set_id(s))
-                sizes.append(n)
-                flat.append(head.view(np.int64))
-                ends.append(ends[-1] + len(head))
-            values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "node", "n", "head"])
+            for piece in slices(part, 1):
+                nodes, sizes, heads_ = [], [], []
+                for t in piece.column(1).to_pylist():
+                    s = shingle_set(t, known)
+                    nodes.append(set_id(s))
+                    sizes.append(len(s))
+                    heads_.append(s[: prefix(len(s))].tobytes())
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads_, pa.binary())], names=["doc_id", "node", "n", "head"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(parse, "doc_id bigint, node bigint, n bigint, head array<bigint>")
+    return rows.mapInArrow(parse, "doc_id bigint, node bigint, n bigint, head binary")
 
 
-def shared_heads(tokens: DataFrame) -> DataFrame:
-    """node, shared: how many of its head tokens another set has in its head. One shuffle by token, then a merge pass that holds one row."""
+def _flat(lists: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """token, key of all members of the lists, sorted by token."""
+    tokens = np.concatenate([np.empty(0, np.int64), *map(_tokens, lists)])
+    owner = np.repeat(keys, [len(x) // 8 for x in lists])
+    order = np.argsort(tokens, kind="stable")
+    return tokens[order], owner[order]
 
-    def flag(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, node, before = np.empty(0, np.int64), np.empty(0, np.int64), False
-        for part in parts:
-            token = np.concatenate([token, part.column(0).to_numpy(zero_copy_only=False)])
-            node = np.concatenate([node, part.column(1).to_numpy(zero_copy_only=False)])
-            if len(token) < 2:
-                continue
-            same = token[1:] == token[:-1]
-            found = np.concatenate([[before], same[:-1]]) | same
-            before = bool(same[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(node[:-1][found], pa.int64())], names=["node"])
-            token, node = token[-1:], node[-1:]
-        if before and len(node):
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64())], names=["node"])
 
-    dealt = tokens.select("token", "node").repartition(partitions(tokens.sparkSession), "token").sortWithinPartitions("token")
-    return dealt.mapInArrow(flag, "node bigint").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+def _runs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, np.int64)
+    return starts, np.diff(np.append(starts, len(tokens)))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n, tokens (in unsigned order), keys (min-hashes), bits (map of tokens) of the wanted sets, from the texts of the documents that stand for them."""
+def _numbers(part: pa.RecordBatch, column: int) -> np.ndarray:
+    return part.column(column).to_numpy(zero_copy_only=False)
 
-    def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+
+#: Rows (token, key, kind) on their way to the pass that meets equal tokens: known to be alone in their batch, to be shared with others of it, or telling of such others.
+ALONE, SHARED, TELLS = 0, 1, 2
+
+
+def met_tokens(lists: DataFrame, key: str, values: str) -> DataFrame:
+    """token, key, many for the members of the lists (key, values) that another key has too; a key stands in one row of
+    lists, with a member once. many: about how many keys have it, MANY at most.
+
+    A token that several keys of one batch have is known to be shared: those rows pass, and one row for the batch goes
+    where the token is dealt. The others meet there in a sorted pass that holds MANY rows. So a token of very many
+    keys is one row a batch where it is dealt, and its other rows go by their keys.
+    """
+
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            nodes, flat, ends, keys, bits = [], [], [0], [], []
-            for node, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                s = shingle_set(t, known)
-                if set_id(s) == node:
-                    nodes.append(node)
-                    flat.append(s.view(np.int64))
-                    ends.append(ends[-1] + len(s))
-                    keys.append(min_hashes(s))
-                    bits.append(bitmap(s))
-            values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            small = [pa.array(x, pa.list_(pa.int64())) for x in (keys, bits)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists, *small], names=["node", "tokens", "keys", "bits"])
+            tokens, owner = _flat(part.column(1).to_pylist(), _numbers(part, 0).astype(np.int64))
+            starts, lengths = _runs(tokens)
+            several = lengths > 1
+            inside = np.repeat(several, lengths)
+            many = np.concatenate([lengths, np.repeat(lengths, lengths)[inside]])
+            token, owned = np.concatenate([tokens[starts], tokens[inside]]), np.concatenate([owner[starts], owner[inside]])
+            kind = np.concatenate([np.where(several, TELLS, ALONE), np.full(int(inside.sum()), SHARED)])
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(owned), pa.array(kind.astype(np.int32)), pa.array(many.astype(np.int32))], names=["token", "key", "kind", "many"])
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+        shared_before = False  # whether the first run held has had rows before
+
+        def found(rows: list[np.ndarray], before: bool) -> pa.RecordBatch:
+            token, owner, kind, many = rows
+            starts, lengths = _runs(token)
+            total = np.add.reduceat(np.where(kind == SHARED, 0, many), starts) if len(starts) else lengths
+            if before and len(total):
+                total[0] = MANY
+            among = np.minimum(np.repeat(total, lengths), MANY)
+            out = (kind == SHARED) | ((kind == ALONE) & (among > 1))
+            return pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(owner[out]), pa.array(np.maximum(among, many)[out].astype(np.int32))], names=["token", "key", "many"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep").select("node", "text")
-    sets = texts.mapInArrow(parse, "node bigint, tokens array<bigint>, keys array<bigint>, bits array<bigint>")
-    return sets.dropDuplicates(["node"]).withColumn("n", F.size("tokens").cast("bigint"))
+        for part in parts:
+            held = [np.concatenate([h, _numbers(part, i)]) for i, h in enumerate(held)]
+            token = held[0]
+            last = int(np.searchsorted(token, token[-1])) if len(token) else 0
+            if len(token) - last > MANY:  # a long run needn't be seen to its end
+                yield found(held, shared_before)
+                shared_before, held = True, [h[-1:] for h in held]
+                held[2], held[3] = np.full(1, TELLS, np.int32), np.full(1, MANY, np.int32)
+            elif last:
+                yield found([h[:last] for h in held], shared_before)
+                shared_before, held = False, [h[last:] for h in held]
+        if len(held[0]):
+            yield found(held, shared_before)
+
+    rows = lists.select(F.col(key).cast("bigint"), values).mapInArrow(deal, "token bigint, key bigint, kind int, many int")
+    place = F.when(F.col("kind") == SHARED, F.xxhash64("key")).otherwise(F.col("token"))
+    dealt = rows.repartition(partitions(lists.sparkSession), place).sortWithinPartitions("token")
+    return dealt.mapInArrow(meet, "token bigint, key bigint, many int")
+
+
+def candidates(parsed: DataFrame) -> DataFrame:
+    """node, rep (least doc_id), n and group of the sets whose heads have enough in common with others to link.
+
+    Similar sets have the least of their shared head tokens alike: that is the group. One that would be too large is
+    split by the least in another order, and by set where that leaves it too large; nothing is dropped, as the
+    matrix step compares across groups.
+    """
+    full = parsed.where("n > 0")
+    nodes = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    lists = full.groupBy("node").agg(F.first("head").alias("head"))
+    met = met_tokens(lists, "node", "head").groupBy(F.col("key").alias("node")).agg(F.count(F.lit(1)).alias("shared"), F.min("token").alias("first"), F.min(F.xxhash64("token")).alias("second"))
+    found = nodes.join(met, "node").where((F.col("shared") >= _least_common(F.col("n"))) & F.col("rep").isNotNull())
+    found = materialise(found.select("node", "rep", "n", "first", "second"), "candidates")
 
+    def split(rows: DataFrame, by: str, salt: Column) -> DataFrame:
+        parts = F.ceil(F.greatest(F.sum("n") / GROUP_TOKENS, F.count(F.lit(1)) / GROUP_SETS))
+        large = rows.groupBy(by).agg(parts.alias("parts")).where("parts > 1")
+        return rows.join(large, by, "left").withColumn(by, F.when(F.col("parts") > 1, F.xxhash64(by, F.pmod(salt, F.col("parts")))).otherwise(F.col(by))).drop("parts")
 
-def alike(n: Column, m: Column) -> Column:
-    """Whether sets of these sizes can link at all."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    once = split(found.withColumnRenamed("first", "group"), "group", F.col("second"))
+    out = materialise(split(once, "group", F.xxhash64("node")).select("node", "rep", "n", "group"), "groups")
+    discard(found)
+    return out
 
 
-def _both_ends(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    for x in "ab":
-        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col(column).alias(f"{column}_{x}")), x)
-    return pairs
+def grouped_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Opens every group in one task: rows (group, node, n, leader, tokens), a set each, and a row with a null node for each group, with the union of its tokens and n their number.
 
+    leader is the least node that a set is linked to within its group, directly or by way of others.
+    """
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link. Their maps bound what they have in common; where that suffices, the sets are intersected."""
-    na, nb = F.col("na"), F.col("nb")
-    most = F.least(na - missing(F.col("bits_a"), F.col("bits_b")), nb - missing(F.col("bits_b"), F.col("bits_a")))
-    likely = _both_ends(pairs.select("a", "b"), sets, "bits").where(most * 100 >= (na + nb - most) * PERCENT).select("a", "b")
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return _both_ends(likely, sets, "tokens").where(common * 100 >= (na + nb - common) * PERCENT).select("a", "b")
+    def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for part in parts:
+            for piece in slices(part, 2):
+                groups, nodes, tokens = [], [], []
+                for g, node, t in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
+                    s = shingle_set(t, known)
+                    if set_id(s) == node:  # a repeated doc_id can have another text too
+                        groups.append(g)
+                        nodes.append(node)
+                        tokens.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], names=["group", "node", "tokens"])
+
+    def open_(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(group: int, nodes: list[int], lists: list[bytes]) -> pa.RecordBatch:
+            sets = [_tokens(x) for x in lists]
+            leaders = np.asarray(nodes, dtype=np.int64)[Stars(sets, PERCENT).leaders()]
+            union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([group] * (len(nodes) + 1), pa.int64()),
+                    pa.array([*nodes, None], pa.int64()),
+                    pa.array([*map(len, sets), len(union)], pa.int64()),
+                    pa.array([*leaders.tolist(), None], pa.int64()),
+                    pa.array([*lists, union.tobytes()], pa.binary()),
+                ],
+                names=["group", "node", "n", "leader", "tokens"],
+            )
+
+        now, nodes, lists = None, [], []
+        for part in parts:
+            for piece in slices(part, 2):
+                for g, node, values in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
+                    if g != now:
+                        if nodes:
+                            yield closed(now, nodes, lists)
+                        now, nodes, lists = g, [], []
+                    if not nodes or node != nodes[-1]:
+                        nodes.append(node)
+                        lists.append(values)
+        if nodes:
+            yield closed(now, nodes, lists)
+
+    texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted.select("rep", "node", "group"), "rep")
+    sets = texts.select("group", "node", "text").mapInArrow(parse, "group bigint, node bigint, tokens binary")
+    dealt = sets.repartition(partitions(docs.sparkSession), "group").sortWithinPartitions("group", "node")
+    return materialise(dealt.mapInArrow(open_, "group bigint, node bigint, n bigint, leader bigint, tokens binary"), "grouped-sets")
+
+
+def asking(grouped: DataFrame, cross: DataFrame) -> DataFrame:
+    """group, node, n, token: of the sets that may link to another group, their prefixes less the tokens that no other group has.
+
+    cross: token, key (group), many. A set stays if the tokens that other groups have too suffice for a link; of its
+    prefix(n) tokens those of the fewest groups come first.
+    """
+
+    def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tokens, many = None, np.empty(0, np.int64), np.empty(0, np.int32)
+        for part in parts:
+            for piece in slices(part, 3):
+                rows: list[tuple[int, int, int, np.ndarray]] = []
+                for g, node, n, values, counts in zip(*(piece.column(i).to_pylist() for i in range(5)), strict=True):
+                    if node is None:
+                        if g != now:
+                            now, tokens, many = g, np.empty(0, np.int64), np.empty(0, np.int32)
+                        tokens, many = np.concatenate([tokens, _tokens(values)]), np.concatenate([many, np.frombuffer(counts, dtype=np.int32)])
+                        order = np.argsort(tokens)
+                        tokens, many = tokens[order], many[order]
+                        continue
+                    if g != now:
+                        continue
+                    own = _tokens(values)
+                    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                    hit = tokens[at] == own
+                    outside = n - int(hit.sum())
+                    if n - outside >= needed(n) and (left := prefix(n) - outside) > 0:
+                        order = np.argsort(many[at[hit]], kind="stable")[:left]
+                        rows.append((g, node, n, own[hit][order]))
+                if rows:
+                    sizes = [len(r[3]) for r in rows]
+                    columns = [pa.array(np.repeat(np.array([r[i] for r in rows], dtype=np.int64), sizes)) for i in range(3)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([r[3] for r in rows]))], names=["group", "node", "n", "token"])
+
+    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            group, token, many = _numbers(part, 0), _numbers(part, 1), _numbers(part, 2)
+            starts, lengths = _runs(group)
+            ends = starts + lengths
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(group[starts]),
+                    pa.array([token[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                    pa.array([many[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                ],
+                names=["group", "tokens", "counts"],
+            )
+
+    spark = grouped.sparkSession
+    by_group = cross.select(F.col("key").alias("group"), "token", "many").repartition(partitions(spark), "group").sortWithinPartitions("group")
+    known = by_group.mapInArrow(packed, "group bigint, tokens binary, counts binary")
+    sets = grouped.where("node is not null").select("group", "node", "n", "tokens", F.lit(None).cast("binary").alias("counts"))
+    both = sets.unionByName(known.select("group", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("n"), "tokens", "counts"))
+    dealt = both.repartition(partitions(spark), "group").sortWithinPartitions("group", F.asc_nulls_first("node"))
+    return dealt.mapInArrow(pick, "group bigint, node bigint, n bigint, token bigint")
+
+
+def qualifying(asked: DataFrame, cross: DataFrame, unions: DataFrame) -> DataFrame:
+    """node, n, other: the groups that have enough of a set's prefix. Of two groups, the sets of the one with fewer tokens ask."""
+    sizes = unions.select("group", F.struct(F.col("n").alias("size"), "group").alias("rank"))
+    ours = asked.join(sizes, "group").withColumnRenamed("rank", "own_rank")
+    matrix = cross.select("token", F.col("key").alias("group")).join(sizes, "group").select("token", F.col("group").alias("other"), "rank")
+    met = ours.join(matrix, "token").where("own_rank < rank")
+    outside = F.first("n").alias("n")
+    near = met.groupBy("node", "other").agg(F.count(F.lit(1)).alias("k"), outside).where(F.col("k") >= 1 + F.floor(F.col("n") / EXTRA))
+    return near.select("node", "other")
+
+
+#: Tokens of asking sets that one task takes on for a group; beyond, the group is opened by several tasks.
+ASKED_TOKENS = 4_000_000
+
+
+def links_between(grouped: DataFrame, near: DataFrame) -> DataFrame:
+    """a, b (leaders) that link: each qualifying group's members become a small inverted index, and every asking set is counted against it, if it has enough of the group's union."""
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, index, leaders = None, [], None, np.empty(0, np.int64)
+        for part in parts:
+            for piece in slices(part, 4):
+                a, b = [], []
+                for g, salt, asks, leader, values in zip(*(piece.column(i).to_pylist() for i in range(5)), strict=True):
+                    if (g, salt) != now:
+                        now, members, index, leaders = (g, salt), [], None, []
+                    if not asks:
+                        members.append(_tokens(values))
+                        leaders.append(leader)
+                        continue
+                    if index is None:
+                        index, of = SetIndex(members, PERCENT), np.asarray(leaders, dtype=np.int64)
+                    for other in np.unique(of[index.partners(_tokens(values))]).tolist():
+                        a.append(leader)
+                        b.append(other)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    spark = grouped.sparkSession
+    sets = grouped.where("node is not null")
+    asks = sets.join(near, "node").select(F.col("other").alias("group"), "node", "n", "leader", "tokens")
+    load = near.join(sets.select("node", "n"), "node").groupBy(F.col("other").alias("group")).agg(F.ceil(F.sum("n") / ASKED_TOKENS).cast("int").alias("salts"))
+    load = materialise(load, "group-load")
+    asks = asks.join(load, "group").select("group", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("asks"), "leader", "tokens")
+    members = sets.join(load, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("asks"), "leader", "tokens")
+    dealt = members.unionByName(asks).repartition(partitions(spark), "group", "salt").sortWithinPartitions("group", "salt", "asks")
+    out = materialise(dealt.mapInArrow(ask, "a bigint, b bigint").where("a <> b").distinct(), "group-links")
+    discard(load)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -174,133 +366,63 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def labelled(sets: DataFrame, comps: DataFrame | None, *columns: str) -> DataFrame:
-    """node, comp and columns of sets; a set without a link is its own component."""
-    base = sets.select("node", *columns)
-    if comps is None:
-        return base.withColumn("comp", F.col("node"))
-    return base.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-
-class _Links:
-    """Links found so far and the components they make."""
-
-    def __init__(self) -> None:
-        self.found: list[DataFrame] = []
-        self.comps: DataFrame | None = None
-
-    def add(self, links: DataFrame, label: str) -> bool:
-        links = materialise(links, label)
-        if links.limit(1).count() == 0:
-            discard(links)
-            return False
-        self.found.append(links)
-        self.comps = components(reduce(DataFrame.unionByName, self.found))
-        return True
-
-
-def gather(sets: DataFrame, links: _Links) -> None:
-    """Links each set to the hubs of its min-hash groups, batch by batch; sets already in the hub's component aren't compared again. One candidate a set and order.
-
-    The hub is the set of the group with the smallest share of tokens that no other set has: it lies closest to the others.
-    """
-    for batch in ORDERS:
-        keys = labelled(sets.select("node", "n", "lonely", F.posexplode(F.slice("keys", batch[0] + 1, len(batch))).alias("r", "key")), links.comps, "n", "lonely", "r", "key")
-        hubs = keys.groupBy("r", "key").agg(F.min(F.struct("lonely", "node", "comp", "n")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        pairs = keys.join(hubs, ["r", "key"]).where((F.col("comp") != F.col("hub.comp")) & alike(F.col("n"), F.col("hub.n")))
-        links.add(verified(pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sets), "hub-links")
-
-
-def survivors(sets: DataFrame, links: _Links) -> DataFrame:
-    """node, n, tokens, bits, comp of the sets that may still link to another component.
-
-    Bound: the set overlaps the unions of all other groups together in what it needs. A set that fails can't link
-    outside its component, and both ends of a link that is still missing pass.
-    """
-    rows = labelled(sets.select("node", "n", F.explode("tokens").alias("token")), links.comps, "n", "token")
-    cross = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    left = rows.join(cross, "token").groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= needed(F.col("n"))).select("node")
-    return labelled(sets.select("node", "n", "lonely", "tokens", "bits").join(left, "node"), links.comps, "n", "lonely", "tokens", "bits")
-
-
-def union_bits(sets: DataFrame) -> DataFrame:
-    """group, union: the map of all tokens of a component."""
-    words = sets.select(F.col("comp").alias("group"), F.posexplode("bits").alias("at", "word")).groupBy("group", "at").agg(F.bit_or("word").alias("word"))
-    return words.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("union"))
-
-
-def matrix_links(sets: DataFrame, links: _Links) -> None:
-    """Token-group matrix: groups are the components found so far, a group's row the union of its members' tokens.
-
-    A set's overlap with a group's union bounds its overlap with every member: of any n - needed + 1 + e tokens of a
-    set of n, 1 + e at least are in the union of a group that it links to. That is asked of its rarest tokens first, and
-    where it holds, the map of the group's union must leave the whole set the overlap it needs. In the first round one member (of those with the
-    set's rarest token, the closest to others) of each group that qualifies is opened; the groups grow by what that links. In the second
-    all members of the groups that still qualify are opened, so no link between components is lost. Of two groups,
-    the sets of the one with the smaller number are compared with the other.
-    """
-    for every in (False, True):
-        left = materialise(survivors(sets, links), "survivors")
-        rows = materialise(left.select("node", "comp", "n", "lonely", F.explode("tokens").alias("token")), "survivor-tokens")
-        matrix = rows.select("token", F.col("comp").alias("group")).distinct()
-        spread = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max("comp").alias("last"))
-        order = Window.partitionBy("node").orderBy("sets", "token")
-        extra = F.floor(F.col("n") / 20)
-        rare = rows.join(spread, "token").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - needed(F.col("n")) + 1 + extra)
-        met = rare.where("comp < last").join(matrix, "token").where("comp < group")
-        near = met.groupBy("node", "group").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.min(F.struct("place", "token")).alias("m")).where(F.col("k") >= 1 + F.floor(F.col("n") / 20))
-        near = materialise(near.select("node", "group", "n", F.col("m.token").alias("token")), "near-groups")
-        own = near.join(left.select("node", "bits"), "node").join(union_bits(left), "group")
-        open_ = own.where(F.col("n") - missing(F.col("bits"), F.col("union")) >= needed(F.col("n"))).select("node", "group", "n", "token")
-        if every:
-            members = left.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("group"))
-            pairs = open_.join(members, "group").where(alike(F.col("n"), F.col("m")))
-        else:
-            members = rows.groupBy("token", F.col("comp").alias("group")).agg(F.min(F.struct("lonely", "node"))["node"].alias("b"))
-            pairs = open_.join(members, ["token", "group"])
-        links.add(verified(pairs.select(F.col("node").alias("a"), "b"), left), "matrix-links")
-        for t in (rows, near):
-            discard(t)
-        sets = left.drop("comp")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, node, n_shingles, component_id for every row of docs (doc_id, text).
 
+    Token-group matrix: similar sets form groups of bounded size; each group stores the union of its tokens; a set's
+    overlap with a group's union bounds its overlap with every member, first over the rarest tokens of its prefix, then
+    over the whole set; groups that qualify are opened, and the set is compared with their members. Within a group
+    all sets are compared. So no link is lost, whatever the groups are.
+
     component_id is the smallest doc_id among the documents reachable by links. Equal sets are one node from the start,
-    so copies are never compared. Documents without words have no shingles and are their own component; a null doc_id
-    counts in no minimum and gets null where nothing else is reachable; repeated rows repeat their result; an empty
-    table gives an empty result.
+    so copies are never compared. Documents without words (null, empty or blank texts) have no shingles and are their
+    own component; a null doc_id counts in no minimum, gets the component of an equal set and otherwise null; repeated rows repeat their result;
+    an empty table gives an empty result; other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     parsed = materialise(heads(docs), "heads")
-    nodes = parsed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    heads_once = parsed.where("n > 0").groupBy("node").agg(F.first("head").alias("head"))
-    shared = shared_heads(heads_once.select("node", F.explode("head").alias("token")))
-    least = 1 + F.floor(F.floor(F.col("n") * PERCENT / 100) / 20)
-    wanted = materialise(nodes.join(shared, "node").where((F.col("shared") >= least) & F.col("rep").isNotNull()).select("node", "rep", ((F.col("n") - needed(F.col("n")) + 1 + F.floor(F.col("n") / 20) - F.col("shared")) / F.col("n")).alias("lonely")), "candidates")
+    wanted = candidates(parsed)
     rows = materialise(parsed.select("doc_id", "node", "n"), "shingle-sets")
     discard(parsed)
-    parsed = rows
-    sets = materialise(full_sets(docs, wanted.select("node", "rep")).join(wanted.select("node", "lonely"), "node"), "sets")
-    links = _Links()
-    gather(sets, links)
-    matrix_links(sets, links)
-    rows = labelled(parsed.select("node", "doc_id", "n"), links.comps, "doc_id", "n")
-    lowest = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    grouped = grouped_sets(docs, wanted)
+    unions = grouped.where("node is null")
+    cross = materialise(met_tokens(unions, "group", "tokens"), "cross-tokens")
+    asked = materialise(asking(grouped, cross), "asking")
+    near = materialise(qualifying(asked, cross, unions), "near-groups")
+    for t in (asked, cross):
+        discard(t)
+    links = links_between(grouped, near)
+    comps = components(links)
+    led = grouped.where("node is not null").select("node", "leader")
+    led = led.join(comps.select(F.col("node").alias("leader"), "comp"), "leader", "left").select("node", F.coalesce("comp", "leader").alias("comp"))
+    # Only nodes that share a component with another need its least doc_id; the others have their own.
+    members = led.join(wanted.select("node", "rep"), "node")
+    lowest = members.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    linked = materialise(members.join(lowest, "comp").select("node", "component_id"), "linked")
+    for t in (wanted, grouped, near, links, comps):
+        discard(t)
+    own = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    found = rows.where("n > 0").join(own, "node").select("doc_id", "node", F.col("n").alias("n_shingles"), "component_id")
     lone = rows.where("n = 0").select("doc_id", "node", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.where("n > 0").join(lowest, "comp").select("doc_id", "node", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)
+    return found.unionByName(lone)
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
+    """Contract of the near-duplicate query: doc_id, n_shingles, component_id; edge cases as in near_duplicates()."""
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id, one of its rows where the id repeats. Rows without words, or with a null doc_id, all stay."""
-    columns = docs.columns
+    """docs with one row of each component: that of the smallest doc_id, one of its rows where the id repeats.
+
+    Rows without words, or with a null doc_id, all stay; an empty table stays empty; all columns come back under their
+    names, whatever these are.
+    """
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
     found = near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("n_shingles > 0 and component_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("__first")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__id"), "left").where("__first is null or __first = __id")
-    once = joined.where("__first is not null").dropDuplicates(["__id"])
-    return once.select(*columns).unionByName(joined.where("__first is null").select(*columns))
+    info = found.where("n_shingles > 0 and component_id is not null and doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.min("component_id").alias("__least"), F.count(F.lit(1)).alias("__rows"))
+    renamed = docs.select(F.col("doc_id").cast("bigint").alias("__id"), *[F.col(c).alias(n) for c, n in own.items()])
+    joined = renamed.join(materialise(info, "kept-of-each"), F.col("__id") == F.col("__doc"), "left").where("__least is null or __least = __id")
+    once = joined.where("__rows > 1").dropDuplicates(["__id"])
+    kept = joined.where("__rows is null or __rows = 1").unionByName(once)
+    return kept.select(*[F.col(n).alias(c) for c, n in own.items()])
