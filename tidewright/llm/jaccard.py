@@ -234,7 +234,8 @@ def grouped_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         if nodes:
             yield closed(now, nodes, lists)
 
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted.select("rep", "node", "group"), "rep")
+    # The list of candidates grows with the corpus, so this is a merge join at every size.
+    texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted.select("rep", "node", "group").hint("merge"), "rep")
     sets = texts.select("group", "node", "text").mapInArrow(parse, "group bigint, node bigint, tokens binary")
     dealt = sets.repartition(partitions(docs.sparkSession), "group").sortWithinPartitions("group", "node")
     return materialise(dealt.mapInArrow(open_, "group bigint, node bigint, n bigint, leader bigint, tokens binary"), "grouped-sets")
@@ -376,8 +377,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id among the documents reachable by links. Equal sets are one node from the start,
     so copies are never compared. Documents without words (null, empty or blank texts) have no shingles and are their
-    own component; a null doc_id counts in no minimum, gets the component of an equal set and otherwise null; repeated rows repeat their result;
-    an empty table gives an empty result; other columns aren't read.
+    own component; a null doc_id counts in no minimum, gets the component of an equal set and otherwise null; repeated
+    rows repeat their result; very long texts are sets like others, in groups of their own where they are too large to
+    share one; an empty table gives an empty result; other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     parsed = materialise(heads(docs), "heads")
@@ -402,7 +404,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for t in (wanted, grouped, near, links, comps):
         discard(t)
     own = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    found = rows.where("n > 0").join(own, "node").select("doc_id", "node", F.col("n").alias("n_shingles"), "component_id")
+    # Written first, so that the join below is between two plain shuffles and a node of very many copies can be split.
+    own = materialise(own, "set-components")
+    discard(linked)
+    found = rows.where("n > 0").join(own.hint("merge"), "node").select("doc_id", "node", F.col("n").alias("n_shingles"), "component_id")
     lone = rows.where("n = 0").select("doc_id", "node", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(lone)
 
