@@ -9,12 +9,28 @@ class Sparse:
     """Rows of active feature numbers, flattened in row order and in column order: both products are sums of contiguous runs."""
 
     def __init__(self, rows: list[np.ndarray], width: int):
-        counts = np.array([len(r) for r in rows], dtype=np.int64)
-        self.cols = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, dtype=np.int32)
-        order = np.argsort(self.cols, kind="stable")
-        self.rows = np.repeat(np.arange(len(rows), dtype=np.int32), counts)[order]
-        self.by_row, self.by_col = _runs(counts), _runs(np.bincount(self.cols, minlength=width))
-        self.n, self.width = len(rows), width
+        flat = np.concatenate(rows) if rows else np.empty(0)
+        self._set(flat.astype(np.int32), np.array([len(r) for r in rows], dtype=np.int64), width)
+
+    def _set(self, cols: np.ndarray, counts: np.ndarray, width: int) -> None:
+        self.cols, self.counts, self.n, self.width = cols, counts, len(counts), width
+        order = np.argsort(cols, kind="stable")
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), counts)[order]
+        self.by_row, self.by_col = _runs(counts), _runs(np.bincount(cols, minlength=width))
+
+    @classmethod
+    def of(cls, cols: np.ndarray, counts: np.ndarray, width: int) -> Sparse:
+        """From the rows' feature numbers one after another, and how many each row has."""
+        out = cls.__new__(cls)
+        out._set(cols.astype(np.int32, copy=False), counts.astype(np.int64, copy=False), width)
+        return out
+
+    def part(self, rows: np.ndarray, features: np.ndarray) -> Sparse:
+        """The rows and features marked; features are numbered anew."""
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), self.counts)
+        keep = rows[owner] & features[self.cols]
+        number = (np.cumsum(features) - 1).astype(np.int32)
+        return Sparse.of(number[self.cols[keep]], np.bincount(owner[keep], minlength=self.n)[rows], int(features.sum()))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return _run_sums(w[self.cols], *self.by_row, self.n)
