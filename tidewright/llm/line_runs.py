@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, ascii_strip, drop_path, fresh_path, materialise, partitions, text_or_empty
+from .common import ascii_lower, ascii_strip, discard, drop_path, fresh_path, materialise, partitions, text_or_empty
 
 
 def line_key(line: Column) -> Column:
@@ -25,133 +27,166 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+@dataclass(frozen=True)
+class Run:
+    """A table bucketed and sorted by hash: joins with it by hash read its buckets in order, without a shuffle of it."""
+
+    name: str
+    path: str
+
+
 class LineRuns:
-    """Runs of (hash, docs) in levels. A run is a Parquet table dealt and sorted by hash; docs counts documents.
+    """Runs of (hash, docs, fresh) in levels; docs counts documents, fresh marks the hashes that no earlier run had.
 
-    add() merge-anti-joins a batch with what is settled and writes the rest as a run of level 0. When a level holds
-    fanout runs they are merged into one run of the next level; hashes that reach `settle` documents leave the runs for
-    the settled table, so no later batch states them again. Every run is written once, in the shared folder, and is
-    listed only after its job has ended: a lost executor or a failed batch leaves the earlier state as it was.
+    add() merge-anti-joins a batch with the hashes that the runs have: what none has is the batch's own and is marked
+    fresh; of the others the run only carries counts on. When a level holds fanout runs they are merged into one of
+    the next level. Hashes that reach `settle` documents leave for the settled run; later batches state them no more.
+    Every run is written once, in the shared folder, and is listed only after its job has ended: a lost executor or a
+    failed batch leaves the earlier state as it was. close() deletes all runs.
     """
 
     def __init__(self, spark: SparkSession, settle: int | None = None, fanout: int = 4):
         self.spark, self.settle, self.fanout = spark, settle, fanout
-        self.levels: list[list[str]] = [[]]
-        self.settled_path: str | None = None
-
-    def _write(self, df: DataFrame, label: str) -> str:
-        path = fresh_path(self.spark, label)
-        df.repartition(max(1, partitions(self.spark) // 4), "hash").sortWithinPartitions("hash").write.parquet(path)
-        return path
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("hash binary, docs bigint").parquet(path)
-
-    def runs(self) -> DataFrame | None:
-        """What all runs hold, one row for each run and hash."""
-        paths = [p for level in self.levels for p in level]
-        return reduce(DataFrame.unionByName, map(self._read, paths)) if paths else None
-
-    def settled(self) -> DataFrame | None:
-        return self._read(self.settled_path) if self.settled_path else None
-
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """Rows of batch (with a column hash) whose hash is in no run and isn't settled."""
-        for known in (self.runs(), self.settled()):
-            if known is not None:
-                batch = batch.join(known.select("hash"), "hash", "left_anti")
-        return batch
-
-    def add(self, batch: DataFrame) -> None:
-        """batch: hash, docs, with a hash once."""
+        self.buckets = partitions(spark)
+        self.levels: list[list[Run]] = [[]]
+        self.settled: Run | None = None
+
+    def _write(self, df: DataFrame, label: str) -> Run:
+        run = Run(f"tidewright_{label}_{uuid4().hex}", fresh_path(self.spark, label))
+        dealt = df.select("hash", "docs", "fresh").repartition(self.buckets, "hash")
+        dealt.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", run.path).saveAsTable(run.name)
+        return run
+
+    def _drop(self, run: Run) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run.name}")
+        drop_path(self.spark, run.path)
+
+    def _read(self, run: Run) -> DataFrame:
+        return self.spark.table(run.name)
+
+    def runs(self) -> list[Run]:
+        return [r for level in self.levels for r in level]
+
+    def close(self) -> None:
+        for run in [*self.runs(), *([self.settled] if self.settled else [])]:
+            self._drop(run)
+        self.levels, self.settled = [[]], None
+
+    def marked(self, batch: DataFrame) -> DataFrame:
+        """batch (hash, docs; a hash once) less what is settled, with fresh: whether the anti-join with every run leaves the hash. One shuffle, of the batch."""
         batch = batch.select("hash", "docs")
-        if self.settled_path:
-            batch = batch.join(self._read(self.settled_path).select("hash"), "hash", "left_anti")
-        self.levels[0].append(self._write(batch, "run-0"))
+        if self.settled:
+            batch = batch.join(self._read(self.settled).select("hash").hint("merge"), "hash", "left_anti")
+        seen = F.lit(False)
+        for i, run in enumerate(self.runs()):
+            own = self._read(run).where("fresh").select("hash", F.lit(True).alias(f"seen{i}"))
+            batch, seen = batch.join(own.hint("merge"), "hash", "left"), seen | F.coalesce(F.col(f"seen{i}"), F.lit(False))
+        return batch.select("hash", "docs", (~seen).alias("fresh"))
+
+    def add(self, batch: DataFrame) -> Run:
+        """Adds a batch as a run of level 0 and returns it; levels that are full then are merged."""
+        run = self._write(self.marked(batch), "run0")
+        self.levels[0].append(run)
+        return run
+
+    def compact(self) -> None:
+        """Merges each full level's runs into one of the next level, lowest level first."""
         level = 0
-        while len(self.levels[level]) >= self.fanout:
-            self.compact(level)
+        while level < len(self.levels):
+            old = self.levels[level]
+            if len(old) >= self.fanout:
+                merged = self._merged(old)
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                run = self._write(merged, f"run{level + 1}")
+                self.levels[level], self.levels[level + 1] = [], [*self.levels[level + 1], run]
+                for r in old:
+                    self._drop(r)
+                if self.settle is not None:
+                    self._settle(run)
             level += 1
 
-    def compact(self, level: int) -> None:
-        """Merges the runs of a level into one of the next level."""
-        old = self.levels[level]
-        merged = reduce(DataFrame.unionByName, map(self._read, old)).groupBy("hash").agg(F.sum("docs").alias("docs"))
-        if level + 1 == len(self.levels):
-            self.levels.append([])
-        path = self._write(merged, f"run-{level + 1}")
-        self.levels[level], self.levels[level + 1] = [], [*self.levels[level + 1], path]
-        for p in old:
-            drop_path(self.spark, p)
-        if self.settle is not None:
-            self._settle(level + 1)
-
-    def _settle(self, level: int) -> None:
-        """Moves what one run of the level alone shows to have enough documents; runs keep what they hold until they are merged."""
-        full = self._read(self.levels[level][-1]).where(F.col("docs") >= self.settle)
-        if self.settled_path:
-            full = full.unionByName(self._read(self.settled_path)).groupBy("hash").agg(F.max("docs").alias("docs"))
-        old, self.settled_path = self.settled_path, self._write(full, "settled")
+    def _merged(self, runs: list[Run]) -> DataFrame:
+        rows = reduce(DataFrame.unionByName, map(self._read, runs))
+        return rows.groupBy("hash").agg(F.sum("docs").alias("docs"), F.max("fresh").alias("fresh"))
+
+    def _settle(self, run: Run) -> None:
+        """Moves what one run alone shows to have enough documents; runs keep what they hold until they are merged."""
+        full = self._read(run).where(F.col("docs") >= self.settle)
+        if self.settled:
+            full = full.unionByName(self._read(self.settled)).groupBy("hash").agg(F.max("docs").alias("docs"), F.max("fresh").alias("fresh"))
+        old, self.settled = self.settled, self._write(full, "settled")
         if old:
-            drop_path(self.spark, old)
+            self._drop(old)
 
     def frequent(self, least: int) -> DataFrame:
         """Hashes of at least so many documents; exact where least is the settle bound, or none was given."""
-        found = self.runs()
-        if found is None:
+        if not self.runs():
             return self.spark.createDataFrame([], "hash binary")
-        found = found.groupBy("hash").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("hash")
-        return found.unionByName(self.settled().select("hash")).distinct() if self.settled_path else found
+        found = self._merged(self.runs()).where(F.col("docs") >= least).select("hash")
+        return found.unionByName(self._read(self.settled).select("hash")).distinct() if self.settled else found
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, hash: a row for each document row and distinct non-empty line key."""
+    """doc_id, hash: a row for each document (rows that repeat a doc_id are one) and distinct non-empty line key."""
     hashes = F.array_distinct(F.transform(lines_of(text_or_empty()), line_hash))
-    return docs.select("doc_id", F.explode(hashes).alias("hash")).where("hash is not null")
+    return docs.select("doc_id", F.explode(hashes).alias("hash")).where("hash is not null").distinct()
 
 
 def unseen_lines(runs: LineRuns, docs: DataFrame) -> DataFrame:
     """Streaming form: (doc_id, hash) of the lines that no earlier batch had; the batch then joins the runs."""
     rows = materialise(line_rows(docs), "lines")
-    fresh = materialise(runs.unseen(rows), "fresh-lines")
-    runs.add(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("docs")))
+    own = runs.add(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("docs")))
+    fresh = materialise(rows.join(runs._read(own).where("fresh").select("hash"), "hash", "left_semi").select("doc_id", "hash"), "fresh-lines")
+    runs.compact()
+    discard(rows)
     return fresh
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """docs with the lines left in kept_text, and n_lines, n_dropped.
 
-    Every line whose key stands in at least min_docs document rows goes from every document, the first included; lines
-    with an empty key stay. A null text is one empty line. Rows that repeat a doc_id each count as a document. Texts
-    are shuffled once, for the last join; an empty table gives an empty result. Columns of these names are replaced.
+    Every line whose key stands in at least min_docs documents goes from every document, the first included; lines
+    with an empty key stay, and a null text is one empty line. Rows that repeat a doc_id are one document where
+    documents are counted, and a null doc_id counts as none; each row gets its own result. Texts, however long, are
+    shuffled once, for the last join; an empty table gives an empty result. Columns of the three names are replaced,
+    all others come back as they were, whatever their names.
+
+    Documents come to the runs in batches, as they would day by day: each batch is merge-anti-joined with the runs
+    and adds its own; counts of what the runs know are carried on, as ten documents can come from several batches.
     """
-    docs = docs.drop("kept_text", "n_lines", "n_dropped", "__hot")
+    kept = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    own = {c: f"__own{i}" for i, c in enumerate(kept)}
     rows = materialise(line_rows(docs), "lines")
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     # One scan counts all batches; each is then added as its own run.
-    counted = rows.groupBy(batch.alias("batch"), "hash").agg(F.count(F.lit(1)).alias("docs"))
-    path = fresh_path(docs.sparkSession, "line-batches")
-    counted.write.partitionBy("batch").parquet(path)
-    counted = docs.sparkSession.read.schema("hash binary, docs bigint, batch int").parquet(path)
+    counted = rows.where("doc_id is not null").groupBy(batch.alias("batch"), "hash").agg(F.count(F.lit(1)).alias("docs"))
+    counted = materialise(counted, "line-batches")
     runs = LineRuns(docs.sparkSession, settle=min_docs, fanout=fanout)
     for b in range(batches):
         runs.add(counted.where(F.col("batch") == b))
+        runs.compact()
     hot = materialise(runs.frequent(min_docs), "frequent-lines")
-    per_doc = rows.join(hot, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("__hot")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    lines = lines_of(text_or_empty())
+    runs.close()
+    discard(counted)
+    per_doc = rows.join(hot, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("__hot"))
+    per_doc = materialise(per_doc.withColumnRenamed("doc_id", "__doc"), "lines-to-drop")
+    for t in (rows, hot):
+        discard(t)
+    renamed = docs.select(F.col("doc_id").alias("__id"), text_or_empty().alias("__text"), *[F.col(c).alias(n) for c, n in own.items()])
+    joined = renamed.join(per_doc, F.col("__id").eqNullSafe(F.col("__doc")), "left")
+    lines = lines_of(F.col("__text"))
     stays = lambda line: F.coalesce(~F.array_contains(F.col("__hot"), line_hash(line)), F.lit(True))
-    kept = F.when(F.col("__hot").isNull(), lines).otherwise(F.filter(lines, stays))
-    out = joined.withColumn("__lines", lines).withColumn("__kept", kept)
-    return (
-        out.withColumn("n_lines", F.size("__lines").cast("bigint"))
-        .withColumn("n_dropped", (F.size("__lines") - F.size("__kept")).cast("bigint"))
-        .withColumn("kept_text", F.array_join("__kept", "\n"))
-        .drop("__lines", "__kept", "__hot", "__id")
+    out = joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__hot").isNull(), lines).otherwise(F.filter(lines, stays)))
+    return out.select(
+        *[F.col(n).alias(c) for c, n in own.items()],
+        F.size("__lines").cast("bigint").alias("n_lines"),
+        (F.size("__lines") - F.size("__kept")).cast("bigint").alias("n_dropped"),
+        F.array_join("__kept", "\n").alias("kept_text"),
     )
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
-    """Contract of the line query."""
+    """Contract of the line query: doc_id, n_lines, n_dropped, kept_sha256; edge cases as in drop_frequent_lines()."""
     out = drop_frequent_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
