@@ -1,10 +1,12 @@
-"""FM-index over word sequences: suffix order to a fixed depth, wavelet matrix over the Burrows-Wheeler transform, backward search of many patterns at once."""
+"""Compressed FM-index over word sequences: run-length Burrows-Wheeler transform with a wavelet matrix over its run heads, sampled documents, and matching statistics of many patterns at once by backward search."""
 
 from __future__ import annotations
 
 import numpy as np
 
 _SIX, _LOW = np.int64(6), np.uint64(63)
+#: Every so many words of a piece the index knows the piece; from other rows it walks there.
+SAMPLE = 4
 
 
 class Bits:
@@ -15,13 +17,16 @@ class Bits:
         padded = np.zeros((len(bits) // 64 + 1) * 8, dtype=np.uint8)
         padded[: len(packed)] = packed
         self.words = padded.view(np.uint64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])[:-1]
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]]).astype(np.int32)
 
     def rank1(self, at: np.ndarray) -> np.ndarray:
         """Ones in front of each position."""
         word = at >> _SIX
         below = (np.uint64(1) << (at.astype(np.uint64) & _LOW)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & below)
+        return self.before[word] + np.bitwise_count(self.words[word] & below).astype(np.int64)
+
+    def test(self, at: np.ndarray) -> np.ndarray:
+        return ((self.words[at >> _SIX] >> (at.astype(np.uint64) & _LOW)) & np.uint64(1)).astype(bool)
 
 
 class WaveletMatrix:
@@ -50,9 +55,34 @@ class WaveletMatrix:
         return self._down(symbols, at) - self.start[symbols]
 
 
+class RunLengthRanks:
+    """Ranks and members of a sequence of which only the runs of equal symbols are kept; repeated passages make few runs."""
+
+    def __init__(self, row: np.ndarray, top: int):
+        changes = np.ones(len(row), dtype=bool)
+        changes[1:] = row[1:] != row[:-1]
+        starts = np.flatnonzero(changes)
+        self.starts, self.heads = starts.astype(np.int32), row[starts].astype(np.int32)
+        order = np.argsort(self.heads, kind="stable")
+        lengths = np.diff(np.append(starts, len(row)))[order]
+        self.total = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        self.first = np.searchsorted(self.heads[order], np.arange(top + 1)).astype(np.int32)
+        self.tree = WaveletMatrix(self.heads.astype(np.int64), top)
+
+    def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Occurrences of each symbol in front of its position."""
+        run = np.maximum(np.searchsorted(self.starts, at, side="right") - 1, 0)
+        base = self.first[symbols].astype(np.int64)
+        whole = self.total[base + self.tree.rank(symbols, run)].astype(np.int64) - self.total[base]
+        return whole + np.where(self.heads[run] == symbols, at - self.starts[run], 0)
+
+    def member(self, at: np.ndarray) -> np.ndarray:
+        return self.heads[np.searchsorted(self.starts, at, side="right") - 1].astype(np.int64)
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Dense ranks of the pairs, in order."""
-    return np.unique(a.astype(np.int64) * np.int64(int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64)
+    return np.unique(a * np.int64(int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64)
 
 
 def _shifted(r: np.ndarray, k: int) -> np.ndarray:
@@ -63,93 +93,124 @@ def _shifted(r: np.ndarray, k: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of pieces (arrays of 64-bit word hashes), each with a number (a document's). Finds patterns of up to `window` words.
+    """Index of pieces (arrays of 64-bit word hashes), each with a number (a document's). Tells which patterns of up to `window` words it has, and in which pieces.
 
-    Suffixes are sorted by their first window words or more: backward search of patterns no longer than that needs no
-    finer order. Number queries use, for every distinct window, the least number among the places where it starts.
+    Kept: the run-length transform, the counts of smaller symbols, where blocks of suffixes with window - 1 words in
+    common begin, and the piece of every SAMPLE-th word. The suffix order is only needed to build these.
     """
 
     def __init__(self, pieces: list[np.ndarray], numbers: np.ndarray, window: int):
-        self.window = window
+        self.window, self.numbers = window, np.asarray(numbers, dtype=np.int64)
         words = np.concatenate([*pieces, np.empty(0, np.uint64)])
         self.alphabet, dense = np.unique(words, return_inverse=True)
-        ends = np.cumsum([len(p) + 1 for p in pieces])
-        text = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
-        inside = np.ones(len(text), dtype=bool)
+        lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        ends = np.cumsum(lengths + 1)
+        self.n = int(ends[-1]) if len(ends) else 0
+        text, inside = np.zeros(self.n, dtype=np.int64), np.ones(self.n, dtype=bool)
         inside[ends - 1] = False
         text[inside] = dense + 1
-        owner = np.repeat(numbers, [len(p) + 1 for p in pieces])
-        self.text, self.ends = text, ends
-        # Ranks by the first `depth` words, doubled until they reach the window; those of window and of window - 1 words come from two overlapping halves.
-        rank, depth = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-        half = {1: rank}
-        while depth < window:
+        # Each end of a piece sorts in front of all words and by itself, so suffixes differ within their pieces.
+        rank = np.zeros(self.n, dtype=np.int64)
+        rank[~inside], rank[inside] = np.arange(len(pieces)), dense + len(pieces)
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+        depth, longest, common = 1, int(lengths.max(initial=0)) + 1, {1: rank}
+        while depth < longest and (not self.n or int(rank.max()) + 1 < self.n):
             rank, depth = _pairs(rank, _shifted(rank, depth)), depth * 2
-            half[depth] = rank
-
-        def of(length: int) -> np.ndarray:
-            if length <= 0:
-                return np.zeros(len(text), dtype=np.int64)
-            d = max(k for k in half if k <= length)
-            return half[d] if d == length else _pairs(half[d], _shifted(half[d], length - d))
-
-        self.order = np.argsort(rank, kind="stable")
+            if depth < window:
+                common[depth] = rank
+        order = np.argsort(rank, kind="stable")
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))])
-        self.bwt = WaveletMatrix(text[self.order - 1], len(self.alphabet))
-        self.low, self.high = self._blocks(of(window - 1)[self.order])
-        first, _ = self._blocks(of(window)[self.order])
-        starts = np.flatnonzero(np.diff(np.concatenate([[-1], first])))
-        least = np.minimum.reduceat(owner[self.order], starts) if len(starts) else np.empty(0, np.int64)
-        self.least = np.repeat(least, np.diff(np.concatenate([starts, [len(text)]])))
-
-    def _blocks(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the run of equal values around each row begins and ends."""
-        starts = np.flatnonzero(np.diff(np.concatenate([[-1], groups])))
-        ends = np.concatenate([starts[1:], [len(groups)]])
-        sizes = ends - starts
-        return np.repeat(starts, sizes), np.repeat(ends, sizes)
+        self.bwt = RunLengthRanks(text[order - 1], len(self.alphabet))
+        # Blocks of suffixes whose first window - 1 words are equal, from two overlapping halves.
+        half = max((d for d in common if d <= window - 1), default=0)
+        rest = window - 1 - half
+        block = (_pairs(common[half], _shifted(common[half], rest)) if rest else common[half])[order] if half else np.zeros(self.n, np.int64)
+        self.blocks = np.flatnonzero(np.diff(np.concatenate([[-1], block]))).astype(np.int32)
+        offset = np.arange(self.n) - np.repeat(ends - lengths - 1, lengths + 1)
+        known = (offset % SAMPLE == 0)[order]
+        self.known = Bits(known)
+        self.samples = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths + 1)[order][known]
 
     def step(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of symbol + pattern from those of the patterns."""
         base = self.counts[symbols]
         return base + self.bwt.rank(symbols, low), base + self.bwt.rank(symbols, high)
 
+    def shortened(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the first window - 1 words of the suffixes in these rows."""
+        at = np.searchsorted(self.blocks, low, side="right") - 1
+        ends = np.append(self.blocks[1:], self.n)
+        return self.blocks[at].astype(np.int64), ends[at].astype(np.int64)
+
     def coded(self, words: np.ndarray) -> np.ndarray:
         """Symbols of words; 0 for those that the index doesn't have."""
         at = np.searchsorted(self.alphabet, words)
         at[at == len(self.alphabet)] = 0
         return np.where(self.alphabet[at] == words, at + 1, 0) if len(self.alphabet) else np.zeros(len(words), np.int64)
 
-    def statistics(self, patterns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each pattern and position: how many words from there on match somewhere (window at most), and the least number of a piece where a whole window starts (-1: none).
-
-        Patterns are read backwards side by side. A full match is cut to window - 1 words through the suffix order's
-        blocks before the next word is put in front; where a word can't be put in front, matching starts anew and the
-        next window words count again, so shorter lengths are lower bounds and full windows exact.
+    def pieces_of(self, rows: np.ndarray) -> np.ndarray:
+        """The piece in which the suffix of each row starts: walks backwards to the next sample."""
+        out, left, at = np.empty(len(rows), dtype=np.int64), np.arange(len(rows)), rows.astype(np.int64)
+        while len(left):
+            there = self.known.test(at)
+            out[left[there]] = self.samples[self.known.rank1(at[there])]
+            left, at = left[~there], at[~there]
+            symbols = self.bwt.member(at)
+            at = self.counts[symbols] + self.bwt.rank(symbols, at)
+        return out
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least number among the pieces of each interval; equal intervals are walked once."""
+        first, where = np.unique(low, return_index=True)
+        sizes, back = high[where] - first, np.searchsorted(first, low)
+        ends = np.cumsum(sizes)
+        rows = np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return np.minimum.reduceat(self.numbers[self.pieces_of(rows)], ends - sizes)[back] if len(rows) else np.empty(0, np.int64)
+
+    def statistics(self, patterns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """Matching statistics: for each pattern and position, how many words from there on match somewhere (window at most), and the rows low to high of that match.
+
+        Patterns are read backwards side by side. A match of window words is cut to window - 1 before the next word is
+        put in front. Where a word can't be put in front, the match loses its last word and is searched again from its
+        new end: no longer match can start there or further left.
         """
-        n = len(patterns)
         lengths = np.array([len(p) for p in patterns], dtype=np.int64)
-        coded = [self.coded(p) for p in patterns]
-        flat = np.concatenate([*coded, np.empty(0, np.int64)])
-        offset = np.concatenate([[0], np.cumsum(lengths)])
-        got, least = np.zeros(len(flat), dtype=np.int64), np.full(len(flat), -1, dtype=np.int64)
-        low, high, have = np.zeros(n, np.int64), np.full(n, len(self.text), np.int64), np.zeros(n, np.int64)
-        for t in range(int(lengths.max(initial=0))):
-            live = np.flatnonzero(lengths > t)
-            place = offset[live] + lengths[live] - 1 - t
-            a, b, k, c = low[live], high[live], have[live], flat[place]
-            full = k >= self.window
-            row = np.minimum(a, len(self.text) - 1)
-            a, b, k = np.where(full, self.low[row], a), np.where(full, self.high[row], b), np.where(full, self.window - 1, k)
-            x, y = self.step(c, a, b)
+        flat = np.concatenate([*map(self.coded, patterns), np.empty(0, np.int64)])
+        ends = np.cumsum(lengths)
+        begin = ends - lengths
+        got, first, last = (np.zeros(len(flat), dtype=np.int64) for _ in range(3))
+        # For each pattern: the position in question, the end of the match tried, and the word to put in front next.
+        at, end = ends - 1, ends - 1
+        word, low, high = at.copy(), np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
+        live = np.flatnonzero(lengths)
+        while len(live):
+            c = flat[word[live]]
+            x, y = self.step(c, low[live], high[live])
             ok = (x < y) & (c > 0)
-            again = ~ok & (c > 0)  # the word alone always matches
-            x, y = np.where(again, self.counts[c], x), np.where(again, self.counts[c + 1], y)
-            k = np.where(ok, k + 1, np.where(again, 1, 0))
-            none = c == 0
-            x, y = np.where(none, 0, x), np.where(none, len(self.text), y)
-            low[live], high[live], have[live] = x, y, k
-            got[place] = k
-            whole = k >= self.window
-            least[place[whole]] = self.least[x[whole]]
-        return [got[offset[i] : offset[i + 1]] for i in range(n)], [least[offset[i] : offset[i + 1]] for i in range(n)]
+            low[live], high[live] = np.where(ok, x, 0), np.where(ok, y, self.n)
+            done = live[ok & (word[live] == at[live])]
+            word[live[ok]] -= 1
+            got[at[done]], first[at[done]], last[at[done]] = end[done] - at[done] + 1, low[done], high[done]
+            at[done] -= 1
+            long = done[end[done] - at[done] + 1 > self.window]
+            if len(long):
+                low[long], high[long] = self.shortened(low[long])
+                end[long] -= 1
+                empty = long[end[long] <= at[long]]
+                low[empty], high[empty] = 0, self.n
+            failed = live[~ok]
+            # No match can hold a word that the index hasn't: the next ends in front of it.
+            end[failed] = np.where(c[~ok] == 0, word[failed] - 1, end[failed] - 1)
+            at[failed] = np.minimum(at[failed], end[failed])
+            word[failed] = end[failed]
+            live = live[at[live] >= begin[live]]
+        cut = [slice(i, j) for i, j in zip(begin, ends, strict=True)]
+        return [got[s] for s in cut], [first[s] for s in cut], [last[s] for s in cut]
+
+    def earliest(self, patterns: list[np.ndarray]) -> list[np.ndarray]:
+        """For each pattern and position the least number of a piece where the window from there on starts; -1 where it starts nowhere."""
+        got, first, last = (np.concatenate([*x, np.empty(0, np.int64)]) for x in self.statistics(patterns))
+        out = np.full(len(got), -1, dtype=np.int64)
+        whole = got >= self.window
+        out[whole] = self.least(first[whole], last[whole])
+        return np.split(out, np.cumsum([len(p) for p in patterns])[:-1]) if patterns else []

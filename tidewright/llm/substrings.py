@@ -11,15 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, importable, materialise, partitions
+from .common import discard, importable, materialise, partitions, slices
 from .fm_index import FMIndex
 from .words_np import WordHashes, grams, hashes_of, sliding_min, split_words
 
 WINDOW = 50
 #: Words of an anchor. Each window is dealt by the least hash of its anchors, so equal windows meet.
 ANCHOR = 8
-#: An index is built once so many words have come together.
-INDEX_WORDS = 400_000
+#: An index is built once so many words have come together; an anchor holds less, as one with more different passages than HOT is taken apart.
+INDEX_WORDS, HOT = 400_000, 4_000
 
 
 def passages(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def passage_rows(docs: DataFrame) -> DataFrame:
 
     def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for part in parts:
+        for part in (piece for whole in parts for piece in slices(whole, 1)):
             ids, anchors, starts, sizes, contents = [], [], [], [], []
             for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 h = hashes_of(split_words(t), known)
@@ -70,7 +70,7 @@ def _words_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for part in parts:
+        for part in (piece for whole in parts for piece in slices(whole, 1)):
             rows: list[tuple] = []
             for d, t, found in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 h = hashes_of(split_words(t), known)
@@ -108,9 +108,8 @@ def _searched(pieces: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             index = FMIndex(words, np.array(ids, dtype=np.int64), WINDOW)
-            _, least = index.statistics(words)
             ats, docs = [], []
-            for x in least:
+            for x in index.earliest(words):
                 x = x[: len(x) - WINDOW + 1]
                 at = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
                 ats.append(at.tolist())
@@ -146,36 +145,85 @@ def covered(n_words: int, found: list[dict], doc_id: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _alike(rows: DataFrame) -> DataFrame:
+    """Equal passages as one row: anchor, content, first (doc_id, start), last doc_id, windows."""
+    return rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"), F.first("windows").alias("windows"))
+
+
+def _single_windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The windows of passages (doc_id, start, windows) as passages of their own, dealt by their words."""
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for part in parts:
+            for piece in slices(part, 1):
+                ids, starts, contents = [], [], []
+                for d, t, found in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
+                    h = hashes_of(split_words(t), known)
+                    for at in sorted({x["start"] + i for x in found for i in range(x["windows"])}):
+                        if at + WINDOW <= len(h):
+                            ids.append(d)
+                            starts.append(at)
+                            contents.append(xxhash.xxh64_intdigest(_content(h, at, 1)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), _signed(contents), pa.array(starts, pa.int32()), pa.array([1] * len(ids), pa.int32()), _signed(contents)],
+                    names=["doc_id", "anchor", "start", "windows", "content"],
+                )
+
+    per_doc = rows.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "windows")).alias("found"))
+    texts = docs.join(per_doc, docs["doc_id"] == per_doc["id"]).select("doc_id", "text", "found")
+    return texts.mapInArrow(cut, "doc_id bigint, anchor bigint, start int, windows int, content bigint")
+
+
+def shared_passages(docs: DataFrame, rows: DataFrame, hot_from: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """rows as dealt in the end, and one row (anchor, content, first, last, windows) for each different passage of the anchors that several documents have.
+
+    An anchor with more different passages than hot_from (a passage of very many documents, each in its own
+    surroundings) is taken apart: its windows are dealt by their own words, so equal windows are one row and no
+    anchor's passages outgrow a task. Nothing is dropped.
+    """
+    alike = materialise(_alike(rows), "passages-alike")
+    per = alike.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("first.doc_id").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
+    per = materialise(per.select("anchor", (F.col("k") > hot_from).alias("hot")), "shared-anchors")
+    firsts = alike.join(per.where("not hot").select("anchor"), "anchor")
+    hot = per.where("hot").select("anchor")
+    if hot.limit(1).count():
+        fine = materialise(_single_windows(docs, rows.join(hot, "anchor")), "hot-windows")
+        firsts = firsts.unionByName(_alike(fine).where("first.doc_id < last"))
+        rows = rows.join(hot, "anchor", "left_anti").select(fine.columns).unionByName(fine)
+    found = materialise(firsts.select("anchor", "content", "first", "last", "windows"), "shared-passages")
+    discard(alike)
+    return rows, found
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, found: for documents with a window that an earlier document has, the passages concerned (start, windows, at, least)."""
     importable(docs.sparkSession)
-    rows = materialise(passage_rows(docs), "passages")
-    # Dealt once by anchor; equal passages are one row, and anchors of a single document leave.
-    alike = rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"), F.first("windows").alias("windows"))
-    ends = alike.groupBy("anchor").agg(F.min("first.doc_id").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("anchor")
-    firsts = materialise(alike.join(ends, "anchor"), "shared-passages")
+    parsed = materialise(passage_rows(docs), "passages")
+    rows, firsts = shared_passages(docs, parsed)
     pieces = _words_of(docs, firsts.select("anchor", "content", "first", "windows"))
     least = materialise(_searched(pieces), "matches").dropDuplicates(["content"])
     earlier = F.exists("least", lambda x: x < F.col("doc_id"))
     hit = rows.join(least, "content").where(earlier)
     out = materialise(hit.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "at", "least")).alias("found")), "repeated-spans")
-    discard(rows)
-    discard(firsts)
+    for t in (parsed, firsts):
+        discard(t)
     return out
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text for every row of docs (doc_id, text).
+def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text for every row of docs (doc_id, text).
 
     Every word covered by a window of WINDOW words that also starts in a document with a smaller doc_id goes; kept words
     are joined by one blank. Null and empty texts have no words; a null doc_id is smaller and larger than none, so those
-    rows stay whole; rows that repeat a doc_id don't remove each other; an empty table gives an empty result.
+    rows stay whole; rows that repeat a doc_id don't remove each other; very long texts are many passages, dealt like
+    others; an empty table gives an empty result; other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = repeated_spans(docs).withColumnRenamed("doc_id", "id")
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (piece for whole in parts for piece in slices(whole, 1)):
             out: list[list] = [[], [], [], []]
             for d, t, found in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 words = split_words(t)
@@ -184,13 +232,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out[0].append(len(words))
                 out[1].append(0 if gone is None else int(gone.sum()))
                 out[2].append(hashlib.sha256(text).hexdigest())
-                out[3].append(text.decode("utf-8", "surrogatepass"))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)]], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                if with_text:
+                    out[3].append(text.decode("utf-8", "surrogatepass"))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())[: 3 + with_text]
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, k) for v, k in zip(out, kinds, strict=False)]], names=["doc_id", *names])
 
+    names = ["n_words", "n_removed", "kept_sha256", "kept_text"][: 3 + with_text]
     joined = docs.join(spans, docs["doc_id"] == spans["id"], "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(keep, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return joined.mapInArrow(keep, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    """Contract of the substring query: doc_id, n_words, n_removed, kept_sha256; edge cases as in remove_repeats()."""
+    return remove_repeats(docs, with_text=False)
