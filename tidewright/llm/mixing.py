@@ -100,17 +100,25 @@ def tilts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "scale", "full", "tilt")
 
 
+def _place(doc_id: Column, size: Column, salt: int, cells: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id, size, F.lit(salt)), F.lit(cells))
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame, *columns: str) -> DataFrame:
+    r, p = rows.alias("r"), plan.alias("p")
+    return r.join(p, F.col("r.source").eqNullSafe(F.col("p.source")), "left").select("r.*", *[F.col(f"p.{c}") for c in columns])
+
+
 def _rounding(rows: DataFrame, plan: DataFrame, salt: int) -> DataFrame:
     """rows joined to their source's plan, with whole (copies for certain), and cell, the place in the order in which documents get one more copy.
 
     Coarse documents come first where their own hash favours them, then the fine ones by hash less remainder, then the
     other coarse ones: moving the cut along this order settles the total on small documents.
     """
-    r, p = rows.alias("r"), plan.alias("p")
-    joined = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source")), "left").select("r.*", *[F.col(f"p.{c}") for c in plan.columns if c != "source"])
+    joined = _with_plan(rows, plan, *[c for c in plan.columns if c != "source"])
     rate = F.when(F.col("full"), F.lit(CAP)).otherwise(_rate(F.col("tilt"), F.col("size") / F.col("scale")))
     whole = F.least(F.floor(rate), F.lit(int(CAP) - 1))
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    u = _place(F.col("doc_id"), F.col("size"), salt, 1 << 52) / F.lit(float(1 << 52))
     z = u - (rate - whole)
     cell = F.floor((z + 1) * CELLS).cast("int")
     coarse = F.col("size") > COARSE * F.col("target")
@@ -118,49 +126,106 @@ def _rounding(rows: DataFrame, plan: DataFrame, salt: int) -> DataFrame:
     return joined.withColumn("whole", F.coalesce(whole, F.lit(0)).cast("int")).withColumn("cell", F.coalesce(place, F.lit(0)))
 
 
-def mix_plan(sizes: DataFrame, salt: int = 3) -> DataFrame:
-    """source, source_size, target, scale, full, tilt, cut for rows (doc_id, source, size); see with_copies()."""
-    targets = source_targets(sizes)
-    plan = tilts(sizes, targets)
-    placed = _rounding(sizes, plan, salt)
-    certain = placed.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
-    cells = placed.groupBy("source", "cell").agg(F.sum("size").alias("words"))
-    run = F.sum("words").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    cells = cells.select("source", "cell", run.alias("run")).unionByName(plan.select("source", F.lit(-1).alias("cell"), F.lit(0).cast("bigint").alias("run")))
-    c, b, p = cells.alias("c"), certain.alias("b"), plan.alias("p")
-    gap = F.abs(F.coalesce(F.col("base"), F.lit(0)) + F.col("run") - F.col("target"))
-    best = (
-        c.join(b, F.col("c.source").eqNullSafe(F.col("b.source")), "left")
-        .join(p, F.col("c.source").eqNullSafe(F.col("p.source")))
-        .groupBy(F.col("c.source").alias("source"))
-        .agg(F.min(F.struct(gap.alias("gap"), F.col("cell"))).alias("best"))
-        .alias("k")
-    )
-    return materialise(p.join(best, F.col("p.source").eqNullSafe(F.col("k.source"))).select("p.*", F.col("best.cell").alias("cut")), "mix-plan")
-
+def _fill(placed: DataFrame, plan: DataFrame, salt: int) -> DataFrame:
+    """source, size, bound, rest: which documents get one more copy than their cut gives them, to fill the words left to their source's target.
 
-def with_copies(rows: DataFrame, plan: DataFrame, salt: int = 3) -> DataFrame:
-    """rows (doc_id, source, size, ...) with copies, source_size and target; a join to one row a source, no shuffle of the rows where that is small."""
-    placed = _rounding(rows, plan, salt)
-    copies = (F.col("whole") + (F.col("cell") <= F.col("cut")).cast("int")).alias("copies")
-    return placed.select(*[F.col(c) for c in rows.columns], "source_size", "target", copies)
+    Sizes are taken from the largest that still fits to the smallest, each as often as it fits, and one more of the
+    smallest where that comes nearer. That is a fold over one row a source, of its distinct sizes with documents that
+    can be taken once more. Of a size's documents those of places below bound are taken, and rest of those at it.
+    """
+    free = placed.where((F.col("copies") < int(CAP)) & (F.col("size") > 0)).select("source", "size", _place(F.col("doc_id"), F.col("size"), salt + 1, CELLS).alias("place"))
+    hist = free.groupBy("source", "size", "place").agg(F.count(F.lit(1)).alias("n"))
+    hist = materialise(hist, "mix-free")
+    kinds = hist.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    lists = kinds.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    pick = "array<struct<size:bigint,m:bigint>>"
+    zero = F.struct(F.col("gap").alias("left"), F.lit(None).cast("bigint").alias("small"), F.array().cast(pick).alias("picks"))
+
+    def step(acc: Column, x: Column) -> Column:
+        m = F.least(x["n"], F.floor(F.greatest(acc["left"], F.lit(0.0)) / x["size"]))
+        one = F.array(F.struct(x["size"].alias("size"), m.alias("m"))).cast(pick)
+        return F.struct((acc["left"] - m * x["size"]).alias("left"), F.when(m < x["n"], x["size"]).otherwise(acc["small"]).alias("small"), F.when(m > 0, F.concat(acc["picks"], one)).otherwise(acc["picks"]).alias("picks"))
+
+    folded = _with_plan(lists, plan, "gap").withColumn("f", F.aggregate("sizes", zero, step))
+    nearer = F.col("f.small").isNotNull() & (F.col("f.small") - F.col("f.left") < F.col("f.left"))
+    last = F.array(F.struct(F.col("f.small").alias("size"), F.lit(1).cast("bigint").alias("m"))).cast(pick)
+    picks = F.when(nearer, F.concat("f.picks", last)).otherwise(F.col("f.picks"))
+    wanted = folded.select("source", F.explode(picks).alias("p")).groupBy("source", F.col("p.size").alias("size")).agg(F.sum("p.m").alias("m"))
+    h, w = hist.alias("h"), wanted.alias("w")
+    met = h.join(w, F.col("h.source").eqNullSafe(F.col("w.source")) & (F.col("h.size") == F.col("w.size"))).select("h.*", "w.m")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = met.withColumn("before", before).where((F.col("before") <= F.col("m")) & (F.col("before") + F.col("n") > F.col("m")) | (F.col("before") + F.col("n") == F.col("m")))
+    found = ends.groupBy("source", "size").agg(F.min(F.struct("place", (F.col("m") - F.col("before")).alias("rest"))).alias("e")).select("source", "size", F.col("e.place").alias("bound"), F.col("e.rest").alias("rest"))
+    out = materialise(found, "mix-fill")
+    discard(hist)
+    return out
+
+
+class Plan:
+    """What rounds the rates to copies: a cut a source, and the documents that fill what the cut leaves."""
+
+    def __init__(self, sizes: DataFrame, salt: int = 3):
+        """sizes: rows (doc_id, source, size)."""
+        self.salt = salt
+        base = tilts(sizes, source_targets(sizes))
+        placed = _rounding(sizes, base, salt)
+        certain = placed.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
+        cells = placed.groupBy("source", "cell").agg(F.sum("size").alias("words"))
+        run = F.sum("words").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+        cells = cells.select("source", "cell", run.alias("run")).unionByName(base.select("source", F.lit(-1).alias("cell"), F.lit(0).cast("bigint").alias("run")))
+        c, b, p = cells.alias("c"), certain.alias("b"), base.alias("p")
+        # The last cut that doesn't pass the target; rates of whole documents alone can't, but for rounding.
+        gap = F.col("target") - F.coalesce(F.col("base"), F.lit(0)) - F.col("run")
+        best = (
+            c.join(b, F.col("c.source").eqNullSafe(F.col("b.source")), "left")
+            .join(p, F.col("c.source").eqNullSafe(F.col("p.source")))
+            .where((gap >= -1e-6) | (F.col("c.cell") < 0))
+            .groupBy(F.col("c.source").alias("source"))
+            .agg(F.min(F.struct(gap.alias("gap"), F.col("c.cell").alias("cell"))).alias("best"))
+            .alias("k")
+        )
+        plan = p.join(best, F.col("p.source").eqNullSafe(F.col("k.source"))).select("p.*", F.col("best.cell").alias("cut"), F.col("best.gap").alias("gap"))
+        self.cuts = materialise(plan, "mix-plan")
+        self.fill = _fill(self._cut(sizes), self.cuts, salt)
+
+    def _cut(self, rows: DataFrame) -> DataFrame:
+        placed = _rounding(rows, self.cuts, self.salt)
+        return placed.select(*rows.columns, "source_size", "target", (F.col("whole") + (F.col("cell") <= F.col("cut")).cast("int")).alias("copies"))
+
+    def with_copies(self, rows: DataFrame) -> DataFrame:
+        """rows (doc_id, source, size, ...) with source_size, target and copies. Joins to one row a source and to the sizes that fill; only the rows at the bounds of these are ranked."""
+        names = [*rows.columns, "source_size", "target"]
+        r, f = self._cut(rows).alias("r"), self.fill.alias("f")
+        free = (F.col("r.copies") < int(CAP)) & (F.col("r.size") > 0)
+        joined = r.join(f, F.col("r.source").eqNullSafe(F.col("f.source")) & (F.col("r.size") == F.col("f.size")) & free, "left")
+        place = _place(F.col("r.doc_id"), F.col("r.size"), self.salt + 1, CELLS)
+        joined = joined.select(*[F.col(f"r.{c}") for c in names], F.col("r.copies").alias("copies"), F.col("f.bound").alias("bound"), F.col("f.rest").alias("rest"), place.alias("place"))
+        at = F.col("bound").isNotNull() & (F.col("place") == F.col("bound"))
+        turn = F.row_number().over(Window.partitionBy("source", "size", "place").orderBy("copies", "doc_id"))
+        ranked = joined.where(at).withColumn("turn", turn).select(*names, (F.col("copies") + (F.col("turn") <= F.col("rest")).cast("int")).alias("copies"))
+        more = F.coalesce((F.col("place") < F.col("bound")).cast("int"), F.lit(0))
+        return joined.where(~at).select(*names, (F.col("copies") + more).alias("copies")).unionByName(ranked)
 
 
 def mix(docs: DataFrame, salt: int = 3) -> DataFrame:
     """docs with each row repeated as often as the mix takes it (0, 1 or 2 times).
 
-    A null text has no words; a null source is a source of its own, last in order; a source without words has target 0
-    and keeps its (empty) documents by its cut; repeated rows count each; an empty table stays empty.
+    A source's words come as near to its target as its free documents let them: what is left is less than the
+    smallest document that could be taken once more. A null text has no words; a null source is a source of its own,
+    last in order; a source without words has target 0; documents without words have no say in the balance and
+    go with their source's cut; rows of one doc_id and size share a draw; repeated rows count each; very long texts
+    count as any other, once or twice at most; an empty table stays empty; columns of any name pass through.
     """
-    own = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
     kept = docs.select(*[F.col(c).alias(n) for c, n in own.items()], F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
-    plan = mix_plan(materialise(kept.select("doc_id", "source", "size"), "mix-sizes"), salt)
-    taken = with_copies(kept, plan, salt).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-    return taken.select(*[F.col(n).alias(c) for c, n in own.items()])
+    sizes = materialise(kept.select("doc_id", "source", "size"), "mix-sizes")
+    taken = Plan(sizes, salt).with_copies(kept)
+    discard(sizes)
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """Contract of the mixing query: doc_id, size, source_size, target, taken for every document."""
+    """Contract of the mixing query: doc_id, size, source_size, target, taken for every document; edge cases as in mix()."""
     sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    out = with_copies(sizes, mix_plan(sizes))
+    out = Plan(sizes).with_copies(sizes)
     return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
