@@ -11,8 +11,12 @@ from .common import materialise, partitions, text_or_empty
 
 #: Terms that stand in this share of all documents are kept: inverse document frequencies from ln 10 to ln 333.
 LEAST_SHARE, MOST_SHARE = 0.003, 0.1
-#: Random subsets of the lexicon; a term falls in one of them by its hash.
-SUBSETS = 128
+#: Layers of random subsets of the lexicon: how many subsets, and the share of the lexicon that each holds is 1 in so
+#: many. Of each layer a term falls in one subset or in none, by a hash of its own for the layer. Thick subsets tell
+#: short texts apart, thin ones still know a long text after an edit.
+LAYERS = ((128, 128), (32, 512), (32, 2048))
+#: A layer has a say in the likeness of two documents if so many of its subsets have a term of either.
+LEAST_SUBSETS = 8
 _NO_TERM = "\x01"
 
 
@@ -22,7 +26,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """term, slot for the terms within the band, counted over all documents.
+    """term, slot (a row for each subset that has the term) for the terms within the band, counted over all documents.
 
     Its size has a bound that doesn't grow with the corpus: the terms of a document number m on average, so at most
     m / least terms can reach a share of least.
@@ -31,7 +35,10 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
     low, high = max(1.0, least * n), max(2.0, most * n)
     counted = docs.select(F.explode(terms(text_or_empty())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     kept = counted.where(F.col("df").between(F.lit(low), F.lit(high)) & (F.col("term") != "") & (F.col("term") != _NO_TERM))
-    return materialise(kept.select("term", F.pmod(F.xxhash64("term", F.lit(17)), F.lit(SUBSETS)).cast("int").alias("slot")), "lexicon")
+    starts = [sum(n for n, _ in LAYERS[:i]) for i in range(len(LAYERS))]
+    places = [F.pmod(F.xxhash64("term", F.lit(17 + i)), F.lit(share)).cast("int") for i, (_, share) in enumerate(LAYERS)]
+    slots = F.array_compact(F.array(*[F.when(p < n, p + first) for p, (n, _), first in zip(places, LAYERS, starts, strict=True)]))
+    return materialise(kept.select("term", F.explode(slots).alias("slot")), "lexicon")
 
 
 def _bucketed(docs: DataFrame) -> tuple[DataFrame, list[tuple[int, int | None]]]:
@@ -83,9 +90,23 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, a_text: Column, b_text: Column) -> Column:
-    """Share of the subsets with a term of either document whose hashes agree; without any term, whether the texts are equal."""
-    slots = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, 16)), F.transform(b, lambda x: F.shiftright(x, 16))))
-    return F.when(slots > 0, F.size(F.array_intersect(a, b)) / slots).otherwise((a_text == b_text).cast("double")).cast("double")
+    """Share of the subsets with a term of either document whose hashes agree, in the layer where that is most; without any term, whether the texts are equal.
+
+    Layers of fewer than LEAST_SUBSETS such subsets have no say, unless all are.
+    """
+    slots = F.array_union(F.transform(a, lambda x: F.shiftright(x, 16)), F.transform(b, lambda x: F.shiftright(x, 16)))
+    same = F.transform(F.array_intersect(a, b), lambda x: F.shiftright(x, 16))
+
+    def inside(codes: Column, first: int, end: int) -> Column:
+        return F.size(F.filter(codes, lambda x: (x >= first) & (x < end)))
+
+    shares, first = [], 0
+    for n, _ in LAYERS:
+        known = inside(slots, first, first + n)
+        shares.append(F.when(known >= LEAST_SUBSETS, inside(same, first, first + n) / known))
+        first += n
+    best = F.coalesce(F.greatest(*shares), F.size(same) / F.size(slots))
+    return F.when(F.size(slots) > 0, best).otherwise((a_text == b_text).cast("double")).cast("double")
 
 
 def fingerprint_text(codes: Column, text_md5: Column) -> Column:
