@@ -174,7 +174,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, f
     for t in (rows, hot):
         discard(t)
     renamed = docs.select(F.col("doc_id").alias("__id"), text_or_empty().alias("__text"), *[F.col(c).alias(n) for c, n in own.items()])
-    joined = renamed.join(per_doc, F.col("__id").eqNullSafe(F.col("__doc")), "left")
+    # What has lines to drop grows with the corpus, so this is a merge join at every size.
+    joined = renamed.join(per_doc.hint("merge"), F.col("__id").eqNullSafe(F.col("__doc")), "left")
     lines = lines_of(F.col("__text"))
     stays = lambda line: F.coalesce(~F.array_contains(F.col("__hot"), line_hash(line)), F.lit(True))
     out = joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__hot").isNull(), lines).otherwise(F.filter(lines, stays)))
