@@ -56,8 +56,11 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(x: Sparse, y: np.ndarray, dense: np.ndarray, l2: float = 0.5, steps: int = 12, inner: int = 20) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of sparse features, of dense columns and the intercept: Newton steps on the regularised log loss, each solved by preconditioned conjugate gradients."""
+def fit_logistic(x: Sparse, y: np.ndarray, dense: np.ndarray, l2: float = 0.5, steps: int = 12, inner: int = 20, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of sparse features, of dense columns and the intercept: Newton steps on the regularised log loss, each solved by preconditioned conjugate gradients.
+
+    start: weights, dense weights and intercept to begin with, for a fit that lies near another; the optimum is the same.
+    """
     m, k = x.width, dense.shape[1]
     penalty = np.append(np.full(m + k, l2), 1e-6)
 
@@ -70,7 +73,7 @@ def fit_logistic(x: Sparse, y: np.ndarray, dense: np.ndarray, l2: float = 0.5, s
     def loss(t: np.ndarray, z: np.ndarray) -> float:
         return float(np.logaddexp(0, z).sum() - (y * z).sum() + (penalty * t * t).sum() / 2)
 
-    theta = np.zeros(m + k + 1)
+    theta = np.zeros(m + k + 1) if start is None else start.copy()
     z = times(theta)
     value = loss(theta, z)
     for _ in range(steps):

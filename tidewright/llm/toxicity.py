@@ -21,7 +21,9 @@ FOLDS = 5
 #: A feature is kept if it is in so many sampled documents, and the square root of its likelihood ratio statistic
 #: (G squared) for some category is LEAST at least. Which of CUTS and PENALTIES a model uses is tried out of fold.
 LEAST_DOCS, LEAST = 5, 4.0
-CUTS, PENALTIES = (4.0, 6.0, 9.0), (0.3, 2.0)
+CUTS, PENALTIES = (9.0, 6.0, 4.0), (0.3, 2.0)
+#: A laxer cut is tried as long as it lowers the log loss by this share.
+WORTH = 0.02
 #: Lengths in bytes of the beginnings of words that are features beside the words: stems take many endings.
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Log odds are held between these bounds.
@@ -91,12 +93,12 @@ def _threshold(y: np.ndarray, odds: np.ndarray) -> float:
     return float(best[np.argmin(np.abs(best - 0.5))])
 
 
-def fit_chain(x: Sparse, labels: np.ndarray, folds: np.ndarray, strength: np.ndarray, words: dict[bytes, int], categories: Sequence[str]) -> Chain:
+def fit_chain(x: Sparse, labels: np.ndarray, folds: np.ndarray, strength: np.ndarray, words: dict[bytes, int], categories: Sequence[str], compare: bool = False) -> Chain:
     """One model a category in the order given; later ones are trained with the earlier ones' out-of-fold log odds, as they'll meet them on new rows.
 
     strength (category, fold or all, feature): the statistics that choose features, each fold's without its own rows,
-    so nothing of a row is known to the model that rates it out of fold. Cut and penalty are those of the least
-    out-of-fold log loss.
+    so nothing of a row is known to the model that rates it out of fold. The cut, and then the penalty, are those of the
+    least out-of-fold log loss. compare: also measure each link without the earlier ones, for the report.
     """
     n, width = len(labels), x.width
     earlier = np.zeros((n, 0))
@@ -105,29 +107,38 @@ def fit_chain(x: Sparse, labels: np.ndarray, folds: np.ndarray, strength: np.nda
     for j, name in enumerate(categories):
         y = labels[:, j].astype(float)
 
-        def fitted(rows: np.ndarray, fold: int, cut: float, l2: float, dense: np.ndarray, j: int = j, y: np.ndarray = y) -> tuple[np.ndarray, np.ndarray, float]:
+        def fitted(rows: np.ndarray, fold: int, cut: float, l2: float, dense: np.ndarray, near: tuple | None = None, j: int = j, y: np.ndarray = y) -> tuple[np.ndarray, np.ndarray, float]:
             keep = strength[j, fold] >= cut
-            w, d, b = fit_logistic(x.part(rows, keep), y[rows], dense[rows], l2)
+            start = None if near is None else np.concatenate([near[0][keep], near[1], [near[2]]])
+            w, d, b = fit_logistic(x.part(rows, keep), y[rows], dense[rows], l2, start=start)
             full = np.zeros(width)
             full[keep] = w
             return full, d, b
 
-        def out_of_fold(cut: float, l2: float, dense: np.ndarray, fitted=fitted) -> np.ndarray:
-            odds = np.zeros(n)
+        def out_of_fold(cut: float, l2: float, dense: np.ndarray, fitted=fitted) -> tuple[np.ndarray, tuple]:
+            odds, near = np.zeros(n), fitted(every, FOLDS, cut, l2, dense)
             for f in range(FOLDS):
                 outside = folds == f
                 if outside.any() and not outside.all():
-                    w, d, b = fitted(~outside, f, cut, l2, dense)
+                    w, d, b = fitted(~outside, f, cut, l2, dense, near)
                     odds[outside] = (x.dot(w) + dense @ d + b)[outside]
-            return np.clip(odds, -BOUND, BOUND)
+            return np.clip(odds, -BOUND, BOUND), near
 
-        tried = {(c, p): out_of_fold(c, p, earlier) for c in CUTS for p in PENALTIES}
-        cut, l2 = min(tried, key=lambda k: (_log_loss(y, tried[k]), k))
-        odds = tried[cut, l2]
-        alone = _log_loss(y, out_of_fold(cut, l2, earlier[:, :0])) if earlier.shape[1] else _log_loss(y, odds)
-        models.append(fitted(every, FOLDS, cut, l2, earlier))
+        tried, best, least = {}, CUTS[0], float("inf")
+        for c in CUTS:
+            tried[c, PENALTIES[0]] = out_of_fold(c, PENALTIES[0], earlier)
+            loss = _log_loss(y, tried[c, PENALTIES[0]][0])
+            if loss > least * (1 - WORTH):
+                break
+            best, least = c, loss
+        tried.update({(best, p): out_of_fold(best, p, earlier) for p in PENALTIES[1:]})
+        cut, l2 = min(tried, key=lambda k: (_log_loss(y, tried[k][0]), k))
+        odds, model = tried[cut, l2]
+        models.append(model)
         thresholds.append(_threshold(y, odds))
-        report.append({"category": name, "cut": cut, "penalty": l2, "log_loss": _log_loss(y, odds), "log_loss_without_earlier": alone})
+        report.append({"category": name, "cut": cut, "penalty": l2, "log_loss": _log_loss(y, odds)})
+        if compare:
+            report[-1]["log_loss_without_earlier"] = _log_loss(y, out_of_fold(cut, l2, earlier[:, :0])[0])
         earlier = np.column_stack([earlier, odds])
     return Chain(tuple(categories), words, tuple(models), tuple(thresholds), tuple(report))
 
@@ -152,7 +163,7 @@ def g_roots(n: np.ndarray, p: np.ndarray, total: float, pos: float) -> np.ndarra
     return np.sqrt(2 * np.maximum(found, 0))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], bound: int = SAMPLE_ROWS) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], bound: int = SAMPLE_ROWS, compare: bool = False) -> Chain:
     """Fits the chain on a bounded sample: features are counted by fold and category in a distributed aggregate, which
     leaves those that tell some category apart; the driver sees these and one short array of feature numbers for each
     sampled document."""
@@ -226,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Co
     folds = got.column("fold").to_numpy()
     del got
     discard(chosen)
-    return fit_chain(x, marks, folds, strength, words, names)
+    return fit_chain(x, marks, folds, strength, words, names, compare)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -250,16 +261,17 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def label_categories() -> list[tuple[str, Column]]:
-    """The chain over this corpus' labels: junk text first, whose log odds then feed the model of toxic text."""
-    return [("junk", F.col("quality") == 0), ("toxic", F.col("toxic") == 1)]
+    """The chain over this corpus' labels, which have one mark for toxic text and one for quality: abuse within junk, abuse within prose, and toxic text of any kind, which learns from both."""
+    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    return [("toxic_junk", toxic & ~good), ("toxic_prose", toxic & good), ("toxic", toxic)]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None, bound: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with p_junk, p_toxic and is_toxic (p_toxic at least threshold; by default the one tuned out of fold).
+    """docs with p_toxic_junk, p_toxic_prose, p_toxic and is_toxic (p_toxic at least threshold; by default the one tuned out of fold).
 
     Every whole text, however long, is scored in one pass without a shuffle. Null and empty texts score alike, so do
     repeated rows; without any label every text gets probability 0.5 for each category and is_toxic is 0; empty tables
-    stay empty; columns of these three names are replaced, all others come back as they were, whatever their names.
+    stay empty; columns of these names are replaced, all others come back as they were, whatever their names.
     """
     chain = train(docs, labels, label_categories(), bound)
     out = score(docs.drop("is_toxic"), chain)
@@ -268,9 +280,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None,
 
 
 def toxicity_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The toxicity query: doc_id, p_junk, p_toxic, is_toxic of every document; edge cases as in toxicity()."""
+    """The toxicity query: doc_id, a probability for each category, is_toxic of every document; edge cases as in toxicity()."""
     out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "p_junk", "p_toxic", "is_toxic")
+    return out.select("doc_id", "p_toxic", "is_toxic", "p_toxic_junk", "p_toxic_prose")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
