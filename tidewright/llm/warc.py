@@ -38,11 +38,11 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def gzip_member(data: bytes, level: int = 5) -> bytes:
-    """A gzip member that tells its whole length and that of its content in the extra field 'sl', so that readers can step over it."""
+    """A gzip member that tells its whole length and that of its content, 8 bytes each, in the extra field 'sl', so that readers can step over it."""
     packer = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = packer.compress(data) + packer.flush()
-    total = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, total & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    total = 10 + 2 + 20 + len(body) + 8
+    extra = b"sl" + struct.pack("<HQQ", 16, total, len(data))
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -65,19 +65,24 @@ class _Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Each task writes files under names of its own; commit() gives them their final names, abort() removes them."""
+    """Each task writes files under names of its own, in a folder of this write; commit() gives them their final names, abort() removes them."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.folder = path, f"_temporary-{uuid.uuid4().hex}"
+
+    def _clear(self, system: pafs.FileSystem, base: str) -> None:
+        folder = posixpath.join(base, self.folder)
+        if system.get_file_info(folder).type != pafs.FileType.NotFound:
+            system.delete_dir(folder)
 
     def write(self, iterator: Iterator[Any]) -> _Written:
         files, out, size = [], None, 0
         system, base = filesystem(self.path)
-        system.create_dir(posixpath.join(base, "_temporary"), recursive=True)
+        system.create_dir(posixpath.join(base, self.folder), recursive=True)
         for row in iterator:
             if out is None:
                 name = f"{uuid.uuid4().hex}.warc.gz"
-                files.append((posixpath.join(base, "_temporary", name), posixpath.join(base, name)))
+                files.append((posixpath.join(base, self.folder, name), posixpath.join(base, name)))
                 out, size = system.open_output_stream(files[-1][0], compression=None), 0
             size += out.write(gzip_member(record_bytes(row)))
             if size >= ROLL_BYTES:
@@ -93,15 +98,10 @@ class WarcWriter(DataSourceWriter):
         for m in messages:
             for temporary, final in m.files if m else []:
                 system.move(temporary, final)
-        if system.get_file_info(posixpath.join(base, "_temporary")).type != pafs.FileType.NotFound:
-            system.delete_dir(posixpath.join(base, "_temporary"))
+        self._clear(system, base)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, _ = filesystem(self.path)
-        for m in messages:
-            for temporary, _final in m.files if m else []:
-                if system.get_file_info(temporary).type != pafs.FileType.NotFound:
-                    system.delete_file(temporary)
+        self._clear(*filesystem(self.path))
 
 
 def parse_head(data: bytes) -> tuple[dict[str, str], int] | None:
@@ -116,40 +116,102 @@ def parse_head(data: bytes) -> tuple[dict[str, str], int] | None:
     return fields, end + 4
 
 
-class _Members:
-    """Gzip members of a stream, one at a time; plain (uncompressed) archives count as one member."""
+class _Text:
+    """The unpacked content from one place of an archive on, read as far as it is asked for: gzip members one after another, or the plain bytes."""
+
+    def __init__(self, stream, at: int):
+        self.stream, self.at, self.held = stream, at, b""
+        stream.seek(at)
+        self.raw = stream.read(_CHUNK)
+        self.packed = self.raw[:2] == b"\x1f\x8b"
+        self.unpack = zlib.decompressobj(31) if self.packed else None
+
+    def more(self) -> bool:
+        """Takes on the next piece of content; False at the end of the file."""
+        if not self.raw:
+            self.raw = self.stream.read(_CHUNK)
+            if not self.raw:
+                if self.packed and not self.unpack.eof and self.started:
+                    raise ValueError("an archive that ends within a gzip member")
+                return False
+        if not self.packed:
+            self.held, self.raw = self.held + self.raw, b""
+            return True
+        self.held += self.unpack.decompress(self.raw)
+        self.started = True
+        self.raw = b""
+        if self.unpack.eof:
+            self.raw, self.unpack, self.started = self.unpack.unused_data, zlib.decompressobj(31), False
+        return True
+
+    started = False
+
+    def upto(self, size: int) -> bool:
+        """Whether so much content is held, after reading on."""
+        while len(self.held) < size:
+            if not self.more():
+                return False
+        return True
+
+
+class Records:
+    """WARC records of a file: plain, a gzip member a record, or several records a member. Members of this module's writer are stepped over unread where their record isn't wanted."""
 
     def __init__(self, stream):
         self.stream, self.size = stream, stream.size()
 
-    def records(self, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
-        """Fields and block of each record; block is None where wanted(fields) is 'head', and refused records are left out."""
-        at = 0
-        while at < self.size:
-            self.stream.seek(at)
-            first = self.stream.read(_CHUNK)
+    def _own_member(self, at: int) -> int | None:
+        """Length of a member that tells it (one record then)."""
+        self.stream.seek(at)
+        first = self.stream.read(32)
+        if len(first) == 32 and first[:4] == b"\x1f\x8b\x08\x04" and first[12:16] == b"sl\x10\0":
+            return struct.unpack("<Q", first[16:24])[0]
+        return None
+
+    def read(self, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+        """Fields and block of each record; block is None where wanted(fields) is 'head', and refused records ('') are left out."""
+        at, text = 0, None
+        while text is not None or at < self.size:
             skip = None
-            if first[:4] == b"\x1f\x8b\x08\x04" and first[12:14] == b"sl":
-                skip = struct.unpack("<I", first[16:20])[0]
-            unpack = zlib.decompressobj(31)
-            text, raw, read = unpack.decompress(first), b"", len(first)
-            while (head := parse_head(text)) is None and not unpack.eof and (raw := self.stream.read(_CHUNK)):
-                text, read = text + unpack.decompress(raw), read + len(raw)
-            if head is None:
-                raise ValueError("a WARC record without a complete header")
+            if text is None:
+                skip = self._own_member(at)
+                text = _Text(self.stream, at)
+            while (head := parse_head(text.held)) is None:
+                if not text.more():
+                    if text.held.strip(b"\r\n"):
+                        raise ValueError("a WARC record without a complete header")
+                    return
             fields, start = head
-            want = wanted(fields)
-            if want == "block" or skip is None:
-                parts = [text]
-                while not unpack.eof and (raw := self.stream.read(_CHUNK)):
-                    parts.append(unpack.decompress(raw))
-                    read += len(raw)
-                text = b"".join(parts)
-                at += read - len(unpack.unused_data)
+            want, length = wanted(fields), int(fields.get("content-length", 0))
+            if skip is not None and want != "block":
+                at, text = at + skip, None
+                if want:
+                    yield fields, None
+                continue
+            if want == "block":
+                if not text.upto(start + length):
+                    raise ValueError("a WARC record that ends before its length")
+                yield fields, text.held[start : start + length]
             else:
-                at += skip
-            if want:
-                yield fields, text[start : start + int(fields.get("content-length", 0))] if want == "block" else None
+                # What isn't wanted is unpacked, as members of others don't tell their length, but not kept.
+                left = start + length
+                while left > len(text.held):
+                    left, text.held = left - len(text.held), b""
+                    if not text.more():
+                        raise ValueError("a WARC record that ends before its length")
+                text.held, start, length = text.held[left:], 0, 0
+                if want:
+                    yield fields, None
+            if skip is not None:
+                at, text = at + skip, None
+                continue
+            text.held = text.held[start + length :]
+            while True:  # blank lines between records
+                text.held = text.held.lstrip(b"\r\n")
+                if text.held or not text.more():
+                    break
+            if not text.held:
+                return
 
 
 @dataclass
@@ -191,7 +253,7 @@ class WarcReader(DataSourceReader):
             return
         rows, size = [], 0
         with system.open_input_file(partition.path) as stream:
-            for fields, block in _Members(stream).records(wanted):
+            for fields, block in Records(stream).read(wanted):
                 rows.append(self._row(fields, block))
                 size += len(block or b"")
                 if len(rows) >= 2_000 or size >= 8 << 20:
@@ -317,7 +379,8 @@ def warc_digest(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Contract of the archive query: writes every page, reads the archives back.
 
     Responses are read with their payloads, which the reader checks against their digests; revisits by their headers
-    alone, and get the length of the response that they refer to.
+    alone, and get the length of the response that they refer to. Edge cases as in write_pages(); an empty table gives
+    an empty result; extra columns aren't read.
     """
     path = fresh_path(spark, "archive")
     write_pages(pages, path)
