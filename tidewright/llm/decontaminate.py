@@ -6,7 +6,8 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import importable, table
+from .common import discard, importable, materialise, table
 
 K1, B = 1.2, 0.75
 BLOCK = 64
@@ -22,8 +23,8 @@ BLOCK = 64
 BASE = 1 << 31
 #: Share of an item's score against itself that a passage must reach, and shares of 3-word runs that must be found.
 THETA, QUESTION, ANSWER, OVERALL = 0.35, 0.5, 0.5, 0.7
-#: Bytes of test items in one index; more items are searched in slices, one pass each.
-INDEX_BYTES = 32 << 20
+#: Bytes of test items in one index, which takes about 80 times as much memory; more items are searched by several, one pass each.
+INDEX_BYTES = 4 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("score", "question_overlap", "answer_overlap")]]))
 
@@ -58,20 +59,48 @@ class Passage:
         return len(runs & self.runs[n]) if n else 0
 
 
+@dataclass
+class Collection:
+    """Counts over all items of a benchmark: how many there are, their mean number of pairs, the longest one's words, and each pair's items."""
+
+    items: int
+    mean: float
+    longest: int
+    df: Counter
+
+    @classmethod
+    def of(cls, items: Iterable[list[bytes]]) -> Collection:
+        n = total = longest = 0
+        df: Counter = Counter()
+        for words in items:
+            found = list(zip(words, words[1:], strict=False)) or [tuple(words)]
+            n, total, longest = n + 1, total + len(found), max(longest, len(words))
+            df.update(set(found))
+        return cls(n, total / n if n else 1.0, max(longest, 1), df)
+
+    def only(self, items: Iterable[list[bytes]]) -> Collection:
+        """The same counts, of the pairs that these items have."""
+        named = {p for words in items for p in (list(zip(words, words[1:], strict=False)) or [tuple(words)])}
+        return Collection(self.items, self.mean, self.longest, Counter({p: self.df[p] for p in named}))
+
+
 class BlockMaxIndex:
     """Postings of word pairs (an item of one word has that word as its pair) with each posting's BM25 impact as a share of its item's own score, in blocks with their largest impact."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Collection | None = None):
+        """items: the test items of this index; whole: what is counted over all items, where these are a part of them."""
         self.items = [(i, folded(t), t) for i, t in items]
         self.items = [x for x in self.items if x[1]]
+        whole = whole or Collection.of(w for _, w, _ in self.items)
         self.word_ids: dict[bytes, int] = {}
         for _, words, _ in self.items:
             for w in words:
                 self.word_ids.setdefault(w, len(self.word_ids))
         pairs = [Counter(self.pairs(np.array([self.word_ids[w] for w in words], dtype=np.int64))) for _, words, _ in self.items]
         lengths = np.array([sum(p.values()) for p in pairs] or [1], dtype=float)
-        df = Counter(t for p in pairs for t in p)
-        n, mean = max(1, len(pairs)), lengths.mean()
+        words_of = list(self.word_ids)
+        df = {t: whole.df[self.named(t, words_of)] for p in pairs for t in p}
+        n, mean = max(1, whole.items), whole.mean
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
         self.keys = np.array(sorted(df), dtype=np.int64)
         self.lone = self.keys[self.keys % BASE == BASE - 1] // BASE
@@ -86,13 +115,18 @@ class BlockMaxIndex:
                 self.impacts[k].append(v / own)
         self.upper = np.array([max(v) for v in self.impacts] or [0.0])
         self.block_max = [[max(v[i : i + BLOCK]) for i in range(0, len(v), BLOCK)] for v in self.impacts]
-        longest = max((len(w) for _, w, _ in self.items), default=1)
-        self.window = max(128, 2 * longest)
+        self.window = max(128, 2 * whole.longest)
         self.checks = []
         for _, words, text in self.items:
             q, a = question_and_answer(text)
             self.checks.append((runs_of(folded(q)), runs_of(folded(a)), runs_of(words)))
 
+    @staticmethod
+    def named(pair: int, words: list[bytes]) -> tuple[bytes, ...]:
+        """The words of a pair's number."""
+        a, b = divmod(pair, BASE)
+        return (words[a],) if b == BASE - 1 else (words[a], words[b])
+
     def pairs(self, ids: np.ndarray) -> list[int]:
         return (ids[:-1] * BASE + ids[1:]).tolist() if len(ids) > 1 else (ids * BASE + BASE - 1).tolist()
 
@@ -180,14 +214,22 @@ class BlockMaxIndex:
         return [(self.items[d][0], float(s), qs, as_) for d, (s, qs, as_) in sorted(best.items())]
 
 
-def slices(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
-    """Indices over the items, each of about INDEX_BYTES at most, so what a worker holds doesn't grow with the benchmark; null ids or texts have nothing to match."""
+def indices(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
+    """Indices over the items, each of about INDEX_BYTES of them, so what a worker holds doesn't grow with the benchmark; null ids or texts have nothing to match.
+
+    Scores are those of one index over all items: number, mean length, longest item and each pair's count are taken
+    over all. The driver sees the items, and holds their pairs' counts.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna().distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / INDEX_BYTES))
+    if n == 1:
+        yield BlockMaxIndex([(r[0], r[1]) for r in items.orderBy("item_id", "text").collect()])
+        return
+    whole = Collection.of(w for r in items.toLocalIterator() if (w := folded(r[1])))
     for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) if n > 1 else items
-        yield BlockMaxIndex([(r[0], r[1]) for r in part.orderBy("item_id", "text").collect()])
+        part = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()]
+        yield BlockMaxIndex(part, whole.only(w for _, t in part if (w := folded(t))))
 
 
 def _searcher(sent):
@@ -208,20 +250,26 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, out: str = "leaks") -> Dat
     """
     spark = docs.sparkSession
     importable(spark)
-    found = docs.withColumn(out, F.array().cast(_LEAKS))
-    for index in slices(benchmark):
+    own = {c: f"__own{i}" for i, c in enumerate(c for c in docs.columns if c != out)}
+    found = docs.select(*[F.col(c).alias(n) for c, n in own.items()], F.col("text").cast("string").alias("__text"), F.array().cast(_LEAKS).alias("__found"))
+    for k, index in enumerate(indices(benchmark)):
+        # A benchmark of several indices is searched with one after another, so workers hold one at a time.
+        before = found
+        found = materialise(before, "searched") if k else before
+        if k > 1:
+            discard(before)
         search = _searcher(spark.sparkContext.broadcast(index))
-        found = found.withColumn(out, F.concat(F.col(out), search(F.col("text").cast("string"))))
-    return found
+        found = found.withColumn("__found", F.concat(F.col("__found"), search(F.col("__text"))))
+    return found.select(*[F.col(n).alias(c) for c, n in own.items()], F.col("__found").alias(out))
 
 
 def leak_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document and test item that one of its passages holds."""
+    """A row for each document and test item that one of its passages holds; edge cases as in with_leaks()."""
     docs = with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return docs.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", "x.score", "x.question_overlap", "x.answer_overlap")
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without a passage of any test item, with their own columns."""
+    """Documents without a passage of any test item, with their own columns, whatever their names; edge cases as in with_leaks()."""
     own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text")
     return with_leaks(own, benchmark).where(F.size("leaks") == 0).select("row.*")
