@@ -94,20 +94,33 @@ def hilbert_shards(
 
     Rows sorted by curve index, then by ties, are cut into n_shards runs whose row counts differ by one at most, so
     each shard covers a compact region of the metadata and its files' min/max statistics prune on any of the columns.
-    Null metadata falls into the first cell; repeated rows keep separate slots; with fewer rows than shards some
-    shards are empty; an empty table gives an empty result. Columns named shard or slot in df are replaced.
+    Null metadata falls into the first cell; equal curve cells are ordered by ties, and rows that tie in these as well
+    in some order that is settled once; repeated rows keep separate slots; very long texts are only carried along; with
+    fewer rows than shards some shards are empty; an empty table gives an empty result. Columns named shard or slot in
+    df are replaced, all others come back as they were, whatever their names.
     """
-    df = df.drop("shard", "slot")
-    curve = with_curve(df, numeric, category, bits, "__curve")
-    place, n = ranked(curve, ["__curve", *ties], "hilbert")
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
+    own = {c: f"__own{i}" for i, c in enumerate(kept)}
+    axes = [*numeric, *category]
+    keys = [f"__tie{i}" for i in range(len(ties))]
+    light = df.select(*[F.col(c).alias(f"__axis{i}") for i, c in enumerate(axes)], *[F.col(c).alias(k) for c, k in zip(ties, keys, strict=True)], *[F.col(c).alias(n) for c, n in own.items()])
+    named = [f"__axis{i}" for i in range(len(axes))]
+    curve = with_curve(light, named[: len(numeric)], named[len(numeric) :], bits, "__curve").drop(*named)
+    place, n = ranked(curve, ["__curve", *keys], "hilbert")
     n = max(n, 1)
-    shard = F.expr(f"cast(__rank * {n_shards} div {n} as int)")
-    start = F.expr(f"(cast(shard as bigint) * {n} + {n_shards - 1}) div {n_shards}")
-    return place.drop("__curve").withColumn("shard", shard).withColumn("slot", F.col("__rank") - start).drop("__rank")
+    placed = place.withColumn("__shard", F.expr(f"cast(__rank * {n_shards} div {n} as int)"))
+    start = F.expr(f"(cast(__shard as bigint) * {n} + {n_shards - 1}) div {n_shards}")
+    return placed.select(*[F.col(n).alias(c) for c, n in own.items()], F.col("__shard").alias("shard"), (F.col("__rank") - start).alias("slot"))
+
+
+def write_shards(df: DataFrame, path: str, **options) -> None:
+    """Writes df as Parquet with a folder a shard, rows in curve order, so that row groups' statistics prune on any of the axes."""
+    placed = hilbert_shards(df, **options)
+    placed.repartitionByRange(partitions(df.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_digest(docs: DataFrame, n_shards: int = 40) -> DataFrame:
-    """Contract of the sharding query over documents: only ids, sizes, checksums and metadata are shuffled, never texts."""
+    """Contract of the sharding query over documents: only ids, sizes, checksums and metadata are shuffled, never texts; a null text has 16 bytes, other edge cases as in hilbert_shards()."""
     raw = F.encode(F.col("text"), "UTF-8")
     light = docs.select(
         "doc_id",
