@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,27 +41,40 @@ def curve_index(axes: Sequence[np.ndarray], bits: int) -> np.ndarray:
     return index
 
 
+#: Bytes of a category's values, behind what all of them begin with, that place it; as many as a double tells apart.
+_PLACED_BYTES = 6
+
+
+def _text_places(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Numbers in the order of the strings: their first bytes behind the beginning that the least and the largest value share."""
+    if not names:
+        return []
+    ends = df.select(*[f(F.col(c).cast("string")) for c in names for f in (F.min, F.max)]).first()
+    out = []
+    for i, c in enumerate(names):
+        shared = len(os.path.commonprefix([ends[2 * i] or "", ends[2 * i + 1] or ""]))
+        raw = F.hex(F.substring(F.encode(F.substring(F.col(c).cast("string"), shared + 1, _PLACED_BYTES), "UTF-8"), 1, _PLACED_BYTES))
+        out.append(F.conv(F.rpad(raw, 2 * _PLACED_BYTES, "0"), 16, 10).cast("double"))
+    return out
+
+
 def with_curve(df: DataFrame, numeric: Sequence[str], category: Sequence[str], bits: int, out: str) -> DataFrame:
-    """Adds the curve index: numeric columns by their quantiles (2**bits - 1 bounds at most reach the driver), categories by hash; null counts as the first cell."""
+    """Adds the curve index. Every axis is cut by its quantiles (2**bits - 1 bounds at most reach the driver), categories in the order of their values, so files' statistics prune on them too; null counts as the first cell."""
     importable(df.sparkSession)
     cells = 1 << bits
-    bounds: dict[str, np.ndarray] = {}
-    if numeric:
-        probes = F.array(*[F.lit(k / cells) for k in range(1, cells)])
-        row = df.select(*[F.percentile_approx(F.col(c).cast("double"), probes, 10_000).alias(f"b{i}") for i, c in enumerate(numeric)]).first()
-        bounds = {c: np.array(row[i] or [], dtype=float) for i, c in enumerate(numeric)}
-    axes = [F.col(c).cast("double") for c in numeric] + [F.pmod(F.xxhash64(F.col(c)), F.lit(cells)).cast("double") for c in category]
-    names = list(numeric)
+    axes = [F.col(c).cast("double") for c in numeric] + _text_places(df, category)
+    probes = F.array(*[F.lit(k / cells) for k in range(1, cells)])
+    row = df.select(*[F.percentile_approx(a, probes, 10_000) for a in axes]).first()
+    bounds = [np.unique(np.array(b or [], dtype=float)) for b in row]
 
     @F.pandas_udf(T.LongType())
     def index(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in parts:
             whole = []
-            for i, s in enumerate(columns):
+            for s, known in zip(columns, bounds, strict=True):
                 v = s.to_numpy(dtype=float, na_value=np.nan)
-                if i < len(names):
-                    v = np.where(np.isnan(v), 0, np.searchsorted(np.unique(bounds[names[i]]), v, side="left"))
-                whole.append(np.nan_to_num(v).astype(np.uint64))
+                cell = np.where(np.isnan(v), 0, np.searchsorted(known, v, side="left"))
+                whole.append((cell * (cells - 1) // max(1, len(known))).astype(np.uint64))
             yield pd.Series(curve_index(whole, bits).astype(np.int64))
 
     return df.withColumn(out, index(*axes))
