@@ -50,7 +50,9 @@ def eligible(tasks: DataFrame, now: Column) -> DataFrame:
 
 
 def claim(tasks: DataFrame, now: Column, lanes: DataFrame) -> DataFrame:
-    """Oldest eligible tasks up to each lane's cap; lanes: lane, cap. Ranks are cut inside tasks before the shuffle."""
+    """Oldest eligible tasks up to what each lane's cap leaves beside its running tasks; lanes: lane, cap. Ranks are cut inside tasks before the shuffle."""
+    busy = tasks.where("state = 'running'").groupBy("lane").agg(F.count(F.lit(1)).alias("busy"))
+    lanes = lanes.join(busy, "lane", "left").select("lane", (F.col("cap") - F.coalesce("busy", F.lit(0))).alias("cap"))
     turn = F.row_number().over(Window.partitionBy("lane").orderBy("id"))
     most = lanes.agg(F.max("cap")).first()[0] or 0
     return eligible(tasks, now).withColumn("turn", turn).where(F.col("turn") <= int(most)).join(F.broadcast(lanes), "lane").where("turn <= cap").drop("cap")
@@ -131,7 +133,7 @@ def transitions(moves: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def upsert(new: DataFrame, old: DataFrame | None, key: str, order: str) -> DataFrame:
     """Rows of new to insert: the first of each key that old doesn't have; existing items never regress."""
-    first = new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n = 1").drop("__n")
+    first = new.groupBy(key).agg(F.min_by(F.struct(*[c for c in new.columns if c != key]), order).alias("__r")).select(key, "__r.*").select(*new.columns)
     return first if old is None else first.join(old.select(key), key, "left_anti")
 
 

@@ -64,7 +64,8 @@ def fused_top(docs: DataFrame, queries: DataFrame, static: DataFrame, k: int = 5
     n = static.count()
     static = first_of_each_text(docs, static) if distinct else static.withColumn("copies", F.lit(1).cast("bigint"))
     different = static.count() if distinct else n
-    hits = lexical_hits(docs.join(static.select("key"), "key") if distinct else docs, queries)
+    # Kept: counted for the ranks, for the rows without hits, and joined to their votes in the end.
+    hits = lexical_hits(docs.join(static.select("key"), "key") if distinct else docs, queries).persist()
     counted = hits.join(static.select("key", "copies"), "key") if distinct else hits.withColumn("copies", F.lit(1).cast("bigint"))
     kinds = counted.groupBy("q", "hits").agg(F.sum("copies").alias("n"))
     asked = queries.select("q").distinct()

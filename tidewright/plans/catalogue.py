@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming import queries as streams
-from . import ledger_views, retrieval
+from . import ledger_views, retrieval, step_queries
 
-PARTS = (retrieval, ledger_views, streams)
+PARTS = (retrieval, ledger_views, step_queries, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

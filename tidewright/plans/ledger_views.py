@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import queue as qu
+from ..operators import steps
 from .retrieval import t
 
 Q: dict = {}
@@ -139,10 +140,12 @@ def join_fire(spark, d):
     return qu.fire(groups, groups.where(F.col("group_id") % 7 == 0)).select("group_id")
 
 
-@query(f"WITH {BARRIER_SQL} SELECT group_id, task_id, coalesce(state, 'waiting') AS state, count(*) OVER (PARTITION BY group_id) > 4 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY task_id, coalesce(state, 'waiting')) AS n, count(*) OVER (PARTITION BY group_id) AS c FROM m) WHERE n <= 4".replace("count(*) OVER (PARTITION BY group_id) > 4 AS truncated", "c > 4 AS truncated"))
+@query(f"""WITH {BARRIER_SQL} SELECT group_id, task_id, state, total, total > 200 AS truncated
+FROM (SELECT group_id, task_id, coalesce(state, 'waiting') AS state, count(*) OVER (PARTITION BY group_id) AS total, row_number() OVER (PARTITION BY group_id ORDER BY task_id, coalesce(state, 'waiting')) AS n FROM m) WHERE n <= 200""")
 def join_roster(spark, d):
-    """All members of every group, so none is truncated and its counts are those of its rows. The SQL stops at four."""
-    return members(spark, d).select("group_id", "task_id", F.coalesce("state", F.lit("waiting")).alias("state"), F.lit(False).alias("truncated"))
+    """The first 200 members of each group, with its exact total."""
+    roster = members(spark, d).select("group_id", "task_id", F.coalesce("state", F.lit("waiting")).alias("state"))
+    return steps.roster_cap(roster, 200)
 
 
 @query(f"WITH {BARRIER_SQL} SELECT o_orderkey AS group_id, coalesce(n, 0) AS terminal FROM orders LEFT JOIN (SELECT group_id, count(state) AS n FROM m GROUP BY 1) x ON x.group_id = o_orderkey WHERE o_orderstatus <> 'F'")
@@ -282,7 +285,9 @@ def workflow_edges(spark, d):
     return edges(spark.createDataFrame(FLOWS, "kind string, consumes string, emits string"))
 
 
-@query("SELECT * FROM (VALUES ('scan', 0), ('recheck', 1), ('file', 2), ('notify', 3), ('retry', 3)) v(kind, depth)")
+@query(f"""WITH RECURSIVE {FLOW_SQL}, e AS (SELECT DISTINCT a.kind AS s, b.kind AS g FROM w a JOIN w b ON a.emits = b.consumes WHERE a.kind <> b.kind),
+walk(kind, depth) AS (SELECT kind, 0 FROM w WHERE kind NOT IN (SELECT g FROM e) UNION SELECT e.g, walk.depth + 1 FROM walk JOIN e ON e.s = walk.kind WHERE walk.depth < 10)
+SELECT kind, min(depth)::INT AS depth FROM walk GROUP BY kind""")
 def workflow_depth(spark, d):
     from .definitions import depths, edges
 

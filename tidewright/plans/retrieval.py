@@ -183,8 +183,9 @@ def multi_query_rrf(spark, d):
 WITH x AS (SELECT CAST(doc_id AS VARCHAR) AS key, text, n_chars, row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, CAST(doc_id AS VARCHAR)) AS twin FROM documents)
 SELECT key, n_chars FROM x WHERE twin = 1""")
 def dedup_exact(spark, d):
-    first = Window.partitionBy(F.sha2(F.col("text"), 256)).orderBy(F.desc("n_chars"), "key")
-    return corpus(spark, d).withColumn("twin", F.row_number().over(first)).where("twin = 1").select("key", "n_chars")
+    best = F.min(F.struct((-F.col("n_chars")).alias("neg"), "key"))
+    rows = corpus(spark, d).groupBy(F.sha2("text", 256).alias("sha")).agg(best.alias("best"))
+    return rows.select("best.key", (-F.col("best.neg")).alias("n_chars"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS key, substr(text, 1, 100) AS display, length(text) > 100 AS truncated FROM documents")
@@ -224,16 +225,18 @@ FUNNEL = (
     "WITH "
     + LEX.format(where="")
     + """, placed AS (SELECT q, key, round(CASE WHEN votes THEN 1.0 / (60 + r) ELSE 0 END, 6) AS score FROM lr),
- hundred AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS place FROM placed) WHERE place <= 100),
- tw AS (SELECT h.*, row_number() OVER (PARTITION BY q, d.text ORDER BY place) AS twin FROM hundred h JOIN d USING (key))
-SELECT q, (SELECT count(*) FROM d) AS considered, count(*) AS gathered, count(*) FILTER (WHERE twin > 1) AS deduped,
- least(count(*) FILTER (WHERE twin = 1), 50) AS pool, least(count(*) FILTER (WHERE twin = 1), 5) AS chosen FROM tw GROUP BY q"""
+ pl AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS place FROM placed),
+ tw AS (SELECT pl.*, row_number() OVER (PARTITION BY q, d.text ORDER BY place) AS twin FROM pl JOIN d USING (key)),
+ nth AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY place) AS n FROM tw WHERE twin = 1),
+ pool AS (SELECT q, count(*) AS n, max(place) AS last FROM nth WHERE n <= 50 GROUP BY q)
+SELECT tw.q, (SELECT count(*) FROM d) AS considered, count(*) AS gathered, count(*) FILTER (WHERE twin > 1 AND (pool.n < 50 OR place < pool.last)) AS deduped,
+ any_value(pool.n) AS pool, least(any_value(pool.n), 5) AS chosen FROM tw JOIN pool USING (q) GROUP BY tw.q"""
 )
 
 
 @query(FUNNEL)
 def funnel_counts(spark, d):
-    """Every document is gathered; the pool is the first fifty different texts of the whole ranking. The SQL stops at the hundred best rows."""
+    """Every document is gathered; the pool is the first fifty different texts of the whole ranking."""
     docs = corpus(spark, d)
     cap, n = sel.pool_cap(5), F.lit(docs.count()).cast("bigint")
     pool = sel.fused_top(docs, asked(spark, d), _flat(docs), k=cap, distinct=True)
@@ -260,7 +263,7 @@ def recall_eval(spark, d):
 
 KNN = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-p AS (SELECT a.vec_id AS q, b.vec_id AS key, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id < 20 AND b.vec_id <> a.vec_id),
+p AS (SELECT a.vec_id AS q, b.vec_id AS key, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS place FROM p)
 SELECT q, key, score, place FROM r WHERE place <= 5"""
 
@@ -271,7 +274,7 @@ KNN_BLOCK = 64
 
 @query(KNN)
 def knn_top5(spark, d):
-    """Every row whose vec_id 50 divides, against all rows, in blocks of bounded size. The SQL has the first twenty rows as queries."""
+    """Every row whose vec_id 50 divides, against all rows, in blocks of bounded size."""
     rows = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
     blocks = queries.withColumn("block", F.floor(F.col("q") / (50 * KNN_BLOCK))).groupBy("block").agg(F.collect_list(F.struct("q", "qv")).alias("qs"))
@@ -299,7 +302,28 @@ def nearest_centroid(spark, d):
     return best.select("vec_id", one["label"].alias("predicted"), (-one["neg"]).alias("score"), F.round(-one["neg"] - F.coalesce(-two["neg"], F.lit(0.0)), 6).alias("margin"))
 
 
-@query()
+def _mmr_sql(steps: int = 5) -> str:
+    """The steps one after another: each takes the best by relevance less half its largest likeness to what is picked."""
+    out = (
+        "WITH "
+        + LEX.format(where="")
+        + """, sc AS (SELECT lr.q, lr.key, round(CASE WHEN lr.votes THEN 1.0 / (60 + lr.r) ELSE 0 END, 6) AS score, d.text FROM lr JOIN d USING (key)),
+ tw AS (SELECT *, row_number() OVER (PARTITION BY q, text ORDER BY score DESC, key) AS twin FROM sc),
+ po AS (SELECT q, key, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS n FROM tw WHERE twin = 1) WHERE n <= 50),
+ rl AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS rel FROM po WINDOW w AS (PARTITION BY q)),
+ """
+        + FEATURES.format("(SELECT * FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT key FROM po))").strip()
+        + """, ve AS (SELECT CAST(doc_id AS VARCHAR) AS key, slot, weight, sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS n FROM v),
+ si AS (SELECT a.key AS a, b.key AS b, round(sum((a.weight / a.n) * (b.weight / b.n)), 9) AS x FROM ve a JOIN ve b USING (slot) WHERE a.n > 0 AND b.n > 0 GROUP BY ALL),
+ r1 AS (SELECT *, 0.0::DOUBLE AS red FROM rl), p1 AS (SELECT q, key FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS n FROM r1) WHERE n = 1)"""
+    )
+    for k in range(2, steps + 1):
+        out += f""", r{k} AS (SELECT r.q, r.key, r.score, r.rel, {'greatest(r.red, coalesce(si.x, 0))' if k > 2 else 'coalesce(si.x, 0)'} AS red FROM r{k - 1} r JOIN p{k - 1} p USING (q) LEFT JOIN si ON si.a = p.key AND si.b = r.key WHERE r.key <> p.key),
+ p{k} AS (SELECT q, key FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rel - 0.5 * red, 9) DESC, score DESC, key) AS n FROM r{k}) WHERE n = 1)"""
+    return out + " " + " UNION ALL ".join(f"SELECT q, key, {k} AS step FROM p{k}" for k in range(1, steps + 1))
+
+
+@query(_mmr_sql())
 def mmr_select(spark, d):
     """Five diverse documents for each benchmark text, from the first fifty different texts of its whole ranking."""
     docs = corpus(spark, d)
