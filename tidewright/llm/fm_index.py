@@ -130,11 +130,13 @@ class FMIndex:
         known = (offset % SAMPLE == 0)[order]
         self.known = Bits(known)
         self.samples = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths + 1)[order][known]
+        # Where the last window - 1 words of each piece stand in the order.
+        self.tails = rank[ends - np.minimum(lengths, window - 1) - 1]
 
     def step(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of symbol + pattern from those of the patterns."""
-        base = self.counts[symbols]
-        return base + self.bwt.rank(symbols, low), base + self.bwt.rank(symbols, high)
+        both = np.tile(self.counts[symbols], 2) + self.bwt.rank(np.tile(symbols, 2), np.concatenate([low, high]))
+        return both[: len(symbols)], both[len(symbols) :]
 
     def shortened(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the first window - 1 words of the suffixes in these rows."""
@@ -167,22 +169,29 @@ class FMIndex:
         rows = np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
         return np.minimum.reduceat(self.numbers[self.pieces_of(rows)], ends - sizes)[back] if len(rows) else np.empty(0, np.int64)
 
-    def statistics(self, patterns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    def statistics(self, patterns: list[np.ndarray], own: bool = False) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
         """Matching statistics: for each pattern and position, how many words from there on match somewhere (window at most), and the rows low to high of that match.
 
         Patterns are read backwards side by side. A match of window words is cut to window - 1 before the next word is
         put in front. Where a word can't be put in front, the match loses its last word and is searched again from its
-        new end: no longer match can start there or further left.
+        new end: no longer match can start there or further left. own: the patterns are the index's pieces, whose last
+        window - 1 words match to the end and are kept as rows; their search starts there, and rows aren't told for them.
         """
         lengths = np.array([len(p) for p in patterns], dtype=np.int64)
-        flat = np.concatenate([*map(self.coded, patterns), np.empty(0, np.int64)])
+        flat = self.coded(np.concatenate([*patterns, np.empty(0, np.uint64)]))
         ends = np.cumsum(lengths)
         begin = ends - lengths
         got, first, last = (np.zeros(len(flat), dtype=np.int64) for _ in range(3))
         # For each pattern: the position in question, the end of the match tried, and the word to put in front next.
         at, end = ends - 1, ends - 1
-        word, low, high = at.copy(), np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        live = np.flatnonzero(lengths)
+        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
+        if own and len(patterns):
+            got[:] = np.minimum(np.repeat(ends, lengths) - np.arange(len(flat)), self.window - 1)
+            long = np.flatnonzero(lengths >= self.window)
+            at = np.where(lengths >= self.window, ends - self.window, begin - 1)
+            low[long], high[long] = self.shortened(self.tails[long]) if self.window > 1 else (low[long], high[long])
+        word = at.copy()
+        live = np.flatnonzero(at >= begin)
         while len(live):
             c = flat[word[live]]
             x, y = self.step(c, low[live], high[live])
@@ -199,17 +208,18 @@ class FMIndex:
                 empty = long[end[long] <= at[long]]
                 low[empty], high[empty] = 0, self.n
             failed = live[~ok]
-            # No match can hold a word that the index hasn't: the next ends in front of it.
-            end[failed] = np.where(c[~ok] == 0, word[failed] - 1, end[failed] - 1)
-            at[failed] = np.minimum(at[failed], end[failed])
-            word[failed] = end[failed]
+            if len(failed):
+                # No match can hold a word that the index hasn't: the next ends in front of it.
+                end[failed] = np.where(c[~ok] == 0, word[failed] - 1, end[failed] - 1)
+                at[failed] = np.minimum(at[failed], end[failed])
+                word[failed] = end[failed]
             live = live[at[live] >= begin[live]]
         cut = [slice(i, j) for i, j in zip(begin, ends, strict=True)]
         return [got[s] for s in cut], [first[s] for s in cut], [last[s] for s in cut]
 
-    def earliest(self, patterns: list[np.ndarray]) -> list[np.ndarray]:
+    def earliest(self, patterns: list[np.ndarray], own: bool = False) -> list[np.ndarray]:
         """For each pattern and position the least number of a piece where the window from there on starts; -1 where it starts nowhere."""
-        got, first, last = (np.concatenate([*x, np.empty(0, np.int64)]) for x in self.statistics(patterns))
+        got, first, last = (np.concatenate([*x, np.empty(0, np.int64)]) for x in self.statistics(patterns, own))
         out = np.full(len(got), -1, dtype=np.int64)
         whole = got >= self.window
         out[whole] = self.least(first[whole], last[whole])

@@ -84,7 +84,8 @@ def _words_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
             yield _piece_batch(rows)
 
     per_doc = firsts.groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_list(F.struct("first.start", "windows", "anchor", "content")).alias("found"))
-    rows = docs.join(per_doc, docs["doc_id"] == per_doc["id"]).select("doc_id", "text", "found")
+    # What is shared grows with the corpus: merge joins at every size.
+    rows = docs.join(per_doc.hint("merge"), docs["doc_id"] == per_doc["id"]).select("doc_id", "text", "found")
     return rows.mapInArrow(cut, "anchor bigint, content bigint, doc_id bigint, words binary")
 
 
@@ -109,7 +110,7 @@ def _searched(pieces: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             index = FMIndex(words, np.array(ids, dtype=np.int64), WINDOW)
             ats, docs = [], []
-            for x in index.earliest(words):
+            for x in index.earliest(words, own=True):
                 x = x[: len(x) - WINDOW + 1]
                 at = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
                 ats.append(at.tolist())
@@ -185,7 +186,7 @@ def shared_passages(docs: DataFrame, rows: DataFrame, hot_from: int = HOT) -> tu
     alike = materialise(_alike(rows), "passages-alike")
     per = alike.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("first.doc_id").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
     per = materialise(per.select("anchor", (F.col("k") > hot_from).alias("hot")), "shared-anchors")
-    firsts = alike.join(per.where("not hot").select("anchor"), "anchor")
+    firsts = alike.join(per.where("not hot").select("anchor").hint("merge"), "anchor")
     hot = per.where("hot").select("anchor")
     if hot.limit(1).count():
         fine = materialise(_single_windows(docs, rows.join(hot, "anchor")), "hot-windows")
@@ -204,7 +205,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     pieces = _words_of(docs, firsts.select("anchor", "content", "first", "windows"))
     least = materialise(_searched(pieces), "matches").dropDuplicates(["content"])
     earlier = F.exists("least", lambda x: x < F.col("doc_id"))
-    hit = rows.join(least, "content").where(earlier)
+    hit = rows.join(least.hint("merge"), "content").where(earlier)
     out = materialise(hit.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "at", "least")).alias("found")), "repeated-spans")
     for t in (parsed, firsts):
         discard(t)
@@ -238,7 +239,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, k) for v, k in zip(out, kinds, strict=False)]], names=["doc_id", *names])
 
     names = ["n_words", "n_removed", "kept_sha256", "kept_text"][: 3 + with_text]
-    joined = docs.join(spans, docs["doc_id"] == spans["id"], "left").select("doc_id", "text", "found")
+    joined = docs.join(spans.hint("merge"), docs["doc_id"] == spans["id"], "left").select("doc_id", "text", "found")
     return joined.mapInArrow(keep, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
 
 
