@@ -37,7 +37,8 @@ def workflow(definition: dict) -> Workflow:
     if extra:
         raise ValueError(f"unknown keys: {', '.join(sorted(extra))}")
     steps = []
-    for name, s in definition["steps"].items():
+    for name, given in definition["steps"].items():
+        s = {"on" if k is True else k: v for k, v in given.items()}  # YAML 1.1 reads a bare `on` as true
         bad = set(s) - {"block", "outcomes", "on", "params", "max_visits"}
         if bad:
             raise ValueError(f"{name}: unknown keys: {', '.join(sorted(bad))}")
