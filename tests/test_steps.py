@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from tidewright.functions import checks as ck
 from tidewright.functions import text as tx
 from tidewright.functions import vectors as vx
+from tidewright.operators import blocks
 from tidewright.operators import channels as ch
 from tidewright.operators import queue as qu
 from tidewright.operators import steps as st
 from tidewright.plans import catalogue, definitions
+from tidewright.sources import files
 from tidewright.sources.ledger import Ledger
 
 
@@ -147,3 +149,72 @@ def test_definitions_load_and_change_with_any_part():
         definitions.load([FLOW.replace(", red: failed", "")])
     with pytest.raises(ValueError, match="declared twice"):
         definitions.load([FLOW, FLOW])
+
+
+def test_blocks_have_closed_outcomes(spark):
+    @blocks.block("test.half", ("even", "odd"))
+    def half(payload, params):
+        if payload["n"] > 9:
+            return "large", {}
+        return ("odd" if payload["n"] % 2 else "even"), {"half": payload["n"] // params["by"]}
+
+    assert blocks.run_one(blocks.REGISTRY["test.half"], {"n": 4}, {"by": 2}) == ("even", '{"half":2}', None)
+    assert blocks.run_one(blocks.REGISTRY["test.half"], {}, {"by": 2})[2] == "framework_bug"
+    tasks = spark.createDataFrame([(1, '{"n": 3}'), (2, '{"n": 12}'), (3, '{"n": 1}')], "id long, payload string")
+    assert rows(blocks.run_block(tasks, "test.half", {"by": 1}), "id", "outcome", "error_class") == [(1, "odd", None), (2, "failed", "framework_bug"), (3, "odd", None)]
+    with pytest.raises(ValueError, match="registered twice"):
+        blocks.block("test.half", ("a",))
+
+
+def test_agents_are_asked_again_with_the_objection(spark):
+    def backend(prompt, ask):
+        if "down" in prompt:
+            raise ConnectionError
+        return "{}" if "JSON" in prompt else "plain"
+
+    prompts = spark.createDataFrame([(1, "a"), (2, "in JSON"), (3, "down")], "id long, prompt string")
+    out = blocks.run_agent(prompts, backend, lambda answer: None if answer == "{}" else "Answer in JSON.")
+    assert rows(out, "id", "verdict", "asked", "error_class") == [(1, "{}", 2, None), (2, "{}", 1, None), (3, None, 1, "agent_backend")]
+
+
+def test_small_files(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# a\nb")
+    assert rows(files.notes(spark, [f"file://{tmp_path}/a.md"]), "name", "content") == [("a.md", "# a\nb")]
+    assert rows(files.tree(spark, f"file://{tmp_path}", "*.md"), "line_no", "line") == [(1, "# a"), (2, "b")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.notes(spark, [f"file://{tmp_path}/none.md"]).collect()
+    secret = tmp_path / "s"
+    secret.write_text("# c\nKEY = v=1\n")
+    secret.chmod(0o644)
+    with pytest.raises(PermissionError):
+        files.secrets(str(secret))
+    secret.chmod(0o600)
+    assert files.secrets(str(secret)) == {"KEY": "v=1"}
+    model = tmp_path / "w.json"
+    model.write_text('{"dim": 2, "vocab": {"a": [1, 0]}, "buckets": [[0, 1], [1]]}')
+    with pytest.raises(ValueError, match="hasn't 2 numbers"):
+        files.weights(str(model))
+    model.write_text('{"dim": 2, "vocab": {"a": [1, 0]}}')
+    assert len(files.weights(str(model))["model_sha"]) == 64
+    with pytest.raises(ValueError, match="pinned"):
+        files.weights(str(model), "0")
+
+
+def test_weights_fall_back_to_buckets(spark):
+    docs = spark.createDataFrame([(1, "known other"), (2, ""), (3, "other")], "key long, text string")
+    vocab = spark.createDataFrame([("known", [3.0, 4.0])], "token string, vec array<double>")
+    buckets = spark.createDataFrame([(i, [0.0, 1.0]) for i in range(4)], "bucket long, vec array<double>")
+    got = dict(rows(ch.weights_vectors(docs, "key", vocab), "key", "v"))
+    assert got == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+    assert dict(rows(ch.weights_vectors(docs, "key", vocab, buckets), "key", "v"))[3] == [0.0, 1.0]
+
+
+def test_a_drain_runs_in_waves(spark):
+    tasks = spark.createDataFrame([(1, "a", 2), (2, "a", 1), (3, "a", 1)], "id long, lane string, steps long")
+    lanes = spark.createDataFrame([("a", 2)], "lane string, cap long")
+    assert rows(st.drain(tasks, lanes), "id", "started", "ended") == [(1, 1, 2), (2, 1, 1), (3, 3, 3)]
+
+
+def test_foreign_roots_of_a_template_stay(spark):
+    frame = spark.createDataFrame([('{"a": 1}',)], "p string")
+    assert frame.select(tx.template("{a}-{prev.x}", F.col("p"), ("a",))).first()[0] == "1-{prev.x}"

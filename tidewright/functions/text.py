@@ -60,12 +60,14 @@ def last_fenced(text: Column) -> Column:
     return F.coalesce(F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?s)```json\s*\n(.*?)\n\s*```"), F.lit(1)), F.lit(-1)), text)
 
 
-def template(pattern: str, payload: Column) -> Column:
-    """pattern with each {a.b} replaced from the JSON payload; an unknown path is an error."""
+def template(pattern: str, payload: Column, roots: tuple[str, ...] | None = None) -> Column:
+    """pattern with each {a.b} replaced from the JSON payload; an unknown path is an error. With roots, placeholders of other roots stay as they are."""
     import re
 
     parts, at = [], 0
     for m in re.finditer(r"\{([A-Za-z_][\w.]*)\}", pattern):
+        if roots is not None and m[1].split(".")[0] not in roots:
+            continue
         value = F.get_json_object(payload, "$." + m[1])
         parts += [F.lit(pattern[at : m.start()]), F.when(value.isNull(), F.raise_error(F.lit(f"unknown template path {m[1]}")).cast("string")).otherwise(value)]
         at = m.end()
@@ -89,3 +91,16 @@ def every_seconds(spec: Column) -> Column:
 def backend_error(status: Column) -> Column:
     """Error class of an HTTP status of a model backend; null where it succeeded."""
     return F.when(status.isin(401, 403, 429), "agent_limit").when((status < 200) | (status >= 300), "agent_backend")
+
+
+def envelope(answer: Column) -> Column:
+    """What a model's command line wraps its answer in: the result text of a JSON object, the object's own text without one, null where it reports an error."""
+    result, error = F.get_json_object(answer, "$.result"), F.get_json_object(answer, "$.is_error")
+    return F.when(error == "true", F.lit(None).cast("string")).otherwise(F.coalesce(result, answer))
+
+
+def markdown_line(line: Column) -> Column:
+    """A line of light markdown as HTML: escaped, headings, list items, bold and code."""
+    text = F.replace(F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    text = F.regexp_replace(F.regexp_replace(text, r"\*\*([^*]+)\*\*", "<b>$1</b>"), "`([^`]+)`", "<code>$1</code>")
+    return F.when(text.startswith("# "), F.concat(F.lit("<h1>"), F.substr(text, F.lit(3)), F.lit("</h1>"))).when(text.startswith("- "), F.concat(F.lit("<li>"), F.substr(text, F.lit(3)), F.lit("</li>"))).otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>")))

@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..functions import vectors as vx
 from .selection import RRF_OFFSET, hash_vectors
+from .workers import importable
 
 #: Bytes of query vectors that one job broadcasts; more queries are scored in several blocks.
 BLOCK_BYTES = 32 << 20
@@ -26,6 +29,7 @@ def dense_vectors(rows: DataFrame, key: str, dim: int = 256) -> DataFrame:
 def cosine_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """q, key, semantic: cosine of every row (key, v) with every query (q, v), six decimals, 0 where a vector is. The queries
     are a stated set; their vectors are broadcast in blocks of BLOCK_BYTES and multiplied a batch of rows at a time."""
+    importable(docs.sparkSession)
     asked = sorted((r["q"], r["v"]) for r in queries.select("q", "v").collect())
     parts = []
     width = max(1, BLOCK_BYTES // (8 * max(1, len(asked[0][1]) if asked else 1)))
@@ -109,3 +113,22 @@ def store_vectors(new: DataFrame, kept: DataFrame) -> DataFrame:
     """The vector table after a batch: of each (object_id, model_sha) the new row where there is one, of several the last. Columns: object_id, model_sha, seq, vec."""
     last = new.groupBy("object_id", "model_sha").agg(F.max_by(F.struct("seq", "vec"), "seq").alias("r")).select("object_id", "model_sha", "r.seq", "r.vec")
     return kept.join(last.select("object_id", "model_sha"), ["object_id", "model_sha"], "left_anti").unionByName(last)
+
+
+def weights_vectors(rows: DataFrame, key: str, vocab: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
+    """key, v: sums of the vectors of a text's tokens, scaled to length 1 (zeros stay). vocab: token, vec; a token outside it
+    takes the bucket of its SHA-256 modulo their number (a power of two up to 65,536), if there are buckets (bucket, vec), else nothing."""
+    tokens = rows.select(key, F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    j = tokens.join(vocab, "token", "left")
+    if buckets is not None:
+        count = buckets.count()
+        if count & (count - 1) or count > 1 << 16:
+            raise ValueError("the number of buckets is a power of two up to 65536")
+        low = F.conv(F.substring(F.sha2("token", 256), 61, 4), 16, 10).cast("bigint")
+        other = buckets.select("bucket", F.col("vec").alias("__other"))
+        j = j.withColumn("bucket", F.pmod(low, F.lit(count))).join(other, "bucket", "left").withColumn("vec", F.coalesce("vec", "__other"))
+    parts = j.where("vec is not null").select(key, "n", F.posexplode("vec").alias("i", "x")).groupBy(key, "i").agg(F.sum(F.col("n") * F.col("x")).alias("x"))
+    sums = parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("v"))
+    dim = F.lit(len(vocab.first()["vec"]))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return rows.select(key).join(sums, key, "left").select(key, vx.unit(F.coalesce("v", zeros)).alias("v"))

@@ -139,3 +139,28 @@ def where_equal(rows: DataFrame, wanted: dict[str, object]) -> DataFrame:
 def chip(any_: dict[str, Column]) -> Column:
     """Status of a run from whether any of its tasks is so: needs-human, running, failed, parked, complete, queued."""
     return F.when(any_["needs-human"], "needs-human").when(any_["running"], "running").when(any_["failed"], "failed").when(any_["parked"], "parked").when(any_["complete"], "complete").otherwise("queued")
+
+
+def resumed(tasks: DataFrame, answered: DataFrame) -> DataFrame:
+    """Tasks that wait for a decision which has come: pending again within the same attempt. answered: id."""
+    return tasks.where("state = 'parked' AND error_class = 'awaiting_human'").join(answered.select("id"), "id", "left_semi").withColumn("state", F.lit("pending"))
+
+
+def last_writes(steps: DataFrame) -> DataFrame:
+    """The row of each (task_id, attempt, step) written last (seq): a step that is come to again replaces what it recorded."""
+    rest = [c for c in steps.columns if c not in ("task_id", "attempt", "step", "seq")]
+    picked = steps.groupBy("task_id", "attempt", "step").agg(F.max_by(F.struct("seq", *rest), "seq").alias("__r"))
+    return picked.select("task_id", "attempt", "step", "__r.*")
+
+
+def drain(tasks: DataFrame, lanes: DataFrame) -> DataFrame:
+    """tasks (id, lane, steps) with started and ended: the rounds of a drain until idle in which a lane of cap workers takes its tasks oldest first, one step a round.
+
+    Waves of cap tasks start together and the next wave when the longest of the one before has ended.
+    """
+    turn = F.row_number().over(Window.partitionBy("lane").orderBy("id")) - 1
+    j = tasks.join(lanes, "lane").withColumn("wave", F.floor(turn / F.col("cap")))
+    waves = j.groupBy("lane", "wave").agg(F.max("steps").alias("longest"))
+    before = F.coalesce(F.sum("longest").over(Window.partitionBy("lane").orderBy("wave").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = waves.select("lane", "wave", (before + 1).cast("bigint").alias("started"))
+    return j.join(starts, ["lane", "wave"]).select("id", "lane", "started", (F.col("started") + F.col("steps") - 1).cast("bigint").alias("ended"))

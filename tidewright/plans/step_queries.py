@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import checks as ck
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..operators import blocks
 from ..operators import channels as ch
 from ..operators import queue as qu
 from ..operators import selection as sel
@@ -432,3 +433,90 @@ def run_chips(spark, d):
         "complete": F.bool_and(state == "done"),
     }
     return rows.groupBy("thread").agg(F.count(F.lit(1)).alias("tasks"), st.chip(ladder).alias("chip"))
+
+
+@blocks.block("demo.triage", ("high", "low", "skip"))
+def triage(payload: dict, params: dict) -> tuple[str, dict]:
+    """A demonstration block: clicks are skipped, every ninth error fails."""
+    k = payload["props"]["k"]
+    if payload["event_type"] == "error" and k % 9 == 0:
+        raise ValueError("odd")
+    if payload["event_type"] == "click":
+        return "skip", {}
+    return ("high" if k >= params["least"] else "low"), {"k": k}
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_type = 'error' AND k % 9 = 0 THEN 'failed' WHEN event_type = 'click' THEN 'skip' WHEN k >= 5 THEN 'high' ELSE 'low' END AS outcome,
+ CASE WHEN event_type = 'error' AND k % 9 = 0 THEN '{"error": "odd"}' WHEN event_type = 'click' THEN '{}' ELSE '{"k":' || k || '}' END AS result,
+ CASE WHEN event_type = 'error' AND k % 9 = 0 THEN 'framework_bug' END AS error_class FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events)""")
+def run_blocks(spark, d):
+    return blocks.run_block(events(spark, d).select(F.col("event_id").alias("id"), "payload"), "demo.triage", {"least": 5})
+
+
+def stub_backend(prompt: str, ask: int) -> str:
+    """A backend for demonstrations: its first answer is bare, later ones are JSON unless the prompt is too short."""
+    if not prompt:
+        raise ConnectionError("nothing to send")
+    return "ok" if ask == 1 and len(prompt) % 3 else ("?" if len(prompt) < 60 else '{"ok": true}')
+
+
+def json_check(answer: str) -> str | None:
+    return None if answer.startswith("{") else "Answer in JSON."
+
+
+@query("""SELECT conv_id * 1000 + turn AS id, CASE WHEN n >= 60 AND n % 3 = 0 THEN 1 WHEN n + 17 >= 60 THEN 2 ELSE 3 END::INT AS asked,
+ CASE WHEN n + 17 >= 60 THEN NULL ELSE 'agent_invalid_output' END AS error_class FROM (SELECT *, length(text) AS n FROM conversations)""")
+def agent_runs(spark, d):
+    """Conversation turns as prompts: a bare answer is asked for again with what was wrong."""
+    rows = t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("prompt"))
+    return blocks.run_agent(rows, stub_backend, json_check).select("id", "asked", "error_class")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 3 = 1 THEN role ELSE '{"text": "' || role || '"}' END AS body
+FROM conversations""")
+def envelopes(spark, d):
+    wrapped = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"is_error": true, "result": "'), "role", F.lit('"}'))).when(F.col("turn") % 3 == 1, F.concat(F.lit('{"result": "'), "role", F.lit('"}'))).otherwise(F.concat(F.lit('{"text": "'), "role", F.lit('"}')))
+    return t(spark, d, "conversations").select("conv_id", "turn", tx.envelope(wrapped).alias("body"))
+
+
+@query(r"""WITH l AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '# ' WHEN 1 THEN '- ' ELSE '' END || 'a < **' || role || '** & `' || turn || '`' AS line FROM conversations),
+e AS (SELECT conv_id, turn, regexp_replace(regexp_replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\*\*([^*]+)\*\*', '<b>\1</b>', 'g'), '`([^`]+)`', '<code>\1</code>', 'g') AS x FROM l)
+SELECT conv_id, turn, CASE WHEN x LIKE '# %' THEN '<h1>' || substr(x, 3) || '</h1>' WHEN x LIKE '- %' THEN '<li>' || substr(x, 3) || '</li>' ELSE '<p>' || x || '</p>' END AS html FROM e""")
+def markdown_html(spark, d):
+    mark = F.when(F.col("turn") % 3 == 0, "# ").when(F.col("turn") % 3 == 1, "- ").otherwise("")
+    line = F.concat(mark, F.lit("a < **"), "role", F.lit("** & `"), F.col("turn").cast("string"), F.lit("`"))
+    return t(spark, d, "conversations").select("conv_id", "turn", tx.markdown_line(line).alias("html"))
+
+
+@query(f"WITH {TASKS_SQL} SELECT id FROM tasks WHERE {STATE_SQL} = 'parked' AND {CLASS_SQL} = 'awaiting_human' AND id % 2 = 0")
+def resume_decisions(spark, d):
+    rows = classed(spark, d)
+    return st.resumed(rows, rows.where("id % 2 = 0")).select("id")
+
+
+@query("""SELECT l_orderkey AS task_id, l_suppkey % 2 AS attempt, l_linenumber % 3 AS step, max(l_partkey * 10 + l_linenumber) AS seq FROM lineitem GROUP BY ALL""")
+def step_writes(spark, d):
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), (F.col("l_suppkey") % 2).alias("attempt"), (F.col("l_linenumber") % 3).alias("step"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_returnflag").alias("outcome"))
+    return st.last_writes(rows).select("task_id", "attempt", "step", "seq")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS id, o_orderpriority AS lane, o_custkey % 4 + 1 AS steps, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 3 AS wave FROM orders),
+w AS (SELECT lane, wave, max(steps) AS longest FROM x GROUP BY ALL), s AS (SELECT lane, wave, coalesce(sum(longest) OVER (PARTITION BY lane ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS started FROM w)
+SELECT id, lane, started, started + steps - 1 AS ended FROM x JOIN s USING (lane, wave)""")
+def drain_rounds(spark, d):
+    """Orders as tasks of five lanes of three workers."""
+    tasks = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("lane"), (F.col("o_custkey") % 4 + 1).alias("steps"))
+    return st.drain(tasks, tasks.select("lane").distinct().withColumn("cap", F.lit(3)))
+
+
+@query("""WITH vocab AS (SELECT p_brand AS token, p_size AS a, p_partkey % 7 AS b FROM (SELECT lower(replace(p_brand, '#', '_')) AS p_brand, min(p_size)::DOUBLE AS p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1)),
+x AS (SELECT p_partkey, lower(replace(p_brand, '#', '_')) AS t1, p_size % 5 AS k FROM part),
+s AS (SELECT p_partkey, a * (1 + k) AS a, b * (1.0 + k) AS b FROM x JOIN vocab ON token = t1)
+SELECT p_partkey, round(coalesce(a / nullif(sqrt(a * a + b * b), 0), 0), 6) AS a, round(coalesce(b / nullif(sqrt(a * a + b * b), 0), 0), 6) AS b FROM s""")
+def weights_embed(spark, d):
+    """Part brands as a vocabulary of vectors; a brand named several times counts as often."""
+    part = t(spark, d, "part").select("p_partkey", F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias("brand"), "p_size")
+    vocab = part.groupBy(F.col("brand").alias("token")).agg(F.array(F.min("p_size").cast("double"), (F.min("p_partkey") % 7).cast("double")).alias("vec"))
+    rows = part.select("p_partkey", F.array_join(F.array_repeat("brand", (F.col("p_size") % 5 + 1).cast("int")), " ").alias("text"))
+    v = ch.weights_vectors(rows, "p_partkey", vocab)
+    return v.select("p_partkey", F.round(F.col("v")[0], 6).alias("a"), F.round(F.col("v")[1], 6).alias("b"))
