@@ -169,7 +169,7 @@ class FMIndex:
         rows = np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
         return np.minimum.reduceat(self.numbers[self.pieces_of(rows)], ends - sizes)[back] if len(rows) else np.empty(0, np.int64)
 
-    def statistics(self, patterns: list[np.ndarray], own: bool = False) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    def intervals(self, patterns: list[np.ndarray], own: bool = False) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
         """Matching statistics: for each pattern and position, how many words from there on match somewhere (window at most), and the rows low to high of that match.
 
         Patterns are read backwards side by side. A match of window words is cut to window - 1 before the next word is
@@ -217,10 +217,11 @@ class FMIndex:
         cut = [slice(i, j) for i, j in zip(begin, ends, strict=True)]
         return [got[s] for s in cut], [first[s] for s in cut], [last[s] for s in cut]
 
-    def earliest(self, patterns: list[np.ndarray], own: bool = False) -> list[np.ndarray]:
-        """For each pattern and position the least number of a piece where the window from there on starts; -1 where it starts nowhere."""
-        got, first, last = (np.concatenate([*x, np.empty(0, np.int64)]) for x in self.statistics(patterns, own))
+    def statistics(self, patterns: list[np.ndarray], own: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The lengths of intervals(), and for each pattern and position the least number of a piece where the window from there on starts; -1 where it starts nowhere."""
+        lengths, low, high = self.intervals(patterns, own)
+        got, first, last = (np.concatenate([*x, np.empty(0, np.int64)]) for x in (lengths, low, high))
         out = np.full(len(got), -1, dtype=np.int64)
         whole = got >= self.window
         out[whole] = self.least(first[whole], last[whole])
-        return np.split(out, np.cumsum([len(p) for p in patterns])[:-1]) if patterns else []
+        return lengths, np.split(out, np.cumsum([len(p) for p in patterns])[:-1]) if patterns else []

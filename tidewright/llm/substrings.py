@@ -110,7 +110,7 @@ def _searched(pieces: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             index = FMIndex(words, np.array(ids, dtype=np.int64), WINDOW)
             ats, docs = [], []
-            for x in index.earliest(words, own=True):
+            for x in index.statistics(words, own=True)[1]:
                 x = x[: len(x) - WINDOW + 1]
                 at = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
                 ats.append(at.tolist())
