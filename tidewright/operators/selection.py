@@ -108,6 +108,20 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
+def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """q, key: which texts hold an item's text as it stands. Pairs come from an equi-join on the longest token within the item
+    (one that has neighbours on both sides is a whole token wherever the item stands) and are then looked at; only items
+    without such a token meet every row."""
+    words = tx.tokens(F.col("text"))
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("token"))))["token"]
+    asked = items.select("q", F.col("text").alias("asked"), longest.alias("token"))
+    has = docs.select("key", F.explode(F.array_distinct(words)).alias("token")).join(asked.where("token is not null"), "token").select("q", "key", "asked")
+    met = docs.select("key", "text").join(has, "key").where(F.contains(F.col("text"), F.col("asked"))).select("q", "key")
+    short = asked.where("token is null").select("q", "asked")
+    return met.unionByName(docs.join(short, F.contains(F.col("text"), F.col("asked"))).select("q", "key"))
+
+
 def static_votes(pool: DataFrame, channels: dict[str, float]) -> DataFrame:
     """key, votes: the sum of the query-independent channels named, each a numeric column of pool (null: unranked, last)."""
     total, joined = F.lit(0.0), pool.select("key", *channels)

@@ -255,8 +255,7 @@ def recall_eval(spark, d):
     """Benchmark texts that stand verbatim in documents: for how many is one of these among the best five."""
     docs, items = corpus(spark, d), asked(spark, d)
     best = sel.fused_top(docs, items, _flat(docs)).select("q", "key", F.lit(1).alias("hit"))
-    holds = F.broadcast(items.withColumnRenamed("text", "asked"))
-    golden = docs.join(holds, F.contains(F.col("text"), F.col("asked"))).select("q", "key")
+    golden = sel.verbatim(docs, items)
     per = golden.join(best, ["q", "key"], "left").groupBy("q").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
     return per.agg(F.count(F.lit(1)).alias("golden_queries"), F.sum("hit").cast("bigint").alias("found_at_5"))
 
