@@ -85,6 +85,12 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(a * np.int64(int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64)
 
 
+def _triples(r: np.ndarray, k: int) -> np.ndarray:
+    """Dense ranks of r and what stands k and 2 k further on, in order."""
+    top = np.int64(int(r.max(initial=0)) + 2)
+    return np.unique((r * top + _shifted(r, k)) * top + _shifted(r, 2 * k), return_inverse=True)[1].astype(np.int64)
+
+
 def _shifted(r: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros_like(r)
     if k < len(r):
@@ -115,16 +121,21 @@ class FMIndex:
         rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
         depth, longest, common = 1, int(lengths.max(initial=0)) + 1, {1: rank}
         while depth < longest and (not self.n or int(rank.max()) + 1 < self.n):
-            rank, depth = _pairs(rank, _shifted(rank, depth)), depth * 2
+            # Three ranks fit one number, as an index has far less than two million words.
+            wide = self.n < 2_000_000
+            rank, depth = (_triples(rank, depth), depth * 3) if wide else (_pairs(rank, _shifted(rank, depth)), depth * 2)
             if depth < window:
                 common[depth] = rank
         order = np.argsort(rank, kind="stable")
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))])
         self.bwt = RunLengthRanks(text[order - 1], len(self.alphabet))
-        # Blocks of suffixes whose first window - 1 words are equal, from two overlapping halves.
+        # Blocks of suffixes whose first window - 1 words are equal, from overlapping parts.
         half = max((d for d in common if d <= window - 1), default=0)
-        rest = window - 1 - half
-        block = (_pairs(common[half], _shifted(common[half], rest)) if rest else common[half])[order] if half else np.zeros(self.n, np.int64)
+        block, got = (common[half], half) if half else (np.zeros(self.n, np.int64), window - 1)
+        while got < window - 1:
+            more = min(half, window - 1 - got)
+            block, got = _pairs(block, _shifted(common[half], got + more - half)), got + more
+        block = block[order]
         self.blocks = np.flatnonzero(np.diff(np.concatenate([[-1], block]))).astype(np.int32)
         offset = np.arange(self.n) - np.repeat(ends - lengths - 1, lengths + 1)
         known = (offset % SAMPLE == 0)[order]
