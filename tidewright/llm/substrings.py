@@ -171,7 +171,8 @@ def _single_windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
                     names=["doc_id", "anchor", "start", "windows", "content"],
                 )
 
-    per_doc = rows.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "windows")).alias("found"))
+    # Written first: where few documents have hot anchors, Spark sees so and doesn't shuffle the texts of all.
+    per_doc = materialise(rows.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "windows")).alias("found")), "hot-documents")
     texts = docs.join(per_doc, docs["doc_id"] == per_doc["id"]).select("doc_id", "text", "found")
     return texts.mapInArrow(cut, "doc_id bigint, anchor bigint, start int, windows int, content bigint")
 
