@@ -1,35 +1,30 @@
-"""Checks of names and JSON values."""
+"""Checks of names and exit codes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Names of columns and tables, of events (dotted), of error classes.
 IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"
-EVENT_NAME = r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)*$"
-#: What a JSON scalar of each type looks like in its source.
-_SHAPES = {"integer": "^-?[0-9]+$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$"}
+EVENT_NAME = r"^[a-z0-9_]+(\.[a-z0-9_]+)+$"
+CLASS_NAME = "^[a-z0-9_]+$"
+
+
+def _matches(c: Column, pattern: str) -> Column:
+    return F.coalesce(c.rlike(pattern), F.lit(False))
 
 
 def is_identifier(c: Column) -> Column:
-    return F.coalesce(c.rlike(IDENTIFIER), F.lit(False))
+    return _matches(c, IDENTIFIER)
 
 
 def is_event_name(c: Column) -> Column:
-    return F.coalesce(c.rlike(EVENT_NAME), F.lit(False))
-
-
-def json_problems(value: Column, required: dict[str, str], enums: dict[str, list[str]] | None = None) -> Column:
-    """Array of what a JSON object lacks of a schema: missing fields, fields of another type (string: any), values outside an enumeration."""
-    found = []
-    for name, kind in sorted(required.items()):
-        got = F.get_json_object(value, f"$.{name}")
-        found.append(F.when(got.isNull(), f"{name}: missing"))
-        if kind in _SHAPES:
-            found.append(F.when(~got.rlike(_SHAPES[kind]), f"{name}: not {kind}"))
-    for name, allowed in sorted((enums or {}).items()):
-        found.append(F.when(~F.get_json_object(value, f"$.{name}").isin(*allowed), f"{name}: not allowed"))
-    return F.array_compact(F.array(*found))
+    return _matches(c, EVENT_NAME)
+
+
+def is_class_name(c: Column) -> Column:
+    return _matches(c, CLASS_NAME)
 
 
 def exit_error(code: Column, turns_left: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -115,20 +115,26 @@ def store_vectors(new: DataFrame, kept: DataFrame) -> DataFrame:
     return kept.join(last.select("object_id", "model_sha"), ["object_id", "model_sha"], "left_anti").unionByName(last)
 
 
-def weights_vectors(rows: DataFrame, key: str, vocab: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
+def bucket_of(token: Column, count: int) -> Column:
+    """A token's SHA-256, read as one number, modulo count (up to 2^31): a remainder carried over the hex digits, seven at a time, so nothing leaves 63 bits."""
+    digest = F.sha2(token, 256)
+    rest = F.lit(0).cast("bigint")
+    for at in range(0, 64, 7):
+        width = min(7, 64 - at)
+        digits = F.conv(F.substring(digest, at + 1, width), 16, 10).cast("bigint")
+        rest = F.pmod(rest * F.lit(pow(16, width)) + digits, F.lit(count).cast("bigint"))
+    return rest
+
+
+def weights_vectors(rows: DataFrame, key: str, vocab: DataFrame, buckets: DataFrame | None = None, dim: int | None = None) -> DataFrame:
     """key, v: sums of the vectors of a text's tokens, scaled to length 1 (zeros stay). vocab: token, vec; a token outside it
-    takes the bucket of its SHA-256 modulo their number (a power of two up to 65,536), if there are buckets (bucket, vec), else nothing."""
+    takes the bucket of its SHA-256 modulo their number, if there are buckets (bucket, vec), else nothing."""
     tokens = rows.select(key, F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
     j = tokens.join(vocab, "token", "left")
     if buckets is not None:
-        count = buckets.count()
-        if count & (count - 1) or count > 1 << 16:
-            raise ValueError("the number of buckets is a power of two up to 65536")
-        low = F.conv(F.substring(F.sha2("token", 256), 61, 4), 16, 10).cast("bigint")
         other = buckets.select("bucket", F.col("vec").alias("__other"))
-        j = j.withColumn("bucket", F.pmod(low, F.lit(count))).join(other, "bucket", "left").withColumn("vec", F.coalesce("vec", "__other"))
+        j = j.withColumn("bucket", bucket_of(F.col("token"), buckets.count())).join(other, "bucket", "left").withColumn("vec", F.coalesce("vec", "__other"))
     parts = j.where("vec is not null").select(key, "n", F.posexplode("vec").alias("i", "x")).groupBy(key, "i").agg(F.sum(F.col("n") * F.col("x")).alias("x"))
     sums = parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("v"))
-    dim = F.lit(len(vocab.first()["vec"]))
-    zeros = F.array_repeat(F.lit(0.0), dim)
+    zeros = F.array_repeat(F.lit(0.0), F.lit(dim or len(vocab.first()["vec"])))
     return rows.select(key).join(sums, key, "left").select(key, vx.unit(F.coalesce("v", zeros)).alias("v"))

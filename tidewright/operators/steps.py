@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import json_values as jv
+
 
 def tail(events: DataFrame, cursor: int, key: str = "event_id") -> DataFrame:
     """Events after the cursor; the next cursor is the largest key of what was taken."""
@@ -18,11 +20,31 @@ def expected(items: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return j.withColumn("expected", F.col("n") * F.col("consumers"))
 
 
-def members(parents: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """The barrier's roster of fanned-out parents (id, event, n): group_id (hash of parent and event), kind, idx from 0. A parent without items has no members: its group is complete at once."""
-    group = F.sha2(F.concat(F.lit('{"event":"'), F.col("event"), F.lit('","parent":'), F.col("id").cast("string"), F.lit("}")), 256)
-    rows = parents.where("n > 0").withColumn("group_id", group).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    return rows.join(subscriptions, "event").select("group_id", "kind", "idx")
+def group_key(task: Column, name: Column, join_event: Column, payloads: Column) -> Column:
+    """Key of a fan-out's group over its task, event names and payloads (an array of canonical JSON): a replay meets the same group, other payloads another."""
+    members = F.concat(F.lit("["), F.array_join(payloads, ","), F.lit("]"))
+    parts = ['{"join_event":"', join_event, '","name":"', name, '","payloads":', members, ',"task":', task.cast("string"), "}"]
+    return F.sha2(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]), 256)
+
+
+def fanned_out(ops: DataFrame, subscriptions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups and children of staged fan-outs (task, name, join_event, payloads: an array of canonical JSON objects).
+
+    groups: group_id, task, join_event, expect (payloads times consumers of the event), complete (nothing is expected: it
+    fires at once). children: group_id, name, kind, idx, payload with the reserved _join (group and index) in its place
+    among the sorted keys, payload_hash. The same fan-out staged twice is one group.
+    """
+    per = subscriptions.groupBy(F.col("event").alias("name")).agg(F.count(F.lit(1)).alias("consumers"))
+    keyed = ops.select(group_key(F.col("task"), F.col("name"), F.col("join_event"), F.col("payloads")).alias("group_id"), "task", "name", "join_event", "payloads").dropDuplicates(["group_id"])
+    expect = (F.size("payloads") * F.coalesce("consumers", F.lit(0))).cast("bigint")
+    groups = keyed.join(per, "name", "left").select("group_id", "task", "join_event", expect.alias("expect"), (expect == 0).alias("complete"))
+    each = keyed.select("group_id", "name", F.posexplode("payloads").alias("idx", "item"))
+    told = each.join(subscriptions.select(F.col("event").alias("name"), "kind"), "name")
+    join = F.concat(F.lit('"_join":{"group":"'), F.col("group_id"), F.lit('","index":'), F.col("idx").cast("string"), F.lit("}"))
+    # The payload is canonical; _join stands where its name sorts.
+    payload = jv.canonical(F.concat(F.lit("{"), join, F.when(F.col("item") == "{}", "").otherwise(","), F.substr("item", F.lit(2))))
+    children = told.withColumn("payload", payload).select("group_id", "name", "kind", F.col("idx").cast("bigint").alias("idx"), "payload")
+    return groups, children.withColumn("payload_hash", F.sha2("payload", 256))
 
 
 def frontier(recorded: DataFrame, steps: int, fresh: tuple[int, ...] = ()) -> DataFrame:
@@ -42,9 +64,19 @@ def visits(walk: DataFrame, by: list[str], order: str, cap: int) -> DataFrame:
     return walk.withColumn("visit", turn).withColumn("exhausted", F.col("visit") > cap)
 
 
-def retried(tasks: DataFrame) -> DataFrame:
-    """Failed tasks as they are queued again: pending, without attempts or error."""
-    return tasks.where("state = 'failed'").withColumn("state", F.lit("pending")).withColumn("attempts", F.lit(0)).withColumn("error_class", F.lit(None).cast("string"))
+def _chosen(rows: DataFrame, ids: list[int] | None, kind: str | None) -> DataFrame:
+    rows = rows if ids is None else rows.where(F.col("id").isin(*ids))
+    return rows if kind is None else rows.where(F.col("kind") == kind)
+
+
+def retried(tasks: DataFrame, ids: list[int] | None = None, kind: str | None = None) -> DataFrame:
+    """Failed tasks (those named, those of a kind, or all) as they are queued again: pending in a fresh attempt, so that no step of the failed one is replayed, without a waiting time or error."""
+    rows = _chosen(tasks.where("state = 'failed'"), ids, kind).withColumn("state", F.lit("pending"))
+    return _at_once(rows.withColumn("attempts", F.col("attempts") + 1)).withColumn("error_class", F.lit(None).cast("string"))
+
+
+def _at_once(tasks: DataFrame) -> DataFrame:
+    return tasks.withColumn("next_attempt", F.lit(None).cast("bigint")) if "next_attempt" in tasks.columns else tasks
 
 
 def reopened(roster: DataFrame, fired: DataFrame) -> DataFrame:
@@ -52,11 +84,18 @@ def reopened(roster: DataFrame, fired: DataFrame) -> DataFrame:
     return roster.where("state = 'failed'").join(fired.select("group_id"), "group_id", "left_anti").withColumn("state", F.lit(None).cast("string"))
 
 
-def unparked(tasks: DataFrame, classes: tuple[str, ...] = ()) -> DataFrame:
-    """Parked tasks (of the classes named, or all) as they are taken up again: pending, with a fresh attempt number."""
-    rows = tasks.where("state = 'parked'")
+def unparked(tasks: DataFrame, classes: tuple[str, ...] = (), ids: list[int] | None = None) -> DataFrame:
+    """Parked tasks (of the classes or ids named, or all) as they are taken up again: pending, in a fresh attempt, without a waiting time."""
+    rows = _chosen(tasks.where("state = 'parked'"), ids, None)
     rows = rows.where(F.col("error_class").isin(*classes)) if classes else rows
-    return rows.withColumn("state", F.lit("pending")).withColumn("attempts", F.col("attempts") + 1)
+    return _at_once(rows.withColumn("state", F.lit("pending")).withColumn("attempts", F.col("attempts") + 1))
+
+
+def rearmed(tasks: DataFrame, failed: DataFrame, now: Column) -> DataFrame:
+    """tasks with the clock of those parked ones set to now whose id is in failed: after a failed probe the next is a whole cadence away."""
+    again = failed.select("id", F.lit(True).alias("__again")).distinct()
+    reset = (F.col("state") == "parked") & F.col("__again")
+    return tasks.join(again, "id", "left").withColumn("updated_at", F.when(reset, now).otherwise(F.col("updated_at"))).drop("__again")
 
 
 def reset_orphans(tasks: DataFrame) -> DataFrame:
@@ -64,14 +103,6 @@ def reset_orphans(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("state", F.when(F.col("state") == "running", "pending").otherwise(F.col("state")))
 
 
-def decided(rounds: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each question's (key, round) last answer, whether a later round has consumed it, and the sticky pick: the key's latest answer so far."""
-    last = answers.groupBy("key", "round").agg(F.max_by("pick", "id").alias("pick"))
-    order = Window.partitionBy("key").orderBy("round")
-    j = rounds.join(last, ["key", "round"], "left")
-    return j.withColumn("consumed", F.lead("round").over(order).isNotNull() & F.col("pick").isNotNull()).withColumn("sticky", F.last("pick", ignorenulls=True).over(order))
-
-
 def audited(moves: DataFrame) -> DataFrame:
     """The audit row and the event item.<state> of every legal move (id, key, from_state, to_state, legal)."""
     return moves.where("legal").select("id", "key", "from_state", "to_state", F.concat(F.lit("item."), F.lower("to_state")).alias("event"))
@@ -120,11 +151,13 @@ def manifest(sections: DataFrame, budget: int) -> DataFrame:
     return rows.withColumn("total", F.sum("bytes").over(Window.partitionBy("scope"))).withColumn("over", F.col("used") > budget)
 
 
-def prompt(sections: DataFrame, contract: str) -> DataFrame:
-    """id, prompt: sections (id, name, body) by name, then the output contract."""
-    rows = F.array_sort(F.collect_list(F.struct("name", "body")))
-    text = F.concat_ws("\n\n", F.transform(rows, lambda r: F.concat(F.lit("## "), r["name"], F.lit("\n"), r["body"])))
-    return sections.groupBy("id").agg(F.concat(text, F.lit(f"\n\n{contract}")).alias("prompt"))
+def prompt(sections: DataFrame, schema: dict) -> DataFrame:
+    """id, prompt from sections (id, base, name, value: JSON text): the base text, a context section of canonical JSON for each name in order, then the output contract with its schema. A row without a name has no section."""
+    part = F.when(F.col("name").isNotNull(), F.struct("name", jv.canonical(F.col("value")).alias("said")))
+    per = sections.groupBy("id").agg(F.first("base").alias("base"), F.array_sort(F.collect_list(part)).alias("parts"))
+    told = F.transform("parts", lambda p: F.concat(F.lit("## context: "), p["name"], F.lit("\n"), p["said"], F.lit("\n\n")))
+    contract = f"## output contract\n{jv.CONTRACT}\n{jv.dumped(schema)}\n"
+    return per.select("id", F.concat(F.regexp_replace("base", r"\s+$", ""), F.lit("\n\n"), F.array_join(told, ""), F.lit(contract)).alias("prompt"))
 
 
 def where_equal(rows: DataFrame, wanted: dict[str, object]) -> DataFrame:
@@ -151,16 +184,3 @@ def last_writes(steps: DataFrame) -> DataFrame:
     rest = [c for c in steps.columns if c not in ("task_id", "attempt", "step", "seq")]
     picked = steps.groupBy("task_id", "attempt", "step").agg(F.max_by(F.struct("seq", *rest), "seq").alias("__r"))
     return picked.select("task_id", "attempt", "step", "__r.*")
-
-
-def drain(tasks: DataFrame, lanes: DataFrame) -> DataFrame:
-    """tasks (id, lane, steps) with started and ended: the rounds of a drain until idle in which a lane of cap workers takes its tasks oldest first, one step a round.
-
-    Waves of cap tasks start together and the next wave when the longest of the one before has ended.
-    """
-    turn = F.row_number().over(Window.partitionBy("lane").orderBy("id")) - 1
-    j = tasks.join(lanes, "lane").withColumn("wave", F.floor(turn / F.col("cap")))
-    waves = j.groupBy("lane", "wave").agg(F.max("steps").alias("longest"))
-    before = F.coalesce(F.sum("longest").over(Window.partitionBy("lane").orderBy("wave").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = waves.select("lane", "wave", (before + 1).cast("bigint").alias("started"))
-    return j.join(starts, ["lane", "wave"]).select("id", "lane", "started", (F.col("started") + F.col("steps") - 1).cast("bigint").alias("ended"))

@@ -94,7 +94,7 @@ def fingerprint(w: Workflow) -> str:
 def edges(flows: DataFrame) -> DataFrame:
     """source, target, event from flows (kind, consumes, emits)."""
     a, b = flows.alias("a"), flows.alias("b")
-    return a.join(b, F.col("a.emits") == F.col("b.consumes")).select(F.col("a.kind").alias("source"), F.col("b.kind").alias("target"), F.col("a.emits").alias("event"))
+    return a.join(b, F.col("a.emits") == F.col("b.consumes")).select(F.col("a.kind").alias("source"), F.col("b.kind").alias("target"), F.col("a.emits").alias("event")).distinct()
 
 
 def depths(kinds: DataFrame, links: DataFrame) -> DataFrame:

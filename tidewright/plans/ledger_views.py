@@ -274,32 +274,44 @@ def panel_regions(spark, d):
     return run_panel(spark, sql, {"segment": "BUILDING"})
 
 
-FLOWS = [("scan", "user.click", "item.found"), ("recheck", "item.found", "item.checked"), ("file", "item.checked", "item.filed"), ("notify", "item.filed", None), ("retry", "item.filed", "item.found")]
-FLOW_SQL = "w(kind, consumes, emits) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in FLOWS) + ")"
+#: Roles as kinds of task: one consumes what follows the role before it and emits what follows itself.
+FLOW_SQL = "w AS (SELECT DISTINCT role AS kind, 'after.' || lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS consumes, 'after.' || role AS emits FROM conversations)"
 
 
-@query(f"WITH {FLOW_SQL} SELECT a.kind AS source, b.kind AS target, a.emits AS event FROM w a JOIN w b ON a.emits = b.consumes")
+def flows(spark, d):
+    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn", "role"))
+    rows = t(spark, d, "conversations").select(F.col("role").alias("kind"), F.concat(F.lit("after."), before).alias("consumes"), F.concat(F.lit("after."), "role").alias("emits"))
+    return rows.distinct()
+
+
+@query(f"WITH {FLOW_SQL} SELECT DISTINCT a.kind AS source, b.kind AS target, a.emits AS event FROM w a JOIN w b ON a.emits = b.consumes")
 def workflow_edges(spark, d):
     from .definitions import edges
 
-    return edges(spark.createDataFrame(FLOWS, "kind string, consumes string, emits string"))
+    return edges(flows(spark, d))
 
 
 @query(f"""WITH RECURSIVE {FLOW_SQL}, e AS (SELECT DISTINCT a.kind AS s, b.kind AS g FROM w a JOIN w b ON a.emits = b.consumes WHERE a.kind <> b.kind),
-walk(kind, depth) AS (SELECT kind, 0 FROM w WHERE kind NOT IN (SELECT g FROM e) UNION SELECT e.g, walk.depth + 1 FROM walk JOIN e ON e.s = walk.kind WHERE walk.depth < 10)
-SELECT kind, min(depth)::INT AS depth FROM walk GROUP BY kind""")
+r AS (SELECT DISTINCT kind FROM w WHERE kind NOT IN (SELECT g FROM e)), f AS (SELECT kind FROM r UNION ALL SELECT min(kind) FROM w WHERE NOT EXISTS (SELECT 1 FROM r)),
+walk(kind, depth) AS (SELECT kind, 0 FROM f WHERE kind IS NOT NULL UNION SELECT e.g, walk.depth + 1 FROM walk JOIN e ON e.s = walk.kind WHERE walk.depth < 10)
+SELECT w.kind, coalesce(min(depth), 0)::INT AS depth FROM w LEFT JOIN walk USING (kind) GROUP BY w.kind""")
 def workflow_depth(spark, d):
+    """How far each role is from one that nothing leads to; edges back don't push a role down."""
     from .definitions import depths, edges
 
-    flows = spark.createDataFrame(FLOWS, "kind string, consumes string, emits string")
-    return depths(flows.select("kind"), edges(flows))
+    found = flows(spark, d)
+    return depths(found.select("kind"), edges(found))
+
+
+TARGETS = [(kind, outcome) for kind in ("click", "error", "purchase", "signup", "view") for outcome in ("o0", "o1", "o2", "late")]
 
 
-@query("""WITH decl(step, outcome) AS (VALUES ('scan', 'ok'), ('scan', 'timeout'), ('check', 'confirmed'), ('check', 'refuted')), disp(step, outcome) AS (VALUES ('scan', 'ok'), ('check', 'confirmed'), ('check', 'maybe'))
+@query(f"""WITH disp(step, outcome) AS (VALUES {', '.join(map(str, TARGETS))}), decl AS (SELECT DISTINCT event_type AS step, 'o' || json_extract_string(props, '$.k')::BIGINT % 4 AS outcome FROM events)
 SELECT step, outcome, 'missing' AS problem FROM (SELECT * FROM decl EXCEPT SELECT * FROM disp) UNION ALL SELECT step, outcome, 'phantom' FROM (SELECT * FROM disp EXCEPT SELECT * FROM decl)""")
 def totality_check(spark, d):
+    """Outcomes that events tell of against the targets of a definition: one has no target, one never comes."""
     from .definitions import outcome_problems
 
-    declared = spark.createDataFrame([("scan", "ok"), ("scan", "timeout"), ("check", "confirmed"), ("check", "refuted")], "step string, outcome string")
-    dispatched = spark.createDataFrame([("scan", "ok"), ("check", "confirmed"), ("check", "maybe")], "step string, outcome string")
-    return outcome_problems(declared, dispatched)
+    outcome = F.concat(F.lit("o"), (F.get_json_object("props", "$.k").cast("bigint") % 4).cast("string"))
+    told = t(spark, d, "events").select(F.col("event_type").alias("step"), outcome.alias("outcome")).distinct()
+    return outcome_problems(told, spark.createDataFrame(TARGETS, "step string, outcome string"))

@@ -13,7 +13,7 @@ from ..operators import queue as qu
 from ..operators import selection as sel
 from ..operators import steps as st
 from ..sources.ledger import Ledger, shared_folder
-from .ledger_views import PAYLOAD_SQL, STATE_SQL, SUBS_SQL, TASKS_SQL, events, stated, subscriptions
+from .ledger_views import STATE_SQL, SUBS_SQL, TASKS_SQL, events, stated, subscriptions
 from .retrieval import FEATURES, LEX, PRIOR, _flat, asked, corpus, t
 
 Q: dict = {}
@@ -93,13 +93,6 @@ def fanout_expected(spark, d):
     return st.expected(parents(spark, d), subscriptions(spark)).select("id", F.col("n").alias("items"), "consumers", "expected")
 
 
-@query(f"""WITH {SUBS_SQL}, p AS (SELECT event_id AS id, 'user.' || event_type AS event, {ITEMS_SQL} AS n FROM events),
-m AS (SELECT *, unnest(range(n)) AS idx FROM p WHERE n > 0)
-SELECT sha256('{{"event":"' || m.event || '","parent":' || m.id || '}}') AS group_id, subs.kind, m.idx FROM m JOIN subs ON subs.event = m.event""")
-def fanout_join(spark, d):
-    return st.members(parents(spark, d), subscriptions(spark))
-
-
 RECORDED_SQL = "SELECT l_orderkey AS task_id, (l_linenumber + CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS step FROM lineitem"
 
 
@@ -119,7 +112,7 @@ def visit_counts(spark, d):
     return st.visits(t(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id", "role"], "turn", 2)
 
 
-@query(f"WITH {TASKS_SQL} SELECT id, kind, 'pending' AS state, 0 AS attempts FROM tasks WHERE {STATE_SQL} = 'failed'")
+@query(f"WITH {TASKS_SQL} SELECT id, kind, 'pending' AS state, (id % 4 + 1)::INT AS attempts FROM tasks WHERE {STATE_SQL} = 'failed'")
 def retry_failed(spark, d):
     return st.retried(classed(spark, d)).select("id", "kind", "state", "attempts")
 
@@ -145,18 +138,6 @@ def orphan_reset(spark, d):
     return st.reset_orphans(rows).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH r AS (SELECT conv_id AS key, turn AS round FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id AS key, turn - 1 AS round, length(text)::BIGINT AS pick FROM conversations WHERE role = 'assistant'),
-j AS (SELECT r.key, r.round, a.pick FROM r LEFT JOIN a ON a.key = r.key AND a.round = r.round)
-SELECT key, round, pick, (lead(round) OVER w IS NOT NULL AND pick IS NOT NULL) AS consumed, last_value(pick IGNORE NULLS) OVER (PARTITION BY key ORDER BY round ROWS UNBOUNDED PRECEDING) AS sticky FROM j WINDOW w AS (PARTITION BY key ORDER BY round)""")
-def decision_picks(spark, d):
-    """User turns as questions, the assistant's turn after one as its answer."""
-    rows = t(spark, d, "conversations")
-    rounds = rows.where("role = 'user'").select(F.col("conv_id").alias("key"), F.col("turn").alias("round"))
-    answers = rows.where("role = 'assistant'").select(F.col("conv_id").alias("key"), (F.col("turn") - 1).alias("round"), F.col("turn").alias("id"), F.length("text").cast("bigint").alias("pick"))
-    return st.decided(rounds, answers).select("key", "round", "pick", "consumed", "sticky")
-
-
 ALLOWED = [("O", "P"), ("P", "F"), ("O", "F")]
 
 
@@ -195,14 +176,6 @@ def context_manifest(spark, d):
     return st.manifest(corpus(spark, d).select(F.col("lang").alias("scope"), "key", "text"), 100_000).select("scope", "key", "bytes", "sha", "used", "total", F.col("over"))
 
 
-@query("""WITH s AS (SELECT conv_id AS id, lpad(CAST(turn AS VARCHAR), 4, '0') || ' ' || role AS name, text AS body FROM conversations)
-SELECT id, sha256(string_agg('## ' || name || chr(10) || body, chr(10) || chr(10) ORDER BY name, body) || chr(10) || chr(10) || 'Answer in JSON.') AS prompt_sha FROM s GROUP BY id""")
-def prompt_shas(spark, d):
-    name = F.concat(F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit(" "), F.col("role"))
-    sections = t(spark, d, "conversations").select(F.col("conv_id").alias("id"), name.alias("name"), F.col("text").alias("body"))
-    return st.prompt(sections, "Answer in JSON.").select("id", F.sha2("prompt", 256).alias("prompt_sha"))
-
-
 @query("""WITH r AS (SELECT sha256(text) AS prompt_sha, max(conv_id * 1000 + turn) AS run_id FROM conversations WHERE role <> 'user' GROUP BY 1)
 SELECT conv_id * 1000 + turn AS id, sha256(text) AS prompt_sha, run_id FROM conversations LEFT JOIN r ON r.prompt_sha = sha256(text)""")
 def replay_lookup(spark, d):
@@ -264,19 +237,9 @@ def backend_errors(spark, d):
     return t(spark, d, "events").select("event_id", tx.backend_error(s).alias("by_status"), ck.exit_error(s % 3, s % 5).alias("by_exit"))
 
 
-@query(f"""SELECT p_partkey, regexp_matches(p_brand, '{ck.IDENTIFIER}') AS brand_ok, regexp_matches(lower(replace(p_type, ' ', '.')), '{ck.EVENT_NAME}') AS event_ok FROM part""")
+@query(f"""SELECT p_partkey, regexp_matches(p_brand, '{ck.IDENTIFIER}') AS brand_ok, regexp_matches(lower(replace(p_type, ' ', '.')), '{ck.EVENT_NAME}') AS event_ok, regexp_matches(lower(p_name), '{ck.CLASS_NAME}') AS class_ok FROM part""")
 def name_checks(spark, d):
-    return t(spark, d, "part").select("p_partkey", ck.is_identifier(F.col("p_brand")).alias("brand_ok"), ck.is_event_name(F.lower(F.replace("p_type", F.lit(" "), F.lit(".")))).alias("event_ok"))
-
-
-@query(f"""WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN replace({PAYLOAD_SQL}, '"user_id"', '"user"') WHEN 1 THEN replace({PAYLOAD_SQL}, '"user_id":', '"user_id":"x') || '"}}' ELSE {PAYLOAD_SQL} END AS v, event_type FROM events)
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'user_id: missing' ELSE '' END || CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 4 = 0 THEN ';' ELSE '' END || 'event_type: not allowed' ELSE '' END AS problems FROM p WHERE event_id % 4 <> 1""")
-def schema_problems(spark, d):
-    """A fourth of the payloads lack the user's id; errors aren't allowed."""
-    payload = F.when(F.col("event_id") % 4 == 0, F.replace("payload", F.lit('"user_id"'), F.lit('"user"'))).otherwise(F.col("payload"))
-    rows = events(spark, d).where("event_id % 4 <> 1")
-    found = ck.json_problems(payload, {"user_id": "integer"}, {"event_type": ["click", "purchase", "signup", "view"]})
-    return rows.select("event_id", F.array_join(found, ";").alias("problems"))
+    return t(spark, d, "part").select("p_partkey", ck.is_identifier(F.col("p_brand")).alias("brand_ok"), ck.is_event_name(F.lower(F.replace("p_type", F.lit(" "), F.lit(".")))).alias("event_ok"), ck.is_class_name(F.lower("p_name")).alias("class_ok"))
 
 
 @query("""SELECT event_id FROM events WHERE props LIKE '%"k": 7%' OR props LIKE '%"k":7%'""")
@@ -500,15 +463,6 @@ def step_writes(spark, d):
     return st.last_writes(rows).select("task_id", "attempt", "step", "seq")
 
 
-@query("""WITH x AS (SELECT o_orderkey AS id, o_orderpriority AS lane, o_custkey % 4 + 1 AS steps, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 3 AS wave FROM orders),
-w AS (SELECT lane, wave, max(steps) AS longest FROM x GROUP BY ALL), s AS (SELECT lane, wave, coalesce(sum(longest) OVER (PARTITION BY lane ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS started FROM w)
-SELECT id, lane, started, started + steps - 1 AS ended FROM x JOIN s USING (lane, wave)""")
-def drain_rounds(spark, d):
-    """Orders as tasks of five lanes of three workers."""
-    tasks = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("lane"), (F.col("o_custkey") % 4 + 1).alias("steps"))
-    return st.drain(tasks, tasks.select("lane").distinct().withColumn("cap", F.lit(3)))
-
-
 @query("""WITH vocab AS (SELECT p_brand AS token, p_size AS a, p_partkey % 7 AS b FROM (SELECT lower(replace(p_brand, '#', '_')) AS p_brand, min(p_size)::DOUBLE AS p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1)),
 x AS (SELECT p_partkey, lower(replace(p_brand, '#', '_')) AS t1, p_size % 5 AS k FROM part),
 s AS (SELECT p_partkey, a * (1 + k) AS a, b * (1.0 + k) AS b FROM x JOIN vocab ON token = t1)

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -29,7 +30,9 @@ class Ledger:
 
     commit() stages every table's rows of a step in files of their own, then writes the step's manifest under a
     temporary name and renames it: before the rename nothing is visible, after it everything is. A step that is
-    committed already is left alone, so a replay after a crash at any point leaves its effects exactly once.
+    committed already is left alone, so a replay after a crash at any point leaves its effects exactly once. That of
+    two writers of one step only one wins rests on a rename that fails when its target is there, as file systems have
+    it; a store without such a rename needs a single writer.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -58,9 +61,10 @@ class Ledger:
 
     def commit(self, step: str, effects: dict[str, DataFrame]) -> bool:
         """True if this call made the step's effects visible."""
-        if step in self.steps():
+        if self._fs.exists(self._path(self._manifest(step))):
             return False
-        body = json.dumps({"step": step, "tables": self.stage(step, effects)}, sort_keys=True)
+        places = self.stage(step, effects)
+        body = "\n".join(json.dumps({"step": step, "table": t, "place": p}, sort_keys=True) for t, p in places.items())
         temporary = f"{self.path}/manifests/.{step}-{uuid.uuid4().hex}"
         out = self._fs.create(self._path(temporary))
         out.write(bytearray(body.encode()))
@@ -68,11 +72,37 @@ class Ledger:
         # A rename onto a name that is there fails: of two writers of a step one wins.
         return bool(self._fs.rename(self._path(temporary), self._path(self._manifest(step))))
 
+    def kept(self, label: str, rows: DataFrame) -> DataFrame:
+        """rows written aside and read again: what a commit works on stays the same however often it is read, and no lineage grows. forget() deletes it."""
+        place = f"{self.path}/aside/{label}-{uuid.uuid4().hex}"
+        rows.write.parquet(place)
+        return self.spark.read.schema(rows.schema).parquet(place)
+
+    def forget(self, label: str) -> None:
+        """Deletes what was written aside under labels that begin so."""
+        at = self._path(f"{self.path}/aside")
+        if self._fs.exists(at):
+            for s in self._fs.listStatus(at):
+                if s.getPath().getName().startswith(f"{label}-"):
+                    self._fs.delete(s.getPath(), True)
+
+    def _read(self, places: list[str], schema: str) -> DataFrame:
+        found = [f"{self.path}/{p}" for p in places]
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+
+    def _manifests(self) -> DataFrame | None:
+        """All manifests as one table (step, table, place), read in one job however many steps there are."""
+        at = self._path(f"{self.path}/manifests")
+        if not self._fs.exists(at) or not any(s.getPath().getName().endswith(".json") for s in self._fs.listStatus(at)):
+            return None
+        return self.spark.read.schema("step string, table string, place string").option("pathGlobFilter", "*.json").json(f"{self.path}/manifests")
+
     def table(self, name: str, schema: str) -> DataFrame:
         """All committed rows of a table."""
-        places = []
-        for step in self.steps():
-            text = "\n".join(r[0] for r in self.spark.read.text(self._manifest(step)).collect())
-            place = json.loads(text)["tables"].get(name)
-            places += [f"{self.path}/{place}"] if place else []
-        return self.spark.read.schema(schema).parquet(*places) if places else self.spark.createDataFrame([], schema)
+        told = self._manifests()
+        return self._read([] if told is None else [r[0] for r in told.where(F.col("table") == name).select("place").orderBy("place").collect()], schema)
+
+    def of(self, step: str, name: str, schema: str) -> DataFrame:
+        """The rows of a table that one committed step wrote."""
+        text = "\n".join(r[0] for r in self.spark.read.text(self._manifest(step)).collect())
+        return self._read([x["place"] for x in map(json.loads, text.splitlines()) if x["table"] == name], schema)
