@@ -104,7 +104,7 @@ class WarcWriter(DataSourceWriter):
         self._clear(*filesystem(self.path))
 
 
-def parse_head(data: bytes) -> tuple[dict[str, str], int] | None:
+def parse_head(data: bytes | bytearray) -> tuple[dict[str, str], int] | None:
     """Header fields (names in lower case) and where the block starts; None until the header is complete."""
     end = data.find(b"\r\n\r\n")
     if end < 0:
@@ -120,7 +120,7 @@ class _Text:
     """The unpacked content from one place of an archive on, read as far as it is asked for: gzip members one after another, or the plain bytes."""
 
     def __init__(self, stream, at: int):
-        self.stream, self.at, self.held = stream, at, b""
+        self.stream, self.at, self.held = stream, at, bytearray()  # grows at its end and shrinks at its start without a copy
         stream.seek(at)
         self.raw = stream.read(_CHUNK)
         self.packed = self.raw[:2] == b"\x1f\x8b"
@@ -135,7 +135,8 @@ class _Text:
                     raise ValueError("an archive that ends within a gzip member")
                 return False
         if not self.packed:
-            self.held, self.raw = self.held + self.raw, b""
+            self.held += self.raw
+            self.raw = b""
             return True
         self.held += self.unpack.decompress(self.raw)
         self.started = True
@@ -191,23 +192,28 @@ class Records:
             if want == "block":
                 if not text.upto(start + length):
                     raise ValueError("a WARC record that ends before its length")
-                yield fields, text.held[start : start + length]
+                yield fields, bytes(memoryview(text.held)[start : start + length])
             else:
                 # What isn't wanted is unpacked, as members of others don't tell their length, but not kept.
                 left = start + length
                 while left > len(text.held):
-                    left, text.held = left - len(text.held), b""
+                    left -= len(text.held)
+                    text.held.clear()
                     if not text.more():
                         raise ValueError("a WARC record that ends before its length")
-                text.held, start, length = text.held[left:], 0, 0
+                del text.held[:left]
+                start = length = 0
                 if want:
                     yield fields, None
             if skip is not None:
                 at, text = at + skip, None
                 continue
-            text.held = text.held[start + length :]
+            del text.held[: start + length]
             while True:  # blank lines between records
-                text.held = text.held.lstrip(b"\r\n")
+                blank = 0
+                while blank < len(text.held) and text.held[blank] in b"\r\n":
+                    blank += 1
+                del text.held[:blank]
                 if text.held or not text.more():
                     break
             if not text.held:
