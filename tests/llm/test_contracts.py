@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -239,24 +240,68 @@ def test_unwanted_payloads_are_stepped_over(tmp_path):
     assert list(warc.Records(stream).read(lambda fields: "")) == []
 
 
-def test_leaks_over_the_whole_table(spark, small_dir):
-    """Every passage against every item, scored in full."""
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small_dir}/benchmark.parquet").collect()]
-    index = decontaminate.BlockMaxIndex(sorted(items))
-
-    def full(terms, theta):
+def bm25_leaks(items, text):
+    """{item: (score, question overlap, answer overlap)} of a text, from the method's words: BM25 over word pairs as a share of the item's own, each passage against every item, question and answer looked up word by word."""
+    fold = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
+    words = {i: t.lower().translate(fold).split() for i, t in items}
+    pairs = {i: Counter(zip(w, w[1:], strict=False)) if len(w) > 1 else Counter([tuple(w)]) for i, w in words.items() if w}
+    df, n = Counter(p for c in pairs.values() for p in c), len(pairs)
+    mean = sum(sum(c.values()) for c in pairs.values()) / n
+    idf = {p: math.log(1 + (n - d + 0.5) / (d + 0.5)) for p, d in df.items()}
+    impact = {}
+    for i, c in pairs.items():
+        size = sum(c.values())
+        raw = {p: idf[p] * k * 2.2 / (k + 1.2 * (1 - 0.75 + 0.75 * size / mean)) for p, k in c.items()}
+        impact[i] = {p: v / sum(raw.values()) for p, v in raw.items()}
+    holders = defaultdict(list)
+    for i, c in impact.items():
+        for p in c:
+            holders[p].append(i)
+    window = max(128, 2 * max(len(w) for w in words.values()))
+    grams = lambda w, k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+
+    def share(part, passage):
+        w = part.lower().translate(fold).split()
+        k = min(3, len(w))
+        return len(grams(w, k) & grams(passage, k)) / len(grams(w, k)) if w else None
+
+    found, told = {}, (text or "").lower().translate(fold).split()
+    for start in range(0, len(told), window // 2):
+        passage = told[start : start + window]
         score = Counter()
-        for t in terms:
-            for d, v in zip(index.postings[t], index.impacts[t], strict=True):
-                score[d] += v
-        return [(d, v) for d, v in sorted(score.items()) if v >= theta - 1e-12]
+        for p in {*zip(passage, passage[1:], strict=False), *((w,) for w in passage)}:
+            for i in holders.get(p, ()):
+                score[i] += impact[i][p]
+        for i, s in score.items():
+            if s >= 0.35 - 1e-12:
+                q, a = decontaminate.question_and_answer(dict(items)[i])
+                qs, as_, whole = share(q, passage) or 0.0, share(a, passage), share(dict(items)[i], passage)
+                as_ = 1.0 if as_ is None else as_
+                if as_ >= 0.5 and (qs >= 0.5 or whole >= 0.7):
+                    found[i] = max(found.get(i, (0.0, 0.0, 0.0)), (s, qs, as_))
+        if start + window >= len(told):
+            break
+    return found
+
 
-    index.search = full
-    want = {(i, x[0]): tuple(round(v, 9) for v in x[1:]) for i, t in documents(spark, small_dir).items() for x in index.leaks(t)}
+def test_leaks_over_the_whole_table(spark, small_dir):
+    """Every passage against every item, scored in full by a model of its own."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small_dir}/benchmark.parquet").collect()]
+    want = {(i, k): tuple(round(x, 9) for x in v) for i, t in documents(spark, small_dir).items() for k, v in bm25_leaks(items, t).items()}
     got = {(r["doc_id"], r["item_id"]): tuple(round(v, 9) for v in r[2:]) for r in queries.op8_benchmark_leaks(spark, small_dir).collect()}
     assert got == want and want
 
 
+def test_an_item_without_its_answer_is_no_leak():
+    rng = random.Random(21)
+    question = " ".join(f"q{i}" for i in range(40))
+    items = [(1, f"{question}? The answer is blue whale."), (2, " ".join(f"z{i}" for i in range(30)))]
+    index = decontaminate.BlockMaxIndex(items)
+    filler = " ".join(f"f{rng.randrange(50)}" for _ in range(60))
+    assert [x[0] for x in index.leaks(f"{filler} {question}? the answer is blue whale {filler}")] == [1]
+    assert index.leaks(f"{filler} {question}? none of it {filler}") == [] == [*bm25_leaks(items, f"{filler} {question}? none of it {filler}")]
+
+
 def test_a_sliced_benchmark_finds_the_same(spark, small_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{small_dir}/{n}.parquet") for n in ("documents", "benchmark"))
     one = decontaminate.with_leaks(docs.select("doc_id", "text"), bench)

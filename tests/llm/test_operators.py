@@ -134,7 +134,8 @@ def test_wand_equals_full_scoring():
         terms = sorted(rng.sample(range(len(index.keys)), 40))
         full = np.zeros(300)
         for t in terms:
-            full[index.postings[t]] += index.impacts[t]
+            for d, v in index.posting(t):
+                full[d] += v
         for theta in (0.02, 0.1, 0.2):
             assert {d for d, _ in index.search(terms, theta)} == set(np.flatnonzero(full >= theta - 1e-12).tolist())
 

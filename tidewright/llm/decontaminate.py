@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 #: A pair's number is BASE times its first word's plus its second word's; BASE - 1 stands for no second word.
 BASE = 1 << 31
-#: Share of an item's score against itself that a passage must reach, and shares of 3-word runs that must be found.
+#: Share of an item's score against itself that a passage must reach, and shares of 3-word runs that must be found: of the answer, if there is one, and of the question or of the item as a whole.
 THETA, QUESTION, ANSWER, OVERALL = 0.35, 0.5, 0.5, 0.7
 #: Bytes of test items in one index, which takes about 80 times as much memory; more items are searched by several, one pass each.
 INDEX_BYTES = 4 << 20
@@ -40,8 +42,12 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
-def runs_of(words: list[bytes], n: int = 3) -> set[tuple[bytes, ...]]:
-    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+def runs_of(words: list[bytes], n: int = 3) -> tuple[int, np.ndarray]:
+    """Length and 64-bit hashes of the distinct runs of n words; a shorter text is one run of its own length."""
+    n = min(n, len(words))
+    if not n:
+        return 0, np.empty(0, dtype=np.uint64)
+    return n, np.unique(np.array([xxhash.xxh64_intdigest(b"\0".join(words[i : i + n])) for i in range(len(words) - n + 1)], dtype=np.uint64))
 
 
 class Passage:
@@ -49,40 +55,42 @@ class Passage:
 
     def __init__(self, words: list[bytes]):
         self.words = words
-        self.runs: dict[int, set[tuple[bytes, ...]]] = {}
+        self.runs: dict[int, np.ndarray] = {}
 
-    def holds(self, runs: set[tuple[bytes, ...]]) -> int:
-        """How many of the runs of a text stand here; those of a text of one or two words are as long as it."""
-        n = len(next(iter(runs), ()))
-        if n and n not in self.runs:
-            self.runs[n] = runs_of(self.words, n)
-        return len(runs & self.runs[n]) if n else 0
+    def share(self, asked: tuple[int, np.ndarray], none: float = 0.0) -> float:
+        """Which share of the runs of a text stands here; none for a text without words."""
+        n, runs = asked
+        if not n:
+            return none
+        if n not in self.runs:
+            self.runs[n] = runs_of(self.words, n)[1] if len(self.words) >= n else np.empty(0, dtype=np.uint64)
+        return len(np.intersect1d(runs, self.runs[n], assume_unique=True)) / len(runs)
+
+
+def word_pairs(words: list[bytes]) -> list[bytes]:
+    """Neighbouring words, joined by a blank; a single word stands for itself."""
+    return [a + b" " + b for a, b in zip(words, words[1:], strict=False)] or words
 
 
 @dataclass
 class Collection:
-    """Counts over all items of a benchmark: how many there are, their mean number of pairs, the longest one's words, and each pair's items."""
+    """Counts over all items of a benchmark: how many there are, their mean number of pairs, the longest one's words, and in how many items each pair is."""
 
     items: int
     mean: float
     longest: int
-    df: Counter
+    df: dict[bytes, int]
 
     @classmethod
     def of(cls, items: Iterable[list[bytes]]) -> Collection:
         n = total = longest = 0
         df: Counter = Counter()
         for words in items:
-            found = list(zip(words, words[1:], strict=False)) or [tuple(words)]
+            found = word_pairs(words)
             n, total, longest = n + 1, total + len(found), max(longest, len(words))
             df.update(set(found))
         return cls(n, total / n if n else 1.0, max(longest, 1), df)
 
-    def only(self, items: Iterable[list[bytes]]) -> Collection:
-        """The same counts, of the pairs that these items have."""
-        named = {p for words in items for p in (list(zip(words, words[1:], strict=False)) or [tuple(words)])}
-        return Collection(self.items, self.mean, self.longest, Counter({p: self.df[p] for p in named}))
-
 
 class BlockMaxIndex:
     """Postings of word pairs (an item of one word has that word as its pair) with each posting's BM25 impact as a share of its item's own score, in blocks with their largest impact."""
@@ -104,37 +112,52 @@ class BlockMaxIndex:
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
         self.keys = np.array(sorted(df), dtype=np.int64)
         self.lone = self.keys[self.keys % BASE == BASE - 1] // BASE
-        self.postings: list[list[int]] = [[] for _ in self.keys]
-        self.impacts: list[list[float]] = [[] for _ in self.keys]
+        docs, terms, shares = array("i"), array("q"), array("d")
         for d, p in enumerate(pairs):
-            raw = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * lengths[d] / mean)) for t, c in p.items()}
-            own = sum(raw.values()) or 1.0
-            for t, v in raw.items():
-                k = bisect_left(self.keys, t)
-                self.postings[k].append(d)
-                self.impacts[k].append(v / own)
-        self.upper = np.array([max(v) for v in self.impacts] or [0.0])
-        self.block_max = [[max(v[i : i + BLOCK]) for i in range(0, len(v), BLOCK)] for v in self.impacts]
+            raw = [idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * lengths[d] / mean)) for t, c in p.items()]
+            own = sum(raw) or 1.0
+            docs.extend([d] * len(raw))
+            terms.extend(p)
+            shares.extend(v / own for v in raw)
+        # All postings in one run, by term and then by item; those of a term are at starts[t] to starts[t + 1].
+        term = np.searchsorted(self.keys, np.array(terms, dtype=np.int64))
+        order = np.lexsort((np.array(docs), term))
+        self.docs, self.impacts = array("i", np.array(docs, np.int32)[order].tobytes()), array("d", np.array(shares, np.float64)[order].tobytes())
+        count = np.bincount(term, minlength=len(self.keys))
+        self.starts = np.concatenate([[0], np.cumsum(count)]).tolist()
+        self.first_block = np.concatenate([[0], np.cumsum(-(-count // BLOCK))]).tolist()
+        edges = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(self.starts, self.starts[1:], strict=False)] or [np.empty(0, int)]).astype(int)
+        impacts = np.array(self.impacts)
+        self.block_max = array("d", np.maximum.reduceat(impacts, edges).tobytes() if len(edges) else b"")
+        self.upper = np.maximum.reduceat(impacts, self.starts[:-1]) if len(self.keys) else np.zeros(1)
         self.window = max(128, 2 * whole.longest)
         self.checks = []
         for _, words, text in self.items:
             q, a = question_and_answer(text)
             self.checks.append((runs_of(folded(q)), runs_of(folded(a)), runs_of(words)))
+        # What a search needs no more isn't sent along.
+        self.items = [(i,) for i, _, _ in self.items]
 
     @staticmethod
-    def named(pair: int, words: list[bytes]) -> tuple[bytes, ...]:
-        """The words of a pair's number."""
+    def named(pair: int, words: list[bytes]) -> bytes:
+        """The pair of a number, as word_pairs() has it."""
         a, b = divmod(pair, BASE)
-        return (words[a],) if b == BASE - 1 else (words[a], words[b])
+        return words[a] if b == BASE - 1 else words[a] + b" " + words[b]
 
     def pairs(self, ids: np.ndarray) -> list[int]:
         return (ids[:-1] * BASE + ids[1:]).tolist() if len(ids) > 1 else (ids * BASE + BASE - 1).tolist()
 
+    def posting(self, t: int) -> list[tuple[int, float]]:
+        """Item and impact of a term's postings."""
+        a, b = self.starts[t], self.starts[t + 1]
+        return list(zip(self.docs[a:b], self.impacts[a:b], strict=True))
+
     def search(self, terms: list[int], theta: float) -> list[tuple[int, float]]:
-        """All items whose impacts over the terms (postings' numbers, each once) sum to theta at least, by block-max WAND."""
-        cursors = [[self.postings[t][0], 0, t] for t in terms]
+        """All items whose impacts over the terms (numbers of keys, each once) sum to theta at least, by block-max WAND."""
+        docs, starts, first_block, block_max = self.docs, self.starts, self.first_block, self.block_max
+        cursors = [[docs[starts[t]], starts[t], t] for t in terms]
         found = []
-        end = len(self.items)
+        end = len(self.checks)
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
@@ -150,15 +173,15 @@ class BlockMaxIndex:
                 pivot += 1
             # Shallow move: the blocks that could hold doc, and where the nearest of them ends.
             blocks, nearest = 0.0, end
-            for c in cursors[: pivot + 1]:
-                post = self.postings[c[2]]
-                b = bisect_left(post, doc, c[1]) // BLOCK
-                if b < len(self.block_max[c[2]]):
-                    blocks += self.block_max[c[2]][b]
-                    nearest = min(nearest, post[min(len(post), (b + 1) * BLOCK) - 1] + 1)
+            for _, at, t in cursors[: pivot + 1]:
+                last = starts[t + 1]
+                b = (bisect_left(docs, doc, at, last) - starts[t]) // BLOCK
+                if first_block[t] + b < first_block[t + 1]:
+                    blocks += block_max[first_block[t] + b]
+                    nearest = min(nearest, docs[min(last, starts[t] + (b + 1) * BLOCK) - 1] + 1)
             if blocks >= theta - 1e-12:
                 if cursors[0][0] == doc:
-                    score = sum(self.impacts[c[2]][c[1]] for c in cursors[: pivot + 1])
+                    score = sum(self.impacts[c[1]] for c in cursors[: pivot + 1])
                     if score >= theta - 1e-12:
                         found.append((doc, score))
                     target = doc + 1
@@ -168,8 +191,9 @@ class BlockMaxIndex:
                 target = max(doc + 1, min(nearest, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end))
             for c in cursors[: pivot + 1]:
                 if c[0] < target:
-                    c[1] = bisect_left(self.postings[c[2]], target, c[1])
-                    c[0] = self.postings[c[2]][c[1]] if c[1] < len(self.postings[c[2]]) else end
+                    last = starts[c[2] + 1]
+                    c[1] = bisect_left(docs, target, c[1], last)
+                    c[0] = docs[c[1]] if c[1] < last else end
             cursors = [c for c in cursors if c[0] < end]
         return found
 
@@ -206,19 +230,28 @@ class BlockMaxIndex:
                     passage = Passage(words[start : start + self.window])
                     for d, s in self.search(terms.tolist(), THETA):
                         q, a_, whole = self.checks[d]
-                        qs, as_ = passage.holds(q) / max(1, len(q)), passage.holds(a_) / len(a_) if a_ else 1.0
-                        if (qs >= QUESTION and as_ >= ANSWER) or passage.holds(whole) >= OVERALL * len(whole):
+                        qs, as_ = passage.share(q), passage.share(a_, none=1.0)
+                        if as_ >= ANSWER and (qs >= QUESTION or passage.share(whole) >= OVERALL):
                             best[d] = max(best.get(d, (0.0, 0.0, 0.0)), (s, qs, as_))
             if start + self.window >= len(words):
                 break
         return [(self.items[d][0], float(s), qs, as_) for d, (s, qs, as_) in sorted(best.items())]
 
 
+_COUNTED = T.StructType([T.StructField("words", T.IntegerType()), T.StructField("pairs", T.IntegerType()), T.StructField("distinct", T.ArrayType(T.BinaryType()))])
+
+
+def _counted(texts: pd.Series) -> pd.DataFrame:
+    found = [folded(t) for t in texts]
+    pairs = [word_pairs(w) for w in found]
+    return pd.DataFrame({"words": [len(w) for w in found], "pairs": [len(p) for p in pairs], "distinct": [list(set(p)) for p in pairs]})
+
+
 def indices(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
     """Indices over the items, each of about INDEX_BYTES of them, so what a worker holds doesn't grow with the benchmark; null ids or texts have nothing to match.
 
-    Scores are those of one index over all items: number, mean length, longest item and each pair's count are taken
-    over all. The driver sees the items, and holds their pairs' counts.
+    Scores are those of one index over all items: number, mean length, longest item and each pair's count are
+    aggregates over all. The driver holds one index's items at a time, and the counts of their pairs.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna().distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -226,10 +259,19 @@ def indices(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
     if n == 1:
         yield BlockMaxIndex([(r[0], r[1]) for r in items.orderBy("item_id", "text").collect()])
         return
-    whole = Collection.of(w for r in items.toLocalIterator() if (w := folded(r[1])))
+    importable(benchmark.sparkSession)
+    slice_ = F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int").alias("slice")
+    parsed = materialise(items.select(slice_, F.pandas_udf(_counted, _COUNTED)("text").alias("c")).select("slice", "c.*").where("words > 0"), "item-pairs")
+    number, mean, longest = parsed.agg(F.count(F.lit(1)), F.avg("pairs"), F.max("words")).first()
+    pairs = parsed.select("slice", F.explode("distinct").alias("pair"))
+    df = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(pairs.distinct().join(df, "pair"), "pair-counts")
     for i in range(n):
-        part = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()]
-        yield BlockMaxIndex(part, whole.only(w for _, t in part if (w := folded(t))))
+        own = {bytes(r[0]): r[1] for r in counts.where(F.col("slice") == i).select("pair", "n").collect()}
+        part = [(r[0], r[1]) for r in items.where(slice_ == i).orderBy("item_id", "text").collect()]
+        yield BlockMaxIndex(part, Collection(number, mean, longest, own))
+    discard(parsed)
+    discard(counts)
 
 
 def _searcher(sent):
