@@ -10,6 +10,7 @@ from ..functions import vectors as vx
 from ..operators import blocks
 from ..operators import channels as ch
 from ..operators import queue as qu
+from ..operators import ranking as rk
 from ..operators import selection as sel
 from ..operators import steps as st
 from ..sources.ledger import Ledger, shared_folder
@@ -313,9 +314,8 @@ def semantic_pairs(spark, d):
 
 @query(f"WITH {SEMANTIC}, p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY semantic DESC, key) AS place FROM sem) SELECT q, key, semantic AS score, place FROM p WHERE place <= 5")
 def semantic_top5(spark, d):
-    """Hashed vectors of every document against every benchmark text."""
-    _, _, pairs = semantic_pairs(spark, d)
-    return sel.top(pairs.withColumnRenamed("semantic", "score"), 5)
+    """Hashed vectors of every document against every benchmark text; a task keeps its five best a query."""
+    return rk.nearest_texts(corpus(spark, d), asked(spark, d), 5)
 
 
 @query("""WITH r AS (SELECT o_orderkey AS key, rank() OVER (ORDER BY o_orderdate DESC) + (count(*) OVER (PARTITION BY o_orderdate) - 1) / 2.0 AS rank FROM orders)
@@ -344,7 +344,10 @@ def full_pairs(spark, d):
 @query(f"{FULL} SELECT q, key, score, round(lexical_rank, 1) AS lexical_rank, round(semantic_rank, 1) AS semantic_rank, place FROM pl WHERE place <= 5")
 def full_rrf_top5(spark, d):
     """Lexical and semantic channels of their own for each query, prior and recency for all, fused."""
-    best = sel.top(full_pairs(spark, d), 5)
+    docs = corpus(spark, d)
+    static = sel.static_votes(docs.withColumn("recency", F.col("key").cast("bigint") * 7919 % 365), {"n_chars": 0.3, "recency": 0.3})
+    pool = docs.select("key", "text").join(static, "key").withColumn("copies", F.lit(1).cast("bigint"))
+    best = rk.fused(pool, asked(spark, d), 5, {"lexical": 1.0, "semantic": 1.0})
     return best.select("q", "key", "score", F.round("lexical_rank", 1).alias("lexical_rank"), F.round("semantic_rank", 1).alias("semantic_rank"), "place")
 
 
