@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ledger import shared_folder
-from .workers import importable
+from .workers import importable, spread
 
 #: Centres at most, whatever the number of rows; queries that a task holds; rows of a ball that it reads.
 CENTRES, ASKED, READ = 1_024, 2_048, 50_000
@@ -59,7 +59,7 @@ def _in_balls(rows: DataFrame, centres: np.ndarray) -> DataFrame:
                 ball = far.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(ball, pa.int32()), pa.array(far[np.arange(len(ball)), ball]), pa.array([u.tobytes() for u in unit], pa.binary())], names=["grp", "id", "ball", "r", "v"])
 
-    return rows.select("grp", "id", "v").mapInArrow(place, _BALL)
+    return spread(rows.select("grp", "id", "v")).mapInArrow(place, _BALL)
 
 
 def _openings(queries: DataFrame, centres: np.ndarray, balls: list[tuple[str, int, int, float]], k: int) -> DataFrame:

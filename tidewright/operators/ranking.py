@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.ledger import shared_folder
 from .selection import RRF_OFFSET
-from .workers import importable
+from .workers import importable, spread
 
 DIM = 256
 #: Queries that are ranked in one go; bins of a cosine's coarse counts; rows that meet the queries at once.
@@ -101,7 +101,7 @@ def _prepared(pool: DataFrame, asked: Asked) -> DataFrame:
                 ids = [np.array([i for w in set(ws) if (i := get(w)) is not None], dtype=np.int32).tobytes() for ws in words]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(ids, pa.binary()), pa.array([counts(ws, hashed).tobytes() for ws in words], pa.binary())], names=["key", "votes", "copies", "ids", "v"])
 
-    return _written(pool.select("key", "votes", "copies", "text").mapInArrow(parse, "key string, votes double, copies bigint, ids binary, v binary"), "rows")
+    return _written(spread(pool.select("key", "votes", "copies", "text")).mapInArrow(parse, "key string, votes double, copies bigint, ids binary, v binary"), "rows")
 
 
 def _pieces(parts: Iterator[pa.RecordBatch], asked: Asked) -> Iterator[tuple]:
@@ -270,7 +270,7 @@ def nearest_texts(pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     out = spark.createDataFrame([], "q bigint, key string, score double")
     for at in range(0, len(asked_rows), QUERIES):
         asked = Asked.of(asked_rows[at : at + QUERIES])
-        out = out.unionByName(pool.select("key", "text").mapInArrow(_best_of(asked, k), "q bigint, key string, score double"))
+        out = out.unionByName(spread(pool.select("key", "text")).mapInArrow(_best_of(asked, k), "q bigint, key string, score double"))
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))
     return out.withColumn("place", place).where(F.col("place") <= k)
 
