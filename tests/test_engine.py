@@ -3,6 +3,7 @@ import pytest
 
 from tidewright.functions import text as tx
 from tidewright.operators import queue as qu
+from tidewright.operators import ranking as rk
 from tidewright.operators import selection as sel
 from tidewright.plans import definitions as de
 from tidewright.plans import ledger_views as lv
@@ -79,7 +80,7 @@ def test_pool_holds_fifty_texts_whatever_their_copies(spark, tmp_path):
         assert got[q]["gathered"] == got[q]["considered"] == len(docs)
     base = re.corpus(spark, str(tmp_path))
     for cap in (3, 70):
-        ranked = sel.fused_top(base, re.asked(spark, str(tmp_path)), re._flat(base), k=cap, distinct=True)
+        ranked = rk.lexical_top(base, re.asked(spark, str(tmp_path)), re._flat(base), k=cap, distinct=True)
         found = sel.copies_passed(base, ranked, cap).collect()
         rows_of = {q: [r["key"] for r in ranked.where(F.col("q") == q).orderBy("place").collect()] for q in (7, 8)}
         for r in found:

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.ledger import shared_folder
-from .selection import RRF_OFFSET
+from .selection import RRF_OFFSET, first_of_each_text
 from .workers import importable, spread
 
 DIM = 256
-#: Queries that are ranked in one go; bins of a cosine's coarse counts; rows that meet the queries at once.
+#: Queries (of one text each) that are ranked in one go; bins of a cosine's coarse counts; rows that meet the queries at once.
 QUERIES, BINS, ROWS = 512, 2_048, 512
 #: Scores of the result have six decimals.
 HALF = 1e-6
@@ -66,31 +66,57 @@ def _written(df: DataFrame, label: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Asked:
-    """A block of queries: their names, the tokens of all, which of them each has, and their unit vectors."""
+    """A block of queries: their names, the texts (lanes) of each one after another, the tokens of all, which of them each lane has, and the lanes' unit vectors, if cosines are asked for."""
 
     names: np.ndarray
+    first: np.ndarray
+    shares: np.ndarray
     vocab: dict[str, int]
     has: np.ndarray
-    vectors: np.ndarray
+    vectors: np.ndarray | None
 
     @classmethod
-    def of(cls, queries: list[tuple[int, str]]) -> Asked:
-        words, hashed = [identifiers(t) for _, t in queries], Hashed()
+    def of(cls, queries: list[tuple[int, list[str]]], cosines: bool = True) -> Asked:
+        words, hashed = [identifiers(t) for _, ts in queries for t in ts], Hashed()
         vocab = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
-        has = np.zeros((len(vocab) + 1, len(queries)), dtype=np.int16)
+        has = np.zeros((len(vocab) + 1, len(words)), dtype=np.int16)
         for j, ws in enumerate(words):
             has[[vocab[w] for w in set(ws)], j] = 1
-        return cls(np.array([q for q, _ in queries], dtype=np.int64), vocab, has, _unit(np.array([counts(ws, hashed) for ws in words])))
+        lanes = np.array([len(ts) for _, ts in queries], dtype=np.int64)
+        first = np.concatenate([[0], np.cumsum(lanes)[:-1]])
+        vectors = _unit(np.array([counts(ws, hashed) for ws in words])) if cosines else None
+        return cls(np.array([q for q, _ in queries], dtype=np.int64), first, np.repeat(1.0 / lanes, lanes), vocab, has, vectors)
+
+    @property
+    def lanes(self) -> int:
+        return len(self.shares)
+
+    def of_lane(self) -> np.ndarray:
+        """Which query each lane belongs to."""
+        return np.repeat(np.arange(len(self.names)), np.diff(np.append(self.first, self.lanes)))
 
     def scores(self, ids: list[bytes], vectors: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hits and cosines (six decimals) of some rows with every query."""
+        """Hits and cosines (six decimals; zeros if they aren't asked for) of some rows with every lane."""
         hits = np.array([self.has[np.frombuffer(x, np.int32)].sum(axis=0) for x in ids], dtype=np.int32).reshape(len(ids), -1)
+        if self.vectors is None:
+            return hits, np.zeros(hits.shape)
         rows = _unit(np.frombuffer(b"".join(vectors), np.int32).reshape(len(vectors), DIM))
         return hits, np.clip(np.round(rows @ self.vectors.T, 6), -1, 1) + 0.0
 
 
+def _blocks(queries: DataFrame, cosines: bool) -> Iterator[Asked]:
+    """Queries (q, text; a q may have several texts) QUERIES at a time."""
+    texts: dict[int, list[str]] = {}
+    for q, t in sorted((r["q"], r["text"] or "") for r in queries.select(F.col("q").cast("bigint").alias("q"), "text").collect()):
+        texts.setdefault(q, []).append(t)
+    asked = list(texts.items())
+    for at in range(0, len(asked), QUERIES):
+        yield Asked.of(asked[at : at + QUERIES], cosines)
+
+
 def _prepared(pool: DataFrame, asked: Asked) -> DataFrame:
-    """key, votes, copies, ids (tokens of the queries that the text has) and v (its counts), each text read once."""
+    """key, votes, copies, ids (tokens of the queries that the text, or what column more adds to it, has) and v (the text's counts, if cosines are asked for), each text read once."""
+    more = F.col("more") if "more" in pool.columns else F.lit(None).cast("string")
 
     def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, get = Hashed(), asked.vocab.get
@@ -98,10 +124,12 @@ def _prepared(pool: DataFrame, asked: Asked) -> DataFrame:
             for at in range(0, part.num_rows, ROWS):
                 piece = part.slice(at, ROWS)
                 words = [identifiers(t) for t in piece.column(3).to_pylist()]
-                ids = [np.array([i for w in set(ws) if (i := get(w)) is not None], dtype=np.int32).tobytes() for ws in words]
-                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(ids, pa.binary()), pa.array([counts(ws, hashed).tobytes() for ws in words], pa.binary())], names=["key", "votes", "copies", "ids", "v"])
+                added = [identifiers(t) if t else [] for t in piece.column(4).to_pylist()]
+                ids = [np.array([i for w in {*ws, *more_} if (i := get(w)) is not None], dtype=np.int32).tobytes() for ws, more_ in zip(words, added, strict=True)]
+                v = [b""] * len(words) if asked.vectors is None else [counts(ws, hashed).tobytes() for ws in words]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(ids, pa.binary()), pa.array(v, pa.binary())], names=["key", "votes", "copies", "ids", "v"])
 
-    return _written(spread(pool.select("key", "votes", "copies", "text")).mapInArrow(parse, "key string, votes double, copies bigint, ids binary, v binary"), "rows")
+    return _written(spread(pool.select("key", "votes", "copies", "text", more.alias("more"))).mapInArrow(parse, "key string, votes double, copies bigint, ids binary, v binary"), "rows")
 
 
 def _pieces(parts: Iterator[pa.RecordBatch], asked: Asked) -> Iterator[tuple]:
@@ -117,8 +145,8 @@ def _bin(cos: np.ndarray) -> np.ndarray:
 
 
 def _counted(rows: DataFrame, asked: Asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows by hits, rows by a cosine's bin, and the least and largest cosine, for each query; a task sends what it has counted, the driver gets one count a query and bin."""
-    q, most = len(asked.names), int(asked.has.sum(axis=0).max(initial=0)) + 1
+    """Rows by hits, rows by a cosine's bin, and the least and largest cosine, for each lane; a task sends what it has counted, the driver gets one count a lane and bin."""
+    q, most = asked.lanes, int(asked.has.sum(axis=0).max(initial=0)) + 1
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((q, most + BINS), dtype=np.int64)
@@ -146,7 +174,7 @@ def _above(n: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Votes:
-    """For each query the vote by hits with its rank, and the bounds of the vote by a cosine's bin; zeros where the channel abstains."""
+    """For each lane the vote by hits with its rank, and the bounds of the vote by a cosine's bin; zeros where the channel abstains."""
 
     lexical: np.ndarray
     rank: np.ndarray
@@ -155,49 +183,57 @@ class Votes:
     semantic: np.ndarray
 
 
-def _votes(hits: np.ndarray, bins: np.ndarray, ends: np.ndarray, weights: dict[str, float]) -> Votes:
+def _votes(asked: Asked, hits: np.ndarray, bins: np.ndarray, ends: np.ndarray, weights: dict[str, float]) -> Votes:
+    """A query's lanes share the weight of each channel."""
     rank = _above(hits) + (hits + 1) / 2
-    speaks = ((hits > 0).sum(axis=1) > 1) & (weights.get("lexical", 0) > 0)
-    lexical = np.where(speaks[:, None], weights.get("lexical", 0) / (RRF_OFFSET + rank), 0.0)
-    speaks = (ends[:, 0] < ends[:, 1]) & (weights.get("semantic", 0) > 0)
-    w, before = weights.get("semantic", 0), _above(bins)
-    least, most = (np.where(speaks[:, None], w / (RRF_OFFSET + before + x), 0.0) for x in (np.maximum(bins, 1), 1))
+    w = weights.get("lexical", 0) * asked.shares
+    speaks = ((hits > 0).sum(axis=1) > 1) & (w > 0)
+    lexical = np.where(speaks[:, None], w[:, None] / (RRF_OFFSET + rank), 0.0)
+    w, before = weights.get("semantic", 0) * asked.shares, _above(bins)
+    speaks = (ends[:, 0] < ends[:, 1]) & (w > 0)
+    least, most = (np.where(speaks[:, None], w[:, None] / (RRF_OFFSET + before + x), 0.0) for x in (np.maximum(bins, 1), 1))
     return Votes(lexical, rank, least, most, speaks)
 
 
+_FOUND = pa.schema([("i", pa.int32()), ("key", pa.string()), ("votes", pa.float64()), ("copies", pa.int64()), ("hits", pa.list_(pa.int32())), ("cos", pa.list_(pa.float64())), ("low", pa.float64()), ("high", pa.float64())])
+
+
 def _candidates(rows: DataFrame, asked: Asked, votes: Votes, k: int) -> DataFrame:
-    """i, key, votes, hits, cos, low, high: rows that no k others of their task surely beat; of rows alike in all scores the first k by key."""
+    """i, key, votes, copies, hits, cos, low, high: rows that no k others of their task surely beat, with their scores lane by lane; of rows alike in all scores the first k by key."""
 
     def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = len(asked.names)
-        lane, sure = np.arange(q), np.full((q, k), -np.inf)
+        q, lane = len(asked.names), np.arange(asked.lanes)
+        until = np.append(asked.first, asked.lanes)[1:]
+        sure = np.full((q, k), -np.inf)
         held: list[list[tuple]] = [[] for _ in range(q)]
 
         def thinned(i: int) -> list[tuple]:
             """The rows of a query that still can win, at most k of each score."""
             kept, alike = [], {}
-            for r in sorted(r for r in held[i] if r[5] >= sure[i, 0] - 2 * HALF):
-                alike[r[1:4]] = alike.get(r[1:4], 0) + 1
-                if alike[r[1:4]] <= k:
+            for r in sorted(r for r in held[i] if r[6] >= sure[i, 0] - 2 * HALF):
+                same = (r[1], r[3], r[4])
+                alike[same] = alike.get(same, 0) + 1
+                if alike[same] <= k:
                     kept.append(r)
             return kept
 
-        for keys, own, _, hits, cos in _pieces(parts, asked):
+        for keys, own, copies, hits, cos in _pieces(parts, asked):
             b = _bin(cos)
-            base = votes.lexical[lane[None], hits] + own[:, None]
-            low, high = base + votes.least[lane[None], b], base + votes.most[lane[None], b]
+            summed = lambda x, own=own: np.add.reduceat(x, asked.first, axis=1) + own[:, None]
+            lexical = votes.lexical[lane[None], hits]
+            low, high = summed(lexical + votes.least[lane[None], b]), summed(lexical + votes.most[lane[None], b])
             sure = np.sort(np.vstack([sure.T, low]), axis=0)[-k:].T
             for r, i in zip(*np.nonzero(high >= sure[:, 0][None] - 2 * HALF), strict=True):
-                held[i].append((keys[r], float(own[r]), int(hits[r, i]), float(cos[r, i]), float(low[r, i]), float(high[r, i])))
+                span = slice(asked.first[i], until[i])
+                held[i].append((keys[r], float(own[r]), int(copies[r]), tuple(hits[r, span].tolist()), tuple(cos[r, span].tolist()), float(low[r, i]), float(high[r, i])))
             for i in range(q):
                 if len(held[i]) > 40 * k + 1_000:
                     held[i] = thinned(i)
         out = [(i, *r) for i in range(q) for r in thinned(i)]
-        types = (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-        columns = zip(*out, strict=True) if out else [[] for _ in types]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["i", "key", "votes", "hits", "cos", "low", "high"])
+        columns = zip(*out, strict=True) if out else [[] for _ in _FOUND]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
-    found = rows.mapInArrow(pick, "i int, key string, votes double, hits int, cos double, low double, high double")
+    found = rows.mapInArrow(pick, "i int, key string, votes double, copies bigint, hits array<int>, cos array<double>, low double, high double")
     alike = Window.partitionBy("i", "votes", "hits", "cos").orderBy("key")
     best = Window.partitionBy("i").orderBy(F.desc("low"))
     found = _written(found.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k).drop("n"), "candidates")
@@ -206,7 +242,7 @@ def _candidates(rows: DataFrame, asked: Asked, votes: Votes, k: int) -> DataFram
 
 
 def _exact(rows: DataFrame, asked: Asked, wanted: list[np.ndarray]) -> DataFrame:
-    """i, cos, rank of the cosines wanted of each query, counted over all rows."""
+    """lane, cos, rank of the cosines wanted of each lane, counted over all rows."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         over = [np.zeros(len(w) + 1, dtype=np.int64) for w in wanted]
@@ -220,56 +256,71 @@ def _exact(rows: DataFrame, asked: Asked, wanted: list[np.ndarray]) -> DataFrame
                 same[i] += np.bincount(below[hit], copies[hit], minlength=len(w)).astype(np.int64)
         for i, w in enumerate(wanted):
             more = over[i][::-1].cumsum()[::-1][1:]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), i), pa.int32()), pa.array(w), pa.array(more), pa.array(same[i])], names=["i", "cos", "more", "same"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), i), pa.int32()), pa.array(w), pa.array(more), pa.array(same[i])], names=["lane", "cos", "more", "same"])
 
-    got = rows.mapInArrow(count, "i int, cos double, more bigint, same bigint").groupBy("i", "cos").agg(F.sum("more").alias("more"), F.sum("same").alias("same"))
-    return got.select("i", "cos", (F.col("more") + (F.col("same") + 1) / 2).alias("rank"))
+    got = rows.mapInArrow(count, "lane int, cos double, more bigint, same bigint").groupBy("lane", "cos").agg(F.sum("more").alias("more"), F.sum("same").alias("same"))
+    return got.select("lane", "cos", (F.col("more") + (F.col("same") + 1) / 2).alias("rank"))
 
 
 def fused(pool: DataFrame, queries: DataFrame, k: int, weights: dict[str, float]) -> DataFrame:
-    """q, key, score, lexical_rank, semantic_rank, place of the k best rows of the pool (key, text, votes, copies) for each query (q, text), by reciprocal rank fusion.
-
-    Every row is scored with every query inside map tasks, in three passes over the rows' vectors: the first counts hits
-    and coarse bins of cosines, which bound every vote; the second keeps the rows whose bound the k-th best can't beat;
-    the third counts the exact ranks of these. So the result is that of ranking all pairs, ties by average rank and
-    score ties by key, while what is shuffled are counts a task and the rows that can win. copies is how many rows a
-    row stands for; channels of weight 0, and those in which all rows score alike, abstain. Queries are a stated set,
-    ranked QUERIES at a time.
+    """q, key, score, lexical_rank, semantic_rank, copies, place of the k best rows of the pool (key, text, votes, copies) for each query (q, text), by reciprocal rank fusion.
+
+    Every row is scored with every query inside map tasks, in passes over the rows' tokens and vectors: the first counts
+    hits and coarse bins of cosines, which bound every vote; the second keeps the rows whose bound the k-th best can't
+    beat; the third, if cosines vote, counts the exact ranks of these. So the result is that of ranking all pairs, ties
+    by average rank and score ties by key, while what is shuffled are counts a task and the rows that can win.
+
+    A q may come with several texts: each votes with its share of a channel's weight, and the ranks told are the best
+    over them. A column more adds tokens to a row's text. copies is how many rows a row stands for; votes are those of
+    channels that don't ask. Channels of weight 0, and those in which all rows score alike, abstain. Queries are a
+    stated set, ranked QUERIES at a time.
     """
     spark = pool.sparkSession
     importable(spark)
-    asked_rows = sorted((r["q"], r["text"]) for r in queries.select(F.col("q").cast("bigint").alias("q"), "text").collect())
-    out = None
-    for at in range(0, len(asked_rows), QUERIES):
-        asked = Asked.of(asked_rows[at : at + QUERIES])
+    cosines = weights.get("semantic", 0) > 0
+    out = spark.createDataFrame([], "q bigint, key string, score double, lexical_rank double, semantic_rank double, copies bigint, place int")
+    for asked in _blocks(queries, cosines):
         rows = _prepared(pool, asked)
         hits, bins, ends = _counted(rows, asked)
-        votes = _votes(hits, bins, ends, weights)
+        votes = _votes(asked, hits, bins, ends, weights)
         found = _written(_candidates(rows, asked, votes, k), "winners")
-        wanted: list[list[float]] = [[] for _ in asked.names]
-        for i, c in found.select("i", "cos").distinct().collect():
-            wanted[i].append(c)
-        ranks = _exact(rows, asked, [np.array(sorted(w), dtype=np.float64) for w in wanted])
+        lanes = found.select("i", "key", "votes", "copies", F.posexplode(F.arrays_zip("hits", "cos")).alias("n", "x")).select("i", "key", "votes", "copies", "n", "x.hits", "x.cos")
+        firsts = [(i, int(n), int(f)) for i, (n, f) in enumerate(zip(asked.names, asked.first, strict=True))]
+        lanes = lanes.join(spark.createDataFrame(firsts, "i int, q bigint, first int"), "i").withColumn("lane", F.col("first") + F.col("n"))
         table = [(int(i), int(h), float(votes.lexical[i, h]), float(votes.rank[i, h])) for i, h in zip(*np.nonzero(hits), strict=True)]
-        lexical = spark.createDataFrame(table, "i int, hits int, lexical double, lexical_rank double")
-        names = spark.createDataFrame([(i, int(n), bool(votes.semantic[i])) for i, n in enumerate(asked.names)], "i int, q bigint, speaks boolean")
-        vote = F.when(F.col("speaks"), F.lit(float(weights.get("semantic", 0))) / (F.lit(RRF_OFFSET) + F.col("rank"))).otherwise(F.lit(0.0))
-        j = found.join(ranks, ["i", "cos"]).join(lexical, ["i", "hits"]).join(names, "i")
-        scored = j.select("q", "key", F.round(F.col("lexical") + vote + F.col("votes"), 6).alias("score"), "lexical_rank", F.col("rank").alias("semantic_rank"))
+        lanes = lanes.join(spark.createDataFrame(table, "lane int, hits int, lexical double, lexical_rank double"), ["lane", "hits"])
+        if cosines:
+            wanted: list[list[float]] = [[] for _ in range(asked.lanes)]
+            for i, c in lanes.select("lane", "cos").distinct().collect():
+                wanted[i].append(c)
+            ranks = _exact(rows, asked, [np.array(sorted(w), dtype=np.float64) for w in wanted])
+            weigh = [(i, float(weights["semantic"] * s) if votes.semantic[i] else 0.0) for i, s in enumerate(asked.shares)]
+            lanes = lanes.join(ranks, ["lane", "cos"]).join(spark.createDataFrame(weigh, "lane int, weight double"), "lane").withColumn("semantic", F.col("weight") / (F.lit(RRF_OFFSET) + F.col("rank")))
+        else:
+            lanes = lanes.withColumn("rank", F.lit(None).cast("double")).withColumn("semantic", F.lit(0.0))
+        per = lanes.groupBy("q", "key", "votes", "copies").agg(F.sum("lexical").alias("l"), F.sum("semantic").alias("s"), F.min("lexical_rank").alias("lexical_rank"), F.min("rank").alias("semantic_rank"))
+        scored = per.select("q", "key", F.round(F.col("l") + F.col("s") + F.col("votes"), 6).alias("score"), "lexical_rank", "semantic_rank", "copies")
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))
-        best = _written(scored.withColumn("place", place).where(F.col("place") <= k), "best")
-        out = best if out is None else out.unionByName(best)
-    return out if out is not None else spark.createDataFrame([], "q bigint, key string, score double, lexical_rank double, semantic_rank double, place int")
+        out = out.unionByName(_written(scored.withColumn("place", place).where(F.col("place") <= k), "best"))
+    return out
+
+
+def lexical_top(docs: DataFrame, queries: DataFrame, static: DataFrame, k: int = 5, weight: float = 1.0, distinct: bool = False) -> DataFrame:
+    """q, key, score, place of the k best rows for each query: the lexical channel and the votes in static (key, votes: one row for every row of the pool). With distinct, the k best rows of different texts, with copies, the number of rows of each text; ranks are still those among all rows."""
+    if distinct:
+        static = first_of_each_text(docs, static)
+    pool = docs.select("key", "text").join(static, "key")
+    pool = pool if distinct else pool.withColumn("copies", F.lit(1).cast("bigint"))
+    best = fused(pool, queries, k, {"lexical": weight})
+    return best.select("q", "key", "score", *(["copies"] if distinct else []), "place")
 
 
 def nearest_texts(pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """q, key, score, place of the k rows (key, text) whose hashed vectors are most like each query's (q, text): a task keeps its k best, in one pass."""
     spark = pool.sparkSession
     importable(spark)
-    asked_rows = sorted((r["q"], r["text"]) for r in queries.select(F.col("q").cast("bigint").alias("q"), "text").collect())
     out = spark.createDataFrame([], "q bigint, key string, score double")
-    for at in range(0, len(asked_rows), QUERIES):
-        asked = Asked.of(asked_rows[at : at + QUERIES])
+    for asked in _blocks(queries, True):
         out = out.unionByName(spread(pool.select("key", "text")).mapInArrow(_best_of(asked, k), "q bigint, key string, score double"))
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))
     return out.withColumn("place", place).where(F.col("place") <= k)

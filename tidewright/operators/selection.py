@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.ledger import shared_folder
 
 RRF_OFFSET = 60
 #: Default weights of the channels.
@@ -18,13 +19,27 @@ WEIGHTS = {"lexical": 1.0, "semantic": 1.0, "boost": 1.0, "recency": 0.3, "prior
 def fractional_rank(scored: DataFrame, score: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """scored with the average rank of each score, largest first; groups of one distinct score abstain and leave.
 
-    Ranks come from counts by distinct score, so only those are sorted, and hot groups are pre-aggregated.
+    Ranks come from counts by distinct score, so only those are sorted, and hot groups are pre-aggregated. Without by
+    the distinct scores are dealt by ranges, and only the counts of the ranges are summed in one place.
     """
     counts = scored.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("__n"))
-    order = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("__n").over(order), F.lit(0)) + (F.col("__n") + 1) / 2
-    ranks = counts.withColumn(out, rank).withColumn("__kinds", F.count(F.lit(1)).over(Window.partitionBy(*by))).where("__kinds > 1").drop("__n", "__kinds")
-    return scored.join(ranks, [*by, score])
+    if by:
+        order = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+        before, kinds = F.coalesce(F.sum("__n").over(order), F.lit(0)), F.count(F.lit(1)).over(Window.partitionBy(*by))
+        ranks = counts.withColumn(out, before + (F.col("__n") + 1) / 2).withColumn("__kinds", kinds)
+    else:
+        spark = scored.sparkSession
+        dealt = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.desc(score)).withColumn("__task", F.spark_partition_id())
+        path = shared_folder(spark, "ranks")
+        dealt.write.parquet(path)  # the ranges stay as they are however often they are read
+        dealt = spark.read.schema(dealt.schema).parquet(path)
+        tasks = dealt.groupBy("__task").agg(F.sum("__n").alias("__sum"), F.count(F.lit(1)).alias("__some"))
+        ahead = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+        tasks = tasks.select("__task", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__ahead"), F.sum("__some").over(Window.partitionBy()).alias("__kinds"))
+        order = Window.partitionBy("__task").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+        own = dealt.withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0))).join(tasks, "__task")
+        ranks = own.withColumn(out, F.col("__ahead") + F.col("__before") + (F.col("__n") + 1) / 2).drop("__task", "__before", "__ahead")
+    return scored.join(ranks.where("__kinds > 1").drop("__n", "__kinds"), [*by, score])
 
 
 def vote(rank: Column, weight: float) -> Column:
@@ -53,43 +68,8 @@ def text_sha() -> Column:
     return F.sha2(F.coalesce("text", F.lit("")), 256)
 
 
-def fused_top(docs: DataFrame, queries: DataFrame, static: DataFrame, k: int = 5, weight: float = WEIGHTS["lexical"], distinct: bool = False) -> DataFrame:
-    """q, key, score, place of the k best rows for each query: the lexical channel of its own and the votes in static (key, votes: one row for every row of the pool).
-
-    Texts without a hit share one rank; of those, only the best by their static votes can win. As many of these are
-    tried as it takes for k of them to be free of hits for every query, so the result is that of ranking the whole pool.
-    With distinct, the k best rows of different texts, with copies, the number of rows of each text; ranks are still
-    those among all rows.
-    """
-    n = static.count()
-    static = first_of_each_text(docs, static) if distinct else static.withColumn("copies", F.lit(1).cast("bigint"))
-    different = static.count() if distinct else n
-    # Kept: counted for the ranks, for the rows without hits, and joined to their votes in the end.
-    hits = lexical_hits(docs.join(static.select("key"), "key") if distinct else docs, queries).persist()
-    counted = hits.join(static.select("key", "copies"), "key") if distinct else hits.withColumn("copies", F.lit(1).cast("bigint"))
-    kinds = counted.groupBy("q", "hits").agg(F.sum("copies").alias("n"))
-    asked = queries.select("q").distinct()
-    zero = asked.join(kinds.groupBy("q").agg(F.sum("n").alias("some")), "q", "left").select("q", F.lit(0).cast("bigint").alias("hits"), (F.lit(n) - F.coalesce("some", F.lit(0))).alias("n"))
-    kinds = kinds.unionByName(zero.where("n > 0"))
-    order = Window.partitionBy("q").orderBy(F.desc("hits")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = kinds.withColumn("rank", F.coalesce(F.sum("n").over(order), F.lit(0)) + (F.col("n") + 1) / 2).withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("q")))
-    votes = ranks.select("q", "hits", F.when(F.col("kinds") > 1, vote(F.col("rank"), weight)).otherwise(F.lit(0.0)).alias("vote"))
-    copies = ["copies"] if distinct else []
-    found = hits.join(F.broadcast(votes), ["q", "hits"]).join(static, "key").select("q", "key", (F.col("vote") + F.col("votes")).alias("score"), *copies)
-    tried = max(256, 4 * k)
-    while True:
-        best = static.orderBy(F.desc("votes"), "key").limit(tried)
-        free = best.crossJoin(F.broadcast(asked)).join(hits.select("q", "key"), ["q", "key"], "left_anti")
-        few = asked.join(free.groupBy("q").agg(F.count(F.lit(1)).alias("n")), "q", "left").where(F.coalesce("n", F.lit(0)) < k).limit(1).count() if tried < different else 0
-        if not few:
-            break
-        tried *= 8
-    rest = free.join(F.broadcast(votes.where("hits = 0")), "q").select("q", "key", (F.col("vote") + F.col("votes")).alias("score"), *copies)
-    return top(found.unionByName(rest).withColumn("score", F.round("score", 6)), k)
-
-
 def copies_passed(docs: DataFrame, pool: DataFrame, cap: int) -> DataFrame:
-    """q, pool, deduped from what fused_top gives with distinct and k=cap, without static votes: its size, and the rows that a walk over the whole ranking skips as copies before it holds cap texts."""
+    """q, pool, deduped from what a ranking of different texts (lexical_top with distinct) gives for k=cap, without static votes: its size, and the rows that a walk over the whole ranking skips as copies before it holds cap texts."""
     last = F.max(F.when(F.col("place") == cap, F.struct("score", "key")))
     ends = pool.groupBy("q").agg(F.count(F.lit(1)).alias("pool"), last.alias("last"))
     placed = pool.join(F.broadcast(ends), "q")

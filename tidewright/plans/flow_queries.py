@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import json_values as jv
-from ..operators import blocks, decisions, effects, neighbours, providers, trace, upkeep, walk
+from ..operators import blocks, decisions, effects, neighbours, providers, select, trace, upkeep, walk
 from ..operators import channels as ch
 from ..operators import queue as qu
 from ..operators import steps as st
 from ..sources.ledger import Ledger, shared_folder
 from .definitions import workflow
 from .ledger_views import PAYLOAD_SQL, SUBS_SQL, events, subscriptions
-from .retrieval import corpus, t
-from .step_queries import triage
+from .retrieval import asked, corpus, t
+from .step_queries import FULL, triage
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -414,3 +416,50 @@ def retrieval_top5(spark, d):
     objects = e.select("id", F.concat(F.lit("repo"), (F.col("id") % 5).cast("string")).alias("repo"), F.concat(F.lit("src/"), F.col("id").cast("string")).alias("path"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("f"), (F.col("id") % 11).cast("string"))).alias("symbol"))
     readings = t(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 300).alias("object"), F.concat("lang", F.col("doc_id").cast("string")).alias("summary"))
     return neighbours.with_readings(hits, objects, readings)
+
+
+def stub_judge(prompt: str, ask: int) -> str:
+    """A judge for demonstrations: scores by key, leaves out every fourth, and fails for every fifth task."""
+    _, payload, entries = prompt.split("\n")[:3]
+    if json.loads(payload)["q"] % 5 == 0:
+        raise ConnectionError("nobody answers")
+    return jv.dumped({"scores": {e["key"]: int(e["key"]) % 12 for e in json.loads(entries) if int(e["key"]) % 4}})
+
+
+SELECT_SQL = f"""WITH RECURSIVE {FULL[5:]},
+ju AS (SELECT *, CASE WHEN place <= 20 AND q % 5 <> 0 THEN 0 ELSE 1 END AS part, CASE WHEN place <= 20 AND q % 5 <> 0 AND key::BIGINT % 4 <> 0 THEN least(10, key::BIGINT % 12)::INT END AS judged FROM pl),
+od AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY part, CASE WHEN part = 0 THEN -coalesce(judged, -1) ELSE 0 END, score DESC, key) AS o FROM ju),
+tw AS (SELECT od.*, d.text, row_number() OVER (PARTITION BY q, d.text ORDER BY o) AS twin, row_number() OVER (PARTITION BY q, d.text ORDER BY od.place) AS copy FROM od JOIN d USING (key)),
+nt AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY o) AS step FROM tw WHERE twin = 1),
+cp AS (SELECT q, place, row_number() OVER (PARTITION BY q ORDER BY place) AS n FROM tw WHERE copy = 1),
+en AS (SELECT q, max(place) AS last, count(*) AS pool FROM cp WHERE n <= 50 GROUP BY q),
+chosen AS (SELECT *, CASE WHEN length(text) <= 2000 THEN text WHEN key::BIGINT % 2 = 0 THEN '..' ELSE substr(text, 1, 2000) END AS display FROM nt WHERE step <= 5),
+b AS (SELECT *, strlen(display)::BIGINT AS bytes FROM chosen),
+fold AS (SELECT q, step, TRUE AS packed, bytes AS used FROM b WHERE step = 1
+ UNION ALL SELECT b.q, b.step, f.used + b.bytes <= 5000, f.used + CASE WHEN f.used + b.bytes <= 5000 THEN b.bytes ELSE 0 END FROM fold f JOIN b ON b.q = f.q AND b.step = f.step + 1)"""
+
+
+def selected(spark, d):
+    """Documents for every benchmark text: recency from their ids, prior from their length, kept summaries for every second one, a judge, and a budget."""
+    docs = corpus(spark, d)
+    number = F.col("key").cast("bigint")
+    rows = docs.select("key", "text", (number * 7919 % 365).alias("ts"), F.col("n_chars").alias("weight"))
+    kept = docs.where(number % 2 == 0).select("key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"), F.lit("..").alias("summary"))
+    tasks = asked(spark, d).select("q", F.array("text").alias("texts"), F.to_json(F.struct("q")).alias("payload"))
+    spec = select.Spec(k=5, max_chars=2_000, diversify=0, max_bytes=5_000, judge=stub_judge)
+    return select.select(rows, tasks, spec, summaries=kept)
+
+
+@query(f"""{SELECT_SQL} SELECT b.q, b.step::INT AS place, key, sha256(display) AS text_sha, score, round(lexical_rank, 1) AS lexical, round(semantic_rank, 1) AS semantic, length(text) > 2000 AND key::BIGINT % 2 <> 0 AS truncated,
+ length(text) > 2000 AND key::BIGINT % 2 = 0 AS summarized, judged FROM b JOIN fold ON fold.q = b.q AND fold.step = b.step WHERE packed""")
+def select_entries(spark, d):
+    """What each task is shown, from ranking to budget."""
+    return selected(spark, d).entries.withColumn("text_sha", F.sha2("text", 256)).drop("text")
+
+
+@query(f"""{SELECT_SQL}, sums AS (SELECT q, count(*) AS chosen, count(*) FILTER (WHERE packed) AS packed FROM fold GROUP BY q)
+SELECT en.q, (SELECT count(*) FROM d) AS considered, false AS included_all, (SELECT count(*) FROM d) AS gathered, CASE WHEN en.q % 5 = 0 THEN 0 ELSE 20 END AS reranked,
+ (SELECT count(*) FROM tw WHERE tw.q = en.q AND copy > 1 AND (en.pool < 50 OR tw.place < en.last)) AS deduped, en.pool, chosen, packed, chosen - packed AS dropped, CASE WHEN en.q % 5 = 0 THEN 'agent_backend' END AS rerank_error FROM en JOIN sums USING (q)""")
+def select_funnel(spark, d):
+    """Where rows were left behind on the way, and which judge failed."""
+    return selected(spark, d).funnel

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..operators import neighbours as nb
+from ..operators import ranking as rk
 from ..operators import selection as sel
 
 Q: dict = {}
@@ -97,20 +99,20 @@ def _flat(pool: DataFrame) -> DataFrame:
 @query(_top("").format(join=""))
 def lexical_top5(spark, d):
     docs = corpus(spark, d)
-    return sel.fused_top(docs, asked(spark, d), _flat(docs))
+    return rk.lexical_top(docs, asked(spark, d), _flat(docs))
 
 
 @query(_top(" + 0.3 / (60 + pr.r)", "," + PRIOR).format(join="JOIN pr USING (key)"))
 def rrf_fused_top5(spark, d):
     """Best documents for each benchmark text: lexical and prior channels, fused by reciprocal ranks."""
     docs = corpus(spark, d)
-    return sel.fused_top(docs, asked(spark, d), sel.static_votes(docs, {"n_chars": 0.3}))
+    return rk.lexical_top(docs, asked(spark, d), sel.static_votes(docs, {"n_chars": 0.3}))
 
 
 @query(_top(" + 0.3 / (60 + pr.r)", "," + PRIOR, "WHERE lang = 'en'").format(join="JOIN pr USING (key)"))
 def filter_scope(spark, d):
     docs = corpus(spark, d).where(F.col("lang") == "en")
-    return sel.fused_top(docs, asked(spark, d), sel.static_votes(docs, {"n_chars": 0.3}))
+    return rk.lexical_top(docs, asked(spark, d), sel.static_votes(docs, {"n_chars": 0.3}))
 
 
 @query(
@@ -120,14 +122,14 @@ def filter_scope(spark, d):
 def boost_source(spark, d):
     docs = corpus(spark, d)
     boosted = docs.withColumn("boost", (F.col("source") == "src1").cast("int"))
-    return sel.fused_top(docs, asked(spark, d), sel.static_votes(boosted, {"boost": 1.0}))
+    return rk.lexical_top(docs, asked(spark, d), sel.static_votes(boosted, {"boost": 1.0}))
 
 
 @query(_top("", ", flat AS (SELECT key, 1 AS s FROM d)").format(join=""))
 def abstain_channels(spark, d):
     """A prior without any difference doesn't vote."""
     docs = corpus(spark, d).withColumn("same", F.lit(1))
-    return sel.fused_top(docs, asked(spark, d), sel.static_votes(docs, {"same": 0.3}))
+    return rk.lexical_top(docs, asked(spark, d), sel.static_votes(docs, {"same": 0.3}))
 
 
 @query(
@@ -139,7 +141,7 @@ def utility_rank(spark, d):
     docs = corpus(spark, d)
     uses = t(spark, d, "labels").select(F.col("doc_id").cast("string").alias("key"), F.when(F.col("quality") == 1, "done").otherwise("failed").alias("state"))
     known = docs.join(sel.utility(uses), "key", "left").withColumn("utility", F.coalesce("utility", F.lit(0.5)))
-    return sel.fused_top(docs, asked(spark, d), sel.static_votes(known, {"utility": 0.3}))
+    return rk.lexical_top(docs, asked(spark, d), sel.static_votes(known, {"utility": 0.3}))
 
 
 MULTI = f"""
@@ -163,20 +165,8 @@ def multi_query_rrf(spark, d):
     docs, words = corpus(spark, d).select("key", "text"), tx.identifiers(F.col("text"))
     half = F.floor(F.size(words) / 2).cast("int")
     parts = F.array(F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words) - half), " "))
-    split = asked(spark, d).select("q", F.posexplode(parts).alias("part", "text")).select((F.col("q") * 2 + F.col("part")).alias("q"), "text")
-    hits, n = sel.lexical_hits(docs, split), docs.count()
-    kinds = hits.groupBy("q", "hits").agg(F.count(F.lit(1)).alias("n"))
-    zero = split.select("q").join(kinds.groupBy("q").agg(F.sum("n").alias("some")), "q", "left").select("q", F.lit(0).cast("bigint").alias("hits"), (F.lit(n) - F.coalesce("some", F.lit(0))).alias("n"))
-    kinds = kinds.unionByName(zero.where("n > 0"))
-    order = Window.partitionBy("q").orderBy(F.desc("hits")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = kinds.withColumn("rank", F.coalesce(F.sum("n").over(order), F.lit(0)) + (F.col("n") + 1) / 2).withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("q")))
-    votes = ranks.select("q", "hits", F.when(F.col("kinds") > 1, sel.vote(F.col("rank"), 0.5)).otherwise(F.lit(0.0)).alias("vote"))
-    none = votes.where("hits = 0").select("q", F.col("vote").alias("base"))
-    # A row counts what its hits add to the vote of texts without any; those without hits of either part share the base.
-    gains = hits.join(F.broadcast(votes), ["q", "hits"]).join(F.broadcast(none), "q", "left").select(F.floor(F.col("q") / 2).cast("bigint").alias("q"), "key", (F.col("vote") - F.coalesce("base", F.lit(0.0))).alias("gain"))
-    base = none.select(F.floor(F.col("q") / 2).cast("bigint").alias("q"), "base").groupBy("q").agg(F.sum("base").alias("base"))
-    found = gains.groupBy("q", "key").agg(F.sum("gain").alias("gain")).join(F.broadcast(base), "q", "left").select("q", "key", F.round(F.col("gain") + F.coalesce("base", F.lit(0.0)), 6).alias("score"))
-    return sel.top(found, 5)
+    split = asked(spark, d).select("q", F.explode(parts).alias("text"))
+    return rk.fused(docs.withColumn("votes", F.lit(0.0)).withColumn("copies", F.lit(1).cast("bigint")), split, 5, {"lexical": 1.0}).select("q", "key", "score", "place")
 
 
 @query("""
@@ -216,7 +206,7 @@ SELECT q, key, place, bytes, packed FROM fold"""
 @query(BUDGET_SQL)
 def budget_pack(spark, d):
     docs = corpus(spark, d)
-    best = sel.fused_top(docs, asked(spark, d), _flat(docs), k=10)
+    best = rk.lexical_top(docs, asked(spark, d), _flat(docs), k=10)
     shown = best.join(docs.select("key", sel.display(F.col("text"), 2000)[0].alias("display")), "key")
     return sel.pack_bytes(shown, 6000)
 
@@ -239,7 +229,7 @@ def funnel_counts(spark, d):
     """Every document is gathered; the pool is the first fifty different texts of the whole ranking."""
     docs = corpus(spark, d)
     cap, n = sel.pool_cap(5), F.lit(docs.count()).cast("bigint")
-    pool = sel.fused_top(docs, asked(spark, d), _flat(docs), k=cap, distinct=True)
+    pool = rk.lexical_top(docs, asked(spark, d), _flat(docs), k=cap, distinct=True)
     counts = sel.copies_passed(docs, pool, cap)
     return counts.select("q", n.alias("gathered"), "deduped", "pool", F.least("pool", F.lit(5)).cast("bigint").alias("chosen"), n.alias("considered"))
 
@@ -254,7 +244,7 @@ RECALL = _top("").format(join="").replace("SELECT q, key, score, place FROM plac
 def recall_eval(spark, d):
     """Benchmark texts that stand verbatim in documents: for how many is one of these among the best five."""
     docs, items = corpus(spark, d), asked(spark, d)
-    best = sel.fused_top(docs, items, _flat(docs)).select("q", "key", F.lit(1).alias("hit"))
+    best = rk.lexical_top(docs, items, _flat(docs)).select("q", "key", F.lit(1).alias("hit"))
     golden = sel.verbatim(docs, items)
     per = golden.join(best, ["q", "key"], "left").groupBy("q").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
     return per.agg(F.count(F.lit(1)).alias("golden_queries"), F.sum("hit").cast("bigint").alias("found_at_5"))
@@ -267,18 +257,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS p
 SELECT q, key, score, place FROM r WHERE place <= 5"""
 
 
-#: Query vectors that meet all rows at a time.
-KNN_BLOCK = 64
-
-
 @query(KNN)
 def knn_top5(spark, d):
-    """Every row whose vec_id 50 divides, against all rows, in blocks of bounded size."""
-    rows = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
-    blocks = queries.withColumn("block", F.floor(F.col("q") / (50 * KNN_BLOCK))).groupBy("block").agg(F.collect_list(F.struct("q", "qv")).alias("qs"))
-    pairs = rows.crossJoin(blocks).select("vec_id", "v", F.inline("qs")).where("q <> vec_id")
-    return sel.top(pairs.select("q", F.col("vec_id").alias("key"), F.round(vx.cosine(F.col("v"), F.col("qv")), 6).alias("score")), 5)
+    """Every row whose vec_id 50 divides, against all rows, through balls that can hold one of its best."""
+    rows = t(spark, d, "embeddings").select(F.lit("all").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return nb.nearest(rows, rows.where("id % 50 = 0"), 5)[0]
 
 
 CENTROID = """
@@ -326,7 +309,7 @@ def _mmr_sql(steps: int = 5) -> str:
 def mmr_select(spark, d):
     """Five diverse documents for each benchmark text, from the first fifty different texts of its whole ranking."""
     docs = corpus(spark, d)
-    pool = sel.fused_top(docs, asked(spark, d), _flat(docs), k=sel.pool_cap(5), distinct=True)
+    pool = rk.lexical_top(docs, asked(spark, d), _flat(docs), k=sel.pool_cap(5), distinct=True)
     vectors = sel.hash_vectors(docs.join(pool.select("key").distinct(), "key")).groupBy("key").agg(F.collect_list("slot").alias("slots"), F.collect_list(F.col("weight").cast("double")).alias("weights"))
     # A text without identifiers has no slots and stays in the pool.
     filled = [F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c) for c, t in (("slots", "int"), ("weights", "double"))]

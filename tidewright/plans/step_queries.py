@@ -365,7 +365,7 @@ def channel_best_ranks(spark, d):
 def rerank_window(spark, d):
     """Judgements of the best twenty; a fourth of them are missing, and every fifth query has none."""
     docs = corpus(spark, d)
-    best = sel.fused_top(docs, asked(spark, d), _flat(docs), k=30)
+    best = rk.lexical_top(docs, asked(spark, d), _flat(docs), k=30)
     number = F.col("key").cast("bigint")
     judged = best.where((number % 4 != 0) & (F.col("q") % 5 != 0)).select("q", "key", (number % 12).alias("judge"))
     return ch.rerank(best, judged, 20).select("q", "key", "reranked", "place")
