@@ -230,7 +230,7 @@ def test_logistic_fit_reaches_its_optimum():
     assert np.abs(gradient).max() < 1e-4
 
 
-@pytest.mark.parametrize("name", ["op4_line_runs"])
+@pytest.mark.parametrize("name", ["op4_line_runs", "op11_merkle_manifest", "op12_centroid_clusters"])
 def test_sql_is_given(name):
     from tidewright.llm import queries
 

@@ -15,10 +15,13 @@ from .common import importable, materialise, table
 from .linear import fit_hinge_dual, fit_platt, sigmoid
 from .words_np import split_words
 
+#: Parameters of the model: labelled rows that it is fitted on, features that it keeps of those in three of them at least
+#: (by the strength of their ratio), the threshold, the longest run of shapes, and closing marks that a shape tells apart.
 SAMPLE_ROWS = 20_000
 FEATURES = 8_192
 THRESHOLD = 0.3
 LONGEST_GRAM = 3
+CLOSING_MARKS = 3
 
 
 class Shapes(dict):
@@ -31,7 +34,7 @@ class Shapes(dict):
             self.clear()
         w = word.decode("utf-8", "replace")
         core = w.rstrip("".join(c for c in w if not c.isalnum())) if not w[-1].isalnum() else w
-        tail = w[len(core) :][:3]
+        tail = w[len(core) :][:CLOSING_MARKS]
         if not core:
             kind = "p"
         elif core.isupper() and len(core) > 1:
@@ -167,5 +170,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def quality_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of the quality query: doc_id, held_out, score, predicted; a null doc_id isn't held out, other edge cases as in quality()."""
     out = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
