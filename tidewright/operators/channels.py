@@ -11,19 +11,28 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from .selection import RRF_OFFSET, hash_vectors
-from .workers import importable
+from ..functions.features import Hashed, counts, identifiers
+from .selection import RRF_OFFSET
+from .workers import importable, spread
 
 #: Bytes of query vectors that one job broadcasts; more queries are scored in several blocks.
 BLOCK_BYTES = 32 << 20
 
 
 def dense_vectors(rows: DataFrame, key: str, dim: int = 256) -> DataFrame:
-    """key, v: hashed feature counts as one array a row; a text without identifiers has zeros."""
-    slots = hash_vectors(rows.select(key, "text"), key, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m"))
-    at = F.sequence(F.lit(0), F.lit(dim - 1))
-    filled = F.transform(at, lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)).cast("double"))
-    return rows.select(key).join(slots, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(filled).alias("v"))
+    """key, v: hashed feature counts as one array a row; a text without identifiers has zeros. One pass, no shuffle."""
+    importable(rows.sparkSession)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Hashed(dim)
+        for part in parts:
+            for at in range(0, part.num_rows, 512):
+                piece = part.slice(at, 512)
+                v = [counts(identifiers(t), hashed).astype(np.float64) for t in piece.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(v, pa.list_(pa.float64()))], names=[key, "v"])
+
+    return spread(rows.select(key, "text")).mapInArrow(parse, f"`{key}` {kind}, v array<double>")
 
 
 def cosine_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:

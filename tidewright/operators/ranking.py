@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -12,46 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.features import DIM, Hashed, counts, identifiers
 from ..sources.ledger import shared_folder
 from .selection import RRF_OFFSET, first_of_each_text
 from .workers import importable, spread
 
-DIM = 256
 #: Queries (of one text each) that are ranked in one go; bins of a cosine's coarse counts; rows that meet the queries at once.
 QUERIES, BINS, ROWS = 512, 2_048, 512
 #: Scores of the result have six decimals.
 HALF = 1e-6
-_HUMP, _TOKEN = re.compile("(?<=[a-z0-9])(?=[A-Z])"), re.compile("[a-z0-9_]+")
-
-
-def identifiers(text: str | None) -> list[str]:
-    """Lower-case tokens of two characters at least, camelCase and snake_case taken apart."""
-    return [t for t in _TOKEN.findall(_HUMP.sub(" ", text or "").lower().replace("_", " ")) if len(t) >= 2]
-
-
-class Hashed(dict):
-    """Slot and sign of a feature by its SHA-256; each is hashed once as long as it is held."""
-
-    limit = 1_000_000
-
-    def __missing__(self, feature: str) -> tuple[int, int]:
-        if len(self) >= self.limit:
-            self.clear()
-        digest = hashlib.sha256(feature.encode()).digest()[:9]
-        self[feature] = found = (int.from_bytes(digest, "big") % DIM, 1 if digest[1] & 128 else -1)
-        return found
-
-
-def counts(words: list[str], hashed: Hashed) -> np.ndarray:
-    """Signed counts of the words and their pairs."""
-    out = np.zeros(DIM, dtype=np.int32)
-    features = words + [f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)]
-    if features:
-        at, sign = zip(*map(hashed.__getitem__, features), strict=True)
-        np.add.at(out, np.array(at), np.array(sign, dtype=np.int32))
-    return out
-
-
 def _unit(m: np.ndarray) -> np.ndarray:
     m = m.astype(np.float64)
     size = np.linalg.norm(m, axis=1)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.ledger import shared_folder
+from ..functions.features import Hashed, identifiers, slots
+from .ordering import running
+from .workers import importable, spread
 
 RRF_OFFSET = 60
 #: Default weights of the channels.
@@ -28,17 +32,8 @@ def fractional_rank(scored: DataFrame, score: str, by: Sequence[str] = (), out:
         before, kinds = F.coalesce(F.sum("__n").over(order), F.lit(0)), F.count(F.lit(1)).over(Window.partitionBy(*by))
         ranks = counts.withColumn(out, before + (F.col("__n") + 1) / 2).withColumn("__kinds", kinds)
     else:
-        spark = scored.sparkSession
-        dealt = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.desc(score)).withColumn("__task", F.spark_partition_id())
-        path = shared_folder(spark, "ranks")
-        dealt.write.parquet(path)  # the ranges stay as they are however often they are read
-        dealt = spark.read.schema(dealt.schema).parquet(path)
-        tasks = dealt.groupBy("__task").agg(F.sum("__n").alias("__sum"), F.count(F.lit(1)).alias("__some"))
-        ahead = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
-        tasks = tasks.select("__task", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__ahead"), F.sum("__some").over(Window.partitionBy()).alias("__kinds"))
-        order = Window.partitionBy("__task").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-        own = dealt.withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0))).join(tasks, "__task")
-        ranks = own.withColumn(out, F.col("__ahead") + F.col("__before") + (F.col("__n") + 1) / 2).drop("__task", "__before", "__ahead")
+        ranks = running(counts, [], [F.desc(score)], "__n", "__upto").withColumn(out, F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2)
+        ranks = ranks.withColumnRenamed("__rows", "__kinds").drop("__upto", "__total")
     return scored.join(ranks.where("__kinds > 1").drop("__n", "__kinds"), [*by, score])
 
 
@@ -156,7 +151,6 @@ def mmr(pool: DataFrame, k: int = 5, diversify: float = 0.5) -> DataFrame:
 
     Sequential by nature; each query's bounded pool is one pandas group.
     """
-    import numpy as np
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "key"], ascending=[False, True]).reset_index(drop=True)
@@ -183,11 +177,22 @@ def mmr(pool: DataFrame, k: int = 5, diversify: float = 0.5) -> DataFrame:
 
 
 def hash_vectors(docs: DataFrame, key: str = "key", dim: int = 256) -> DataFrame:
-    """key, slot, weight: signed feature counts of identifiers and their pairs, zero sums included."""
-    words = tx.identifiers(F.col("text"))
-    feature = F.explode(F.concat(words, tx.bigrams(words)))
-    hashed = docs.select(key, feature.alias("feature")).select(key, tx.hash_slot(F.col("feature"), dim).alias("slot"), tx.hash_sign(F.col("feature")).alias("sign"))
-    return hashed.groupBy(key, "slot").agg(F.sum("sign").cast("bigint").alias("weight"))
+    """key, slot, weight: signed feature counts of identifiers and their pairs, zero sums included, a text at a time without a shuffle; each feature is hashed once a task."""
+    importable(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Hashed(dim)
+        for part in parts:
+            for at in range(0, part.num_rows, 256):
+                piece = part.slice(at, 256)
+                found = [slots(identifiers(t), hashed) for t in piece.column(1).to_pylist()]
+                hit = [np.unique(s) for s, _ in found]
+                weight = [np.bincount(s, sign, minlength=dim)[h].astype(np.int64) for (s, sign), h in zip(found, hit, strict=True)]
+                keys = piece.column(0).take(pa.array(np.repeat(np.arange(len(hit)), [len(h) for h in hit])))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([*hit, []]).astype(np.int32)), pa.array(np.concatenate([*weight, []]).astype(np.int64))], names=[key, "slot", "weight"])
+
+    return spread(docs.select(key, "text")).mapInArrow(parse, f"`{key}` {kind}, slot int, weight bigint")
 
 
 def missing_vectors(rows: DataFrame, kept: DataFrame) -> DataFrame:

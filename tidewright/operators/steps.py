@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import json_values as jv
+from .ordering import running
 
 
 def tail(events: DataFrame, cursor: int, key: str = "event_id") -> DataFrame:
@@ -145,10 +146,9 @@ def roster_cap(roster: DataFrame, cap: int = 200) -> DataFrame:
 
 def manifest(sections: DataFrame, budget: int) -> DataFrame:
     """sections (scope, key, text) with bytes, sha, used (running bytes by key within the scope), total and over (beyond the budget)."""
-    order = Window.partitionBy("scope").orderBy("key")
     rows = sections.select("scope", "key", F.octet_length("text").cast("bigint").alias("bytes"), F.sha2("text", 256).alias("sha"))
-    rows = rows.withColumn("used", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("total", F.sum("bytes").over(Window.partitionBy("scope"))).withColumn("over", F.col("used") > budget)
+    rows = running(rows, ["scope"], [F.col("key")], "bytes", "used").withColumnRenamed("__total", "total")
+    return rows.drop("__rows").withColumn("over", F.col("used") > budget)
 
 
 def prompt(sections: DataFrame, schema: dict) -> DataFrame:
