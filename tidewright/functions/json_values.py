@@ -165,3 +165,25 @@ def verdict_text(text: Column) -> Column:
     inner = stripped(F.regexp_replace(body, r"(?s)^```(.*)```$", "$1"))
     bare = F.when(body.startswith("```") & body.endswith("```") & (F.length(body) >= 6), F.when(inner.startswith("json"), stripped(F.substr(inner, F.lit(5)))).otherwise(inner)).otherwise(body)
     return F.coalesce(fenced, F.nullif(bare, F.lit("")))
+
+
+def envelope(text: Column) -> Column:
+    """What a model's command line tells: result, session_id, is_error, subtype, status. Text that is no JSON object is the result itself."""
+    value = F.try_parse_json(text)
+    get = lambda name, kind_: F.try_variant_get(value, f"$.{name}", kind_)
+    told = kind(value) == "object"
+    none = F.lit(None).cast("string")
+    return F.struct(
+        F.when(told, F.coalesce(get("result", "string"), F.lit(""))).otherwise(text).alias("result"),
+        F.when(told, get("session_id", "string")).otherwise(none).alias("session_id"),
+        F.when(told, F.coalesce(get("is_error", "boolean"), F.lit(False))).otherwise(False).alias("is_error"),
+        F.when(told, F.coalesce(get("subtype", "string"), F.lit("success"))).otherwise("success").alias("subtype"),
+        F.when(told, get("api_error_status", "int")).alias("status"),
+    )
+
+
+def envelope_error(exit_code: Column, told: Column) -> Column:
+    """Error class of a call: out of turns, or refused for its rate or its key, is a limit; anything else amiss the backend; null where it succeeded."""
+    amiss = (exit_code != 0) | told["is_error"] | (told["subtype"] != "success")
+    limit = (told["subtype"] == "error_max_turns") | F.coalesce(told["status"].isin(401, 403, 429), F.lit(False))
+    return F.when(amiss & limit, "agent_limit").when(amiss, "agent_backend")

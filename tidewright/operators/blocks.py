@@ -93,3 +93,51 @@ def run_agent(prompts: DataFrame, backend: Callable[[str, int], str], check: Cal
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string())], names=["id", "verdict", "asked", "error_class"])
 
     return prompts.select(F.col("id").cast("bigint"), "prompt").mapInArrow(go, "id bigint, verdict string, asked int, error_class string")
+
+
+RAN = "id bigint, place int, name string, exit_code int, out string, err string"
+
+
+def run_commands(commands: DataFrame, timeout_s: float = 60, kept: int = 10_000) -> DataFrame:
+    """id, place, name, exit_code, out, err of commands (id, place, name, cmd: array of words, cwd or null), run in the workers without a shell, in batches and without a shuffle; out and err are the last `kept` characters. A command that overruns or can't start has no exit code, and err tells why.
+
+    Spark may run a task again: a command is for looking, or leaves the same when it is run twice.
+    """
+    importable(commands.sparkSession)
+
+    def one(cmd: list[str], cwd: str | None) -> tuple[int | None, str, str]:
+        import subprocess
+
+        try:
+            done = subprocess.run(cmd, cwd=cwd, capture_output=True, timeout=timeout_s, stdin=subprocess.DEVNULL, check=False)
+        except subprocess.TimeoutExpired:
+            return None, "", "timeout"
+        except OSError as e:
+            return None, "", str(e)
+        return done.returncode, done.stdout.decode("utf-8", "replace")[-kept:], done.stderr.decode("utf-8", "replace")[-kept:]
+
+    def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [one(c, w) for c, w in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *[pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string()))]], names=["id", "place", "name", "exit_code", "out", "err"])
+
+    return commands.select(F.col("id").cast("bigint"), F.col("place").cast("int"), "name", "cmd", F.col("cwd").cast("string")).mapInArrow(go, RAN)
+
+
+def rechecked(ran: DataFrame, expect: DataFrame) -> DataFrame:
+    """id, outcome (confirmed, refuted, timeout) of commands that were run once an id: confirmed if all that is expected holds. expect: id, exit_code (null: any), nonzero (null or false: any), out_sha (null: any)."""
+    j = ran.join(expect.withColumnRenamed("exit_code", "want"), "id", "left")
+    holds = F.coalesce(F.col("exit_code") == F.col("want"), F.col("want").isNull()) & (~F.coalesce("nonzero", F.lit(False)) | (F.col("exit_code") != 0)) & F.coalesce(F.sha2("out", 256) == F.col("out_sha"), F.col("out_sha").isNull())
+    return j.select("id", F.when(F.col("exit_code").isNull(), "timeout").when(holds, "confirmed").otherwise("refuted").alias("outcome"))
+
+
+def suite(ran: DataFrame, retryable: dict[str, list[int]]) -> DataFrame:
+    """id, outcome (green, red, red_retryable, timeout), failed: the first check by place that failed decides; retryable lists exit codes by check."""
+    bad = F.col("exit_code").isNull() | (F.col("exit_code") != 0)
+    first = F.min(F.when(bad, F.struct("place", "name", "exit_code")))
+    per = ran.groupBy("id").agg(first.alias("f"))
+    soft = F.lit(False)
+    for name, codes in retryable.items():
+        soft = soft | ((F.col("f.name") == name) & F.col("f.exit_code").isin(*codes))
+    outcome = F.when(F.col("f").isNull(), "green").when(F.col("f.exit_code").isNull(), "timeout").when(soft, "red_retryable").otherwise("red")
+    return per.select("id", outcome.alias("outcome"), F.col("f.name").alias("failed"))

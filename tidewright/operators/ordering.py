@@ -22,12 +22,11 @@ def running(rows: DataFrame, by: list[str], order: list[Column], value: str, out
     dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__seq", F.monotonically_increasing_id())
     dealt.write.parquet(path)
     dealt = spark.read.schema(dealt.schema).parquet(path).withColumn("__task", F.shiftright("__seq", 33))
-    group = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
     tasks = dealt.groupBy("__task", *by).agg(F.sum(value).alias("__own"), F.count(F.lit(1)).alias("__some"))
     ahead = Window.partitionBy(*by).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     tasks = tasks.withColumn("__ahead", F.coalesce(F.sum("__own").over(ahead), F.lit(0))).withColumn("__total", F.sum("__own").over(whole)).withColumn("__rows", F.sum("__some").over(whole)).drop("__own", "__some")
-    here = Window.partitionBy("__task", *group).orderBy("__seq").rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy("__task", *by).orderBy("__seq").rowsBetween(Window.unboundedPreceding, 0)
     told, sums = dealt.withColumn(out, F.sum(value).over(here)).alias("d"), tasks.alias("t")
     same = F.col("d.__task") == F.col("t.__task")
     for c in by:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import CLASS_NAME
+
 #: Class, attempts, base and cap of the delay in seconds, park when exhausted, consume, seconds until unparked (none: never).
 POLICY = [
     ("forge_auth", 20, 30, 3600, True, False, None),
@@ -26,12 +30,43 @@ HEALTH_GATED = ("agent_limit", "agent_backend")
 DEFAULT_UNPARK_S = 600
 
 
-def policy_table(spark: SparkSession, overrides: list[tuple] = ()) -> DataFrame:
-    rows = {r[0]: r for r in POLICY} | {r[0]: r for r in overrides}
-    for r in rows.values():
-        if r[1] < 0 or r[2] < 0 or r[3] < 0:
-            raise ValueError(f"policy of {r[0]}: counts and delays can't be negative")
-    return spark.createDataFrame(list(rows.values()), POLICY_SCHEMA)
+TUNABLE = ("max_attempts", "base_s", "cap_s", "park", "unpark_s")
+_FIELDS = ("error_class", "max_attempts", "base_s", "cap_s", "park", "consume", "unpark_s")
+
+
+def build_policy(overrides: dict[str, dict] | None = None) -> list[tuple]:
+    """POLICY with a pack's overrides (class to fields) and its own classes, which need max_attempts and park at least.
+
+    Refused are: names that aren't of lower-case letters, digits and underscores, fields that can't be tuned, values
+    that aren't whole numbers from 0 (park: a flag; unpark_s may be null), and classes that end a task by design.
+    """
+    rows = {r[0]: dict(zip(_FIELDS, r, strict=True)) for r in POLICY}
+    if not isinstance(overrides or {}, dict):
+        raise ValueError("retry policies are a mapping of classes to fields")
+    for name, given in (overrides or {}).items():
+        if not isinstance(name, str) or not re.fullmatch(CLASS_NAME, name):
+            raise ValueError(f"{name!r} is no name of an error class")
+        if not isinstance(given, dict) or not given:
+            raise ValueError(f"policy of {name}: no fields")
+        if unknown := sorted(set(given) - set(TUNABLE)):
+            raise ValueError(f"policy of {name}: {', '.join(unknown)} can't be set")
+        known = rows.get(name)
+        if known and known["consume"]:
+            raise ValueError(f"policy of {name}: the class ends a task by design")
+        for field, value in given.items():
+            whole = isinstance(value, int) and not isinstance(value, bool) and value >= 0
+            if not (isinstance(value, bool) if field == "park" else whole or (field == "unpark_s" and value is None)):
+                raise ValueError(f"policy of {name}: {field} can't be {value!r}")
+        if known is None:
+            if lacking := sorted({"max_attempts", "park"} - set(given)):
+                raise ValueError(f"policy of {name}: a new class needs {' and '.join(lacking)}")
+            known = {"error_class": name, "base_s": 0, "cap_s": 0, "consume": False, "unpark_s": DEFAULT_UNPARK_S}
+        rows[name] = known | given
+    return [tuple(row[f] for f in _FIELDS) for row in rows.values()]
+
+
+def policy_table(spark: SparkSession, overrides: dict[str, dict] | None = None) -> DataFrame:
+    return spark.createDataFrame(build_policy(overrides), POLICY_SCHEMA)
 
 
 def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming import queries as streams
-from . import flow_queries, ledger_views, retrieval, step_queries
+from . import flow_queries, ledger_views, report_queries, retrieval, step_queries
 
-PARTS = (retrieval, ledger_views, step_queries, flow_queries, streams)
+PARTS = (retrieval, ledger_views, step_queries, flow_queries, report_queries, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

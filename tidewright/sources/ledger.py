@@ -64,13 +64,7 @@ class Ledger:
         if self._fs.exists(self._path(self._manifest(step))):
             return False
         places = self.stage(step, effects)
-        body = "\n".join(json.dumps({"step": step, "table": t, "place": p}, sort_keys=True) for t, p in places.items())
-        temporary = f"{self.path}/manifests/.{step}-{uuid.uuid4().hex}"
-        out = self._fs.create(self._path(temporary))
-        out.write(bytearray(body.encode()))
-        out.close()
-        # A rename onto a name that is there fails: of two writers of a step one wins.
-        return bool(self._fs.rename(self._path(temporary), self._path(self._manifest(step))))
+        return self._tell(step, [{"step": step, "table": t, "place": p} for t, p in places.items()])
 
     def kept(self, label: str, rows: DataFrame) -> DataFrame:
         """rows written aside and read again: what a commit works on stays the same however often it is read, and no lineage grows. forget() deletes it."""
@@ -86,6 +80,31 @@ class Ledger:
                 if s.getPath().getName().startswith(f"{label}-"):
                     self._fs.delete(s.getPath(), True)
 
+    def rewrite(self, step: str, tables: dict[str, DataFrame]) -> bool:
+        """Replaces all that some tables have now by rows, as one commit: its manifest names the new files and the places that they stand for. Readers see all of the one or all of the other; the old files are deleted last, as the rows may be made of them. False if the step was there already."""
+        if self._fs.exists(self._path(self._manifest(step))):
+            return False
+        old = {name: self._places(name) for name in tables}
+        places = self.stage(step, tables)
+        done = self._tell(step, [{"step": step, "table": name, "place": place, "drops": old[name]} for name, place in places.items()])
+        for p in [p for ps in old.values() for p in ps] if done else ():
+            self._fs.delete(self._path(f"{self.path}/{p}"), True)
+        return done
+
+    def _places(self, name: str) -> list[str]:
+        told = self._manifests()
+        found = [] if told is None else told.where(F.col("table") == name).select("place", "drops").collect()
+        gone = {p for r in found for p in r["drops"] or ()}
+        return sorted({r["place"] for r in found} - gone)
+
+    def _tell(self, step: str, lines: list[dict]) -> bool:
+        temporary = f"{self.path}/manifests/.{step}-{uuid.uuid4().hex}"
+        out = self._fs.create(self._path(temporary))
+        out.write(bytearray("\n".join(json.dumps(x, sort_keys=True) for x in lines).encode()))
+        out.close()
+        # A rename onto a name that is there fails: of two writers of a step one wins.
+        return bool(self._fs.rename(self._path(temporary), self._path(self._manifest(step))))
+
     def _read(self, places: list[str], schema: str) -> DataFrame:
         found = [f"{self.path}/{p}" for p in places]
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
@@ -95,12 +114,11 @@ class Ledger:
         at = self._path(f"{self.path}/manifests")
         if not self._fs.exists(at) or not any(s.getPath().getName().endswith(".json") for s in self._fs.listStatus(at)):
             return None
-        return self.spark.read.schema("step string, table string, place string").option("pathGlobFilter", "*.json").json(f"{self.path}/manifests")
+        return self.spark.read.schema("step string, table string, place string, drops array<string>").option("pathGlobFilter", "*.json").json(f"{self.path}/manifests")
 
     def table(self, name: str, schema: str) -> DataFrame:
         """All committed rows of a table."""
-        told = self._manifests()
-        return self._read([] if told is None else [r[0] for r in told.where(F.col("table") == name).select("place").orderBy("place").collect()], schema)
+        return self._read(self._places(name), schema)
 
     def of(self, step: str, name: str, schema: str) -> DataFrame:
         """The rows of a table that one committed step wrote."""
