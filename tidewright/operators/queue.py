@@ -71,7 +71,7 @@ def policy_table(spark: SparkSession, overrides: dict[str, dict] | None = None)
 
 def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """A row for each event and kind that consumes it."""
-    return events.join(F.broadcast(subscriptions), events["name"] == subscriptions["event"]).drop("event")
+    return events.join(subscriptions, events["name"] == subscriptions["event"]).drop("event")
 
 
 def enqueue(arrivals: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -90,7 +90,7 @@ def claim(tasks: DataFrame, now: Column, lanes: DataFrame) -> DataFrame:
     lanes = lanes.join(busy, "lane", "left").select("lane", (F.col("cap") - F.coalesce("busy", F.lit(0))).alias("cap"))
     turn = F.row_number().over(Window.partitionBy("lane").orderBy("id"))
     most = lanes.agg(F.max("cap")).first()[0] or 0
-    return eligible(tasks, now).withColumn("turn", turn).where(F.col("turn") <= int(most)).join(F.broadcast(lanes), "lane").where("turn <= cap").drop("cap")
+    return eligible(tasks, now).withColumn("turn", turn).where(F.col("turn") <= int(most)).join(lanes, "lane").where("turn <= cap").drop("cap")
 
 
 def delay(base: Column, cap: Column, attempt: Column) -> Column:
@@ -99,7 +99,7 @@ def delay(base: Column, cap: Column, attempt: Column) -> Column:
 
 def fail(tasks: DataFrame, policy: DataFrame, now: Column) -> DataFrame:
     """What becomes of failed tasks (id, error_class, attempts): new_state, new_attempts, next_attempt."""
-    j = tasks.join(F.broadcast(policy), "error_class", "left")
+    j = tasks.join(policy, "error_class", "left")
     again = F.col("attempts") + 1
     state = F.when(F.col("max_attempts").isNull() | F.col("consume"), "failed").when(again <= F.col("max_attempts"), "retry_wait").when(F.col("park"), "parked").otherwise("failed")
     j = j.withColumn("new_state", state).withColumn("new_attempts", F.when(F.col("new_state") == "retry_wait", again).otherwise(F.col("attempts")))
@@ -109,7 +109,7 @@ def fail(tasks: DataFrame, policy: DataFrame, now: Column) -> DataFrame:
 
 def parked_due(parked: DataFrame, policy: DataFrame, now: Column, healthy: bool = True) -> DataFrame:
     """Parked tasks (id, error_class, updated_at in seconds) whose class' cadence has passed; unknown classes wait the default."""
-    j = parked.join(F.broadcast(policy.select("error_class", F.lit(True).alias("known"), "unpark_s")), "error_class", "left")
+    j = parked.join(policy.select("error_class", F.lit(True).alias("known"), "unpark_s"), "error_class", "left")
     cadence = F.when(F.col("known").isNull(), F.lit(DEFAULT_UNPARK_S)).otherwise(F.col("unpark_s"))
     due = j.where(now - F.col("updated_at") >= cadence)
     return due if healthy else due.where(~F.coalesce(F.col("error_class").isin(*HEALTH_GATED), F.lit(False)))
@@ -148,7 +148,7 @@ def terminal_effect(target: Column, error_class: Column, known: Column) -> Colum
 
 def version_gate(tasks: DataFrame, current: DataFrame) -> DataFrame:
     """adopt, keep or park (definition_changed) for tasks (id, kind, def_hash, steps) against current (kind, hash)."""
-    j = tasks.join(F.broadcast(current), "kind", "left")
+    j = tasks.join(current, "kind", "left")
     act = F.when(F.col("def_hash").isNull(), "adopt").when((F.col("def_hash") == F.col("hash")) | (F.col("steps") == 0), "keep").otherwise("park")
     return j.withColumn("action", act)
 
@@ -163,7 +163,7 @@ def decision_rounds(asked: DataFrame, by: str = "key") -> DataFrame:
 def transitions(moves: DataFrame, allowed: DataFrame) -> DataFrame:
     """moves (from_state, to_state, ...) with legal, by an equi-join on the allowed edges."""
     edges = allowed.select("from_state", "to_state", F.lit(True).alias("legal"))
-    return moves.join(F.broadcast(edges), ["from_state", "to_state"], "left").withColumn("legal", F.coalesce("legal", F.lit(False)))
+    return moves.join(edges, ["from_state", "to_state"], "left").withColumn("legal", F.coalesce("legal", F.lit(False)))
 
 
 def upsert(new: DataFrame, old: DataFrame | None, key: str, order: str) -> DataFrame:

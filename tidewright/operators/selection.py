@@ -67,12 +67,12 @@ def copies_passed(docs: DataFrame, pool: DataFrame, cap: int) -> DataFrame:
     """q, pool, deduped from what a ranking of different texts (lexical_top with distinct) gives for k=cap, without static votes: its size, and the rows that a walk over the whole ranking skips as copies before it holds cap texts."""
     last = F.max(F.when(F.col("place") == cap, F.struct("score", "key")))
     ends = pool.groupBy("q").agg(F.count(F.lit(1)).alias("pool"), last.alias("last"))
-    placed = pool.join(F.broadcast(ends), "q")
+    placed = pool.join(ends, "q")
     above = placed.groupBy("q", "pool").agg(F.coalesce(F.sum(F.when(F.col("last").isNull() | (F.col("score") > F.col("last.score")), F.col("copies") - 1)), F.lit(0)).alias("above"))
     # Copies that tie with the last text go before it where their key is less.
     tied = placed.where("score = last.score AND key < last.key AND copies > 1").select("q", "key", F.col("last.key").alias("end"))
     shas = docs.select("key", text_sha().alias("sha"))
-    tied = shas.join(F.broadcast(shas.join(F.broadcast(tied), "key").withColumnRenamed("key", "first")), "sha").where("key > first AND key < end")
+    tied = shas.join(shas.join(tied, "key").withColumnRenamed("key", "first"), "sha").where("key > first AND key < end")
     between = tied.groupBy("q").agg(F.count(F.lit(1)).alias("tied"))
     return above.join(between, "q", "left").select("q", F.col("pool").cast("bigint"), (F.col("above") + F.coalesce("tied", F.lit(0))).cast("bigint").alias("deduped"))
 
@@ -94,6 +94,8 @@ def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
     has = docs.select("key", F.explode(F.array_distinct(words)).alias("token")).join(asked.where("token is not null"), "token").select("q", "key", "asked")
     met = docs.select("key", "text").join(has, "key").where(F.contains(F.col("text"), F.col("asked"))).select("q", "key")
     short = asked.where("token is null").select("q", "asked")
+    if not short.limit(1).count():
+        return met
     return met.unionByName(docs.join(short, F.contains(F.col("text"), F.col("asked"))).select("q", "key"))
 
 

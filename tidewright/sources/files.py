@@ -7,23 +7,34 @@ import json
 import os
 import stat
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def notes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """name (file name), content of whole files; a missing file is an error."""
     rows = spark.read.text(paths, wholetext=True)
-    return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("content"))
+    return rows.select(_plain(F.col("_metadata.file_name")).alias("name"), F.col("value").alias("content"))
+
+
+def _plain(path: Column) -> Column:
+    """A path as it is: Spark tells it with percent signs for blanks and others."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path, line_no, line of all text files below a folder whose names match; the lines that rules are held against."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    lines = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
+    lines = files.select(_plain(F.col("_metadata.file_path")).alias("path"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
     return lines.select("path", (F.col("i") + 1).cast("bigint").alias("line_no"), "line")
 
 
+def matched(lines: DataFrame, rules: dict[str, str], longest: int = 400) -> DataFrame:
+    """rule, path, line_no, text of the lines (path, line_no, line; as tree() tells them) that a rule's pattern is found in, text cut to `longest` characters."""
+    hits = F.filter(F.array(*[F.when(F.col("line").rlike(p), F.lit(n)) for n, p in rules.items()]), lambda r: r.isNotNull())
+    return lines.select(F.explode(hits).alias("rule"), "path", "line_no", F.substring("line", 1, longest).alias("text"))
+
+
 def secrets(path: str) -> dict[str, str]:
     """NAME=value lines of a file that its owner alone may read and write."""
     if stat.S_IMODE(os.stat(path).st_mode) != 0o600:
