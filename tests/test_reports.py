@@ -130,3 +130,18 @@ def test_running_sums_over_hot_and_null_groups(spark):
             used = v if used is None else used + (v or 0)
             want.append((g, k, used, total, len(own)))
     assert rows(found, "g", "k", "used", "__total", "__rows") == sorted(want, key=repr)
+
+
+def test_cards_status_and_notifications(spark):
+    tasks = spark.createDataFrame([("t", 1, "a", "done", None), ("t", 2, "a", "parked", "awaiting_human"), ("u", 3, "b", "done", None)], "thread string, id long, kind string, state string, error_class string")
+    progress = spark.createDataFrame([(1, 2, 3), (3, 1, 1)], "id long, done long, total long")
+    asks = spark.createDataFrame([(2, "pick one")], "id long, title string")
+    got = [tuple(r) for r in reports.run_cards(tasks, progress, asks).orderBy("thread").collect()]
+    assert got == [("t", 2, "a:parked", 2, 3, "pick one", "needs-human", 2), ("u", 1, "b:done", 1, 1, None, "complete", 3)]
+    members = spark.createDataFrame([(1, "done"), (1, None), (2, None)], "group_id long, state string")
+    events = spark.createDataFrame([(i, f"e.{i}") for i in range(4)], "event_id long, name string")
+    told = rows(reports.status(tasks, members, members.where("group_id = 2").select("group_id"), tasks.select("state"), events, 2), "section", "key", "n")
+    assert told == [("events", "e.2", 2), ("events", "e.3", 3), ("items", "done", 2), ("items", "parked", 1), ("open joins", "groups", 1), ("open joins", "waiting", 1), ("parked", "awaiting_human", 1), ("tasks", "a done", 1), ("tasks", "a parked", 1), ("tasks", "b done", 1)]
+    frame = spark.createDataFrame([(1, "user.x", '{"a":{"b":5}}'), (2, "item.y", "{}")], "id long, name string, payload string")
+    found = blocks.notifications(frame, [("one", "user.*", ["say", "{payload.a.b} of {event.id}"]), ("all", "*.?", ["no"]), ("dot", "item.y", ["{event.name}"])])
+    assert rows(found, "id", "name", "cmd") == [(1, "one", ["say", "5 of 1"]), (2, "dot", ["item.y"])]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workers import importable
+from .workers import importable, spread
 
 RESULT = "id bigint, outcome string, result string, error_class string"
 
@@ -121,7 +122,7 @@ def run_commands(commands: DataFrame, timeout_s: float = 60, kept: int = 10_000)
             found = [one(c, w) for c, w in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], *[pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string()))]], names=["id", "place", "name", "exit_code", "out", "err"])
 
-    return commands.select(F.col("id").cast("bigint"), F.col("place").cast("int"), "name", "cmd", F.col("cwd").cast("string")).mapInArrow(go, RAN)
+    return spread(commands.select(F.col("id").cast("bigint"), F.col("place").cast("int"), "name", "cmd", F.col("cwd").cast("string"))).mapInArrow(go, RAN)
 
 
 def rechecked(ran: DataFrame, expect: DataFrame) -> DataFrame:
@@ -141,3 +142,24 @@ def suite(ran: DataFrame, retryable: dict[str, list[int]]) -> DataFrame:
         soft = soft | ((F.col("f.name") == name) & F.col("f.exit_code").isin(*codes))
     outcome = F.when(F.col("f").isNull(), "green").when(F.col("f.exit_code").isNull(), "timeout").when(soft, "red_retryable").otherwise("red")
     return per.select("id", outcome.alias("outcome"), F.col("f.name").alias("failed"))
+
+
+def notifications(events: DataFrame, rules: list[tuple[str, str, list]]) -> DataFrame:
+    """Commands (id, place, name, cmd, cwd) for run_commands(): one for each event (id, name, payload: JSON) and rule that it matches.
+
+    rules: name, pattern of event names (`*` stands for any part of them), argv. Words of argv may hold {event.name},
+    {event.id} and {payload.x}; a value that isn't there is an error.
+    """
+    from ..functions import json_values as jv
+
+    event = F.to_variant_object(F.struct("name", F.col("id").alias("id")))
+    roots = {"event": event, "payload": F.try_parse_json("payload")}
+    found = []
+    for place, (name, pattern, argv) in enumerate(rules):
+        hits = F.col("name").rlike("^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$")
+        cmd = F.array(*[jv.spoken(jv.filled(w, roots)) for w in argv])
+        found.append(events.where(hits).select("id", F.lit(place).alias("place"), F.lit(name).alias("name"), cmd.alias("cmd"), F.lit(None).cast("string").alias("cwd")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out

@@ -94,3 +94,39 @@ def swept(tables: dict[str, DataFrame], now: Column, days: int) -> tuple[dict[st
     }
     counts = [g.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, (g, _) in gone.items()]
     return {k: kept for k, (_, kept) in gone.items()}, reduce(DataFrame.unionByName, counts)
+
+
+def status(tasks: DataFrame, members: DataFrame, fired: DataFrame, items: DataFrame, events: DataFrame, recent: int = 10) -> DataFrame:
+    """section, key, n: tasks by kind and state, parked ones by class, open groups with the members they wait for, items by state, the last events.
+
+    tasks: kind, state, error_class; members: group_id, state; fired: group_id; items: state; events: event_id, name.
+    Every part is pre-aggregated, or a bounded heap a task.
+    """
+    n = F.count(F.lit(1)).alias("n")
+    say = lambda df, section, key: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), F.col("n").cast("bigint").alias("n"))
+    open_ = members.join(fired.select("group_id"), "group_id", "left_anti").groupBy("group_id").agg(F.sum(F.col("state").isNull().cast("bigint")).alias("w")).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("w"), F.lit(0)).alias("waiting"))
+    parts = [
+        say(tasks.groupBy("kind", "state").agg(n), "tasks", F.concat_ws(" ", "kind", "state")),
+        say(tasks.where("state = 'parked'").groupBy("error_class").agg(n), "parked", F.coalesce("error_class", F.lit("-"))),
+        say(open_.select(F.explode(F.create_map(F.lit("groups"), "groups", F.lit("waiting"), "waiting")).alias("k", "n")), "open joins", F.col("k")),
+        say(items.groupBy("state").agg(n), "items", F.coalesce("state", F.lit("-"))),
+        say(events.orderBy(F.desc("event_id")).limit(recent).withColumn("n", F.col("event_id")), "events", F.col("name")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def run_cards(tasks: DataFrame, progress: DataFrame, waiting: DataFrame) -> DataFrame:
+    """A card for every run (thread): tasks, kinds with the state of their last task, steps done of all, what it waits for, chip, newest task.
+
+    tasks: thread, id, kind, state, error_class; progress: id, done, total; waiting: id, title of a question that is open. The
+    first of these holds: needs-human, running, failed, parked, complete, queued.
+    """
+    j = tasks.join(progress, "id", "left").join(waiting.groupBy("id").agg(F.min("title").alias("title")), "id", "left")
+    last = tasks.groupBy("thread", "kind").agg(F.max_by("state", "id").alias("state")).groupBy("thread").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "state"))), " ").alias("kinds"))
+    is_ = lambda s: F.col("state") == s
+    human = F.bool_or(is_("parked") & F.coalesce(F.col("error_class") == "awaiting_human", F.lit(False)))
+    chip = F.when(human, "needs-human").when(F.bool_or(F.col("state").isin("running", "retry_wait")), "running").when(F.bool_or(is_("failed")), "failed").when(F.bool_or(is_("parked")), "parked").when(F.bool_and(is_("done")), "complete").otherwise("queued")
+    per = j.groupBy("thread").agg(
+        F.count(F.lit(1)).alias("tasks"), F.max("id").alias("newest"), F.coalesce(F.sum("done"), F.lit(0)).cast("bigint").alias("done"), F.coalesce(F.sum("total"), F.lit(0)).cast("bigint").alias("total"), F.min("title").alias("asks"), chip.alias("chip")
+    )
+    return per.join(last, "thread").select("thread", "tasks", "kinds", "done", "total", "asks", "chip", "newest")

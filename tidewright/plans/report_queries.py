@@ -152,13 +152,12 @@ def panel_kv(spark, d):
     return panels.show(spark, "kv", "SELECT count(*) AS orders, min(o_orderkey) AS first, max(o_orderkey) AS `link:order` FROM panel_orders WHERE o_orderstatus = :status", {"status": "F"})
 
 
-@query("""SELECT p_brand AS "row", split_part(p_type, ' ', 1) AS "column", arg_max('s' || p_size % 3, p_partkey) AS state FROM part WHERE p_size < 4 AND p_partkey <= 500 GROUP BY 1, 2""")
+@query("""SELECT p_brand AS "row", split_part(p_type, ' ', 1) AS "column", arg_max('s' || p_size % 3, p_partkey) AS state FROM part WHERE p_size <= 50 GROUP BY 1, 2""")
 def panel_grid(spark, d):
-    """A grid of states; a cell shows its last one."""
+    """A grid of states, a cell for each brand and first word of a type; a cell shows its last one."""
     t(spark, d, "part").createOrReplaceTempView("panel_part")
-    # A panel shows ROW_CAP rows of its statement at most, so the statement says what it is about.
-    sql = """SELECT p_brand AS row, split_part(p_type, ' ', 1) AS column, max_by(concat('s', p_size % 3), p_partkey) AS state FROM panel_part WHERE p_size < :most AND p_partkey <= 500 GROUP BY 1, 2 ORDER BY 1, 2"""
-    return panels.show(spark, "status_grid", sql, {"most": 4})
+    sql = """SELECT p_brand AS row, split_part(p_type, ' ', 1) AS column, max_by(concat('s', p_size % 3), p_partkey) AS state FROM panel_part WHERE p_size <= :most GROUP BY 1, 2 ORDER BY 1, 2"""
+    return panels.show(spark, "status_grid", sql, {"most": 50})
 
 
 @query("""WITH x AS (SELECT conv_id, turn, role, turn % 6 AS m FROM conversations)
@@ -195,3 +194,47 @@ def recall_by_category(spark, d):
     per = sel.verbatim(docs, items).join(best, ["q", "key"], "left").groupBy("q").agg(F.min("place").alias("best")).join(kinds, "q")
     hit = lambda k: F.round(F.avg(F.coalesce(F.col("best") <= k, F.lit(False)).cast("int")), 6)
     return per.groupBy("category").agg(F.count(F.lit(1)).alias("queries"), hit(1).alias("recall_1"), hit(5).alias("recall_5"))
+
+
+CLASSED_SQL = f"""k AS (SELECT id, kind, {STATE_SQL} AS state, CASE id % 3 WHEN 0 THEN 'agent_limit' WHEN 1 THEN 'forge_auth' ELSE 'awaiting_human' END AS error_class FROM tasks)"""
+
+
+def classed(spark, d):
+    m = F.col("id") % 3
+    return stated(spark, d).withColumn("error_class", F.when(m == 0, "agent_limit").when(m == 1, "forge_auth").otherwise("awaiting_human"))
+
+
+@query(f"""WITH {TASKS_SQL}, {CLASSED_SQL}, m AS (SELECT l_orderkey AS group_id, {MEMBER_SQL} AS state FROM lineitem WHERE l_orderkey % 7 <> 0)
+SELECT 'tasks' AS section, kind || ' ' || state AS key, count(*) AS n FROM k GROUP BY kind, state UNION ALL SELECT 'parked', error_class, count(*) FROM k WHERE state = 'parked' GROUP BY 2
+UNION ALL SELECT 'open joins', 'groups', count(DISTINCT group_id) FROM m UNION ALL SELECT 'open joins', 'waiting', count(*) - count(state) FROM m
+UNION ALL SELECT 'items', o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT * FROM (SELECT 'events', 'user.' || event_type, event_id FROM events ORDER BY event_id DESC LIMIT 10)""")
+def status_report(spark, d):
+    """The whole status in one table; every seventh group has fired."""
+    roster = members(spark, d)
+    items = t(spark, d, "orders").select(F.col("o_orderstatus").alias("state"))
+    return reports.status(classed(spark, d), roster, roster.where("group_id % 7 = 0").select("group_id").distinct(), items, events(spark, d).select("event_id", "name"))
+
+
+@query(f"""WITH {TASKS_SQL}, {CLASSED_SQL}, u AS (SELECT k.*, user_id AS thread FROM k JOIN events ON event_id = k.id),
+p AS (SELECT l_orderkey AS id, count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_linenumber END) AS done, count(DISTINCT l_linenumber) AS total FROM lineitem GROUP BY 1),
+l AS (SELECT thread, string_agg(kind || ':' || state, ' ' ORDER BY kind || ':' || state) AS kinds FROM (SELECT thread, kind, arg_max(state, id) AS state FROM u GROUP BY ALL) GROUP BY 1),
+c AS (SELECT thread, count(*) AS tasks, max(id) AS newest, coalesce(sum(done), 0)::BIGINT AS done, coalesce(sum(total), 0)::BIGINT AS total, min(CASE WHEN id % 9 = 0 THEN 'question ' || id END) AS asks,
+ CASE WHEN bool_or(state = 'parked' AND error_class = 'awaiting_human') THEN 'needs-human' WHEN bool_or(state IN ('running', 'retry_wait')) THEN 'running' WHEN bool_or(state = 'failed') THEN 'failed' WHEN bool_or(state = 'parked') THEN 'parked' WHEN bool_and(state = 'done') THEN 'complete' ELSE 'queued' END AS chip
+ FROM u LEFT JOIN p USING (id) GROUP BY thread)
+SELECT thread, tasks, kinds, done, total, asks, chip, newest FROM c JOIN l USING (thread)""")
+def run_cards(spark, d):
+    """Users as runs: their tasks, steps from line items, and a question that every ninth task asks."""
+    rows = classed(spark, d).join(events(spark, d).select(F.col("event_id").alias("id"), F.col("user_id").alias("thread")), "id")
+    flag = F.col("l_returnflag")
+    steps = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.countDistinct(F.when(flag != "N", F.col("l_linenumber"))).alias("done"), F.countDistinct("l_linenumber").alias("total"))
+    asks = rows.where("id % 9 = 0").select("id", F.concat(F.lit("question "), F.col("id").cast("string")).alias("title"))
+    return reports.run_cards(rows.select("thread", "id", "kind", "state", "error_class"), steps, asks)
+
+
+@query("""SELECT event_id AS id, 'mail' AS name, 'user.' || event_type || ' ' || event_id || ' of ' || user_id || chr(10) AS out FROM events WHERE event_type = 'signup'
+UNION ALL SELECT event_id, 'page', json_extract_string(props, '$.k') || chr(10) FROM events WHERE event_type = 'purchase'""")
+def notify_matching(spark, d):
+    """Every event is told to the commands whose pattern it matches, with its payload in their words."""
+    rows = events(spark, d).select(F.col("event_id").alias("id"), "name", "payload")
+    rules = [("mail", "*.signup", ["echo", "{event.name} {event.id} of {payload.user_id}"]), ("page", "user.p*ch*", ["echo", "{payload.props.k}"])]
+    return blocks.run_commands(blocks.notifications(rows, rules)).select("id", "name", "out")
