@@ -230,7 +230,7 @@ def _exact(rows: DataFrame, asked: Asked, wanted: list[np.ndarray]) -> DataFrame
 
 
 def fused(pool: DataFrame, queries: DataFrame, k: int, weights: dict[str, float]) -> DataFrame:
-    """q, key, score, lexical_rank, semantic_rank, copies, place of the k best rows of the pool (key, text, votes, copies) for each query (q, text), by reciprocal rank fusion.
+    """q, key, score, lexical_rank, semantic_rank, copies, asked (the votes of channels that ask), place of the k best rows of the pool (key, text, votes, copies) for each query (q, text), by reciprocal rank fusion.
 
     Every row is scored with every query inside map tasks, in passes over the rows' tokens and vectors: the first counts
     hits and coarse bins of cosines, which bound every vote; the second keeps the rows whose bound the k-th best can't
@@ -245,7 +245,7 @@ def fused(pool: DataFrame, queries: DataFrame, k: int, weights: dict[str, float]
     spark = pool.sparkSession
     importable(spark)
     cosines = weights.get("semantic", 0) > 0
-    out = spark.createDataFrame([], "q bigint, key string, score double, lexical_rank double, semantic_rank double, copies bigint, place int")
+    out = spark.createDataFrame([], "q bigint, key string, score double, lexical_rank double, semantic_rank double, copies bigint, asked double, place int")
     for asked in _blocks(queries, cosines):
         rows = _prepared(pool, asked)
         hits, bins, ends = _counted(rows, asked)
@@ -266,12 +266,39 @@ def fused(pool: DataFrame, queries: DataFrame, k: int, weights: dict[str, float]
         else:
             lanes = lanes.withColumn("rank", F.lit(None).cast("double")).withColumn("semantic", F.lit(0.0))
         per = lanes.groupBy("q", "key", "votes", "copies").agg(F.sum("lexical").alias("l"), F.sum("semantic").alias("s"), F.min("lexical_rank").alias("lexical_rank"), F.min("rank").alias("semantic_rank"))
-        scored = per.select("q", "key", F.round(F.col("l") + F.col("s") + F.col("votes"), 6).alias("score"), "lexical_rank", "semantic_rank", "copies")
+        scored = per.select("q", "key", F.round(F.col("l") + F.col("s") + F.col("votes"), 6).alias("score"), "lexical_rank", "semantic_rank", "copies", (F.col("l") + F.col("s")).alias("asked"))
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))
         out = out.unionByName(_written(scored.withColumn("place", place).where(F.col("place") <= k), "best"))
     return out
 
 
+def copies_before(rows: DataFrame, walked: DataFrame, cap: int) -> DataFrame:
+    """q, deduped: the rows that a walk over the whole ranking skips as copies before it holds cap texts.
+
+    rows: key, text_sha, votes of all rows; walked: q, key, score, asked, place, text_sha of the first cap different texts of each
+    query. Copies of a text have its votes of the channels that ask, and their own others. They are counted where they
+    are read; the walked texts, cap for each of a stated set of queries, go to the tasks with the plan.
+    """
+    importable(rows.sparkSession)
+    got = walked.select("q", "key", "score", "asked", "place", "text_sha").collect()
+    last = {r["q"]: (r["score"], r["key"]) for r in got if r["place"] == cap}
+    of: dict[str, list[tuple]] = {}
+    for r in got:
+        of.setdefault(r["text_sha"], []).append((r["q"], r["key"], r["asked"], *last.get(r["q"], (None, None))))
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skipped: dict[int, int] = {}
+        for part in parts:
+            for key, sha, votes in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                for q, first, asked, score, end in of.get(sha, ()):
+                    own = round(asked + votes, 6)
+                    if key != first and (score is None or own > score or (own == score and key < end)):
+                        skipped[q] = skipped.get(q, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(skipped), pa.int64()), pa.array(list(skipped.values()), pa.int64())], names=["q", "n"])
+
+    return rows.select("key", "text_sha", "votes").mapInArrow(count, "q bigint, n bigint").groupBy("q").agg(F.sum("n").alias("deduped"))
+
+
 def lexical_top(docs: DataFrame, queries: DataFrame, static: DataFrame, k: int = 5, weight: float = 1.0, distinct: bool = False) -> DataFrame:
     """q, key, score, place of the k best rows for each query: the lexical channel and the votes in static (key, votes: one row for every row of the pool). With distinct, the k best rows of different texts, with copies, the number of rows of each text; ranks are still those among all rows."""
     if distinct:

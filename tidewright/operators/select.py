@@ -170,6 +170,8 @@ def select(corpus: DataFrame, tasks: DataFrame, spec: Spec, uses: DataFrame | No
     window = (spec.window or max(20, 2 * spec.k)) if spec.judge is not None and not spec.preview else 0
     static = sel.first_of_each_text(rows, votes) if spec.dedup else votes.withColumn("copies", F.lit(1).cast("bigint"))
     ranked = rk.fused(base.join(static, "key"), queries, cap + window, weights)
+    # Copies are counted along the fused order, before a judge changes it.
+    walked = ranked.where(F.col("place") <= cap).join(said.select("key", "text_sha"), "key")
     errors, reranked = spark.createDataFrame([], "q bigint, rerank_error string"), spark.createDataFrame([], "q bigint, reranked bigint")
     judge = spark.createDataFrame([], "q bigint, key string, judge int")
     if window:
@@ -205,7 +207,7 @@ def select(corpus: DataFrame, tasks: DataFrame, spec: Spec, uses: DataFrame | No
     last = shown.drop("place").join(packed.select("q", "key", F.col("place"), "packed"), ["q", "key"]).join(judge, ["q", "key"], "left")
     last = _aside(last.select("q", "place", "key", F.col("display").alias("text"), "score", F.round("lexical_rank", 1).alias("lexical"), F.round("semantic_rank", 1).alias("semantic"), "truncated", "summarized", F.col("judge").alias("judged"), "packed"), "last")
     counts = last.groupBy("q").agg(F.count(F.lit(1)).alias("chosen"), F.sum(F.col("packed").cast("bigint")).alias("packed"))
-    copies = sel.copies_passed(rows, ranked_pool(pool, spec), cap).select("q", "deduped") if spec.dedup else pool.select("q").distinct().withColumn("deduped", F.lit(0).cast("bigint"))
+    copies = rk.copies_before(said.select("key", "text_sha").join(votes, "key"), walked, cap) if spec.dedup else pool.select("q").distinct().withColumn("deduped", F.lit(0).cast("bigint"))
     sizes = pool.groupBy("q").agg(F.count(F.lit(1)).alias("pool"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     n = F.lit(considered).cast("bigint")
@@ -215,11 +217,6 @@ def select(corpus: DataFrame, tasks: DataFrame, spec: Spec, uses: DataFrame | No
     return Selection(entries, funnel, record(entries), fresh)
 
 
-def ranked_pool(pool: DataFrame, spec: Spec) -> DataFrame:
-    """The pool by its fused order, as copies are counted along that."""
-    return pool.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key")))
-
-
 def _vectors(pool: DataFrame) -> DataFrame:
     found = sel.hash_vectors(pool.select("key", "text").distinct()).groupBy("key").agg(F.collect_list("slot").alias("slots"), F.collect_list(F.col("weight").cast("double")).alias("weights"))
     filled = [F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c) for c, t in (("slots", "int"), ("weights", "double"))]
