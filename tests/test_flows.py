@@ -234,7 +234,7 @@ def test_effects_of_a_step_come_together_or_not_at_all(spark, tmp_path):
     assert [r[0] for r in tables(ledger)["items"]] == ["i"] and rows(effects.current_vectors(ledger), "vector") == [([9.0],)] and len(tables(ledger)["objects"]) == 1
 
 
-@pytest.mark.parametrize("writes", [0, 1, 4, 7])
+@pytest.mark.parametrize("writes", [0, 4])
 def test_a_crash_between_writes_leaves_nothing(spark, tmp_path, writes):
     subs, frame, ledger = spark.createDataFrame(SUBS, "event string, kind string"), spark.createDataFrame(OPS[:6], EFFECTS), Ledger(spark, f"file://{tmp_path}/a")
     real = Ledger.stage
