@@ -72,3 +72,15 @@ def test_a_task_that_is_parked_anew_leaves_by_its_new_clock():
     assert not [x for x in p.handleExpiredTimer(("c", 0), clock(5_000), None) if len(x)]
     assert pd.concat(p.handleExpiredTimer(("c", 0), clock(9_101), None))["due"].tolist() == [9_100]
     assert not [x for x in p.handleExpiredTimer(("c", 0), clock(50_000), None) if len(x)]
+
+
+def test_a_block_of_groups_is_one_read_and_one_write():
+    p, _ = ran(state._Barrier())
+    rows = lambda of, task, s: pd.DataFrame({"group_id": of, "task_id": task, "state": s, "expect": 2})
+    ids = np.arange(512)
+    assert not list(p.handleInputRows((0,), iter([rows(ids, 1, "done")]), None))
+    out = pd.concat(p.handleInputRows((0,), iter([rows(ids[:500], 2, "failed"), rows(ids[500:], 1, "failed")]), None))
+    assert out["group_id"].tolist() == list(range(500)) and set(map(tuple, out.drop(columns="group_id").to_numpy().tolist())) == {(2, 1, 1, 0)}
+    assert Kept.calls < 12
+    late = list(p.handleInputRows((0,), iter([rows(ids, 3, "odd"), rows(ids, 4, None)]), None))
+    assert pd.concat(late).to_numpy().tolist() == [[i, 2, 0, 1, 0] for i in range(500, 512)]

@@ -43,31 +43,35 @@ def _load(state, kind) -> np.ndarray:
 
 
 class _Barrier(StatefulProcessor):
-    """Members' last states by task until all that are expected have ended; after that only that it has fired."""
+    """Members' last states of a block's groups until all that a group expects have ended; after that only which have fired."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fired = handle.getValueState("fired", "total bigint")
-        self.ended = handle.getMapState("ended", "task bigint", "state string")
+        self.fired = handle.getValueState("fired", "ids binary")
+        self.ended = handle.getValueState("ended", "rows binary")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        expect, new = None, {}
-        for r in rows:
-            expect = r["expect"]
-            if r["state"] is not None:
-                new[r["task_id"]] = r["state"]
-        if self.fired.exists():
-            return
-        old = {k[0]: v[0] for k, v in self.ended.iterator()} if self.ended.exists() else {}
-        now = old | new
-        if expect is not None and len(now) >= expect:
-            self.fired.update((len(now),))
-            self.ended.clear()
-            count = lambda s: sum(v == s for v in now.values())
-            yield Row(group_id=key[0], total=len(now), done=count("done"), failed=count("failed"), deferred=count("deferred"))
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        fired = _load(self.fired, np.int64)
+        new = new[~np.isin(new["group_id"].to_numpy(), fired)]
+        if new.empty:
             return
-        for k, v in new.items():
-            if old.get(k) != v:
-                self.ended.updateValue((k,), (v,))
+        old = _load(self.ended, _MEMBER)
+        said = new[new["state"].notna()]
+        told = np.zeros(len(said), _MEMBER)
+        told["group"], told["task"] = said["group_id"].to_numpy(), said["task_id"].to_numpy()
+        told["state"] = said["state"].map(ENDS).fillna(0).to_numpy()
+        now = pd.DataFrame(np.concatenate([old, told])).drop_duplicates(["group", "task"], keep="last")
+        sums = pd.DataFrame({"total": 1, **{s: now["state"] == n for s, n in ENDS.items()}}, index=now.index).groupby(now["group"]).sum()
+        expect = new.groupby("group_id")["expect"].last()
+        sums = sums.reindex(expect.index, fill_value=0)
+        whole = sums[sums["total"] >= expect].reset_index()
+        if len(whole):
+            self.fired.update((np.concatenate([fired, whole["group_id"].to_numpy(np.int64)]).tobytes(),))
+            now = now[~now["group"].isin(whole["group_id"])]
+        if len(old) or len(now):
+            self.ended.update((now.to_records(index=False).astype(_MEMBER).tobytes(),))
+        if len(whole):
+            yield whole[["group_id", "total", *ENDS]].astype("int64")
 
     def close(self) -> None:
         pass
@@ -76,13 +80,15 @@ class _Barrier(StatefulProcessor):
 def fire_once(members: DataFrame) -> DataFrame:
     """group_id, total, done, failed, deferred of each group, in append mode, in the batch in which its last member ends, and never again.
 
-    members: group_id, task_id, state (null waits), expect (members that the group waits for). A member that ends anew
-    before its group fires counts with its last state; later rows of a fired group are ignored. Of a fired group one
-    flag stays.
+    members: group_id, task_id, state (null waits), expect (members that the group waits for; none is known where it is
+    null). A member that ends anew before its group fires counts with its last state; later rows of a fired group are
+    ignored. Of a fired group its id stays. Groups with ids that differ in their last BLOCK_BITS bits only are one key,
+    so a call of the worker and its reads and writes of state are for many groups.
     """
     prepared(members.sparkSession)
     out = "group_id bigint, total bigint, done bigint, failed bigint, deferred bigint"
-    return members.groupBy("group_id").transformWithState(_Barrier(), out, "Append", "None")
+    rows = members.where("group_id is not null").select(F.shiftright("group_id", BLOCK_BITS).alias("block"), F.col("group_id").cast("bigint"), F.col("task_id").cast("bigint"), "state", F.coalesce(F.col("expect").cast("bigint"), F.lit(1 << 62)).alias("expect"))
+    return rows.groupBy("block").transformWithStateInPandas(_Barrier(), out, "Append", "None")
 
 
 class _Windows(StatefulProcessor):
