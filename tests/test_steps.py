@@ -204,3 +204,12 @@ def test_weights_fall_back_to_buckets(spark):
 def test_foreign_roots_of_a_template_stay(spark):
     frame = spark.createDataFrame([('{"a": 1}',)], "p string")
     assert frame.select(tx.template("{a}-{prev.x}", F.col("p"), ("a",))).first()[0] == "1-{prev.x}"
+
+
+def test_recent_events_are_the_last_ten_of_each_name(spark, tmp_path):
+    from tidewright.plans import step_queries as sq
+
+    table = [(i, "rare" if i < 12 else "often") for i in range(100)]
+    spark.createDataFrame(table, "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    want = sorted([(i, "rare") for i in range(2, 12)] + [(i, "often") for i in range(90, 100)])
+    assert rows(sq.recent_events(spark, str(tmp_path)), "event_id", "event_type") == want

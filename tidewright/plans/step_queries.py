@@ -74,14 +74,11 @@ def recent_runs(spark, d):
     return last.join(tasks, "l_orderkey", "left").select(F.col("l_orderkey").alias("run_order"), F.col("l_linenumber").alias("run_line"), "task_priority")
 
 
-@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 10")
-def recent_events(spark, d):
-    """The last ten events; each task keeps its own ten."""
-    return t(spark, d, "events").orderBy(F.desc("event_id")).limit(10).select("event_id", "event_type")
+RECENT_SQL = "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 10"
 
 
-@query("SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 10")
-def recent_by_name(spark, d):
+@query(RECENT_SQL)
+def recent_events(spark, d):
     """The last ten events of each name; each task keeps ten of a name before they are dealt."""
     from pyspark.sql import Window
 
@@ -89,6 +86,12 @@ def recent_by_name(spark, d):
     return t(spark, d, "events").select("event_id", "event_type").withColumn("n", turn).where("n <= 10").drop("n")
 
 
+@query(RECENT_SQL)
+def recent_by_name(spark, d):
+    """The last ten events by name, as recent_events gives them."""
+    return recent_events(spark, d)
+
+
 ITEMS_SQL = "json_extract_string(props, '$.k')::BIGINT % 4"
 
 
