@@ -399,3 +399,23 @@ def test_windows_fire_once_over_restarts(spark, tmp_path):
     frame = lambda: state.fire_windows(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in").withColumn("at", F.timestamp_seconds("sec")), "10 minutes")
     found = streamed(spark, tmp_path, frame, [put(1, ("s", 300, 1000), ("s", 300, 1001), ("s", 300, 1199)), put(2, ("s", 300, 1200), ("s", 300, 1100)), put(3, ("s", 300, 1201), ("s", 300, 1500), ("s", 300, 99_999))])
     assert found == [[("s", 900, 1000)], [("s", 900, 1000), ("s", 1200, 1200)], [("s", 900, 1000), ("s", 1200, 1200), ("s", 1500, 1500), ("s", 99_900, 99_999)]]
+
+
+def test_upkeep_embeds_each_row_once(spark, tmp_path):
+    import pyarrow as pa
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(rows):
+        def go(parts):
+            for p in parts:
+                seen.add(p.num_rows)
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array([[1.0]] * p.num_rows, pa.list_(pa.float64()))], names=["key", "v"])
+
+        return rows.select("key", "text").mapInArrow(go, "key string, v array<double>")
+
+    store = upkeep.VectorStore(spark, f"{tmp_path}/kept")
+    rows = [spark.createDataFrame([(f"k{i}", x) for i in range(8)], "key string, text string") for x in ("a", "b")]
+    for n, r in enumerate((rows[0], rows[1], rows[1])):
+        assert store.maintain("c", r, upkeep.Embedder("m", embed)) == (8, 8, 0)[n] and seen.value == (8, 16, 16)[n]
+    assert store.vectors("c", "m").count() == 8

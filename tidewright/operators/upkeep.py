@@ -78,10 +78,11 @@ class VectorStore:
         n = stale.count()
         if not n:
             return 0
-        fresh = by.embed(stale.select("key", "text")).join(stale.select("key", "text_sha"), "key")
-        fresh = fresh.select(F.lit(corpus).alias("corpus"), "key", F.lit(by.model_sha).alias("model_sha"), "text_sha", F.col("v").cast("array<double>").alias("v"), _bucket(F.col("key")).alias("bucket"))
-        touched = fresh.select("bucket").distinct()
-        others = self.all().join(touched, "bucket", "left_semi").join(fresh.select("corpus", "key", "model_sha"), ["corpus", "key", "model_sha"], "left_anti")
+        keys = stale.select(F.lit(corpus).alias("corpus"), "key", F.lit(by.model_sha).alias("model_sha"), "text_sha", _bucket(F.col("key")).alias("bucket"))
+        # The embedder is in the plan once: what else is asked of fresh rows is known from their keys.
+        vectors = by.embed(stale.select("key", "text")).select("key", F.col("v").cast("array<double>").alias("v"))
+        fresh = vectors.join(keys, "key").select("corpus", "key", "model_sha", "text_sha", "v", "bucket")
+        others = self.all().join(keys.select("bucket").distinct(), "bucket", "left_semi").join(keys.select("corpus", "key", "model_sha"), ["corpus", "key", "model_sha"], "left_anti")
         # Aside first: what is read here is overwritten below.
         merged = self._aside(others.select(*fresh.columns).unionByName(fresh), "merged")
         merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
