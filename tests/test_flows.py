@@ -419,3 +419,12 @@ def test_upkeep_embeds_each_row_once(spark, tmp_path):
     for n, r in enumerate((rows[0], rows[1], rows[1])):
         assert store.maintain("c", r, upkeep.Embedder("m", embed)) == (8, 8, 0)[n] and seen.value == (8, 16, 16)[n]
     assert store.vectors("c", "m").count() == 8
+
+
+def test_a_trace_without_a_way_back_carries_no_way(spark):
+    frame = lambda *r: spark.createDataFrame(list(r), "parent long, event long, task long")
+    ahead = trace.descendants(frame((1, 2, 10), (1, 3, 11), (2, 4, 20), (3, 4, 30), (4, 4, 40), (4, 9, 41)))
+    assert "array_append" not in ahead._jdf.queryExecution().analyzed().toString()
+    assert rows(ahead.where("ancestor = 1"), "event", "task", "depth") == [(2, 10, 1), (3, 11, 1), (4, 20, 2), (4, 30, 2), (9, 41, 3), (9, 41, 3)]
+    back = trace.descendants(frame((1, 2, 10), (2, 3, 20), (3, 1, 30)))
+    assert rows(back.where("ancestor = 1"), "event", "depth") == [(2, 1), (3, 2)]

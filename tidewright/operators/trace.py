@@ -13,18 +13,21 @@ def descendants(emitted: DataFrame, depth: int = DEPTH) -> DataFrame:
     """ancestor, event, task (the one that emitted it), depth: all events that came of each event, by a recursive query.
 
     emitted: parent (event), task, event: a task that parent opened has emitted event. A walk stops at depth levels, and
-    where it would come to an event that is on its way already, so loops end. A frame a level, each one equi-join.
+    where it would come to an event that is on its way already, so loops end. A frame a level, each one equi-join. Where
+    every event has a larger id than its parent there are no loops, and rows carry no way.
     """
     spark = emitted.sparkSession
     conf = {"spark.sql.cteRecursionLevelLimit": str(depth + 1), "spark.sql.cteRecursionRowLimit": "-1"}
     for k, v in conf.items():
         spark.conf.set(k, v)
+    loops = bool(emitted.where("event < parent").limit(1).count())
+    start, longer, new = (", array(parent, event)", ", array_append(w.way, e.event)", " AND NOT array_contains(w.way, e.event)") if loops else ("", "", " AND e.parent <> e.event")
     return spark.sql(
-        """WITH RECURSIVE walk(ancestor, event, task, depth, way) AS (
-             SELECT parent, event, task, 1, array(parent, event) FROM {emitted} WHERE parent <> event
+        f"""WITH RECURSIVE walk(ancestor, event, task, depth{", way" if loops else ""}) AS (
+             SELECT parent, event, task, 1{start} FROM {{emitted}} WHERE parent <> event
              UNION ALL
-             SELECT w.ancestor, e.event, e.task, w.depth + 1, array_append(w.way, e.event)
-             FROM walk w JOIN {emitted} e ON e.parent = w.event WHERE w.depth < {depth} AND NOT array_contains(w.way, e.event))
+             SELECT w.ancestor, e.event, e.task, w.depth + 1{longer}
+             FROM walk w JOIN {{emitted}} e ON e.parent = w.event WHERE w.depth < {{depth}}{new})
            SELECT ancestor, event, task, depth FROM walk""",
         emitted=emitted,
         depth=depth,
