@@ -165,6 +165,29 @@ def _votes(asked: Asked, hits: np.ndarray, bins: np.ndarray, ends: np.ndarray, w
 _FOUND = pa.schema([("i", pa.int32()), ("key", pa.string()), ("votes", pa.float64()), ("copies", pa.int64()), ("hits", pa.list_(pa.int32())), ("cos", pa.list_(pa.float64())), ("low", pa.float64()), ("high", pa.float64())])
 
 
+class _Held:
+    """The rows of a query that a task holds while they still can win: thinned whenever they have doubled, so a few times k."""
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.room = k, [], 4 * k + 64
+
+    def add(self, row: tuple, sure: float) -> None:
+        self.rows.append(row)
+        if len(self.rows) > self.room:
+            self.rows = self.thinned(sure)
+            self.room = max(4 * self.k + 64, 2 * len(self.rows))
+
+    def thinned(self, sure: float) -> list[tuple]:
+        """Rows that k others don't surely beat, at most k of each score."""
+        kept, alike = [], {}
+        for r in sorted(r for r in self.rows if r[6] >= sure - 2 * HALF):
+            same = (r[1], r[3], r[4])
+            alike[same] = alike.get(same, 0) + 1
+            if alike[same] <= self.k:
+                kept.append(r)
+        return kept
+
+
 def _candidates(rows: DataFrame, asked: Asked, votes: Votes, k: int) -> DataFrame:
     """i, key, votes, copies, hits, cos, low, high: rows that no k others of their task surely beat, with their scores lane by lane; of rows alike in all scores the first k by key."""
 
@@ -172,18 +195,7 @@ def _candidates(rows: DataFrame, asked: Asked, votes: Votes, k: int) -> DataFram
         q, lane = len(asked.names), np.arange(asked.lanes)
         until = np.append(asked.first, asked.lanes)[1:]
         sure = np.full((q, k), -np.inf)
-        held: list[list[tuple]] = [[] for _ in range(q)]
-
-        def thinned(i: int) -> list[tuple]:
-            """The rows of a query that still can win, at most k of each score."""
-            kept, alike = [], {}
-            for r in sorted(r for r in held[i] if r[6] >= sure[i, 0] - 2 * HALF):
-                same = (r[1], r[3], r[4])
-                alike[same] = alike.get(same, 0) + 1
-                if alike[same] <= k:
-                    kept.append(r)
-            return kept
-
+        held = [_Held(k) for _ in range(q)]
         for keys, own, copies, hits, cos in _pieces(parts, asked):
             b = _bin(cos)
             summed = lambda x, own=own: np.add.reduceat(x, asked.first, axis=1) + own[:, None]
@@ -192,11 +204,8 @@ def _candidates(rows: DataFrame, asked: Asked, votes: Votes, k: int) -> DataFram
             sure = np.sort(np.vstack([sure.T, low]), axis=0)[-k:].T
             for r, i in zip(*np.nonzero(high >= sure[:, 0][None] - 2 * HALF), strict=True):
                 span = slice(asked.first[i], until[i])
-                held[i].append((keys[r], float(own[r]), int(copies[r]), tuple(hits[r, span].tolist()), tuple(cos[r, span].tolist()), float(low[r, i]), float(high[r, i])))
-            for i in range(q):
-                if len(held[i]) > 40 * k + 1_000:
-                    held[i] = thinned(i)
-        out = [(i, *r) for i in range(q) for r in thinned(i)]
+                held[i].add((keys[r], float(own[r]), int(copies[r]), tuple(hits[r, span].tolist()), tuple(cos[r, span].tolist()), float(low[r, i]), float(high[r, i])), sure[i, 0])
+        out = [(i, *r) for i in range(q) for r in held[i].thinned(sure[i, 0])]
         columns = zip(*out, strict=True) if out else [[] for _ in _FOUND]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
