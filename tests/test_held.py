@@ -20,3 +20,14 @@ def test_a_task_holds_a_few_times_k_rows():
     for n in range(5_000):
         alike.add((f"{9_999 - n:06d}", 1.0, 1, (1,), (0.0,), 1.0, 1.0), 1.0)
     assert len(alike.rows) <= 4 * k + 64 and [row[0] for row in alike.thinned(1.0)] == [f"{5_000 + n:06d}" for n in range(k)]
+
+
+def test_pairs_are_counted_in_pieces_of_texts(spark, small_dir, monkeypatch):
+    from tidewright.plans import retrieval
+
+    want = sorted(map(tuple, retrieval.bigram_counts(spark, small_dir).collect()))
+    monkeypatch.setattr(retrieval, "PIECE", 30_000)
+    chars = spark.read.parquet(f"{small_dir}/documents.parquet").selectExpr("sum(length(text))").first()[0]
+    got = retrieval.bigram_counts(spark, small_dir)
+    assert f"Repartition {-(-chars // 30_000)}, true" in got._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, got.collect())) == want

@@ -45,12 +45,20 @@ def tok_documents(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(tx.tokens(F.col("text"))).cast("bigint").alias("n_tokens"), F.size(tx.identifiers(F.col("text"))).cast("bigint").alias("n_identifiers"))
 
 
+#: Characters of text whose pairs one task counts.
+PIECE = 16_000_000
+
+
 @query(f"""
 WITH w AS (SELECT {IDENTS.format('text')} AS w FROM documents),
 b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) AS bigram FROM w WHERE len(w) >= 2)
 SELECT bigram, count(*) AS n FROM b GROUP BY bigram ORDER BY n DESC, bigram LIMIT 100""")
 def bigram_counts(spark, d):
-    pairs = t(spark, d, "documents").select(F.explode(tx.bigrams(tx.identifiers(F.col("text")))).alias("bigram"))
+    """The hundred most frequent pairs. Most pairs of a text are new, so a task's counts are as large as its texts: these are dealt into pieces of PIECE characters."""
+    docs = t(spark, d, "documents").select("text")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    docs = docs.repartition(max(spark.sparkContext.defaultParallelism, -(-chars // PIECE)))
+    pairs = docs.select(F.explode(tx.bigrams(tx.identifiers(F.col("text")))).alias("bigram"))
     return pairs.groupBy("bigram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "bigram").limit(100)
 
 
