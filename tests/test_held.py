@@ -31,3 +31,17 @@ def test_pairs_are_counted_in_pieces_of_texts(spark, small_dir, monkeypatch):
     got = retrieval.bigram_counts(spark, small_dir)
     assert f"Repartition {-(-chars // 30_000)}, true" in got._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_best_ranks_are_those_of_all_pairs(spark, small_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidewright.operators import ranking
+    from tidewright.plans import step_queries as sq
+
+    pairs = sq.full_pairs(spark, small_dir).groupBy("key").agg(F.round(F.min("lexical_rank"), 1), F.round(F.min("semantic_rank"), 1))
+    want = sorted(map(tuple, pairs.collect()))
+    assert sorted(map(tuple, sq.channel_best_ranks(spark, small_dir).collect())) == want
+    # Coarse bins change what is asked for, not what is told.
+    monkeypatch.setattr(ranking, "ROWS", 7)
+    assert sorted(map(tuple, sq.channel_best_ranks(spark, small_dir).collect())) == want

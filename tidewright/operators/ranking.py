@@ -238,6 +238,59 @@ def _exact(rows: DataFrame, asked: Asked, wanted: list[np.ndarray]) -> DataFrame
     return got.select("lane", "cos", (F.col("more") + (F.col("same") + 1) / 2).alias("rank"))
 
 
+def best_ranks(pool: DataFrame, queries: DataFrame) -> DataFrame:
+    """key, lexical, semantic: the best average rank of each row (key, text) in either channel over all queries (q, text).
+
+    No pairs are shuffled: ranks by hits come from counts. Ranks by cosine are bounded by coarse bins first, so a row
+    asks for its exact rank only where it can be its best, and cosines are counted one by one only in bins in which
+    some row asks. Queries are a stated set, ranked QUERIES at a time.
+    """
+    spark = pool.sparkSession
+    importable(spark)
+    out = spark.createDataFrame([], "key string, lexical double, semantic double")
+    rows = pool.select("key", "text", F.lit(0.0).alias("votes"), F.lit(1).cast("bigint").alias("copies"))
+    for asked in _blocks(queries, True):
+        held = _prepared(rows, asked)
+        hits, bins, _ = _counted(held, asked)
+        lexical, before, lane = _above(hits) + (hits + 1) / 2, _above(bins), np.arange(asked.lanes)
+
+        def ask(parts: Iterator[pa.RecordBatch], asked=asked, lexical=lexical, before=before, bins=bins, lane=lane) -> Iterator[pa.RecordBatch]:
+            for keys, _, _, hit, cos in _pieces(parts, asked):
+                b = _bin(cos)
+                least, most = before[lane[None], b] + 1, before[lane[None], b] + bins[lane[None], b]
+                can = least <= most.min(axis=1)[:, None]
+                best = lexical[lane[None], hit].min(axis=1)
+                r, i = np.nonzero(can)
+                at = np.append(0, np.cumsum(can.sum(axis=1))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (i.astype(np.int32), b[r, i].astype(np.int32), _micro(cos[r, i]))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(best), *lists], names=["key", "lexical", "lane", "bin", "cos"])
+
+        found = _written(held.mapInArrow(ask, "key string, lexical double, lane array<int>, bin array<int>, cos array<bigint>"), "asking")
+        each = found.select("key", "lexical", F.explode(F.arrays_zip("lane", "bin", "cos")).alias("x")).select("key", "lexical", "x.*")
+        wanted = np.zeros(bins.shape, dtype=bool)
+        for i, b in each.select("lane", "bin").distinct().collect():
+            wanted[i, b] = True
+
+        def count(parts: Iterator[pa.RecordBatch], asked=asked, wanted=wanted, lane=lane) -> Iterator[pa.RecordBatch]:
+            for _, _, _, _, cos in _pieces(parts, asked):
+                b = _bin(cos)
+                r, i = np.nonzero(wanted[lane[None], b])
+                one, n = np.unique(np.stack([i, b[r, i], _micro(cos[r, i])]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, t) for x, t in zip(one, (pa.int32(), pa.int32(), pa.int64()), strict=True)], pa.array(n)], names=["lane", "bin", "cos", "n"])
+
+        counted = held.mapInArrow(count, "lane int, bin int, cos bigint, n bigint").groupBy("lane", "bin", "cos").agg(F.sum("n").alias("n"))
+        higher = F.coalesce(F.sum("n").over(Window.partitionBy("lane", "bin").orderBy(F.desc("cos")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = spark.createDataFrame([(int(i), int(b), int(before[i, b])) for i, b in zip(*np.nonzero(wanted), strict=True)], "lane int, bin int, before bigint")
+        ranks = counted.withColumn("higher", higher).join(starts, ["lane", "bin"]).select("lane", "cos", (F.col("before") + F.col("higher") + (F.col("n") + 1) / 2).alias("rank"))
+        out = out.unionByName(each.join(ranks, ["lane", "cos"]).groupBy("key").agg(F.min("lexical").alias("lexical"), F.min("rank").alias("semantic")))
+    return out.groupBy("key").agg(F.min("lexical").alias("lexical"), F.min("semantic").alias("semantic"))
+
+
+def _micro(cos: np.ndarray) -> np.ndarray:
+    """Cosines of six decimals as whole numbers."""
+    return np.rint(cos * 1e6).astype(np.int64)
+
+
 def fused(pool: DataFrame, queries: DataFrame, k: int, weights: dict[str, float]) -> DataFrame:
     """q, key, score, lexical_rank, semantic_rank, copies, asked (the votes of channels that ask), place of the k best rows of the pool (key, text, votes, copies) for each query (q, text), by reciprocal rank fusion.
 

@@ -365,7 +365,8 @@ def full_rrf_top5(spark, d):
 @query(f"{FULL} SELECT key, round(min(lexical_rank), 1) AS lexical, round(min(semantic_rank), 1) AS semantic FROM fu GROUP BY key")
 def channel_best_ranks(spark, d):
     """Each document's best rank in either channel over all queries."""
-    return full_pairs(spark, d).groupBy("key").agg(F.round(F.min("lexical_rank"), 1).alias("lexical"), F.round(F.min("semantic_rank"), 1).alias("semantic"))
+    best = rk.best_ranks(corpus(spark, d), asked(spark, d))
+    return best.select("key", F.round("lexical", 1).alias("lexical"), F.round("semantic", 1).alias("semantic"))
 
 
 @query("WITH " + LEX.format(where="") + """, sc AS (SELECT q, key, round(CASE WHEN votes THEN 1.0 / (60 + r) ELSE 0 END, 6) AS score FROM lr),
