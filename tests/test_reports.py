@@ -1,5 +1,8 @@
 """Policies, health, barriers' results, audits, retention, commands, panels and envelopes on small frames."""
 
+import os
+import subprocess
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +93,22 @@ def test_commands_run_without_a_shell(spark):
     assert (got[1]["exit_code"], got[1]["out"]) == (0, "a b $HOME\n") and got[2]["exit_code"] == 1 and got[3]["exit_code"] is None and got[4]["err"] == "timeout" and got[5]["out"] == "/\n"
 
 
+def test_a_runner_starts_processes_itself_and_ends_as_subprocess_does(monkeypatch):
+    runner, odd = blocks.Runner(1), "head -c 200000 /dev/zero; head -c 200000 /dev/zero >&2; kill -9 $$"
+    cases = [["echo", "a b", "é"], ["sh", "-c", odd], ["sh", "-c", "exit 3"], ["/bin/sh", "-c", "read x || echo no input"]]
+    want = [subprocess.run(c, capture_output=True, stdin=subprocess.DEVNULL, check=False) for c in cases]
+    open_before = len(os.listdir("/proc/self/fd"))
+    with pytest.raises(FileNotFoundError, match="no-such-command"):
+        runner.run(["no-such-command"], None)
+    monkeypatch.setattr(subprocess, "run", None)
+    for c, w in zip(cases, want, strict=True):
+        assert runner.run(c, None) == (w.returncode, w.stdout, w.stderr)
+    for overruns in ("sleep 5", "exec >&- 2>&-; sleep 5", "while true; do echo x; done"):
+        with pytest.raises(subprocess.TimeoutExpired):
+            runner.run(["sh", "-c", overruns], None)
+    assert len(os.listdir("/proc/self/fd")) == open_before
+
+
 def test_checks_are_told_by_exit_codes(spark):
     ran = spark.createDataFrame([(1, 1, "a", 0, "x"), (1, 2, "b", 0, ""), (2, 1, "a", 0, ""), (2, 2, "b", 3, ""), (2, 3, "c", 1, ""), (3, 1, "a", 2, ""), (4, 1, "a", None, "")], "id long, place int, name string, exit_code int, out string")
     assert rows(blocks.suite(ran, {"b": [3]}), "id", "outcome", "failed") == [(1, "green", None), (2, "red_retryable", "b"), (3, "red", "a"), (4, "timeout", "a")]

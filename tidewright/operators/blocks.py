@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+import select
+import shutil
+import signal
+import subprocess
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -96,6 +102,79 @@ def run_agent(prompts: DataFrame, backend: Callable[[str, int], str], check: Cal
     return prompts.select(F.col("id").cast("bigint"), "prompt").mapInArrow(go, "id bigint, verdict string, asked int, error_class string")
 
 
+class Runner:
+    """Runs commands one after another, each as a process of its own, as subprocess.run does but for less: a program is looked up once, the environment is made once, and posix_spawn() starts the child."""
+
+    def __init__(self, timeout_s: float):
+        self.timeout_s, self.env, self.programs = timeout_s, dict(os.environb), {}
+
+    def run(self, cmd: list[str], cwd: str | None) -> tuple[int, bytes, bytes]:
+        """Exit code (negative: a signal), output, errors; raises what subprocess.run raises.
+
+        posix_spawn() knows no folder; what has one, isn't found or doesn't start goes to subprocess.run, which also
+        tells why.
+        """
+        started = self._started(cmd) if cmd and cwd is None and hasattr(os, "pidfd_open") else None
+        if started:
+            return self._ended(cmd, *started)
+        done = subprocess.run(cmd, cwd=cwd, capture_output=True, timeout=self.timeout_s, stdin=subprocess.DEVNULL, check=False)
+        return done.returncode, done.stdout, done.stderr
+
+    def _started(self, cmd: list[str]) -> tuple[int, int, int] | None:
+        """Process, and where its output and errors are read; None if it didn't start."""
+        if cmd[0] not in self.programs:
+            self.programs[cmd[0]] = shutil.which(cmd[0])
+        if self.programs[cmd[0]] is None:
+            return None
+        (out, out_end), (err, err_end) = os.pipe(), os.pipe()
+        files = [(os.POSIX_SPAWN_OPEN, 0, os.devnull, os.O_RDONLY, 0), (os.POSIX_SPAWN_DUP2, out_end, 1), (os.POSIX_SPAWN_DUP2, err_end, 2)]
+        try:
+            return os.posix_spawn(self.programs[cmd[0]], cmd, self.env, file_actions=files, setsigdef=(signal.SIGPIPE, signal.SIGXFSZ)), out, err
+        except BaseException as e:
+            os.close(out)
+            os.close(err)
+            if isinstance(e, OSError):
+                return None
+            raise
+        finally:
+            os.close(out_end)
+            os.close(err_end)
+
+    def _ended(self, cmd: list[str], pid: int, out: int, err: int) -> tuple[int, bytes, bytes]:
+        """Reads until both ends are closed and the process is gone; one that overruns is killed."""
+        end, told, waits, gone = time.monotonic() + self.timeout_s, {out: [], err: []}, select.poll(), os.pidfd_open(pid)
+
+        def ready() -> list[int]:
+            left = end - time.monotonic()
+            found = waits.poll(left * 1000) if left > 0 else None
+            if not found:
+                raise subprocess.TimeoutExpired(cmd, self.timeout_s)
+            return [fd for fd, _ in found]
+
+        try:
+            for fd in told:
+                waits.register(fd, select.POLLIN)
+            open_ends = len(told)
+            while open_ends:
+                for fd in ready():
+                    data = os.read(fd, 65536)
+                    if data:
+                        told[fd].append(data)
+                    else:
+                        waits.unregister(fd)
+                        open_ends -= 1
+            waits.register(gone, select.POLLIN)
+            ready()
+        except BaseException:
+            signal.pidfd_send_signal(gone, signal.SIGKILL)
+            os.waitpid(pid, 0)
+            raise
+        finally:
+            for fd in (out, err, gone):
+                os.close(fd)
+        return os.waitstatus_to_exitcode(os.waitpid(pid, 0)[1]), b"".join(told[out]), b"".join(told[err])
+
+
 RAN = "id bigint, place int, name string, exit_code int, out string, err string"
 
 
@@ -106,20 +185,19 @@ def run_commands(commands: DataFrame, timeout_s: float = 60, kept: int = 10_000)
     """
     importable(commands.sparkSession)
 
-    def one(cmd: list[str], cwd: str | None) -> tuple[int | None, str, str]:
-        import subprocess
-
+    def one(runner: Runner, cmd: list[str], cwd: str | None) -> tuple[int | None, str, str]:
         try:
-            done = subprocess.run(cmd, cwd=cwd, capture_output=True, timeout=timeout_s, stdin=subprocess.DEVNULL, check=False)
+            code, out, err = runner.run(cmd, cwd)
         except subprocess.TimeoutExpired:
             return None, "", "timeout"
         except OSError as e:
             return None, "", str(e)
-        return done.returncode, done.stdout.decode("utf-8", "replace")[-kept:], done.stderr.decode("utf-8", "replace")[-kept:]
+        return code, out.decode("utf-8", "replace")[-kept:], err.decode("utf-8", "replace")[-kept:]
 
     def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runner = Runner(timeout_s)
         for part in parts:
-            found = [one(c, w) for c, w in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+            found = [one(runner, c, w) for c, w in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], *[pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string()))]], names=["id", "place", "name", "exit_code", "out", "err"])
 
     return spread(commands.select(F.col("id").cast("bigint"), F.col("place").cast("int"), "name", "cmd", F.col("cwd").cast("string"))).mapInArrow(go, RAN)
