@@ -176,6 +176,16 @@ def test_a_drive_goes_on_where_it_was_killed(spark, tmp_path):
     assert rows(walk.drive(ledger, tasks, fq.FLOW), "task", "state", "error_class", "steps", "last_step") == whole
 
 
+def test_the_result_of_a_walk_is_read_without_a_shuffle(spark, tmp_path):
+    tasks = spark.createDataFrame([(i, 0, json.dumps({"event_type": "view", "props": {"k": i % 8}})) for i in range(200)], "task long, attempt long, payload string")
+    ledger = Ledger(spark, f"file://{tmp_path}/l")
+    out = walk.drive(ledger, tasks, fq.FLOW)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 200 and out.select("task").distinct().count() == 200
+    told = ledger.table("walk", walk.MOVED)
+    assert told.where("target in ('done', 'failed') and (payload is not null or visits is not null)").count() == 0
+
+
 def test_traces_end_in_loops_and_at_their_depth(spark):
     edges = spark.createDataFrame([(1, 10, 2), (2, 20, 3), (3, 30, 1), (3, 31, 4), (5, 50, 5)], "parent long, task long, event long")
     got = rows(trace.descendants(edges).where("ancestor = 1"), "event", "task", "depth")

@@ -60,7 +60,7 @@ MOVED = "task bigint, attempt bigint, seq bigint, step string, outcome string, r
 
 
 def _moved(active: DataFrame, w: Workflow, seq: int) -> DataFrame:
-    """One step of every active task (task, attempt, at, payload, prev, visits: JSON of counts by step)."""
+    """One step of every active task (task, attempt, at, payload, prev, visits: JSON of counts by step); a step that ends a task hands on no payload and no counts."""
     steps = {s.name: (s, blocks.REGISTRY[s.block]) for s in w.steps}
 
     def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +75,8 @@ def _moved(active: DataFrame, w: Workflow, seq: int) -> DataFrame:
                 else:
                     outcome, result, error = blocks.run_one(b, json.loads(payload), s.params | {"prev": json.loads(prev)})
                     target = "failed" if error else s.on[outcome]
-                out.append((task, attempt, seq, at, outcome, result, target, error, payload, json.dumps(visits, sort_keys=True)))
+                handed = (None, None) if target in TERMINALS else (payload, json.dumps(visits, sort_keys=True))
+                out.append((task, attempt, seq, at, outcome, result, target, error, *handed))
             columns = zip(*out, strict=True) if out else [[] for _ in _MOVED]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MOVED, strict=True)], schema=_MOVED)
 
@@ -87,7 +88,8 @@ def drive(ledger: Ledger, tasks: DataFrame, w: Workflow) -> DataFrame:
 
     All active tasks take their next step together, in one pass without a shuffle; its rows are one commit, so a driver
     that starts anew with the same ledger goes on after the last committed step and no step runs twice into it. A step
-    visited more than its max_visits ends the task with step_budget_exhausted, so every walk ends.
+    visited more than its max_visits ends the task with step_budget_exhausted, so every walk ends. A task takes a step in
+    every pass until one ends it: the row of that step tells all of the result, without a shuffle of the walk.
     """
     importable(tasks.sparkSession)
     empty = F.lit("{}")
@@ -103,5 +105,5 @@ def drive(ledger: Ledger, tasks: DataFrame, w: Workflow) -> DataFrame:
         if not active.limit(1).count():
             break
     ended = ledger.table("walk", MOVED)
-    last = ended.groupBy("task").agg(F.max(F.struct("seq", "target", "error_class", "step")).alias("z"), F.count(F.lit(1)).alias("steps"))
-    return last.select("task", F.col("z.target").alias("state"), F.col("z.error_class").alias("error_class"), "steps", F.col("z.step").alias("last_step"))
+    last = ended.where(F.col("target").isin(*TERMINALS))
+    return last.select("task", F.col("target").alias("state"), "error_class", F.col("seq").alias("steps"), F.col("step").alias("last_step"))
