@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,6 +222,26 @@ OPS = [
 ]
 
 
+def test_moves_of_a_hot_item_pass_as_a_stream(spark):
+    edges, n = {"a": ["b"], "b": ["a", "c"], "c": ["a"]}, 3000
+    moves = spark.range(n).select(F.when(F.col("id") % 10 == 0, F.lit(None).cast("string")).otherwise(F.when(F.col("id") % 7 == 0, "j").otherwise("i")).alias("item"), (n - F.col("id")).alias("seq"), F.substring(F.lit("abcax"), (F.col("id") * 31 % 5 + 1).cast("int"), F.lit(1)).alias("to_state"), F.col("id").alias("task"), F.lit("s").alias("step"))
+    got = effects.moved(moves, spark.createDataFrame([("i", "a")], "item string, state string"), edges)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    at, want = {"i": "a"}, []
+    for r in moves.orderBy("seq").collect():
+        here = at.get(r["item"])
+        legal = r["to_state"] in edges.get(here, ())
+        want.append((*r, here, legal))
+        at[r["item"]] = r["to_state"] if legal else here
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and any(w[-1] for w in want)
+
+
+def test_arguments_of_effects_are_parsed_once(spark, small_dir):
+    plan = effects.checked(fq.staged(spark, small_dir))._jdf.queryExecution().optimizedPlan()
+    parsed = sum(len(re.findall(r"(?i)parse_?json", plan.apply(i).expressions().mkString())) for i in range(3) if plan.apply(i) is not None)
+    assert parsed == 1
+
+
 def tables(ledger):
     return {t: rows(ledger.table(t, schema), *[c.split()[0] for c in schema.split(", ")]) for t, schema in effects.TABLES.items()}
 

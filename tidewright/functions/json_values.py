@@ -107,7 +107,11 @@ def violations(value: Column, schema: dict, path: Column | None = None) -> Colum
 
 def problems(text: Column, schema: dict) -> Column:
     """violations() of a JSON text; a text that isn't JSON is named as such, a null text too."""
-    value = F.try_parse_json(text)
+    return problems_of(F.try_parse_json(text), schema)
+
+
+def problems_of(value: Column, schema: dict) -> Column:
+    """problems() of a text that try_parse_json() has made a VARIANT of; a column of a frame is parsed once a row, an expression once for each rule."""
     return F.when(value.isNull(), F.array(F.lit("$: not JSON"))).otherwise(violations(value, schema))
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import checks as ck
 from ..functions import json_values as jv
 from ..sources.ledger import Ledger
 from . import steps as st
+from .workers import importable
 
 _TEXT, _TEXTS = {"type": "string"}, {"type": ["string", "null"]}
 
@@ -39,15 +44,15 @@ TABLES = {
 
 def checked(effects: DataFrame) -> DataFrame:
     """effects (task, step, outcome, seq, op, args: JSON text) with value (args as a VARIANT) and problem: what keeps an operation from being applied, null if nothing does. A row without an op is a step that staged nothing."""
-    value = F.try_parse_json("args")
-    name = F.try_variant_get(value, "$.name", "string")
+    effects = effects.withColumn("value", F.try_parse_json("args"))
+    name = _text("name")
     problem = F.when(F.col("op").isNull(), F.lit(None).cast("string"))
     for op, schema in OPERATIONS.items():
-        of = F.try_element_at(jv.problems(F.col("args"), schema), F.lit(1))
+        of = F.try_element_at(jv.problems_of(F.col("value"), schema), F.lit(1))
         if op in ("emit_event", "fanout"):
             of = F.coalesce(of, F.when(~ck.is_event_name(name), F.concat(F.lit("$.name: no event name: "), name)))
         problem = problem.when(F.col("op") == op, of)
-    return effects.withColumn("value", value).withColumn("problem", problem.otherwise(F.concat(F.lit("unknown operation "), F.col("op"))))
+    return effects.withColumn("problem", problem.otherwise(F.concat(F.lit("unknown operation "), F.col("op"))))
 
 
 def _text(path: str) -> Column:
@@ -57,22 +62,30 @@ def _text(path: str) -> Column:
 def moved(moves: DataFrame, states: DataFrame, edges: dict[str, list[str]]) -> DataFrame:
     """moves (item, to_state, seq, ...) with from_state and legal, taken one after another by seq from the items' states (item, state; an unknown item has none).
 
-    A move that isn't legal leaves the item where it is. An item's moves of one commit meet in one row; a hot item costs a
-    fold over that row, not a task.
+    A move that isn't legal leaves the item where it is. An item's moves of one commit pass in order through one task, which
+    holds a batch of them and where the item is.
     """
-    allowed = F.create_map(*[x for a, bs in edges.items() for x in (F.lit(a), F.array(*map(F.lit, bs)))])
+    importable(moves.sparkSession)
     rest = [c for c in moves.columns if c not in ("item", "seq", "to_state")]
-    listed = moves.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("seq", "to_state", *rest))).alias("ms")).join(states, "item", "left")
-    row = F.struct(F.lit(None).cast("string").alias("from_state"), F.lit(False).alias("legal"))
-    start = F.struct(F.col("state").alias("at"), F.array_repeat(row, 0).alias("told"))
-
-    def take(acc: Column, m: Column) -> Column:
-        legal = F.coalesce(F.array_contains(F.try_element_at(allowed, acc["at"]), m["to_state"]), F.lit(False))
-        return F.struct(F.when(legal, m["to_state"]).otherwise(acc["at"]).alias("at"), F.concat(acc["told"], F.array(F.struct(acc["at"].alias("from_state"), legal.alias("legal")))).alias("told"))
-
-    folded = listed.withColumn("told", F.aggregate("ms", start, take)["told"])
-    each = folded.select("item", F.explode(F.arrays_zip("ms", "told")).alias("x"))
-    return each.select("item", "x.ms.*", "x.told.from_state", "x.told.legal")
+    listed = moves.select("item", "seq", "to_state", *rest).join(states.select("item", "state"), "item", "left")
+    ordered = listed.repartition("item").sortWithinPartitions("item", "seq", "to_state", *rest)
+    schema = T.StructType([*ordered.drop("state").schema.fields, T.StructField("from_state", T.StringType()), T.StructField("legal", T.BooleanType())])
+
+    def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item = at = None
+        begun = False
+        for part in parts:
+            told, legal = [], []
+            for now, to_state, state in zip(*(part.column(c).to_pylist() for c in ("item", "to_state", "state")), strict=True):
+                if not begun or now != item:
+                    begun, item, at = True, now, state
+                told.append(at)
+                legal.append(to_state in edges.get(at, ()))
+                at = to_state if legal[-1] else at
+            kept = part.drop_columns(["state"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(told, pa.string()), pa.array(legal, pa.bool_())], names=[*kept.schema.names, "from_state", "legal"])
+
+    return ordered.mapInArrow(go, schema)
 
 
 def object_id(repo: Column, path: Column, symbol: Column) -> Column:
@@ -92,6 +105,7 @@ def commit(ledger: Ledger, name: str, effects: DataFrame, subscriptions: DataFra
     """
     if name in ledger.steps():
         return False
+    importable(ledger.spark)
     known = {t: ledger.table(t, schema) for t, schema in TABLES.items()}
     ops = ledger.kept(f"{name}-checked", checked(effects).select("task", "step", "outcome", "seq", "op", "args", "problem"))
     ops = ops.withColumn("value", F.try_parse_json("args"))
