@@ -265,6 +265,29 @@ def test_effects_of_a_step_come_together_or_not_at_all(spark, tmp_path):
     assert [r[0] for r in tables(ledger)["items"]] == ["i"] and rows(effects.current_vectors(ledger), "vector") == [([9.0],)] and len(tables(ledger)["objects"]) == 1
 
 
+def test_nothing_that_grows_is_sent_through_the_driver(spark, tmp_path, monkeypatch):
+    """Of all that a commit writes, only subscriptions (by an event's name) are broadcast, however small the rest is."""
+    plans, kept, stage = [], Ledger.kept, Ledger.stage
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Ledger, "kept", lambda self, label, df: plans.append(plan(df)) or kept(self, label, df))
+    monkeypatch.setattr(Ledger, "stage", lambda self, step, found: plans.extend(map(plan, found.values())) or stage(self, step, found))
+    subs, ledger = spark.createDataFrame(SUBS, "event string, kind string"), Ledger(spark, f"file://{tmp_path}/a")
+    for i, name in enumerate(("one", "two")):
+        assert effects.commit(ledger, name, spark.createDataFrame(OPS, EFFECTS).withColumn("task", F.col("task") + 100 * i), subs, fq.EDGES)
+    plans.append(plan(effects.current_vectors(ledger)))
+    assert {k for p in plans for k in re.findall(r"(?:BroadcastHashJoin \[|BroadcastNestedLoopJoin )(\w*)", p)} == {"name"}
+    assert any("SortMergeJoin" in p for p in plans)
+
+
+def test_where_an_item_is_comes_ahead_of_its_moves(spark):
+    edges = {"a": ["b"], "b": ["c"]}
+    moves = spark.createDataFrame([("i", 2, "c", 1), ("i", 1, "b", 2), ("new", 3, "b", 3), (None, 4, "b", 4)], "item string, seq long, to_state string, task long")
+    states = spark.createDataFrame([("i", "a"), ("idle", "a"), (None, "a"), ("j", None)], "item string, state string")
+    got = effects.moved(moves, states, edges)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.select("task", "item", "from_state", "legal").collect())) == [(1, "i", "b", True), (2, "i", "a", True), (3, "new", None, False), (4, None, None, False)]
+
+
 @pytest.mark.parametrize("writes", [0, 4])
 def test_a_crash_between_writes_leaves_nothing(spark, tmp_path, writes):
     subs, frame, ledger = spark.createDataFrame(SUBS, "event string, kind string"), spark.createDataFrame(OPS[:6], EFFECTS), Ledger(spark, f"file://{tmp_path}/a")

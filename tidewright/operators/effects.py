@@ -59,6 +59,18 @@ def _text(path: str) -> Column:
     return F.try_variant_get("value", f"$.{path}", "string")
 
 
+#: Arguments that are texts, by their columns; an event's or a fan-out's name is `event`.
+_TEXT_ARGS = {c: c for c in ("key", "title", "source", "repo", "severity", "item", "to_state", "join_event", "path", "symbol", "model_sha")} | {"event": "name"}
+
+
+def read_out(ops: DataFrame) -> DataFrame:
+    """checked() operations with their arguments as columns, null where an operation has none: nothing later parses them again."""
+    payload = F.to_json(F.try_variant_get("value", "$.payload", "variant")).alias("payload")
+    payloads = F.transform(F.try_variant_get("value", "$.payloads", "array<variant>"), lambda p: F.to_json(p)).alias("payloads")
+    vector = F.try_variant_get("value", "$.vector", "array<double>").alias("vector")
+    return ops.select("task", "step", "outcome", "seq", "op", "problem", *[_text(a).alias(c) for c, a in _TEXT_ARGS.items()], payload, payloads, vector)
+
+
 def moved(moves: DataFrame, states: DataFrame, edges: dict[str, list[str]]) -> DataFrame:
     """moves (item, to_state, seq, ...) with from_state and legal, taken one after another by seq from the items' states (item, state; an unknown item has none).
 
@@ -67,22 +79,27 @@ def moved(moves: DataFrame, states: DataFrame, edges: dict[str, list[str]]) -> D
     """
     importable(moves.sparkSession)
     rest = [c for c in moves.columns if c not in ("item", "seq", "to_state")]
-    listed = moves.select("item", "seq", "to_state", *rest).join(states.select("item", "state"), "item", "left")
-    ordered = listed.repartition("item").sortWithinPartitions("item", "seq", "to_state", *rest)
-    schema = T.StructType([*ordered.drop("state").schema.fields, T.StructField("from_state", T.StringType()), T.StructField("legal", T.BooleanType())])
+    listed = moves.select("item", "seq", "to_state", *rest, F.lit(None).cast("string").alias("state"), F.lit(True).alias("moves"))
+    # Where an item is comes as a row ahead of its moves: no join, so neither side of one has to fit anywhere.
+    others = [F.lit(None).cast(listed.schema[c].dataType).alias(c) for c in ("seq", "to_state", *rest)]
+    at_first = states.where("item is not null").select("item", *others, F.col("state").cast("string").alias("state"), F.lit(False).alias("moves"))
+    ordered = listed.unionByName(at_first).repartition("item").sortWithinPartitions("item", "moves", "seq", "to_state", *rest)
+    schema = T.StructType([*listed.drop("state", "moves").schema.fields, T.StructField("from_state", T.StringType()), T.StructField("legal", T.BooleanType())])
 
     def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = at = None
-        begun = False
         for part in parts:
             told, legal = [], []
-            for now, to_state, state in zip(*(part.column(c).to_pylist() for c in ("item", "to_state", "state")), strict=True):
-                if not begun or now != item:
-                    begun, item, at = True, now, state
+            for now, to_state, state, move in zip(*(part.column(c).to_pylist() for c in ("item", "to_state", "state", "moves")), strict=True):
+                if now != item:
+                    item, at = now, None
+                if not move:
+                    at = state
+                    continue
                 told.append(at)
                 legal.append(to_state in edges.get(at, ()))
                 at = to_state if legal[-1] else at
-            kept = part.drop_columns(["state"])
+            kept = part.filter(part.column("moves")).drop_columns(["state", "moves"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(told, pa.string()), pa.array(legal, pa.bool_())], names=[*kept.schema.names, "from_state", "legal"])
 
     return ordered.mapInArrow(go, schema)
@@ -102,22 +119,24 @@ def commit(ledger: Ledger, name: str, effects: DataFrame, subscriptions: DataFra
     that consumes one gets a task unless a task of that kind and payload is known; fan-outs open their group, one child
     event a payload, and an empty group's join event at once; vectors are stored under their object, which is made if
     it isn't known. Each table's rows are staged as files, and one manifest makes all of them visible.
+
+    Whatever grows with the effects or the ledger is merge-joined: Spark judges it by its compressed files, which are far
+    smaller than its rows in the driver's memory. Only the subscriptions, part of the definitions, are sent to all tasks.
     """
     if name in ledger.steps():
         return False
     importable(ledger.spark)
     known = {t: ledger.table(t, schema) for t, schema in TABLES.items()}
-    ops = ledger.kept(f"{name}-checked", checked(effects).select("task", "step", "outcome", "seq", "op", "args", "problem"))
-    ops = ops.withColumn("value", F.try_parse_json("args"))
+    ops = ledger.kept(f"{name}-checked", read_out(checked(effects)))
     wrong = ops.where("problem is not null").select("task", "step", "problem", "seq")
     born = known["items"].select(F.col("key").alias("item"), F.col("state"), F.lit(-1).cast("bigint").alias("seq"))
     gone = known["transitions"].select("item", F.col("to_state").alias("state"), "seq")
-    new = ops.where("op = 'upsert_item'").select("task", "step", "seq", _text("key").alias("item"))
-    moves = ops.where("op = 'transition'").select("task", "step", "seq", _text("item").alias("item"), _text("to_state").alias("to_state"))
+    new = ops.where("op = 'upsert_item'").select("task", "step", "seq", F.col("key").alias("item"))
+    moves = ops.where("op = 'transition'").select("task", "step", "seq", "item", "to_state")
 
     def legal_moves(without: DataFrame) -> DataFrame:
-        kept = moves.join(without, ["task", "step"], "left_anti")
-        added = new.join(without, ["task", "step"], "left_anti").select("item", F.lit(first_state).alias("state"), F.lit(-2).cast("bigint").alias("seq"))
+        kept = moves.join(without.hint("merge"), ["task", "step"], "left_anti")
+        added = new.join(without.hint("merge"), ["task", "step"], "left_anti").select("item", F.lit(first_state).alias("state"), F.lit(-2).cast("bigint").alias("seq"))
         states = born.unionByName(gone).unionByName(added).groupBy("item").agg(F.max_by("state", "seq").alias("state"))
         return moved(kept, states, edges)
 
@@ -131,32 +150,33 @@ def commit(ledger: Ledger, name: str, effects: DataFrame, subscriptions: DataFra
         if not more.limit(1).count():
             break
         failed = ledger.kept(f"{name}-failed", failed.unionByName(more))
-    why = failed.groupBy("task", "step").agg(F.min_by("problem", "seq").alias("problem"))
-    steps = ops.groupBy("task", "step").agg(F.min_by("outcome", "seq").alias("outcome")).join(why, ["task", "step"], "left")
+    why = failed.groupBy("task", "step").agg(F.min_by("problem", "seq").alias("why"))
+    ops = ledger.kept(f"{name}-settled", ops.drop("problem").join(why.hint("merge"), ["task", "step"], "left"))
+    steps = ops.groupBy("task", "step").agg(F.min_by("outcome", "seq").alias("outcome"), F.min("why").alias("problem"))
     fault = F.col("problem").isNotNull()
     outcomes = steps.select("task", "step", F.when(fault, "failed").otherwise(F.col("outcome")).alias("outcome"), F.when(fault, "framework_bug").alias("error_class"), "problem")
-    good = ops.join(bad, ["task", "step"], "left_anti").where("op is not null")
-    items = good.where("op = 'upsert_item'").select(*[_text(c).alias(c) for c in ("key", "title", "source", "repo", "severity")], F.lit(first_state).alias("state"), "seq")
+    good = ops.where("why is null and op is not null")
+    items = good.where("op = 'upsert_item'").select("key", "title", "source", "repo", "severity", F.lit(first_state).alias("state"), "seq")
     first = items.groupBy("key").agg(F.min_by(F.struct("title", "source", "repo", "severity", "state", "seq"), "seq").alias("r")).select("key", "r.*")
-    items = first.join(known["items"].select("key"), "key", "left_anti")
+    items = first.join(known["items"].select("key").hint("merge"), "key", "left_anti")
     payload = lambda *pairs: jv.canonical(F.concat(F.lit("{"), *pairs, F.lit("}")))
     quoted = lambda c: F.to_json(c.cast("variant"))
     told = taken.select(F.concat(F.lit("item."), F.lower("to_state")).alias("name"), payload(F.lit('"from":'), F.coalesce(quoted(F.col("from_state")), F.lit("null")), F.lit(',"item":'), quoted(F.col("item"))).alias("payload"), "task", "seq")
-    said = good.where("op = 'emit_event'").select(_text("name").alias("name"), jv.canonical(F.to_json(F.try_variant_get("value", "$.payload", "variant"))).alias("payload"), "task", "seq")
-    fans = good.where("op = 'fanout'")
-    payloads = F.transform(F.try_variant_get("value", "$.payloads", "array<variant>"), lambda p: F.to_json(p))
-    groups, children = st.fanned_out(fans.select("task", _text("name").alias("name"), _text("join_event").alias("join_event"), payloads.alias("payloads")), subscriptions)
-    of = groups.select("group_id", "task")
-    new_groups = groups.join(known["groups"].select("group_id"), "group_id", "left_anti")
-    each = children.select("group_id", "name", "payload", "idx").distinct().join(new_groups.select("group_id"), "group_id", "left_semi").join(of, "group_id")
+    said = good.where("op = 'emit_event'").select(F.col("event").alias("name"), jv.canonical(F.col("payload")).alias("payload"), "task", "seq")
+    fans = good.where("op = 'fanout'").select("task", F.col("event").alias("name"), "join_event", "payloads")
+    groups, _ = st.fanned_out(fans, subscriptions)
+    new_groups = ledger.kept(f"{name}-groups", groups.join(known["groups"].select("group_id").hint("merge"), "group_id", "left_anti"))
+    # A child is one event however many kinds consume it.
+    _, children = st.fanned_out(fans, subscriptions.groupBy("event").agg(F.min("kind").alias("kind")))
+    each = children.join(new_groups.select("group_id", "task").hint("merge"), "group_id")
     fired = new_groups.where("complete").select(F.col("join_event").alias("name"), payload(F.lit('"join_group":"'), F.col("group_id"), F.lit('","total":0')).alias("payload"), "task", F.lit(0).cast("bigint").alias("seq"))
     events = ledger.kept(f"{name}-events", told.unionByName(said).unionByName(each.select("name", "payload", "task", F.col("idx").alias("seq"))).unionByName(fired))
-    arrivals = events.join(subscriptions.withColumnRenamed("event", "name"), "name").select("kind", F.sha2(F.concat("name", F.lit("\n"), "payload"), 256).alias("payload_hash"), F.col("name").alias("event"), "seq")
-    opened = arrivals.groupBy("kind", "payload_hash").agg(F.min("event").alias("event"), F.min("seq").alias("seq"))
-    opened = opened.join(known["tasks"].select("kind", "payload_hash"), ["kind", "payload_hash"], "left_anti")
-    vectors = good.where("op = 'store_embedding'").select(*[_text(c).alias(c) for c in ("repo", "path", "symbol", "model_sha")], F.try_variant_get("value", "$.vector", "array<double>").alias("vector"), "seq")
+    arrivals = events.join(F.broadcast(subscriptions.withColumnRenamed("event", "name")), "name").select("kind", F.sha2(F.concat("name", F.lit("\n"), "payload"), 256).alias("payload_hash"), F.col("name").alias("event"), "seq")
+    opened = arrivals.groupBy("kind", "payload_hash", "event").agg(F.min("seq").alias("seq"))  # a hash has one event: it is in it
+    opened = opened.join(known["tasks"].select("kind", "payload_hash").hint("merge"), ["kind", "payload_hash"], "left_anti")
+    vectors = good.where("op = 'store_embedding'").select("repo", "path", "symbol", "model_sha", "vector", "seq")
     vectors = vectors.withColumn("object_id", object_id(F.col("repo"), F.col("path"), F.col("symbol")))
-    objects = vectors.select("object_id", "repo", "path", "symbol").distinct().join(known["objects"].select("object_id"), "object_id", "left_anti")
+    objects = vectors.select("object_id", "repo", "path", "symbol").distinct().join(known["objects"].select("object_id").hint("merge"), "object_id", "left_anti")
     stored = vectors.groupBy("object_id", "model_sha").agg(F.max(F.struct("seq", "vector")).alias("r")).select("object_id", "model_sha", "r.vector", "r.seq")
     staged = {
         "outcomes": outcomes,
@@ -177,4 +197,4 @@ def current_vectors(ledger: Ledger) -> DataFrame:
     """object_id, repo, path, symbol, model_sha, vector: of each object and model the vector stored last."""
     order = Window.partitionBy("object_id", "model_sha").orderBy(F.desc("seq"))
     last = ledger.table("embeddings", TABLES["embeddings"]).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "seq")
-    return ledger.table("objects", TABLES["objects"]).join(last, "object_id")
+    return ledger.table("objects", TABLES["objects"]).join(last.hint("merge"), "object_id")

@@ -34,13 +34,14 @@ def fanned_out(ops: DataFrame, subscriptions: DataFrame) -> tuple[DataFrame, Dat
     groups: group_id, task, join_event, expect (payloads times consumers of the event), complete (nothing is expected: it
     fires at once). children: group_id, name, kind, idx, payload with the reserved _join (group and index) in its place
     among the sorted keys, payload_hash. The same fan-out staged twice is one group.
+    Subscriptions are definitions and go to all tasks: dealt by its name, a frequent event would be one task's.
     """
     per = subscriptions.groupBy(F.col("event").alias("name")).agg(F.count(F.lit(1)).alias("consumers"))
     keyed = ops.select(group_key(F.col("task"), F.col("name"), F.col("join_event"), F.col("payloads")).alias("group_id"), "task", "name", "join_event", "payloads").dropDuplicates(["group_id"])
     expect = (F.size("payloads") * F.coalesce("consumers", F.lit(0))).cast("bigint")
-    groups = keyed.join(per, "name", "left").select("group_id", "task", "join_event", expect.alias("expect"), (expect == 0).alias("complete"))
+    groups = keyed.join(F.broadcast(per), "name", "left").select("group_id", "task", "join_event", expect.alias("expect"), (expect == 0).alias("complete"))
     each = keyed.select("group_id", "name", F.posexplode("payloads").alias("idx", "item"))
-    told = each.join(subscriptions.select(F.col("event").alias("name"), "kind"), "name")
+    told = each.join(F.broadcast(subscriptions.select(F.col("event").alias("name"), "kind")), "name")
     join = F.concat(F.lit('"_join":{"group":"'), F.col("group_id"), F.lit('","index":'), F.col("idx").cast("string"), F.lit("}"))
     # The payload is canonical; _join stands where its name sorts.
     payload = jv.canonical(F.concat(F.lit("{"), join, F.when(F.col("item") == "{}", "").otherwise(","), F.substr("item", F.lit(2))))
